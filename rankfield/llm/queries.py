@@ -1,10 +1,12 @@
 """One query for each operator, over its whole table, with production parameters."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.llm import line_dedup, mixing, packing, quality_rules, url_filter
-from rankfield.llm.common import table
+from rankfield.llm import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_records, topk, url_filter
+from rankfield.llm.common import storage_dir, table
 
 RULES = [
     ("allow", "org", "/"),
@@ -16,10 +18,18 @@ RULES = [
 LISTED_HOST = r"(^|\.)(spam|ads)-"
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed: every URL of the hosts that are named as spam or ad servers."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -39,5 +53,21 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_packing, op5_line_dedup, op7_url_filter, op8_source_mixing)}
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{storage_dir(spark).rstrip('/')}/token-records-{uuid.uuid4().hex}"
+    index = token_records.export(table(spark, sf_dir, "documents"), path)
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_quality_rules, op3_quality_classifier, op4_packing, op5_line_dedup,
+        op6_simhash_dedup, op7_url_filter, op8_source_mixing, op9_token_records, op10_suffix_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
