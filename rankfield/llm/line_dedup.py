@@ -1,6 +1,7 @@
 """Line dedup by winnowing over line hashes, DataFrame functions only.
 
-Lines with a word are normalised and hashed. In every window of ``min_run`` lines
+Lines with a word are hashed, white space runs as one space and ends trimmed; case
+and digits count. In every window of ``min_run`` lines
 the smallest hash (the last of equal ones) is selected; equal runs of ``min_run``
 lines select the same place, so every repeated run of that length shares such a
 fingerprint. Fingerprints that occur once are dropped; the places of the others are
@@ -19,8 +20,8 @@ with a word, joined by line feeds. An empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import let, stored, text_key
-from rankfield.llm.quality_rules import lines_with_words, normal_line
+from rankfield.llm.common import SPACE_RUN, let, stored, text_key
+from rankfield.llm.quality_rules import lines_with_words
 
 
 def _fingerprints(hashes: Column, run: int) -> Column:
@@ -49,7 +50,7 @@ def _fingerprints(hashes: Column, run: int) -> Column:
 
 
 def _line_hashes(text: Column) -> Column:
-    return F.transform(lines_with_words(text), lambda x: F.xxhash64(normal_line(x)))
+    return F.transform(lines_with_words(text), lambda x: F.xxhash64(F.btrim(F.regexp_replace(x, SPACE_RUN, " "))))
 
 
 def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = 3) -> DataFrame:

@@ -70,4 +70,63 @@ QUERIES = {
         op6_simhash_dedup, op7_url_filter, op8_source_mixing, op9_token_records, op10_suffix_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+
+SPACE = r"[\x20\x09-\x0D]"
+WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# lines with a word, and their normal form
+LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))"
+NORMAL = f"trim(regexp_replace(translate({{0}}, '{UPPER}123456789', '{UPPER.lower()}000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+EXACT = "trim(regexp_replace({0}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op2_quality_rules": f"""
+WITH d AS (SELECT doc_id, source, text, coalesce({WORDS}, []) AS w, {LINES} AS l FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT doc_id, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n FROM y WHERE w3 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM z WHERE n > 1) GROUP BY doc_id),
+k AS (SELECT doc_id, source, unnest(list_transform(l, lambda t: {NORMAL.format("t")})) AS m FROM d),
+f AS (SELECT source, m FROM k GROUP BY source, m HAVING count(DISTINCT doc_id) > 20),
+h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+o AS (SELECT k.source, k.m FROM k JOIN h ON h.source = k.source JOIN f ON f.source = k.source AND f.m = k.m GROUP BY k.source, k.m, h.docs HAVING count(DISTINCT k.doc_id) > 0.01 * h.docs),
+g AS (SELECT k.doc_id, sum(length(k.m) - length(replace(k.m, ' ', '')) + 1) AS n FROM k JOIN o ON o.source = k.source AND o.m = k.m GROUP BY k.doc_id),
+c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda t: length(t))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.5 * n_words AS kept FROM c""",
+    "op5_line_dedup": f"""
+WITH d AS (SELECT doc_id, text, {LINES} AS l FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(l, lambda t: {EXACT.format("t")})) AS m, generate_subscripts(l, 1) AS i FROM d),
+w AS (SELECT doc_id, i, m, lead(m) OVER o AS m2, lead(m, 2) OVER o AS m3 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY m, m2, m3 ORDER BY doc_id, i) AS n FROM w WHERE m3 IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(flatten(list([i, i + 1, i + 2])))) AS gone FROM n WHERE n > 1 GROUP BY doc_id),
+j AS (SELECT d.doc_id, d.text, d.l, coalesce(g.gone, []) AS gone FROM d LEFT JOIN g ON g.doc_id = d.doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed, CAST(len(list_filter(gone, lambda x: NOT list_contains(gone, x - 1))) AS BIGINT) AS n_runs,
+sha256(CASE WHEN len(gone) = 0 THEN coalesce(text, '') ELSE array_to_string(list_filter(l, lambda t, i: NOT list_contains(gone, i)), chr(10)) END) AS kept_sha256 FROM j""",
+    "op7_url_filter": f"""
+WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+c AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)'))) AS q FROM u),
+k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)[.]', ''), ':[0-9]+$', '') || regexp_replace(path, '([.]html?|/+)$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS name,
+  CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM c),
+b AS (SELECT DISTINCT name FROM k WHERE regexp_matches(host, '(^|[.])(spam|ads)-') AND name IS NOT NULL)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN name IN (SELECT name FROM b) THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND coalesce(name IN (SELECT name FROM b), false) AS listed FROM k""",
+    "op8_source_mixing": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, '=' || source AS s, CAST(len({WORDS}) AS BIGINT) AS n FROM documents),
+t AS (SELECT s, sum(n) AS m FROM d GROUP BY s), p AS (SELECT s, m, m / CAST(sum(m) OVER () AS DOUBLE) AS p, max(m) OVER () / CAST(sum(m) OVER () AS DOUBLE) AS most FROM t WHERE m > 0),
+h(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN (SELECT ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * (lo + hi) / 2 * ln(p)) / sum(pow(p, (lo + hi) / 2)) FROM p) >= 0.95 * (SELECT ln(count(*)) FROM p) THEN (lo + hi) / 2 ELSE lo END,
+  CASE WHEN (SELECT ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * (lo + hi) / 2 * ln(p)) / sum(pow(p, (lo + hi) / 2)) FROM p) >= 0.95 * (SELECT ln(count(*)) FROM p) THEN hi ELSE (lo + hi) / 2 END FROM h WHERE i < 40),
+r(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN (SELECT max(pow(p / most, (lo + hi) / 2 - 1)) FROM p) <= 2.0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN (SELECT max(pow(p / most, (lo + hi) / 2 - 1)) FROM p) <= 2.0 THEN (lo + hi) / 2 ELSE hi END FROM r WHERE i < 40),
+e AS (SELECT CASE WHEN (SELECT count(*) FROM p) > 1 THEN (SELECT lo FROM h WHERE i = 40) ELSE 1 END AS a),
+a AS (SELECT round(CASE WHEN (SELECT max(pow(p / most, a - 1)) FROM p) > 2.0 THEN greatest(a, (SELECT hi FROM r WHERE i = 40)) ELSE a END, 6) AS a FROM e),
+q AS (SELECT s, round(pow(p, a) / (SELECT sum(pow(p, a)) FROM p), 6) AS weight, round(pow(p / most, a - 1), 6) AS epochs, CAST(greatest(1, ceil(m / 200000.0)) AS BIGINT) AS blocks FROM p, a),
+x AS (SELECT d.doc_id, d.source, d.s, d.n, q.weight, q.epochs, ('0x' || substr(md5(d.doc_id || '|block'), 1, 15))::BIGINT % q.blocks AS block, ('0x' || substr(md5(d.doc_id || '|place'), 1, 15))::BIGINT AS place FROM d JOIN q ON q.s = d.s),
+y AS (SELECT *, sum(n) OVER (PARTITION BY s, block ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY s, block) AS total, row_number() OVER (PARTITION BY s, block ORDER BY place, doc_id) AS position FROM x),
+z AS (SELECT *, unnest(range(CAST(floor(epochs) AS BIGINT) + CASE WHEN before + n / 2.0 < (epochs - floor(epochs)) * total THEN 1 ELSE 0 END)) AS epoch FROM y)
+SELECT doc_id, source, n AS n_tokens, weight, epoch, block, ('0x' || substr(md5(s || '|' || block || '|' || epoch), 1, 15))::BIGINT AS block_order, position FROM z""",
+}
