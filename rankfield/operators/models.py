@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.operators import features as fx
+from rankfield.sources.storage import kept
 
 WIDTHS = ((1.0, 0.2), (2.0, 0.5), (4.0, 1.0))
 
@@ -22,7 +23,7 @@ def _bounds(columns: list[str]) -> DenseMatrix:
 
 
 def _logistic(columns: list[str], intercept: bool, weight: str | None) -> Pipeline:
-    fit = LogisticRegression(featuresCol="x", labelCol="label", maxIter=60, regParam=0.01, elasticNetParam=0.0, fitIntercept=intercept, standardization=True, lowerBoundsOnCoefficients=_bounds(columns), **({"weightCol": weight} if weight else {}))
+    fit = LogisticRegression(featuresCol="x", labelCol="label", maxIter=25, regParam=0.01, elasticNetParam=0.0, fitIntercept=intercept, standardization=True, lowerBoundsOnCoefficients=_bounds(columns), **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), fit])
 
 
@@ -38,7 +39,7 @@ def fit_pairwise_ranker(aligned: DataFrame, pairs: DataFrame, columns: list[str]
     gaps = pairs.join(a, ["keyword", "better"]).join(b, ["keyword", "worse"]).select(F.zip_with("_a", "_b", lambda x, y: x - y).alias("d"))
     both = gaps.withColumn("label", F.lit(1.0)).unionByName(gaps.select(F.transform("d", lambda x: -x).alias("d"), F.lit(0.0).alias("label")))
     rows = both.select("label", *[F.get("d", i).alias(c) for i, c in enumerate(columns)])
-    return _logistic(columns, False, None).fit(rows)
+    return _logistic(columns, False, None).fit(kept(rows, "preference-pairs"))
 
 
 def coefficients(model: PipelineModel, columns: list[str]) -> dict[str, float]:
@@ -53,7 +54,7 @@ def scores(model: PipelineModel, aligned: DataFrame) -> DataFrame:
 
 def fit_members(aligned: DataFrame, columns: list[str], k: int = 7) -> list[PipelineModel]:
     """The ensemble: one ranker for each resample of the table."""
-    resamples = fx.bootstrap_resamples(aligned, k)
+    resamples = kept(fx.bootstrap_resamples(aligned, k), "resamples")
     return [fit_monotone_ranker(resamples.where(F.col("member") == i), columns) for i in range(k)]
 
 

@@ -10,6 +10,7 @@ from rankfield.operators import features as fx
 from rankfield.plans.ingest import KEYWORD_VECTORS, NEAREST, app_vectors, keyword_vectors
 from rankfield.plans.pages import apps, cards, context, observations, ready, rounded, slots, states
 from rankfield.plans.registry import query
+from rankfield.sources.storage import kept, scratch
 from rankfield.sources.views import AS_OF, view
 from rankfield.streaming import jobs
 
@@ -104,18 +105,18 @@ def i5_affinity_of_fixed_groups(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    rows = ready(spark, sf_dir)
-    fields = field.field_table(rows, cards(spark, sf_dir))
+    rows = kept(ready(spark, sf_dir), "slots")
+    fields = kept(field.field_table(rows, cards(spark, sf_dir)), "fields")
     page = rows.where("slot <= 40")
     groups = intent.intent_stats(page, page.select("keyword", "pkg", F.when(F.col("on_intent"), 0).otherwise(1).alias("group")))
     signals = suggest.suggestion_signals(view(spark, sf_dir, "fx_suggestions"), rows.select("keyword"))
-    return fx.extract_features(rows, fields, groups, signals, ch.field_deltas(states(spark, sf_dir), context(spark, sf_dir), AS_OF))
+    return fx.extract_features(rows, fields, groups, signals, ch.field_deltas(states(spark, sf_dir), rows, AS_OF))
 
 
 @query()
 def x1_feature_registry(spark, sf_dir):
     """The catalogue with each feature's spread over the tables."""
-    table = features(spark, sf_dir)
+    table = kept(features(spark, sf_dir), "features")
     return fx.feature_registry(spark).join(fx.fit_scaler(table, fx.FEATURES), "name")
 
 
@@ -210,7 +211,7 @@ def x15_drop_leaks(spark, sf_dir):
 
 def aligned(spark, sf_dir):
     table = fx.sign_align(fx.training_set(features(spark, sf_dir)))
-    return table.select("keyword", "pkg", "slot", "age", "source", "rate", "label", "rate_label", "weight", "rate_weight", *COLUMNS).cache()
+    return table.select("keyword", "pkg", "slot", "age", "source", "rate", "label", "rate_label", "weight", "rate_weight", *COLUMNS).transform(kept, "features")
 
 
 @query()
@@ -237,10 +238,10 @@ def m3_m5_ensemble(spark, sf_dir):
 
 @query()
 def m6_m7_page_relative_rates(spark, sf_dir):
-    rows = ready(spark, sf_dir)
+    rows = kept(ready(spark, sf_dir), "slots")
     day = F.lit(AS_OF).cast("date")
     kernel = models.kernel_features(fx.describe_points(fx.download_points(field.leave_one_out(rows)), day, day))
-    train = kernel.join(rows.select("keyword", F.col("pkg").alias("own_pkg"), F.log1p("rate").alias("log_rate"), "days"), ["keyword", "own_pkg"]).where("days > 0").drop("days").cache()
+    train = kernel.join(rows.select("keyword", F.col("pkg").alias("own_pkg"), F.log1p("rate").alias("log_rate"), "days"), ["keyword", "own_pkg"]).where("days > 0").drop("days").transform(kept, "kernel")
     found = models.predict_rates(models.fit_page_relative_rates(train), train)
     return rounded(found.select("keyword", "own_pkg", *[c.alias(k) for k, c in scoring.download_figures(F.col("log_rate_hat"), F.lit(0.5), 17.7).items()]), 3)
 
@@ -487,8 +488,6 @@ def _events(spark, sf_dir):
 
 def _drained(spark, rows, mode: str = "append"):
     """Run a stream over all that is there, and read what it wrote."""
-    from rankfield.sources.storage import scratch
-
     path = scratch(spark, f"stream-{uuid.uuid4().hex}")
     if mode == "append":
         rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
@@ -505,8 +504,6 @@ def st1_stream_observations(spark, sf_dir):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS pkg, max(ts) AS observed_at FROM events GROUP BY user_id")
 def st2_stream_latest_apps(spark, sf_dir):
-    from rankfield.sources.storage import scratch
-
     path = scratch(spark, f"stream-{uuid.uuid4().hex}")
     query_ = jobs.stream_latest_apps(_events(spark, sf_dir).select("pkg", "observed_at", "installs"), f"{path}/out", f"{path}/log", ["pkg"], "observed_at").trigger(availableNow=True).start()
     query_.awaitTermination()

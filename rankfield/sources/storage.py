@@ -1,8 +1,9 @@
 """Where intermediate tables and stream logs go."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -11,3 +12,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if folder is None:
         folder = tempfile.mkdtemp(prefix="rankfield-")
     return f"{folder.rstrip('/')}/{name}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: later steps do not compute it again."""
+    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
