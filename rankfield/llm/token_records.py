@@ -25,8 +25,10 @@ they occur. An empty table gives an empty result.
 """
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -71,12 +73,13 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 class WordEncoder:
     """Token ids of texts through a cache of words; bounded, and exact."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.most_words = most_words
         # how the byte-level splitter spells each Latin-1 letter
         letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
@@ -86,59 +89,74 @@ class WordEncoder:
     def _clear(self) -> None:
         self.new: list[str] = []
         self.words = _Places(self.new)
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.ids = np.empty(1 << 16, self.kind)
-        self.filled, self.start, self.count = 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        self.cores: dict[str, bytes] = {}
+        self.ids, self.filled = np.empty(1 << 16, self.kind), 0
+        # of each known word: where its ids start, and how many there are
+        self.start, self.count, self.known = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), 0
 
-    def _core(self, word: str) -> tuple[int, ...]:
-        found = self.cores.get(word)
-        if found is None:
-            found = self.cores[word] = tuple(t.id for t in self.model.tokenize(word.translate(self.spelling)))
-        return found
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _packed(self, word: str) -> bytes:
+        """Ids of a word, packed; its letters and its trailing stops are looked up alone."""
         core = word.rstrip(".,")
-        if core.isalpha() and max(core) < LATIN_1_END:
-            ids = self._core(core.lower())
-            stops = word[len(core) :]
-            return ids + self._whole(stops) if stops else ids
-        return self._whole(word)
-
-    def _whole(self, word: str) -> tuple[int, ...]:
-        found = self.cores.get("\0" + word)
-        if found is None:
-            found = self.cores["\0" + word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return found
+        plain = core.isascii()
+        if not core.isalpha() or not (plain or max(core) < LATIN_1_END):
+            return array(self.code, self._whole(word)).tobytes()
+        name = core.lower()
+        ids = self.cores.get(name)
+        if ids is None:
+            spelled = name if plain else name.translate(self.spelling)
+            ids = self.cores[name] = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(core) == len(word):
+            return ids
+        stops = word[len(core) :]
+        tail = self.cores.get(stops)
+        if tail is None:
+            tail = self.cores[stops] = array(self.code, self._whole(stops)).tobytes()
+        return ids + tail
 
     def _learn(self) -> None:
-        found = [self._word(w) for w in self.new]
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        found = list(map(self._packed, self.new))
+        count = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         start = self.filled + np.cumsum(count) - count
-        end = self.filled + int(count.sum())
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.filled : end] = [x for ids in found for x in ids]
-        self.filled = end
-        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+        end, known = self.filled + int(count.sum()), self.known + len(found)
+        self.ids = _room(self.ids, end)
+        self.start, self.count = _room(self.start, known), _room(self.count, known)
+        self.ids[self.filled : end] = np.frombuffer(b"".join(found), self.kind)
+        self.start[self.known : known], self.count[self.known : known] = start, count
+        self.filled, self.known = end, known
         self.new.clear()
 
-    def encode(self, text: str | None, end_id: int | None = None) -> np.ndarray:
-        tail = np.array([] if end_id is None else [end_id], self.kind)
-        if not text:
-            return tail
-        # Python takes these four controls for white space, the tokenizer does not
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.concatenate([np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind), tail])
-        words = text.split()
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        """Token ids of each text; new words of the whole batch are learned at once."""
         if len(self.words) > self.most_words:
             self._clear()
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        tail = np.array([] if end_id is None else [end_id], self.kind)
+        # Python takes these four controls for white space, the tokenizer does not
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") if t else False for t in texts]
+        words = [t.split() if t and not o else [] for t, o in zip(texts, odd, strict=True)]
+        sizes = [len(w) for w in words]
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
         if self.new:
             self._learn()
         count = self.count[at]
-        total = int(count.sum())
-        where = np.repeat(self.start[at] - (np.cumsum(count) - count), count) + np.arange(total)
-        return np.concatenate([self.ids[where], tail])
+        upto = np.concatenate([[0], np.cumsum(count)])
+        where = np.repeat(self.start[at] - upto[:-1], count) + np.arange(upto[-1])
+        flat, ends = self.ids[where], upto[np.cumsum(sizes)].tolist()
+        begins = [0, *ends[:-1]]
+        out = [np.concatenate([flat[a:b], tail]) for a, b in zip(begins, ends, strict=True)]
+        for i, o in enumerate(odd):
+            if o:
+                out[i] = np.concatenate([np.array(self._whole(texts[i]), self.kind), tail])
+        return out
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """``x``, or a copy with twice the room until ``size`` fits."""
+    while len(x) < size:
+        x = np.concatenate([x, np.empty_like(x)])
+    return x
 
 
 class _Places(dict):
@@ -171,7 +189,7 @@ def write_records(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                done = [frame(d.as_py(), encode(t.as_py(), end_id))[:-1] for d, t in zip(part.column(0), part.column(1), strict=True)]
+                done = [frame(d, ids)[:-1] for d, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), end_id), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["frame"])
 
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
