@@ -1,14 +1,16 @@
 """Quality rules: cross-document line frequency, DataFrame functions only.
 
 Each line is normalised (ASCII lower case, digits to 0, white space runs to one
-space, ends trimmed) and hashed. For each host the documents that hold a line are
-counted; a line is over the limit where that count exceeds both ``min_documents``
-and ``max_share`` of the host's documents. Such lines are removed, and a document
-that loses more than ``max_removed`` of its words is rejected as depleted.
-
-Defined results: a null text has no words, a null host is a host of its own, every
-row is a document. Rows that agree in id, host and text get the same result; lines
-without a word are never counted or removed. An empty table gives an empty result.
+space, ends trimmed) and hashed. For each host the distinct documents that hold a
+line are counted, exact copies once, so that copying a text does not condemn it; a
+line is over the limit where that count exceeds both ``min_documents`` and
+``max_share`` of the host's distinct documents. Such lines are removed, and a
+document that loses more than ``max_removed`` of its words is rejected as depleted.
+
+Defined results: a null text has no words, a null host is a host of its own. Rows
+that agree in id, host and text get the same result. A text that loses lines keeps
+its other lines with a word. Lines without a word are never counted. An empty table
+gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -64,9 +66,9 @@ def _keyed(docs: DataFrame, key: str, text: str, host: str) -> list[Column]:
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = 20, max_share: float = 0.01) -> DataFrame:
     """(_host, _line) of every line that is over its host's limit."""
     distinct = F.array_distinct(F.transform(_hashed_lines(docs[text]), lambda x: x["h"]))
-    seen = docs.select(group_key(docs[host]).alias("_host"), F.explode(distinct).alias("_line"))
+    seen = docs.select(group_key(docs[host]).alias("_host"), text_key(docs[text]).alias("_text_key"), F.explode(distinct).alias("_line")).distinct()
     counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > min_documents)
-    hosts = docs.groupBy(group_key(docs[host]).alias("_host")).agg(F.count("*").alias("_docs"))
+    hosts = docs.select(group_key(docs[host]).alias("_host"), text_key(docs[text]).alias("_text_key")).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     return counts.join(hosts.hint("merge"), "_host").where(F.col("_n") > F.lit(max_share) * F.col("_docs")).select("_host", "_line")
 
 

@@ -90,10 +90,10 @@ x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 y AS (SELECT doc_id, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n FROM y WHERE w3 IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM z WHERE n > 1) GROUP BY doc_id),
-k AS (SELECT doc_id, source, unnest(list_transform(l, lambda t: {NORMAL.format("t")})) AS m FROM d),
-f AS (SELECT source, m FROM k GROUP BY source, m HAVING count(DISTINCT doc_id) > 20),
-h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-o AS (SELECT k.source, k.m FROM k JOIN h ON h.source = k.source JOIN f ON f.source = k.source AND f.m = k.m GROUP BY k.source, k.m, h.docs HAVING count(DISTINCT k.doc_id) > 0.01 * h.docs),
+k AS (SELECT doc_id, source, text, unnest(list_transform(l, lambda t: {NORMAL.format("t")})) AS m FROM d),
+f AS (SELECT source, m FROM k GROUP BY source, m HAVING count(DISTINCT text) > 20),
+h AS (SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY source),
+o AS (SELECT k.source, k.m FROM k JOIN h ON h.source = k.source JOIN f ON f.source = k.source AND f.m = k.m GROUP BY k.source, k.m, h.docs HAVING count(DISTINCT k.text) > 0.01 * h.docs),
 g AS (SELECT k.doc_id, sum(length(k.m) - length(replace(k.m, ' ', '')) + 1) AS n FROM k JOIN o ON o.source = k.source AND o.m = k.m GROUP BY k.doc_id),
 c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda t: length(t))), 0) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,

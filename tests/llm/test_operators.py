@@ -36,6 +36,8 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert set(kept) == {*range(40), 500}
     assert all(banner not in kept[i].text and kept[i].n_chars == len(kept[i].text) for i in range(40))
     assert banner in kept[500].text, "the line is frequent in the other host only"
+    copies = frame(spark, [(i, f"{banner}\n{filler(1)}", "en", "hot", 1, "", "", "") for i in range(60)])
+    assert quality_rules.keep_good(copies).count() == 60, "copies of one text count once"
     judged = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert judged[0].n_removed_words == 6 and judged[0].kept and not judged[100].kept and not judged[100].base_failed
     assert kept[0].asDict().keys() == set(docs.columns)
