@@ -15,7 +15,8 @@ document with a smaller id, or earlier in the same). Matches stay inside documen
    a time: the rounds bound memory and disk, whatever the corpus. Inside a bucket the
    order is by the rank of the string of ``length`` bytes at the place (its hash, 64
    bits, of which the bucket is a part), so long ties need no byte to be read again;
-   the first of equal strings in document order stays, the rest are later.
+   32 bits of a second hash tell strings of one rank apart. The first of equal strings
+   in document order stays, the rest are later.
 4. The later places are marked, and the bytes that their strings cover are removed.
 
 A block sends each rank once, for its first place: a string repeated a million times
@@ -42,23 +43,29 @@ COVER_MODULUS = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # fixed values: a perfect difference set modulo 57
 BLOCK_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
+RANK_SEED, CHECK_SEED = 20, 21
+ENTRY_BYTES = 14  # a rank, its check and a document number
 NULL_ID = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, and a value for each byte."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
     up = np.full(n, BASE, np.uint64)
     down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    values = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
-    return np.cumprod(up), np.cumprod(down), values
+    return np.cumprod(up), np.cumprod(down)
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, _, values = _powers(size)
+@lru_cache(maxsize=2)
+def _values(seed: int) -> np.ndarray:
+    """A random value for each byte; every seed makes a hash of its own."""
+    return np.random.default_rng(seed).integers(1, 1 << 64, 256, np.uint64)
+
+
+def _prefix(data: np.ndarray, seed: int = RANK_SEED) -> np.ndarray:
+    up = _powers(1 << max(16, int(len(data)).bit_length()))[0]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_values(seed)[data] * up[: len(data)], out=sums[1:])
     return sums
 
 
@@ -224,19 +231,44 @@ def _suffixes(row: dict, data: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return at, _ranks(_prefix(data), at, length)
 
 
+def _checks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """32 bits of a second hash of the strings at the places ``at``."""
+    return (_ranks(_prefix(data, CHECK_SEED), at, length) >> np.uint64(32)).astype(np.uint32)
+
+
+def _classes(ranks: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where its classes begin): equal strings stand together, in their given order."""
+
+    def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r, c = ranks[order], checks[order]
+        return r[1:] == r[:-1], c[1:] == c[:-1]
+
+    order = np.argsort(ranks, kind="stable")
+    same, agree = runs(order)
+    if (same & ~agree).any():  # different strings of one rank
+        order = np.lexsort((checks, ranks))
+        same, agree = runs(order)
+    return order, np.flatnonzero(np.concatenate([[len(ranks) > 0], ~(same & agree)]))
+
+
 def _suffix_entries(buckets: int, low: int, high: int, length: int):
-    """Each distinct rank of a block in the buckets low..high: rank and document number."""
+    """Each distinct string of a block in the buckets low..high: rank, check, document number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
             at, ranks = _suffixes(row, data, length)
             bucket = _bucket(ranks, buckets)
             mine = (bucket >= low) & (bucket < high)
-            ranks, first = np.unique(ranks[mine], return_index=True)
-            doc = (np.searchsorted(starts, at[mine][first], side="right") - 1).astype("<u2")
+            at, ranks = at[mine], ranks[mine]
+            checks = _checks(data, at, length)
+            order, new = _classes(ranks, checks)
+            first = order[new]
+            ranks, checks = ranks[first].astype("<u8"), checks[first].astype("<u4")
+            doc = (np.searchsorted(starts, at[first], side="right") - 1).astype("<u2")
             for k, s in _by_bucket(_bucket(ranks, buckets) - low, high - low):
                 columns = [pa.array([k + low], pa.int64()), pa.array([row["block"].as_py()]), pa.array([row["ids"].as_py()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([ranks[s].astype("<u8").tobytes()], pa.binary()), pa.array([doc[s].tobytes()], pa.binary())], names=["bucket", "block", "ids", "ranks", "docs"])
+                packed = [pa.array([x[s].tobytes()], pa.binary()) for x in (ranks, checks, doc)]
+                yield pa.RecordBatch.from_arrays([*columns, *packed], names=["bucket", "block", "ids", "ranks", "checks", "docs"])
 
     return run
 
@@ -244,11 +276,10 @@ def _suffix_entries(buckets: int, low: int, high: int, length: int):
 def _sort_bucket(group: pa.Table) -> pa.Table:
     """Sort one suffix bucket; a bit for each entry whose string starts in an earlier document."""
     ranks = [np.frombuffer(x.as_buffer(), "<u8") for x in group["ranks"].combine_chunks()]
+    checks = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group["checks"].combine_chunks()])
     docs = [np.array(ids.as_py(), np.int64)[np.frombuffer(d.as_buffer(), "<u2")] for ids, d in zip(group["ids"].combine_chunks(), group["docs"].combine_chunks(), strict=True)]
     every, doc = np.concatenate(ranks), np.concatenate(docs)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    order, new = _classes(every, checks)
     least = np.minimum.reduceat(doc[order], new)
     later = np.empty(len(every), bool)
     later[order] = doc[order] > np.repeat(least, np.diff(np.append(new, len(every))))
@@ -263,9 +294,11 @@ def _remove(buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
             at, every = _suffixes(row, data, length)
-            ranks, first, place = np.unique(every, return_index=True, return_inverse=True)
-            first, bucket = at[first], _bucket(ranks, buckets)
-            later, answers = np.zeros(len(ranks), bool), _answers(row)
+            order, new = _classes(every, _checks(data, at, length))
+            first, bucket = at[order[new]], _bucket(every[order[new]], buckets)
+            place = np.empty(len(at), np.int64)
+            place[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at))))
+            later, answers = np.zeros(len(new), bool), _answers(row)
             for b, s in _by_bucket(bucket, buckets):
                 if b in answers:
                     later[s] = _flags(answers[b], s.stop - s.start)
@@ -340,12 +373,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     held = marked.agg(F.sum("n_chosen")).first()[0] or 0
     buckets = max(48, -(-int(held) // bucket_entries))
-    # an entry takes 10 bytes, and there is at most one for each candidate
-    rounds = max(1, -(-int(held * 10) // max(1, int(round_bytes_share * total))))
+    # there is at most one entry for each candidate
+    rounds = max(1, -(-int(held * ENTRY_BYTES) // max(1, int(round_bytes_share * total))))
     steps = np.linspace(0, buckets, min(rounds, buckets) + 1).astype(int).tolist()
     found = []
     for low, high in zip(steps, steps[1:], strict=False):
-        suffixes = marked.mapInArrow(_suffix_entries(buckets, low, high, length), "bucket long, block long, ids array<long>, ranks binary, docs binary")
+        suffixes = marked.mapInArrow(_suffix_entries(buckets, low, high, length), "bucket long, block long, ids array<long>, ranks binary, checks binary, docs binary")
         found.append(cut(suffixes.groupBy("bucket").applyInArrow(_sort_bucket, "bucket long, block long, bits binary")))
         del suffixes
         _release(spark)

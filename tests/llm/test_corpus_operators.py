@@ -303,3 +303,12 @@ def test_empty_tables_give_empty_results(spark, run):
 
 def test_storage_follows_the_session(spark):
     assert storage_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_strings_of_one_rank_are_told_apart_by_their_check():
+    ranks = np.array([7, 5, 7, 7, 5, 9, 7], np.uint64)
+    checks = np.array([2, 1, 1, 2, 1, 0, 1], np.uint32)
+    order, new = suffix_dedup._classes(ranks, checks)
+    assert [x.tolist() for x in np.split(order, new[1:])] == [[1, 4], [2, 6], [0, 3], [5]]
+    order, new = suffix_dedup._classes(ranks[:0], checks[:0])
+    assert not len(order) and not len(new)
