@@ -373,11 +373,11 @@ REVIEWS = f"SELECT s.keyword, s.pkg, s.score, 1 + length(s.keyword) % 9 AS rank
 
 
 @query(f"""WITH r AS ({REVIEWS}), l AS (SELECT r.keyword, r.pkg, r.score, r.rank, list(o.score ORDER BY o.score DESC) AS s FROM r JOIN {S} o ON o.keyword = r.keyword AND o.pkg <> r.pkg GROUP BY ALL),
-t AS (SELECT *, CASE WHEN rank <= 1 THEN s[1] + 0.25 WHEN rank > len(s) THEN s[len(s)] - 0.25 ELSE (s[rank - 1] + s[rank]) / 2 END AS target FROM l) SELECT keyword, pkg, rank, round(target, 5) AS target, round((target - score) * 6 / 5, 5) AS residual FROM t""")
+t AS (SELECT *, CASE WHEN rank <= 1 THEN s[1] + 0.25 WHEN rank > len(s) THEN s[len(s)] - 0.25 ELSE (s[rank - 1] + s[rank]) / 2 END AS target FROM l) SELECT keyword, pkg, rank, round(target, 9) AS target, round((target - score) * 6 / 5, 9) AS residual FROM t""")
 def c1_c2_c7_rank_corrections(spark, sf_dir):
     rows = scored(spark, sf_dir)
     asks = rows.where("slot = 5").select("keyword", "pkg", (1 + F.length("keyword") % 9).alias("rank"))
-    return rounded(memory.rank_corrections(asks, rows.select("keyword", "pkg", "score")).select("keyword", "pkg", "rank", "target", "residual"), 5)
+    return rounded(memory.rank_corrections(asks, rows.select("keyword", "pkg", "score")).select("keyword", "pkg", "rank", "target", "residual"), 9)
 
 
 def filed(spark, sf_dir):
