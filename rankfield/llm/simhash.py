@@ -259,7 +259,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     Of rows that share that id (or of null ids) the one with the smallest text key
     stays; further copies of it go.
     """
-    found = near_duplicates(docs, key, text, **options)
+    return first_of_each(docs, near_duplicates(docs, key, text, **options), key, text)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, given the component of every row."""
     first = found.where(F.col("_doc").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min(F.struct("_doc", "_text_key")).alias("_x"))
     kept = first.select(F.col("_x._doc").alias("_doc"), F.col("_x._text_key").alias("_text_key"))
     flat = docs.select(F.struct("*").alias("_row"), docs[key].cast("long").alias("_doc"), text_key(docs[text]).alias("_text_key"))
