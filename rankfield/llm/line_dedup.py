@@ -9,6 +9,10 @@ joined and extended both ways, over the windows they were selected in, to whole
 runs. A line is deleted if it lies in a run of ``min_run`` or more lines that also
 starts earlier: in a document with a smaller (id, text key), or earlier in the same.
 
+With ``long_words``, a run of one or two lines also counts if it has more words than
+that: such windows are keyed by the hash of all their lines, without winnowing. A text
+may be shorter than ``min_run`` lines.
+
 Nothing is paired with every other copy: each run is held against its first place.
 
 Defined results: null and blank texts have no lines; a null id comes before all
@@ -49,11 +53,38 @@ def _fingerprints(hashes: Column, run: int) -> Column:
     return F.when(F.size(hashes) < run, none).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(hashes) - run), place), grouped))
 
 
+def _exact_line(line: Column) -> Column:
+    return F.btrim(F.regexp_replace(line, SPACE_RUN, " "))
+
+
 def _line_hashes(text: Column) -> Column:
-    return F.transform(lines_with_words(text), lambda x: F.xxhash64(F.btrim(F.regexp_replace(x, SPACE_RUN, " "))))
+    return F.transform(lines_with_words(text), lambda x: F.xxhash64(_exact_line(x)))
+
+
+def _long_windows(text: Column, long_words: int) -> Column:
+    """(at, lines, w, words) of every window of one or two lines with over ``long_words`` words."""
+    words = lambda m: F.length(m) - F.length(F.translate(m, " ", "")) + 1
+    lines = F.transform(lines_with_words(text), lambda x: let(_exact_line(x), lambda m: F.struct(F.xxhash64(m).alias("h"), words(m).alias("n"))))
+    window = lambda at, lines, w, n: F.struct(at.alias("at"), F.lit(lines).alias("lines"), w.alias("w"), n.alias("words"))
+
+    def windows(x: Column) -> Column:
+        one = F.transform(x, lambda s, i: window(i, 1, s["h"], s["n"]))
+        two = F.transform(x, lambda s, i: window(i, 2, F.xxhash64(s["h"], F.get(x, i + 1)["h"]), s["n"] + F.get(x, i + 1)["n"]))
+        return F.filter(F.concat(one, two), lambda s: s["words"] > long_words)
+
+    return let(lines, windows)
+
+
+def _later_long_lines(docs: DataFrame, key: str, text: str, long_words: int) -> DataFrame:
+    """(_doc, _text_key, _line) of every line in a long window that also starts earlier."""
+    found = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), F.explode(_long_windows(docs[text], long_words)).alias("_x"))
+    windows = stored(found.select("_doc", "_text_key", F.col("_x.at").alias("_at"), F.col("_x.lines").alias("_lines"), F.col("_x.w").alias("w")), "long-lines")
+    place = F.struct("_doc", "_text_key", "_at")
+    firsts = windows.groupBy("w", "_lines").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("w", "_lines", "_first")
+    return windows.join(firsts.hint("merge"), ["w", "_lines"]).where(place > F.col("_first")).select("_doc", "_text_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_lines") - 1)).alias("_line"))
 
 
-def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = 3) -> DataFrame:
+def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = 3, long_words: int | None = None) -> DataFrame:
     """(_doc, _text_key, _gone): the numbers, from 0, of the lines to delete."""
     found = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), F.explode(let(_line_hashes(docs[text]), lambda h: _fingerprints(h, min_run))).alias("_x"))
     selected = stored(found.select("_doc", "_text_key", "_x.f", "_x.start", "_x.around"), "winnowed-lines")
@@ -64,12 +95,14 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ru
     place = F.struct("_doc", "_text_key", "_at")
     firsts = runs.groupBy("f", "w").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("f", "w", "_first")
     later = runs.join(firsts.hint("merge"), ["f", "w"]).where(place > F.col("_first")).select("_doc", "_text_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + min_run - 1)).alias("_line"))
+    if long_words is not None:
+        later = later.unionAll(_later_long_lines(docs, key, text, long_words))
     return later.groupBy("_doc", "_text_key").agg(F.array_sort(F.collect_set("_line")).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = 3, long_words: int | None = None) -> DataFrame:
     """_row (all columns), _clean (the text left), _lines, _gone of every document."""
-    gone = later_lines(docs, key, text, min_run)
+    gone = later_lines(docs, key, text, min_run, long_words)
     flat = docs.select(F.struct("*").alias("_row"), docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"))
     joined = flat.join(gone.hint("merge"), flat["_doc"].eqNullSafe(gone["_doc"]) & (flat["_text_key"] == gone["_text_key"]), "left")
     lines = lines_with_words(F.col("_row")[text])
@@ -89,8 +122,8 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_r
     )
 
 
-def deduplicated_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", min_run: int = 3) -> DataFrame:
+def deduplicated_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", min_run: int = 3, long_words: int | None = None) -> DataFrame:
     """All documents, all columns, with the later repeated runs deleted."""
-    done = dedup_lines(docs, key, text, min_run)
+    done = dedup_lines(docs, key, text, min_run, long_words)
     out = [F.col("_clean").alias(c) if c == text else F.length("_clean").cast(kind).alias(c) if c == chars else F.col("_row")[c].alias(c) for c, kind in docs.dtypes]
     return done.select(*out)
