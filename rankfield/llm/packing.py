@@ -59,7 +59,9 @@ def pack(
     ``batch`` counts from 0 inside its bucket, ``slot`` inside its batch.
     """
     count = word_count(docs[text]) if tokens is None else F.coalesce(docs[tokens], F.lit(0)).cast("long")
-    whole = cut(docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all")))
+    rows = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all"))
+    use = F.expr("row_number() OVER (PARTITION BY _doc, _text_key ORDER BY _all)").cast("long") - 1
+    whole = cut(rows.withColumn("_use", use))
     pieces = whole.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_all") / max_tokens).cast("long") - 1, F.lit(0).cast("long")))))
     pieces = pieces.withColumn("_n", F.least(F.lit(max_tokens).cast("long"), F.col("_all") - F.col("_piece") * max_tokens))
     histogram = sorted(pieces.groupBy("_n").count().collect()) or [(0, 0)]
@@ -70,7 +72,8 @@ def pack(
         inside = F.col("_n") <= bounds[i]
         number, padded = F.when(inside, F.lit(i)).otherwise(number), F.when(inside, F.lit(bounds[i])).otherwise(padded)
     shards = max(1, -(-sum(r[1] for r in histogram) // shard_rows))
-    place = F.xxhash64("_doc", "_text_key", "_piece")
+    # each repeat of a row is placed by its number, so that the uses of a document lie apart
+    place = F.when(F.col("_use") == 0, F.xxhash64("_doc", "_text_key", "_piece")).otherwise(F.xxhash64("_doc", "_text_key", "_piece", "_use"))
     pieces = pieces.select("*", number.alias("_bucket"), padded.cast("long").alias("_padded"), place.alias("_place"), F.pmod(place, F.lit(shards).cast("long")).alias("_shard"))
 
     sizes = pieces.groupBy("_bucket", "_shard").agg(F.count("*").alias("_rows"))
