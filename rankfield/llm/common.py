@@ -6,6 +6,8 @@ vertical tab, form feed and carriage return.
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,29 +48,67 @@ def group_key(column: Column) -> Column:
 
 
 def storage_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getCheckpointDir()
+    """The shared folder of the cluster; a temporary one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """``path``, which exists, is deleted when the session's process ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are removed as it ends, not when the driver
+    happens to collect garbage; the result is written, so nobody reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result no longer depends on any executor."""
     storage_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_released(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{storage_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_released(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(temporary(spark, path))
+
+
+def join_split(big: DataFrame, small: DataFrame, keys: list[str], count: str, spread: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, each once in ``small``, with keys of many rows dealt over several tasks.
+
+    ``count`` in ``small`` is how many of the ``rows`` rows of ``big`` a key has. A key
+    with more than 1 in 4,096 of them (1,000 at least) is split by a hash of ``spread``,
+    so at most 4,096 such keys, a proven bound, are broadcast.
+    """
+    most = max(1_000, rows // 4_096)
+    splits = F.ceil(F.col(count) / most).cast("int")
+    hot = small.where(F.col(count) > most).select(*keys, splits.alias("_splits"))
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("_split", F.pmod(F.xxhash64(*spread), F.coalesce("_splits", F.lit(1))).cast("int")).drop("_splits")
+    right = small.withColumn("_split", F.explode(F.sequence(F.lit(0), splits - 1))).drop(count)
+    return left.join(right.hint("merge"), [*keys, "_split"], how).drop("_split")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

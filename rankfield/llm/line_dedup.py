@@ -14,6 +14,8 @@ that: such windows are keyed by the hash of all their lines, without winnowing.
 may be shorter than ``min_run`` lines.
 
 Nothing is paired with every other copy: each run is held against its first place.
+Those first places are found by partial aggregates, and the rows of a very common
+fingerprint are dealt over several tasks to meet them.
 
 Defined results: null and blank texts have no lines; a null id comes before all
 others; rows that agree in id and text are one document, so neither deletes the
@@ -24,7 +26,7 @@ with a word, joined by line feeds. An empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import SPACE_RUN, let, stored, text_key
+from rankfield.llm.common import SPACE_RUN, cut, join_split, let, stored, text_key
 from rankfield.llm.quality_rules import lines_with_words
 
 
@@ -80,21 +82,21 @@ def _later_long_lines(docs: DataFrame, key: str, text: str, long_words: int) ->
     found = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), F.explode(_long_windows(docs[text], long_words)).alias("_x"))
     windows = stored(found.select("_doc", "_text_key", F.col("_x.at").alias("_at"), F.col("_x.lines").alias("_lines"), F.col("_x.w").alias("w")), "long-lines")
     place = F.struct("_doc", "_text_key", "_at")
-    firsts = windows.groupBy("w", "_lines").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("w", "_lines", "_first")
-    return windows.join(firsts.hint("merge"), ["w", "_lines"]).where(place > F.col("_first")).select("_doc", "_text_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_lines") - 1)).alias("_line"))
+    firsts = cut(windows.groupBy("w", "_lines").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
+    return join_split(windows, firsts, ["w", "_lines"], "_n", ["_doc", "_text_key"], windows.count()).where(place > F.col("_first")).select("_doc", "_text_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_lines") - 1)).alias("_line"))
 
 
 def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = 3, long_words: int | None = None) -> DataFrame:
     """(_doc, _text_key, _gone): the numbers, from 0, of the lines to delete."""
     found = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), F.explode(let(_line_hashes(docs[text]), lambda h: _fingerprints(h, min_run))).alias("_x"))
     selected = stored(found.select("_doc", "_text_key", "_x.f", "_x.start", "_x.around"), "winnowed-lines")
-    repeated = selected.groupBy("f").agg(F.count("*").alias("_n")).where("_n > 1").select("f")
-    shared = selected.join(repeated.hint("merge"), "f", "left_semi")
+    repeated = cut(selected.groupBy("f").agg(F.count("*").alias("_n")).where("_n > 1"))
+    shared = join_split(selected, repeated, ["f"], "_n", ["_doc", "_text_key"], selected.count())
     windows = F.transform(F.sequence(F.lit(0), F.size("around") - min_run), lambda j: F.struct((F.col("start") + j).alias("at"), F.xxhash64(F.slice("around", j + 1, min_run)).alias("w")))
     runs = stored(shared.select("_doc", "_text_key", "f", F.explode(windows).alias("_r")).select("_doc", "_text_key", "f", F.col("_r.at").alias("_at"), F.col("_r.w").alias("w")), "line-runs")
     place = F.struct("_doc", "_text_key", "_at")
-    firsts = runs.groupBy("f", "w").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("f", "w", "_first")
-    later = runs.join(firsts.hint("merge"), ["f", "w"]).where(place > F.col("_first")).select("_doc", "_text_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + min_run - 1)).alias("_line"))
+    firsts = cut(runs.groupBy("f", "w").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
+    later = join_split(runs, firsts, ["f", "w"], "_n", ["_doc", "_text_key"], runs.count()).where(place > F.col("_first")).select("_doc", "_text_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + min_run - 1)).alias("_line"))
     if long_words is not None:
         later = later.unionAll(_later_long_lines(docs, key, text, long_words))
     return later.groupBy("_doc", "_text_key").agg(F.array_sort(F.collect_set("_line")).alias("_gone"))

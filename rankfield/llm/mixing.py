@@ -13,10 +13,13 @@ blocks of about ``block_tokens`` tokens by a hash of the document id. Whole epoc
 repeat every block; the last, partial one takes from each block, in permuted order,
 the documents whose middle lies within the block's token budget. ``block_order`` is
 the place of a block in the permutation of all blocks, ``position`` the place in it.
+As documents, the mixture comes in an order that follows the permutation, the uses of
+a document evenly apart: use k of n has its block's place moved on by k / n rounds.
 
 Defined results: a null source is a source of its own; null and blank texts have no
 tokens; a source without tokens is used once. Rows that agree in id and text are
-interchangeable copies. An empty table gives an empty result.
+interchangeable copies. Null ids are dealt by their text. An empty table gives an empty
+result.
 """
 
 import math
@@ -106,7 +109,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     flat = docs.select(F.struct("*").alias("_row"), docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), group_key(docs[source]).alias("_source"), count.alias("_tokens"))
     plan, sources = source_plan(flat.select("_source", "_tokens"), **limits)
     dealt = flat.join(plan.hint("broadcast" if sources <= BROADCAST_SOURCES else "merge"), "_source")
-    name = F.coalesce(F.col("_doc").cast("string"), F.lit(""))
+    name = F.coalesce(F.col("_doc").cast("string"), F.concat(F.lit("#"), F.col("_text_key").cast("string")))
     dealt = dealt.withColumn("_block", F.pmod(_place(name, F.lit("block")), F.col("_blocks")))
     inside = "PARTITION BY _source, _block ORDER BY _place, _doc, _tokens, _text_key"
     dealt = dealt.withColumn("_place", _place(name, F.lit("place")))
@@ -118,16 +121,16 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     used = dealt.withColumn("_uses", uses.cast("long")).where("_uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_uses") - 1)))
     return used.select(
         "_row", "_doc", F.col("_row")[source].alias("_name"), F.col("_tokens").alias("n_tokens"), "weight", "epoch", F.col("_block").alias("block"),
-        _place(F.col("_source"), F.col("_block"), F.col("epoch")).alias("block_order"), "position",
+        _place(F.col("_source"), F.col("_block"), F.col("epoch")).alias("block_order"), "position", ((F.col("epoch") + _place(F.col("_source"), F.col("_block")) / F.lit(float(1 << 60))) / F.col("_uses")).alias("_turn"),
     )
 
 
 def mixed_order(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mixture as ids: key, source, n_tokens, weight, epoch, block, block_order, position."""
-    mixed = mix_sources(docs, key=key, source=source, **options).drop("_row")
+    mixed = mix_sources(docs, key=key, source=source, **options)
     return mixed.select(F.col("_doc").alias(key), F.col("_name").alias(source), "n_tokens", "weight", "epoch", "block", "block_order", "position")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as documents: the input's columns, a row for each use."""
-    return mix_sources(docs, **options).select("_row.*")
+    """The mixture as documents: the input's columns, a row for each use, in its order."""
+    return mix_sources(docs, **options).orderBy("_turn", "block_order", "position").select("_row.*")

@@ -4,20 +4,24 @@ Texts longer than ``max_tokens`` are cut into pieces of that length, so the glob
 length histogram has at most ``max_tokens`` + 1 entries however large the corpus is;
 only it reaches the driver. Dynamic programming over it finds the bucket boundaries
 with the least padding exactly. Inside a bucket the pieces are numbered in a hashed
-order and every batch takes as many as fit the token budget at the padded length.
+order, or in the order of the rows in their Parquet files (``follow``; rows that are not
+in files are written first), and every batch
+takes as many as fit the token budget at the padded length.
 
 Numbering needs no global sort: pieces are dealt into shards, numbered there, and
-moved on by the counts of the shards before.
+moved on by the counts of the shards before. A shard is a range of hashes, or of rows
+of one file.
 
 Defined results: null and blank texts are one piece of 0 tokens; repeated rows are
 packed each; an empty table gives an empty result.
 """
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut, text_key, word_count
+from rankfield.llm.common import cut, stored, text_key, word_count
 
 BROADCAST_ROWS = 200_000
 
@@ -50,17 +54,28 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
     return bounds[::-1]
 
 
+def _in_files(docs: DataFrame) -> bool:
+    """Whether the rows know their place in a Parquet file."""
+    try:
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def pack(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: str | None = None, buckets: int = 8, max_tokens: int = 4096, batch_tokens: int = 65_536, shard_rows: int = 20_000
+    docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: str | None = None, buckets: int = 8, max_tokens: int = 4096, batch_tokens: int = 65_536, shard_rows: int = 20_000, follow: bool = False
 ) -> DataFrame:
     """One row per piece: key, piece, start_token, n_tokens, bucket, padded_tokens, batch, slot.
 
     ``tokens`` names a column of token counts; without it words are counted.
     ``batch`` counts from 0 inside its bucket, ``slot`` inside its batch.
     """
+    if follow and not _in_files(docs):
+        docs = stored(docs, "rows-in-order")
     count = word_count(docs[text]) if tokens is None else F.coalesce(docs[tokens], F.lit(0)).cast("long")
-    rows = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all"))
-    use = F.expr("row_number() OVER (PARTITION BY _doc, _text_key ORDER BY _all)").cast("long") - 1
+    stored_at = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")] if follow else [F.lit(0).cast("long")] * 2
+    rows = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all"), stored_at[0].alias("_file"), stored_at[1].alias("_index"))
+    use = F.expr("row_number() OVER (PARTITION BY _doc, _text_key ORDER BY _all, _file, _index)").cast("long") - 1
     whole = cut(rows.withColumn("_use", use))
     pieces = whole.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_all") / max_tokens).cast("long") - 1, F.lit(0).cast("long")))))
     pieces = pieces.withColumn("_n", F.least(F.lit(max_tokens).cast("long"), F.col("_all") - F.col("_piece") * max_tokens))
@@ -74,12 +89,14 @@ def pack(
     shards = max(1, -(-sum(r[1] for r in histogram) // shard_rows))
     # each repeat of a row is placed by its number, so that the uses of a document lie apart
     place = F.when(F.col("_use") == 0, F.xxhash64("_doc", "_text_key", "_piece")).otherwise(F.xxhash64("_doc", "_text_key", "_piece", "_use"))
-    pieces = pieces.select("*", number.alias("_bucket"), padded.cast("long").alias("_padded"), place.alias("_place"), F.pmod(place, F.lit(shards).cast("long")).alias("_shard"))
+    shard = F.col("_file") * F.lit(1 << 32) + F.floor(F.col("_index") / shard_rows) if follow else F.pmod(place, F.lit(shards).cast("long"))
+    order = "_index, _piece" if follow else "_place, _doc, _piece"
+    pieces = pieces.select("*", number.alias("_bucket"), padded.cast("long").alias("_padded"), place.alias("_place"), shard.cast("long").alias("_shard"))
 
-    sizes = pieces.groupBy("_bucket", "_shard").agg(F.count("*").alias("_rows"))
+    sizes = cut(pieces.groupBy("_bucket", "_shard").agg(F.count("*").alias("_rows")))
     before = sizes.select("_bucket", "_shard", F.expr("sum(_rows) OVER (PARTITION BY _bucket ORDER BY _shard ROWS UNBOUNDED PRECEDING) - _rows").alias("_before"))
-    strategy = "broadcast" if shards * len(bounds) <= BROADCAST_ROWS else "merge"
-    numbered = pieces.withColumn("_at", F.expr("row_number() OVER (PARTITION BY _bucket, _shard ORDER BY _place, _doc, _piece)") - 1)
+    strategy = "broadcast" if sizes.count() <= BROADCAST_ROWS else "merge"
+    numbered = pieces.withColumn("_at", F.expr(f"row_number() OVER (PARTITION BY _bucket, _shard ORDER BY {order})") - 1)
     numbered = numbered.join(before.hint(strategy), ["_bucket", "_shard"])
     place_in_bucket = F.col("_before") + F.col("_at")
     in_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(batch_tokens) / F.greatest(F.col("_padded"), F.lit(1).cast("long"))).cast("long"))

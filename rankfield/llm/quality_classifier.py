@@ -14,7 +14,8 @@ CRC-32 (as text) of 2 modulo 4 are held out of fitting.
 
 Defined results: null and empty texts score the share of good labels; so does every
 text where one class has no labelled row (0.5 without any label). Of several labels of
-one id the lowest counts; null labels are ignored. Rows are kept as often as they
+one id the lowest counts, of several texts the first in byte order; null labels are
+ignored. Rows are kept as often as they
 occur; a null id is not held out. An empty table gives an empty result.
 """
 
@@ -90,7 +91,7 @@ def fit(
     chosen = known.where("_label = 1").orderBy(*order).limit(rows).unionAll(known.where("_label = 0").orderBy(*order).limit(rows))
     texts = docs.select(docs[key].cast("long").alias("_doc"), docs[text].alias("_text")).where((F.octet_length("_text") <= sample_bytes) & (F.octet_length("_text") > 0))
     # at most 2 x rows ids, a bound set by the parameters
-    found = texts.join(F.broadcast(chosen), "_doc").select("_label", "_doc", "_text").dropDuplicates(["_doc"]).orderBy(*order).collect()
+    found = texts.join(F.broadcast(chosen), "_doc").groupBy("_doc").agg(F.min("_label").alias("_label"), F.min("_text").alias("_text")).orderBy(*order).collect()
     good, bad = ([r._text.encode() for r in found if r._label == c] for c in (1, 0))
     if not good or not bad:
         return share, None

@@ -1,27 +1,31 @@
 """Quality rules: cross-document line frequency, DataFrame functions only.
 
 Each line is normalised (ASCII lower case, digits to 0, white space runs to one
-space, ends trimmed) and hashed. For each host the distinct documents that hold a
-line are counted, exact copies once, so that copying a text does not condemn it; a
-line is over the limit where that count exceeds both ``min_documents`` and
-``max_share`` of the host's distinct documents. Such lines are removed, and a
-document that loses more than ``max_removed`` of its words is rejected as depleted.
+space, ends trimmed) and hashed, once. For each host the distinct documents that hold
+a line are counted; a line is over the limit where that count exceeds
+``min_documents`` and ``max_share`` of the host's documents, or ``max_documents``
+alone, so that a large host has no higher limit than that. Such lines are removed, and
+a document that loses more than ``max_removed`` of its words is rejected as depleted.
+
+The lines over the limit are broadcast while they are counted to be few
+(``BROADCAST_LINES``); beyond that they are joined by host and line.
 
 Defined results: a null text has no words, a null host is a host of its own. Rows
-that agree in id, host and text get the same result. A text that loses lines keeps
-its other lines with a word. Lines without a word are never counted. An empty table
-gives an empty result.
+that agree in id, host and text are one document and get the same result. A text that
+loses lines keeps its other lines with a word. Lines without a word are never counted.
+An empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import SPACE_RUN, SPACES, group_key, let, text_key, words_of
+from rankfield.llm.common import SPACE_RUN, SPACES, cut, group_key, let, stored, text_key, words_of
 
 SYMBOLS = "#*$%&|<>"
 FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
 TO = "abcdefghijklmnopqrstuvwxyz000000000"
 ROW_KEY = ["_doc", "_text_key", "_host"]
+BROADCAST_LINES = 200_000
 
 
 def repeated_window_words(words: Column, width: int = 3) -> Column:
@@ -63,13 +67,19 @@ def _keyed(docs: DataFrame, key: str, text: str, host: str) -> list[Column]:
     return [docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), group_key(docs[host]).alias("_host")]
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = 20, max_share: float = 0.01) -> DataFrame:
-    """(_host, _line) of every line that is over its host's limit."""
-    distinct = F.array_distinct(F.transform(_hashed_lines(docs[text]), lambda x: x["h"]))
-    seen = docs.select(group_key(docs[host]).alias("_host"), text_key(docs[text]).alias("_text_key"), F.explode(distinct).alias("_line")).distinct()
+def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Every line with a word, stored: row key, its number from 0, hash and words."""
+    lines = docs.select(*_keyed(docs, key, text, host), F.posexplode(_hashed_lines(docs[text])).alias("_at", "_x"))
+    return stored(lines.select(*ROW_KEY, "_at", F.col("_x.h").alias("_line"), F.col("_x.w").alias("_words")), "quality-lines")
+
+
+def frequent_lines(lines: DataFrame, documents: DataFrame, min_documents: int = 20, max_share: float = 0.01, max_documents: int = 1_000) -> DataFrame:
+    """(_host, _line) of every line that is over its host's limit; ``documents`` has the row keys."""
+    seen = lines.select(*ROW_KEY, "_line").distinct()
     counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > min_documents)
-    hosts = docs.select(group_key(docs[host]).alias("_host"), text_key(docs[text]).alias("_text_key")).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    return counts.join(hosts.hint("merge"), "_host").where(F.col("_n") > F.lit(max_share) * F.col("_docs")).select("_host", "_line")
+    hosts = documents.distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
+    over = (F.col("_n") > F.lit(max_share) * F.col("_docs")) | (F.col("_n") > max_documents)
+    return counts.join(hosts.hint("merge"), "_host").where(over).select("_host", "_line")
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
@@ -77,10 +87,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
 
     Line numbers count the lines with a word, from 0.
     """
-    lines = docs.select(*_keyed(docs, key, text, host), F.posexplode(_hashed_lines(docs[text])).alias("_at", "_x"))
-    lines = lines.select(*ROW_KEY, "_at", F.col("_x.h").alias("_line"), F.col("_x.w").alias("_words"))
-    over = frequent_lines(docs, text, host, **limits)
-    found = lines.join(over.hint("merge"), ["_host", "_line"])
+    lines = hashed_lines(docs, key, text, host)
+    over = cut(frequent_lines(lines, docs.select(*_keyed(docs, key, text, host)), **limits))
+    found = lines.join(over.hint("broadcast" if over.count() <= BROADCAST_LINES else "merge"), ["_host", "_line"])
     # repeated rows would count twice: each place of a text counts once
     return found.groupBy(*ROW_KEY, "_at").agg(F.max("_words").alias("_words")).groupBy(*ROW_KEY).agg(F.sum("_words").alias("_removed"), F.collect_set("_at").alias("_gone"))
 

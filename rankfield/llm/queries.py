@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.llm import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_records, topk, url_filter
-from rankfield.llm.common import storage_dir, table
+from rankfield.llm.common import storage_dir, table, temporary
 
 RULES = [
     ("allow", "org", "/"),
@@ -15,7 +15,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-LISTED_HOST = r"(^|\.)(spam|ads)-"
+# publishers whose pages are listed: a parameter of the query
+LISTED_PUBLISHERS = ("spam-farm.example.com", "ads-track.example.com", "cheap-pills.example.com", "casino-win.example.com", "free-bets.example.com", "adult-x.example.net")
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +43,15 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The list: URLs of the pages that name a listed publisher in their imprint."""
+    imprint = F.regexp_replace(F.regexp_extract("html", r"&copy; (\S+)", 1), r"^(www|m|blog)\.", "")
+    return pages.where(imprint.isin(*LISTED_PUBLISHERS)).select("url")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed: every URL of the hosts that are named as spam or ad servers."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(url_filter.url_host(F.col("url")).rlike(LISTED_HOST)).select("url")
-    return url_filter.filter_urls(pages, listed, RULES)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages.select("page_id", "url"), listed_urls(pages), RULES)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{storage_dir(spark).rstrip('/')}/token-records-{uuid.uuid4().hex}"
     index = token_records.export(table(spark, sf_dir, "documents"), path)
+    temporary(spark, path)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -90,10 +96,10 @@ x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 y AS (SELECT doc_id, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n FROM y WHERE w3 IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM z WHERE n > 1) GROUP BY doc_id),
-k AS (SELECT doc_id, source, text, unnest(list_transform(l, lambda t: {NORMAL.format("t")})) AS m FROM d),
-f AS (SELECT source, m FROM k GROUP BY source, m HAVING count(DISTINCT text) > 20),
-h AS (SELECT source, count(DISTINCT text) AS docs FROM documents GROUP BY source),
-o AS (SELECT k.source, k.m FROM k JOIN h ON h.source = k.source JOIN f ON f.source = k.source AND f.m = k.m GROUP BY k.source, k.m, h.docs HAVING count(DISTINCT k.text) > 0.01 * h.docs),
+k AS (SELECT doc_id, source, unnest(list_transform(l, lambda t: {NORMAL.format("t")})) AS m FROM d),
+f AS (SELECT source, m, count(DISTINCT doc_id) AS n FROM k GROUP BY source, m HAVING count(DISTINCT doc_id) > 20),
+h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+o AS (SELECT f.source, f.m FROM f JOIN h ON h.source = f.source WHERE f.n > 0.01 * h.docs OR f.n > 1000),
 g AS (SELECT k.doc_id, sum(length(k.m) - length(replace(k.m, ' ', '')) + 1) AS n FROM k JOIN o ON o.source = k.source AND o.m = k.m GROUP BY k.doc_id),
 c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda t: length(t))), 0) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
@@ -109,12 +115,12 @@ j AS (SELECT d.doc_id, d.text, d.l, coalesce(g.gone, []) AS gone FROM d LEFT JOI
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed, CAST(len(list_filter(gone, lambda x: NOT list_contains(gone, x - 1))) AS BIGINT) AS n_runs,
 sha256(CASE WHEN len(gone) = 0 THEN coalesce(text, '') ELSE array_to_string(list_filter(l, lambda t, i: NOT list_contains(gone, i)), chr(10)) END) AS kept_sha256 FROM j""",
     "op7_url_filter": f"""
-WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH u AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 c AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)'))) AS q FROM u),
 k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)[.]', ''), ':[0-9]+$', '') || regexp_replace(path, '([.]html?|/+)$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS name,
   CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM c),
-b AS (SELECT DISTINCT name FROM k WHERE regexp_matches(host, '(^|[.])(spam|ads)-') AND name IS NOT NULL)
+b AS (SELECT DISTINCT name FROM k WHERE regexp_replace(regexp_extract(html, '&copy; ([^[:space:]]+)', 1), '^(www|m|blog)[.]', '') IN {LISTED_PUBLISHERS} AND name IS NOT NULL)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN name IN (SELECT name FROM b) THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND coalesce(name IN (SELECT name FROM b), false) AS listed FROM k""",
     "op8_source_mixing": f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, '=' || source AS s, CAST(len({WORDS}) AS BIGINT) AS n FROM documents),

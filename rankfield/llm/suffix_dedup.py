@@ -3,28 +3,31 @@
 A byte goes if a string of ``length`` bytes that covers it also starts earlier (in a
 document with a smaller id, or earlier in the same). Matches stay inside documents.
 
-1. Documents that repeat a whole earlier text are set aside: every string of theirs
-   starts earlier. The others are packed into blocks of a few megabytes.
+1. Documents that repeat a whole earlier text (by SHA-256) are set aside: every string
+   of theirs starts earlier. The others are packed into blocks of a few megabytes.
 2. Cover sample. The places whose offset modulo v lies in a difference cover are
    sampled; for any two places i and j some shift below v takes both into the sample.
-   So two equal strings of ``length`` bytes share a sampled piece of
-   ``length`` - v + 1 bytes at the same shift. The pieces are ranked over the whole
-   corpus; only suffixes that start at most v - 1 places before a sampled piece which
-   occurs elsewhere are candidates, all others are settled.
-3. Suffix buckets. The candidate suffixes fall into buckets, which are sorted a few at
-   a time: the rounds bound memory and disk, whatever the corpus. Inside a bucket the
-   order is by the rank of the string of ``length`` bytes at the place (its hash, 64
-   bits, of which the bucket is a part), so long ties need no byte to be read again;
-   32 bits of a second hash tell strings of one rank apart. The first of equal strings
-   in document order stays, the rest are later.
-4. The later places are marked, and the bytes that their strings cover are removed.
-
-A block sends each rank once, for its first place: a string repeated a million times
-weighs one entry for each block. Entries and answers travel as packed arrays.
+   So two equal strings of ``length`` bytes share a sampled piece of ``length`` - v + 1
+   bytes at the same shift. Only suffixes that start at most v - 1 places before a
+   sampled piece which occurs elsewhere are candidates, and of these only the ones stay
+   whose whole string seems to occur elsewhere. Both are counted by hashes. A hash that
+   two strings share by chance costs work here and changes no result.
+3. Suffix buckets. A suffix belongs to the bucket of the smallest hash among the
+   16-byte grams of its string, a property that neighbours share. So a run of suffixes
+   travels as one piece of text, and equal runs as one. Buckets have a few megabytes
+   each, whatever the corpus. A bucket is sorted in byte order: by the first 16 bytes,
+   then long ties are resolved by the ranks of the bucket's own cover sample, and where
+   these differ the next bytes are read. Equality is decided by bytes.
+4. The first of equal strings in document order stays, the others are later. The bytes
+   that the later strings cover are removed.
+
+A block sends each hash and each run once, however often it holds them, and Spark
+combines the runs of the blocks, so a string repeated a million times is no hot group.
+A block is as large as its longest text at least; its task needs some twenty times that.
 
 Defined results: a null text is empty; a null id comes before all others; rows that
 agree in id and text are one document and get the same result; rows that share only
-the id are not earlier than one another. Texts shorter than ``length`` lose nothing.
+the id are ordered by the key of their text. Texts shorter than ``length`` lose nothing.
 An empty table gives an empty result.
 """
 
@@ -37,46 +40,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut, stored, text_key
+from rankfield.llm.common import join_split, stored, text_key
 
 COVER_MODULUS = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # fixed values: a perfect difference set modulo 57
 BLOCK_BYTES = 4 << 20
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-RANK_SEED, CHECK_SEED = 20, 21
-ENTRY_BYTES = 14  # a rank, its check and a document number
+GRAM = 16
+LONGEST_RUN = 4_096
 NULL_ID = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    up = np.full(n, BASE, np.uint64)
-    down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    return np.cumprod(up), np.cumprod(down)
+    return np.cumprod(np.full(CHUNK, BASE, np.uint64)), np.cumprod(np.full(CHUNK, pow(BASE, -1, 1 << 64), np.uint64))
 
 
-@lru_cache(maxsize=2)
-def _values(seed: int) -> np.ndarray:
-    """A random value for each byte; every seed makes a hash of its own."""
-    return np.random.default_rng(seed).integers(1, 1 << 64, 256, np.uint64)
-
-
-def _prefix(data: np.ndarray, seed: int = RANK_SEED) -> np.ndarray:
-    up = _powers(1 << max(16, int(len(data)).bit_length()))[0]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_values(seed)[data] * up[: len(data)], out=sums[1:])
-    return sums
+@lru_cache(maxsize=1)
+def _values() -> np.ndarray:
+    """A random value for each byte."""
+    return np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
+
+
+def _hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the strings of ``length`` bytes at the ascending places ``at``."""
+    up, down = _powers()
+    out, step = np.empty(len(at), np.uint64), CHUNK - length
+    for start in range(0, len(data), step):
+        a, b = np.searchsorted(at, (start, start + step))
+        if a == b:
+            continue
+        part = data[start : start + CHUNK]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_values()[part] * up[: len(part)], out=sums[1:])
+        x = at[a:b] - start
+        out[a:b] = (sums[x + length] - sums[x]) * down[x]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def _covered(offset: np.ndarray) -> np.ndarray:
+    return np.isin(np.arange(COVER_MODULUS), COVER)[offset % COVER_MODULUS]
 
 
-def _ranks(sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of the strings of ``length`` bytes at the places ``at``."""
-    down = _powers(1 << max(16, int(len(sums) - 1).bit_length()))[1]
-    x = (sums[at + length] - sums[at]) * down[at]
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    return x
+@lru_cache(maxsize=1)
+def _shifts() -> np.ndarray:
+    """A shift that takes places of two residues into the cover."""
+    inside = np.isin(np.arange(2 * COVER_MODULUS), [c + k for c in COVER for k in (0, COVER_MODULUS)])
+    r = np.arange(COVER_MODULUS)
+    both = inside[r[:, None, None] + r] & inside[r[None, :, None] + r]
+    return both.argmax(axis=2)
 
 
 def _samples(starts: np.ndarray, lengths: np.ndarray, piece: int) -> np.ndarray:
@@ -100,7 +117,7 @@ def _candidates(starts: np.ndarray, lengths: np.ndarray, samples: np.ndarray, pi
     ok = high >= low
     np.add.at(edge, low[ok], 1)
     np.add.at(edge, high[ok] + 1, -1)
-    return np.flatnonzero(np.cumsum(edge) > 0)
+    return np.flatnonzero(np.cumsum(edge, dtype=np.int32) > 0)
 
 
 def _layout(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +161,6 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield row, starts, lengths, np.frombuffer(row["data"].as_buffer(), np.uint8)
 
 
-def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    ends = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b + 1] > ends[b]:
-            yield b, slice(int(ends[b]), int(ends[b + 1]))
-
-
 def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -159,22 +169,42 @@ def _flags(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def _sample_entries(buckets: int, piece: int):
-    """Each distinct sampled rank of a block: (bucket, block, 32 bits of the rank)."""
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are equal ranges of the hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket that occurs, and its stretch of the ascending ``bucket``."""
+    found, start = np.unique(bucket, return_index=True)
+    for b, x, y in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True):
+        yield b, slice(x, y)
+
+
+def _sampled(row: dict, starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    return _samples(starts, lengths, size)
+
+
+def _chosen(row: dict, starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    return np.flatnonzero(_flags(row["chosen"].as_buffer(), int(lengths.sum())))
+
+
+def _hash_entries(places, buckets: int, size: int):
+    """Each distinct hash of a block's ``places``: (bucket, block, 32 bits of the hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
-            ranks = np.unique(_ranks(_prefix(data), _samples(starts, lengths, piece), piece))
-            found = [(b, ranks[s].astype("<u4").tobytes()) for b, s in _by_bucket(_bucket(ranks, buckets), buckets)]
+            hashes = np.unique(_hashes(data, places(row, starts, lengths, size), size))
+            found = [(b, hashes[s].astype("<u4").tobytes()) for b, s in _by_bucket(_bucket(hashes, buckets))]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([row["block"].as_py()] * len(found), pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["bucket", "block", "ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([row["block"].as_py()] * len(found), pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["bucket", "block", "hashes"])
 
     return run
 
 
-def _shared_samples(group: pa.Table) -> pa.Table:
-    """A bit for each entry of a block: another block has the rank too."""
-    parts = [np.frombuffer(x.as_buffer(), "<u4") for x in group["ranks"].combine_chunks()]
+def _elsewhere(group: pa.Table) -> pa.Table:
+    """A bit for each hash of a block in one bucket: another block has it too."""
+    parts = [np.frombuffer(x.as_buffer(), "<u4") for x in group["hashes"].combine_chunks()]
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
@@ -187,26 +217,23 @@ def _shared_samples(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": group["bucket"], "block": group["block"], "bits": pa.array(bits, pa.binary())})
 
 
-def _answers(row: dict) -> dict[int, bytes]:
-    if not row["answers"].is_valid:
-        return {}
-    return {a["bucket"]: a["bits"] for a in row["answers"].as_py()}
-
+def _keep_shared(places, buckets: int, size: int, widen):
+    """Blocks with the documents that hold shared places, and these marked in ``chosen``.
 
-def _mark_candidates(buckets: int, piece: int, length: int):
-    """Keep the documents of a block that hold candidates, and mark the candidates."""
+    ``widen`` makes the marked places of the shared ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
-            at = _samples(starts, lengths, piece)
-            ranks, place, times = np.unique(_ranks(_prefix(data), at, piece), return_inverse=True, return_counts=True)
-            bucket = _bucket(ranks, buckets)
-            shared, answers = times > 1, _answers(row)
-            for b, s in _by_bucket(bucket, buckets):
+            at = places(row, starts, lengths, size)
+            hashes, place, times = np.unique(_hashes(data, at, size), return_inverse=True, return_counts=True)
+            shared = times > 1
+            answers = {a["bucket"]: a["bits"] for a in row["answers"].as_py()} if row["answers"].is_valid else {}
+            for b, s in _by_bucket(_bucket(hashes, buckets)):
                 if b in answers:
                     shared[s] |= _flags(answers[b], s.stop - s.start)
             chosen = np.zeros(len(data), bool)
-            chosen[_candidates(starts, lengths, at[shared[place]], piece, length)] = True
+            chosen[widen(starts, lengths, at[shared[place]])] = True
             if not chosen.any():
                 continue
             keep = np.array([chosen[a : a + n].any() for a, n in zip(starts, lengths, strict=True)])
@@ -220,102 +247,141 @@ def _mark_candidates(buckets: int, piece: int, length: int):
     return run
 
 
-def _bucket(ranks: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are equal ranges of the ranks."""
-    return ((ranks >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _suffixes(row: dict, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the candidates, their ranks)."""
-    at = np.flatnonzero(_flags(row["chosen"].as_buffer(), len(data)))
-    return at, _ranks(_prefix(data), at, length)
-
-
-def _checks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """32 bits of a second hash of the strings at the places ``at``."""
-    return (_ranks(_prefix(data, CHECK_SEED), at, length) >> np.uint64(32)).astype(np.uint32)
-
-
-def _classes(ranks: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, where its classes begin): equal strings stand together, in their given order."""
-
-    def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r, c = ranks[order], checks[order]
-        return r[1:] == r[:-1], c[1:] == c[:-1]
-
-    order = np.argsort(ranks, kind="stable")
-    same, agree = runs(order)
-    if (same & ~agree).any():  # different strings of one rank
-        order = np.lexsort((checks, ranks))
-        same, agree = runs(order)
-    return order, np.flatnonzero(np.concatenate([[len(ranks) > 0], ~(same & agree)]))
-
-
-def _suffix_entries(buckets: int, low: int, high: int, length: int):
-    """Each distinct string of a block in the buckets low..high: rank, check, document number."""
+def _least_gram(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Smallest 32-bit hash of the grams of the string at each place."""
+    if not len(at):
+        return np.empty(0, np.uint32)
+    words = np.ndarray(len(data) - 7, "<u8", data.tobytes(), strides=(1,))
+    mixed = words[: len(data) - 15] * np.uint64(BASE) ^ (words[8:] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    least, width, window = (mixed * np.uint64(BASE) >> np.uint64(32)).astype(np.uint32), 1, length - GRAM + 1
+    while 2 * width <= window:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return np.minimum(least[at], least[at + window - width])
+
+
+def _runs(row: dict, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(places, first place of each run, its number of places, its gram hash, its text)."""
+    at = _chosen(row, starts, lengths, length)
+    least = _least_gram(data, at, length)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1])
+    begin = np.flatnonzero(new)
+    new |= (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % LONGEST_RUN == 0
+    begin = np.flatnonzero(new)
+    size, raw = np.diff(np.append(begin, len(at))), data.tobytes()
+    texts = [raw[a : a + n + length - 1] for a, n in zip(at[begin].tolist(), size.tolist(), strict=True)]
+    return at, begin, size, least[begin], texts
+
+
+def _run_entries(length: int):
+    """Each distinct run of a block at its first place, with its number among the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
-            at, ranks = _suffixes(row, data, length)
-            bucket = _bucket(ranks, buckets)
-            mine = (bucket >= low) & (bucket < high)
-            at, ranks = at[mine], ranks[mine]
-            checks = _checks(data, at, length)
-            order, new = _classes(ranks, checks)
-            first = order[new]
-            ranks, checks = ranks[first].astype("<u8"), checks[first].astype("<u4")
-            doc = (np.searchsorted(starts, at[first], side="right") - 1).astype("<u2")
-            for k, s in _by_bucket(_bucket(ranks, buckets) - low, high - low):
-                columns = [pa.array([k + low], pa.int64()), pa.array([row["block"].as_py()]), pa.array([row["ids"].as_py()], pa.list_(pa.int64()))]
-                packed = [pa.array([x[s].tobytes()], pa.binary()) for x in (ranks, checks, doc)]
-                yield pa.RecordBatch.from_arrays([*columns, *packed], names=["bucket", "block", "ids", "ranks", "checks", "docs"])
+            at, begin, _, least, texts = _runs(row, starts, lengths, data, length)
+            first: dict[bytes, int] = {}
+            for k, t in enumerate(texts):
+                first.setdefault(t, k)
+            mine = np.fromiter(first.values(), np.int64, len(first))
+            doc = np.searchsorted(starts, at[begin[mine]], side="right") - 1
+            ids, keys = (np.array(row[c].as_py(), np.int64)[doc] for c in ("ids", "keys"))
+            columns = [least[mine].astype(np.int64), ids, keys, at[begin[mine]] - starts[doc], np.full(len(mine), row["block"].as_py(), np.int64), mine]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(first), pa.binary())], names=["gram", "id", "key", "offset", "block", "run", "text"])
 
     return run
 
 
-def _sort_bucket(group: pa.Table) -> pa.Table:
-    """Sort one suffix bucket; a bit for each entry whose string starts in an earlier document."""
-    ranks = [np.frombuffer(x.as_buffer(), "<u8") for x in group["ranks"].combine_chunks()]
-    checks = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group["checks"].combine_chunks()])
-    docs = [np.array(ids.as_py(), np.int64)[np.frombuffer(d.as_buffer(), "<u2")] for ids, d in zip(group["ids"].combine_chunks(), group["docs"].combine_chunks(), strict=True)]
-    every, doc = np.concatenate(ranks), np.concatenate(docs)
-    order, new = _classes(every, checks)
-    least = np.minimum.reduceat(doc[order], new)
-    later = np.empty(len(every), bool)
-    later[order] = doc[order] > np.repeat(least, np.diff(np.append(new, len(every))))
-    ends = np.cumsum([len(r) for r in ranks])
-    bits = [_bits(later[e - len(r) : e]) for r, e in zip(ranks, ends, strict=True)]
-    return pa.table({"bucket": group["bucket"], "block": group["block"], "bits": pa.array(bits, pa.binary())})
+def sort_suffixes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the places ``at`` in byte order of their strings of ``length`` bytes,
+    equal ones in their given order, and where in it a new string begins.
+
+    After the first 16 bytes ties are compared by the ranks of the cover sample and the
+    bytes outside the sampled piece. Where a group of ties is not all equal, the next 8
+    bytes split it.
+    """
+    piece = length - COVER_MODULUS + 1
+    words = np.ndarray(max(len(data) - 7, 0), ">u8", data.tobytes(), strides=(1,))
+    word = lambda places: words[places].astype(np.uint64)
+    sample = np.flatnonzero(_covered(np.arange(max(len(data) - piece + 1, 0))))
+    rank = np.zeros(len(data), np.int32)
+    pieces = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, piece)[sample]) if len(sample) else np.empty((0, piece), np.uint8)
+    rank[sample] = np.unique(pieces.view(f"S{piece}").ravel(), return_inverse=True)[1]
+
+    def same(i: np.ndarray, j: np.ndarray, known: int) -> np.ndarray:
+        shift = _shifts()[i % COVER_MODULUS, j % COVER_MODULUS]
+        ok = rank[i + shift] == rank[j + shift]
+        for o in [*range(known, length - 8, 8), length - 8]:
+            look = np.flatnonzero(ok & ((o < shift) | (o + 8 > shift + piece)))
+            ok[look] = words[i[look] + o] == words[j[look] + o]
+        return ok
+
+    order = np.lexsort((word(at + 8), word(at)))
+    new = np.ones(len(at), bool)
+    x, y = word(at[order]), word(at[order] + 8)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    begin, known = np.flatnonzero(new), 16
+    size = np.diff(np.append(begin, len(at)))
+    open_ = np.flatnonzero(np.repeat(size > 1, size))
+    while len(open_) and known < length:
+        group = np.cumsum(new)[open_]  # groups stand together
+        lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        number = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(open_))))
+        equal = same(at[order[open_]], at[order[open_[lead]]][number], known)
+        mixed = ~np.logical_and.reduceat(equal, lead)
+        left, number = open_[mixed[number]], number[mixed[number]]
+        if not len(left):
+            break
+        value = word(at[order[left]] + min(known, length - 8))
+        by = np.lexsort((value, number))
+        order[left], value = order[left][by], value[by]
+        new[left[1:]] |= (number[1:] == number[:-1]) & (value[1:] != value[:-1])
+        known += 8
+        begin = np.flatnonzero(np.append(True, new[left[1:]] | (number[1:] != number[:-1])))
+        size = np.diff(np.append(begin, len(left)))
+        open_ = left[np.repeat(size > 1, size)]
+    return order, np.flatnonzero(new)
+
+
+def _sort_bucket(length: int):
+    """For each run of a bucket, a bit for each of its places: the string starts earlier."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("id", "ascending"), ("key", "ascending"), ("offset", "ascending")])
+        texts = [x.as_buffer() for x in group["text"].combine_chunks()]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        starts, sizes = _layout([len(t) for t in texts])
+        count = sizes - (length - 1)
+        ends = np.cumsum(count)
+        at = np.repeat(starts - (ends - count), count) + np.arange(int(ends[-1]))
+        order, new = sort_suffixes(data, at, length)
+        least = np.minimum.reduceat(order, new)
+        later = np.empty(len(at), bool)
+        later[order] = order > np.repeat(least, np.diff(np.append(new, len(at))))
+        bits = [_bits(later[e - n : e]) for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
+        return pa.table({"block": group["block"], "run": group["run"], "bits": pa.array(bits, pa.binary())})
+
+    return run
 
 
-def _remove(buckets: int, length: int):
-    """Per document of a block: bytes and runs removed, hash of the rest, kept runs."""
+def _remove(length: int):
+    """Per document of a block: bytes and runs removed, hash of the rest, removed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
-            at, every = _suffixes(row, data, length)
-            order, new = _classes(every, _checks(data, at, length))
-            first, bucket = at[order[new]], _bucket(every[order[new]], buckets)
-            place = np.empty(len(at), np.int64)
-            place[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at))))
-            later, answers = np.zeros(len(new), bool), _answers(row)
-            for b, s in _by_bucket(bucket, buckets):
-                if b in answers:
-                    later[s] = _flags(answers[b], s.stop - s.start)
-            ids, keys = np.array(row["ids"].as_py(), np.int64), row["keys"].as_py()
-            doc = np.searchsorted(starts, at, side="right") - 1
-            first_doc = np.searchsorted(starts, first, side="right") - 1
-            # inside the block: in a later document, or not the first place in its own
-            inner = ids[doc] > ids[first_doc[place]]
-            own_first = np.zeros(len(at), bool)
-            own_first[np.unique(place * len(starts) + doc, return_index=True)[1]] = True
-            gone_at = at[later[place] | inner | ~own_first]
+            at, begin, size, _, texts = _runs(row, starts, lengths, data, length)
+            # a run that an earlier place has as well is not answered: all of it is later
+            later = np.ones(len(at), bool)
+            for a in row["answers"].as_py() or ():
+                k = a["run"]
+                later[begin[k] : begin[k] + size[k]] = _flags(a["bits"], int(size[k]))
+            gone_at = at[later]
             edge = np.zeros(len(data) + 1, np.int32)
             np.add.at(edge, gone_at, 1)
             np.add.at(edge, gone_at + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            raw = data.tobytes()
-            out = []
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            raw, ids, keys, out = data.tobytes(), row["ids"].as_py(), row["keys"].as_py(), []
             for k, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
                 hit = gone[a : a + n]
                 if not hit.any():
@@ -323,7 +389,7 @@ def _remove(buckets: int, length: int):
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                 spans = turns.reshape(-1, 2).tolist()
                 kept = b"".join(raw[a + x : a + y] for x, y in zip([0, *[s[1] for s in spans]], [*[s[0] for s in spans], n], strict=True))
-                out.append((None if ids[k] == NULL_ID else int(ids[k]), keys[k], int(hit.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+                out.append((None if ids[k] == NULL_ID else ids[k], keys[k], int(hit.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["_doc", "_text_key", "_removed", "_spans", "_sha", "spans"])
@@ -331,67 +397,60 @@ def _remove(buckets: int, length: int):
     return run
 
 
-def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with the list of their (bucket, bits)."""
-    listed = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+def _answered(blocks: DataFrame, answers: DataFrame, answer: str) -> DataFrame:
+    """Blocks with the list of their answers."""
+    listed = answers.groupBy("block").agg(F.collect_list(F.struct(answer, "bits")).alias("answers"))
     return blocks.join(listed.hint("merge"), "block", "left")
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of rounds that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _shared_places(blocks: DataFrame, places, n_places: int, size: int, widen, bucket_entries: int, name: str) -> DataFrame:
+    """The blocks' documents with places whose string of ``size`` bytes occurs elsewhere."""
+    buckets = max(1, -(-n_places // bucket_entries))
+    entries = blocks.mapInArrow(_hash_entries(places, buckets, size), "bucket long, block long, hashes binary")
+    answers = stored(entries.groupBy("bucket").applyInArrow(_elsewhere, "bucket long, block long, bits binary"), f"{name}-answers")
+    return stored(_answered(blocks, answers, "bucket").mapInArrow(_keep_shared(places, buckets, size, widen), BLOCK_SCHEMA + ", chosen binary, n_chosen long"), name)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, bucket_entries: int = 4_000_000, round_bytes_share: float = 0.6, copy_broadcast: int = 2_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, bucket_entries: int = 500_000, bucket_bytes: int = 4_000_000, copy_broadcast: int = 2_000_000) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans (byte runs removed) of every document."""
-    spark = docs.sparkSession
     piece = length - COVER_MODULUS + 1
-    if piece < 16:
-        raise ValueError(f"length must be at least {COVER_MODULUS + 15}")
+    if not COVER_MODULUS + 15 <= length < CHUNK // 2:
+        raise ValueError(f"length must be from {COVER_MODULUS + 15} to {CHUNK // 2}")
     body = F.coalesce(docs[text], F.lit(""))
-    whole = docs.select(docs[key].cast("long").alias("_doc"), text_key(body).alias("_text_key"), body.alias("_text"), F.octet_length(body).cast("long").alias("n_bytes"), F.hash(body).alias("_check"))
-    seen = whole.groupBy("_text_key", "_check", "n_bytes").agg(F.min(F.struct(F.col("_doc").isNotNull().alias("_set"), "_doc")).alias("_first"), F.count("*").alias("_n"))
-    shared = seen.where(f"_n > 1 and n_bytes >= {length}").select("_text_key", "_check", "n_bytes", "_first")
-    of_text = ["_text_key", "_check", "n_bytes"]
-    copies = cut(whole.select("_doc", *of_text).join(shared.hint("merge"), of_text).where(F.struct(F.col("_doc").isNotNull(), F.col("_doc")) > F.col("_first")).select("_doc", "_text_key").distinct())
-    few = "broadcast" if copies.count() <= copy_broadcast else "merge"
-    total = whole.agg(F.sum("n_bytes")).first()[0] or 0
-
-    own = copies.select(F.col("_doc").alias("_cd"), F.col("_text_key").alias("_ck")).hint(few)
-    first = whole.where(f"n_bytes >= {length}").join(own, F.col("_doc").eqNullSafe(F.col("_cd")) & (F.col("_text_key") == F.col("_ck")), "left_anti")
-    blocks = stored(first.select("_doc", "_text_key", F.col("_text").cast("binary").alias("_text")).mapInArrow(_pack, BLOCK_SCHEMA), "suffix-blocks")
-
-    buckets = max(24, -(-int(total * len(COVER) / COVER_MODULUS) // bucket_entries))
-    entries = blocks.mapInArrow(_sample_entries(buckets, piece), "bucket long, block long, ranks binary")
-    answers = cut(entries.groupBy("bucket").applyInArrow(_shared_samples, "bucket long, block long, bits binary"))
-    marked = stored(_answered(blocks, answers).mapInArrow(_mark_candidates(buckets, piece, length), BLOCK_SCHEMA + ", chosen binary, n_chosen long"), "suffix-candidates")
-    del answers, entries
-    _release(spark)
-
-    held = marked.agg(F.sum("n_chosen")).first()[0] or 0
-    buckets = max(48, -(-int(held) // bucket_entries))
-    # there is at most one entry for each candidate
-    rounds = max(1, -(-int(held * ENTRY_BYTES) // max(1, int(round_bytes_share * total))))
-    steps = np.linspace(0, buckets, min(rounds, buckets) + 1).astype(int).tolist()
-    found = []
-    for low, high in zip(steps, steps[1:], strict=False):
-        suffixes = marked.mapInArrow(_suffix_entries(buckets, low, high, length), "bucket long, block long, ids array<long>, ranks binary, checks binary, docs binary")
-        found.append(cut(suffixes.groupBy("bucket").applyInArrow(_sort_bucket, "bucket long, block long, bits binary")))
-        del suffixes
-        _release(spark)
-    later = found[0]
-    for more in found[1:]:
-        later = later.unionByName(more)
-    losses = _answered(marked, later).mapInArrow(_remove(buckets, length), "_doc long, _text_key long, _removed long, _spans long, _sha string, spans array<array<long>>")
-    losses = losses.groupBy("_doc", "_text_key").agg(*[F.min(c).alias(c) for c in ("_removed", "_spans", "_sha", "spans")], F.count("*").alias("_rows"))
+    whole = docs.select(docs[key].cast("long").alias("_doc"), text_key(body).alias("_text_key"), body.alias("_text"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_all"))
+    names = stored(whole.drop("_text"), "suffix-names")
+    total = names.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+    seen = names.where(f"n_bytes >= {length}").groupBy("_all").agg(F.min(F.struct(F.col("_doc").isNotNull().alias("_set"), "_doc")).alias("_first"), F.count("*").alias("_n"))
+    known = join_split(names.select("_doc", "_text_key", "_all"), stored(seen.where("_n > 1"), "suffix-texts"), ["_all"], "_n", ["_doc"], total.n)
+    # rows that repeat an earlier text, or a row: both are few, or joined by key
+    copies = stored(known.where(F.struct(F.col("_doc").isNotNull(), F.col("_doc")) > F.col("_first")).select("_doc", "_text_key").distinct(), "suffix-copies")
+    repeats = stored(names.groupBy("_doc", "_text_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_doc", "_text_key"), "suffix-repeats")
+    same = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_text_key"] == b["_text_key"])
+    few = lambda n: "broadcast" if n <= copy_broadcast else "merge"
+
+    long = whole.where(f"n_bytes >= {length}").select("_doc", "_text_key", "_text")
+    firsts = long.join(copies.hint(few(copies.count())), same(long, copies), "left_anti")
+    n_repeats = repeats.count()
+    if n_repeats:
+        again = firsts.join(repeats.hint(few(n_repeats)), same(firsts, repeats), "left_semi").dropDuplicates(["_doc", "_text_key"])
+        firsts = firsts.join(repeats.hint(few(n_repeats)), same(firsts, repeats), "left_anti").unionAll(again)
+    blocks = stored(firsts.select("_doc", "_text_key", F.col("_text").cast("binary").alias("_text")).mapInArrow(_pack, BLOCK_SCHEMA), "suffix-blocks")
+
+    samples = total.bytes * len(COVER) // COVER_MODULUS
+    marked = _shared_places(blocks, _sampled, samples, piece, lambda starts, lengths, at: _candidates(starts, lengths, at, piece, length), bucket_entries, "suffix-candidates")
+    held = marked.agg(F.coalesce(F.sum("n_chosen"), F.lit(0))).first()[0]
+    shared = _shared_places(marked, _chosen, held, length, lambda starts, lengths, at: at, bucket_entries, "suffix-shared")
+
+    runs = stored(shared.mapInArrow(_run_entries(length), "gram long, id long, key long, offset long, block long, run long, text binary"), "suffix-runs")
+    place = F.struct("id", "key", "offset", "block", "run")
+    distinct = stored(runs.groupBy("gram", "text").agg(F.min(place).alias("_at")).select("gram", "text", "_at.*"), "suffix-texts")
+    buckets = max(1, -(-(distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets).cast("long")))
+    later = stored(dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), "block long, run long, bits binary"), "suffix-later")
+    losses = stored(_answered(shared, later, "run").mapInArrow(_remove(length), "_doc long, _text_key long, _removed long, _spans long, _sha string, spans array<array<long>>"), "suffix-losses")
 
     gone = copies.withColumn("_copy", F.lit(True))
-    every = whole.select("_doc", "_text_key", "n_bytes", F.sha2("_text", 256).alias("_all"))
-    same = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_text_key"] == b["_text_key"])
-    every = every.join(gone.hint("merge"), same(every, gone), "left").select(every["*"], "_copy")
+    every = names.join(gone.hint("merge"), same(names, gone), "left").select(names["*"], "_copy")
     every = every.join(losses.hint("merge"), same(every, losses), "left").select(every["*"], "_removed", "_spans", "_sha", "spans")
     copy = F.coalesce("_copy", F.lit(False))
     return every.select(

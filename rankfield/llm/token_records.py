@@ -1,6 +1,6 @@
 """Token ids in length-delimited binary records, with an offset index.
 
-A record file is a run of frames, in ascending id order over the files' names:
+A record file is a run of frames, in ascending id order over the files' numbers:
 
     8 bytes  payload length, little-endian unsigned
     4 bytes  masked CRC-32 of these 8 bytes
@@ -213,12 +213,23 @@ def read_records(docs_path: str, spark) -> DataFrame:
     return files.mapInArrow(run, "file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, before long")
 
 
+def with_starts(index: DataFrame, group: int = 1_024) -> DataFrame:
+    """``start``, the ids in all records before, in place of ``before``, those in the file.
+
+    Files go by the number in their name, not by the name: it has five digits, or more.
+    Running totals are taken inside groups of files and over the groups.
+    """
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("_all")).select("file", "_all", number.alias("_n"), F.floor(number / group).alias("_g"))
+    inside = files.withColumn("_in", F.expr("sum(_all) OVER (PARTITION BY _g ORDER BY _n ROWS UNBOUNDED PRECEDING) - _all"))
+    groups = files.groupBy("_g").agg(F.sum("_all").alias("_a")).select("_g", F.expr("sum(_a) OVER (ORDER BY _g ROWS UNBOUNDED PRECEDING) - _a").alias("_before"))
+    starts = inside.join(groups.hint("merge"), "_g").select("file", (F.col("_in") + F.col("_before")).alias("_start"))
+    return index.join(starts.hint("merge"), "file").withColumn("start", F.col("_start") + F.col("before")).drop("_start", "before")
+
+
 def export(docs: DataFrame, path: str, **options) -> DataFrame:
     """Write the files and their index; return the index with each record's ``start``."""
     spark = docs.sparkSession
     write_records(docs, f"{path}/records", **options)
     read_records(f"{path}/records", spark).write.parquet(f"{path}/index")
-    index = spark.read.parquet(f"{path}/index")
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("_all"))
-    starts = files.select("file", F.expr("sum(_all) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING) - _all").alias("_start"))
-    return index.join(starts.hint("merge"), "file").withColumn("start", F.col("_start") + F.col("before")).drop("_start", "before")
+    return with_starts(spark.read.parquet(f"{path}/index"))

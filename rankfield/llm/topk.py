@@ -14,6 +14,8 @@ Defined results: null vectors, and those that hold null or non-finite components
 no part, nor do null ids. Of rows that share an id the vector that is first in array
 order stands for the id. Vectors may differ in length: a missing component is zero.
 Ties go to the smaller id. A query with fewer than k candidates returns all of them.
+A scaled component beyond 2^52 either way counts as 2^52, a score beyond a long as the
+largest or smallest long.
 An empty table gives an empty result.
 """
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 QUERY_ROWS = 2_048
 CHUNK = 1_024
 DENSE = 0.25
+MOST = float(1 << 52)
 
 
 def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -95,7 +98,7 @@ def integer_vectors(vectors: DataFrame, key: str, vector: str, scale: int) -> Da
     x = vectors[vector].cast("array<double>")
     usable = x.isNotNull() & vectors[key].isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     used = vectors.where(usable).select(vectors[key].cast("long").alias("_id"), x.alias("_x"))
-    return used.groupBy("_id").agg(F.min("_x").alias("_x")).select("_id", F.transform("_x", lambda v: F.floor(F.lit(float(scale)) * v)).alias("_v"))
+    return used.groupBy("_id").agg(F.min("_x").alias("_x")).select("_id", F.transform("_x", lambda v: F.floor(F.least(F.greatest(F.lit(float(scale)) * v, F.lit(-MOST)), F.lit(MOST)))).alias("_v"))
 
 
 def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64, every: int = 20, shard_rows: int = 16_384) -> DataFrame:
@@ -125,7 +128,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
                 scores = accumulate(queries["_v"].slice(q, CHUNK), rows["_v"].slice(d, 4 * CHUNK))
                 parts.append(best_k(scores, own[q : q + CHUNK], ids[d : d + 4 * CHUNK], k))
         found = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
-        return pa.table({"query_id": found[0].astype(np.int64), "vec_id": found[1].astype(np.int64), "score": found[2].astype(np.int64)})
+        return pa.table({"query_id": found[0].astype(np.int64), "vec_id": found[1].astype(np.int64), "score": np.clip(found[2], -(1 << 63), (1 << 63) - 1).astype(np.int64)})
 
     near = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -2,8 +2,9 @@
 
 The list's canonical URLs are folded into a blocked Bloom filter (256-bit blocks
 of four 64-bit words, eight bits a key). Pages without a rule are tested against
-it; the few possible hits go through an exact hash join with the list, so false
-positives never reach the verdict.
+it; the few possible hits go through an exact join with the list, so false positives
+never reach the verdict. That join hashes a broadcast list while the list is counted to
+be small, and sorts both sides, which may spill, beyond that. Pages are read once.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 matches no rule and is never listed. Null or repeated list entries are ignored.
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankfield.llm.common import cut, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 4
 
@@ -84,26 +87,26 @@ def filter_urls(
 ) -> DataFrame:
     """Judge every page: key, host, path, rule, verdict, listed.
 
-    The filter is broadcast only while its counted size (blocks x 40 bytes) is at
-    most ``broadcast_bytes``; a larger one is joined by its block number.
+    The filter (blocks x 40 bytes) and the list are each broadcast only while their
+    counted size is at most ``broadcast_bytes``; else they are joined by sorting.
     """
-    names = listed.select(canonical_url(listed[listed_url]).alias("_url")).where("_url is not null").distinct()
-    n_listed = names.count()
-    n_blocks = max(1, -(-n_listed * bits_per_key // 256))
-    strategy = "broadcast" if n_blocks * 40 <= broadcast_bytes else "merge"
-    blocks = bloom_blocks(names, n_blocks).hint(strategy)
+    names = stored(listed.select(canonical_url(listed[listed_url]).alias("_url")).where("_url is not null").distinct(), "listed-urls")
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_url") + 32), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size.n * bits_per_key // 256))
+    fits = lambda n: "broadcast" if n <= broadcast_bytes else "merge"
+    blocks = cut(bloom_blocks(names, n_blocks)).hint(fits(n_blocks * 40))
 
     host, path = url_host(pages[url]), url_path(pages[url])
     rule, said = best_rule(host, path, rules)
     judged = pages.select(pages[key].alias(key), host.alias("host"), path.alias("path"), rule.alias("rule"), said.alias("_said"), canonical_url(pages[url]).alias("_url"))
-    by_rule = judged.where("rule is not null").select(key, "host", "path", "rule", F.col("_said").alias("verdict"), F.lit(False).alias("listed"))
-    rest = judged.where("rule is null")
-    probed = rest.select("*", *_probe(F.col("_url"), n_blocks)).join(blocks, "_block", "left")
-    passes = F.lit(True)
+    probed = judged.select("*", *_probe(F.col("_url"), n_blocks)).join(blocks, "_block", "left")
+    passes = F.col("rule").isNull() & F.col("_url").isNotNull()
     for w in range(WORDS):
         passes = passes & (F.col(f"_word{w}").bitwiseAND(F.col(f"_mask{w}")) == F.col(f"_mask{w}"))
-    probed = probed.withColumn("_hit", F.coalesce(passes, F.lit(False)) & F.col("_url").isNotNull())
-    missed = probed.where("not _hit").select(key, "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
-    exact = names.select("_url", F.lit(True).alias("_listed")).hint("shuffle_hash")
-    hits = probed.where("_hit").join(exact, "_url", "left").select(key, "host", "path", "rule", F.when(F.col("_listed"), "block").otherwise("allow").alias("verdict"), F.coalesce("_listed", F.lit(False)).alias("listed"))
-    return by_rule.unionByName(missed).unionByName(hits)
+    probed = stored(probed.select(key, "host", "path", "rule", "_said", F.when(F.coalesce(passes, F.lit(False)), F.col("_url")).alias("_maybe")), "probed-pages")
+    columns = [key, "host", "path", "rule"]
+    missed = probed.where("_maybe is null").select(*columns, F.coalesce("_said", F.lit("allow")).alias("verdict"), F.lit(False).alias("listed"))
+    exact = names.select(F.col("_url").alias("_maybe"), F.lit(True).alias("_listed")).hint(fits(size.bytes))
+    found = F.coalesce("_listed", F.lit(False))
+    hits = probed.where("_maybe is not null").join(exact, "_maybe", "left").select(*columns, F.when(found, "block").otherwise("allow").alias("verdict"), found.alias("listed"))
+    return missed.unionByName(hits)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from cases import SCHEMA, base_counts, components, fingerprint, frame, letters, odd_documents, removed_bytes, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankfield.llm import components as cc
@@ -37,7 +38,12 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(banner not in kept[i].text and kept[i].n_chars == len(kept[i].text) for i in range(40))
     assert banner in kept[500].text, "the line is frequent in the other host only"
     copies = frame(spark, [(i, f"{banner}\n{filler(1)}", "en", "hot", 1, "", "", "") for i in range(60)])
-    assert quality_rules.keep_good(copies).count() == 60, "copies of one text count once"
+    assert quality_rules.keep_good(copies).count() == 0, "every document counts, a copy too"
+    once = frame(spark, [(1, f"{banner}\n{filler(1)}", "en", "hot", 1, "", "", "")] * 60)
+    assert quality_rules.keep_good(once).count() == 60, "rows that repeat a document are one document"
+    large = frame(spark, [(i, f"{banner}\n{filler(i)}", "en", "hot", 1, "", "", "") for i in range(40)] + [(1000 + i, filler(1000 + i), "en", "hot", 1, "", "", "") for i in range(400)])
+    kept_at = lambda n: banner in {r.doc_id: r.text for r in quality_rules.keep_good(large, max_share=0.2, max_documents=n).collect()}[0]
+    assert kept_at(1_000) and not kept_at(30), "a count of its own suffices, whatever the host's size"
     judged = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert judged[0].n_removed_words == 6 and judged[0].kept and not judged[100].kept and not judged[100].base_failed
     assert kept[0].asDict().keys() == set(docs.columns)
@@ -90,6 +96,8 @@ def test_top_k_of_nothing_and_of_large_components(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     big = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e7, -1.0])], schema)
     assert [tuple(r) for r in topk.top_k(big).collect()] == [(0, 1, 1, 640_000_000**2 - 64 * 64)]
+    huge = spark.createDataFrame([(0, [1e300, -1e300]), (1, [1e300, -1e300]), (2, [-1e300, 1e300])], schema)
+    assert [tuple(r) for r in topk.top_k(huge).collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
 
 
 def labelled(spark):
@@ -120,6 +128,57 @@ def test_classifier_learns_nothing_from_held_out_labels(spark):
     assert score(labels) == score(flipped)
 
 
+def plain_scores(docs, labels, piece=1024, size=65_536, dictionary_rows=600, calibration_rows=900):
+    """The classifier's score of each text in plain Python, one by one."""
+    import xxhash
+    import zstandard
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    known: dict = {}
+    for r in labels:
+        if r.doc_id is not None and r.quality is not None and not held(r.doc_id):
+            known[r.doc_id] = min(known.get(r.doc_id, 1), r.quality)
+    share = sum(known.values()) / len(known)
+    texts: dict = {}
+    for r in docs:
+        if r.text:
+            texts[r.doc_id] = min(texts.get(r.doc_id, r.text), r.text)
+    # Spark's xxhash64 of two columns: the hash of the second seeded with that of the first
+    first = lambda i: xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+    order = lambda i: (np.uint64(xxhash.xxh64_intdigest(b"sample", first(i))).astype(np.int64), i)
+    split = [sorted((i for i, y in known.items() if y == c), key=order)[: dictionary_rows + calibration_rows] for c in (1, 0)]
+    split = [[texts[i].encode() for i in c if i in texts and len(texts[i].encode()) <= 32_768] for c in split]
+    cuts = lambda t: [t[k : k + piece] for k in range(0, len(t), piece)]
+    packers, rest = [], []
+    for c in split:
+        n = min(dictionary_rows, len(c) // 2)
+        samples = [x for t in c[: max(1, n)] for x in cuts(t)]
+        try:
+            words = zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:
+            words = b"".join(samples)[-size:]
+        packers.append(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False))
+        rest.append(c[n:])
+
+    def shape(t):
+        good, bad = (sum(len(z.compress(x)) for x in cuts(t)) for z in packers)
+        return [(bad - good) / len(t), (bad - good) / (bad + good), good / len(t)]
+
+    x = np.array([shape(t) for c in rest for t in c])
+    y = np.repeat([1, 0], [len(c) for c in rest])
+    centre, scale, b = quality_classifier.calibrate(x, y, share)
+    return [share if not r.text else 1 / (1 + np.exp(-np.clip(b[0] + ((np.array(shape(r.text.encode())) - centre) / scale) @ b[1:], -30, 30))) for r in docs]
+
+
+def test_classifier_matches_plain_python(spark):
+    docs, labels = labelled(spark)
+    long = frame(spark, [(1, "other text of the same id", "en", "a", 1, "", "", ""), (500, "word salad " * 20_000, "en", "a", 1, "", "", ""), (None, "no id", "en", "a", 1, "", "", "")])
+    docs = docs.unionByName(long)
+    rows = docs.collect()
+    got = Counter((r.doc_id, round(r.score, 9)) for r in quality_classifier.score_quality(docs, labels).collect())
+    assert got == Counter((r.doc_id, round(float(x), 9)) for r, x in zip(rows, plain_scores(rows, labels.collect()), strict=True))
+
+
 def test_classifier_without_labels_or_documents(spark):
     docs, labels = labelled(spark)
     assert {r.score for r in quality_classifier.score_quality(docs, labels.where("quality = 1")).collect()} == {1.0}
@@ -268,6 +327,14 @@ def test_token_records_round_trip(spark, tmp_path):
     assert token_records.export(frame(spark).limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_go_by_their_number(spark):
+    names = [f"file:/x/part-{n:05d}-abc.txt" for n in (0, 7, 1023, 1024, 99_999, 100_000, 100_001, 1_000_000)]
+    index = spark.createDataFrame([(f, b, 10 + k, b * 3) for k, f in enumerate(names) for b in (0, 1)], "file string, offset int, n_tokens int, before int")
+    got = {(r.file, r.offset): r.start for r in token_records.with_starts(index).collect()}
+    sums = np.cumsum([0] + [2 * (10 + k) for k in range(len(names))])
+    assert got == {(f, b): sums[k] + 3 * b for k, f in enumerate(names) for b in (0, 1)}
+
+
 def test_word_cache_equals_the_tokenizer():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     encoder = token_records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most_words=5)
@@ -296,7 +363,7 @@ def test_difference_cover_shifts_any_two_places():
     assert all(any((i + s) % v in cover and (j + s) % v in cover for s in range(v)) for i in range(v) for j in range(v))
 
 
-@pytest.mark.parametrize("run", [quality_rules.judge, quality_rules.keep_good, line_dedup.dedup_report, line_dedup.deduplicated_documents, simhash.duplicate_report, mixing.mixed_documents])
+@pytest.mark.parametrize("run", [quality_rules.judge, quality_rules.keep_good, suffix_dedup.repeated_spans, line_dedup.dedup_report, line_dedup.deduplicated_documents, simhash.duplicate_report, mixing.mixed_documents])
 def test_empty_tables_give_empty_results(spark, run):
     assert run(spark.createDataFrame(EMPTY, SCHEMA)).count() == 0
 
@@ -305,10 +372,71 @@ def test_storage_follows_the_session(spark):
     assert storage_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_strings_of_one_rank_are_told_apart_by_their_check():
-    ranks = np.array([7, 5, 7, 7, 5, 9, 7], np.uint64)
-    checks = np.array([2, 1, 1, 2, 1, 0, 1], np.uint32)
-    order, new = suffix_dedup._classes(ranks, checks)
-    assert [x.tolist() for x in np.split(order, new[1:])] == [[1, 4], [2, 6], [0, 3], [5]]
-    order, new = suffix_dedup._classes(ranks[:0], checks[:0])
-    assert not len(order) and not len(new)
+@pytest.mark.parametrize("letters_", [2, 3, 26])
+def test_suffixes_stand_in_byte_order(letters_):
+    rng = np.random.default_rng(letters_)
+    base = rng.integers(0, letters_, 900).astype(np.uint8) + 97
+    data = np.concatenate([base, base[:400], np.full(300, 97, np.uint8), base[100:350], np.zeros(150, np.uint8), base[250:260], base[:500]])
+    data[::61] ^= 128
+    at = np.sort(rng.choice(len(data) - 100, 1500, replace=False))
+    order, new = suffix_dedup.sort_suffixes(data, at, 100)
+    strings = [data[p : p + 100].tobytes() for p in at.tolist()]
+    assert order.tolist() == sorted(range(len(at)), key=lambda k: (strings[k], k))
+    ranked = [strings[k] for k in order.tolist()]
+    assert new.tolist() == [k for k in range(len(ranked)) if k == 0 or ranked[k] != ranked[k - 1]]
+
+
+def test_suffix_dedup_of_hundreds_of_documents_matches_plain_python(spark):
+    rng = np.random.default_rng(9)
+    words_ = ["".join(rng.choice(list("abcdefghé"), int(rng.integers(2, 9)))) for _ in range(300)]
+    passages = [" ".join(rng.choice(words_, 40)) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        parts = [" ".join(rng.choice(words_, int(rng.integers(5, 60))))]
+        for p in rng.choice(12, int(rng.integers(0, 3)), replace=False):
+            cut_at = int(rng.integers(0, 80))
+            parts += [passages[p][cut_at:], " ".join(rng.choice(words_, 8))]
+        rows.append((i, "\n".join(parts) if i % 50 else "-" * int(rng.integers(90, 9_000)), "en", "a", 1, "", "", ""))
+    rows += [(1_000 + r[0], *r[1:]) for r in rows[::40]] + [rows[3], rows[3]]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_spans(frame(spark, rows), bucket_entries=2_000, bucket_bytes=20_000).collect())
+    assert got == Counter((d[0], *x) for d, x in zip(rows, removed_bytes([(d[0], d[1]) for d in rows]), strict=True))
+
+
+def test_packing_follows_the_mixture_and_keeps_uses_apart(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (20 + i % 30)), "en", "big" if i % 4 else "small", 1, "", "", "") for i in range(800)]
+    mixed = mixing.mixed_documents(frame(spark, rows), target_entropy=1.0, repetition_limit=3.0, block_tokens=500)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    stored = spark.read.parquet(f"{tmp_path}/mixed")
+    at = stored.select("doc_id", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file"), F.col("_metadata.row_index").alias("row")).collect()
+    packed = packing.pack(stored, batch_tokens=1_000, shard_rows=30, follow=True).collect()
+    for bucket in {r.bucket for r in packed}:
+        inside = {r.doc_id for r in packed if r.bucket == bucket}
+        want = [r.doc_id for r in sorted(at, key=lambda r: (r.file, r.row)) if r.doc_id in inside]
+        assert [r.doc_id for r in sorted((r for r in packed if r.bucket == bucket), key=lambda r: (r.batch, r.slot))] == want
+    uses = Counter(r.doc_id for r in packed)
+    assert max(uses.values()) == 3
+    batches = Counter(r.bucket for r in {(r.bucket, r.batch): r for r in packed}.values())
+    together = [r for r, n in Counter((r.doc_id, r.bucket, r.batch) for r in packed).items() if n > 1 and batches[r[1]] > 3]
+    assert not together
+
+
+def test_hot_keys_are_split_and_lose_nothing(spark):
+    from rankfield.llm.common import join_split
+
+    big = spark.range(6_000).selectExpr("id", "CASE WHEN id < 5000 THEN 1 ELSE id END AS k", "'x' AS _n")
+    small = spark.createDataFrame([(1, 5_000, "a"), (5_500, 1, "b"), (9, 1, "c")], "k long, n long, v string")
+    got = Counter((r.k, r.v) for r in join_split(big, small, ["k"], "n", ["id"], 6_000).collect())
+    assert got == {(1, "a"): 5_000, (5_500, "b"): 1}
+
+
+def test_storage_must_be_shared_off_local_mode():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="share"):
+        storage_dir(Session())
