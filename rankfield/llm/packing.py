@@ -57,7 +57,7 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
 def _in_files(docs: DataFrame) -> bool:
     """Whether the rows know their place in a Parquet file."""
     try:
-        return bool(docs.select("_metadata.row_index").columns)
+        return bool(docs.select(docs.metadataColumn("_metadata")["row_index"]).columns)
     except AnalysisException:
         return False
 
@@ -73,7 +73,7 @@ def pack(
     if follow and not _in_files(docs):
         docs = stored(docs, "rows-in-order")
     count = word_count(docs[text]) if tokens is None else F.coalesce(docs[tokens], F.lit(0)).cast("long")
-    stored_at = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")] if follow else [F.lit(0).cast("long")] * 2
+    stored_at = [F.regexp_extract(docs.metadataColumn("_metadata")["file_name"], r"part-(\d+)", 1).cast("long"), docs.metadataColumn("_metadata")["row_index"]] if follow else [F.lit(0).cast("long")] * 2
     rows = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all"), stored_at[0].alias("_file"), stored_at[1].alias("_index"))
     use = F.expr("row_number() OVER (PARTITION BY _doc, _text_key ORDER BY _all, _file, _index)").cast("long") - 1
     whole = cut(rows.withColumn("_use", use))
