@@ -66,10 +66,6 @@ def first_truthy(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(0).cast("long")) for c in columns], F.lit(0).cast("long"))
 
 
-def normal_title(title: Column) -> Column:
-    return F.regexp_replace(F.lower(title), r"[^a-z0-9]", "")
-
-
 def human_number(n: Column) -> Column:
     """1234 as 1.2K, 3000000 as 3M, 4e9 as 4B."""
 

@@ -1,7 +1,5 @@
 """Tokens, title relevance and vector expressions."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +67,16 @@ def title_contains_phrase(title: Column, keyword: Column) -> Column:
 
 
 def hashed_trigram_vectors(texts: DataFrame, text: str, size: int = 384) -> DataFrame:
-    """(text, vector): signed hashing of trigrams, unit length; one row per distinct text."""
+    """(text, vector): signed hashing of trigrams, unit length; one row per distinct text.
+
+    The place and the sign of a trigram come from its MD5, which other engines know.
+    """
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))
     known = texts.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_t", plain)
     grams = F.when(F.length("_t") < 3, F.array("_t")).otherwise(F.transform(F.sequence(F.lit(1), F.length("_t") - 2), lambda i: F.substring(F.col("_t"), i, F.lit(3))))
-    hashed = known.select(text, F.explode(grams).alias("_g")).withColumn("_h", F.xxhash64("_g"))
-    at, sign = F.pmod("_h", F.lit(size)), F.when(F.shiftrightunsigned("_h", 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+    hashed = known.select(text, F.explode(grams).alias("_g")).withColumn("_h", F.md5("_g"))
+    number = lambda a, n: F.conv(F.substring("_h", a, n), 16, 10).cast("long")
+    at, sign = F.pmod(number(1, 15), F.lit(size)), F.when(number(16, 2) % 2 == 1, 1.0).otherwise(-1.0)
     sums = hashed.groupBy(text, at.alias("_at")).agg(F.sum(sign).alias("_x"))
     packed = sums.groupBy(text).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_m"), F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
     cell = lambda i: F.coalesce(F.try_element_at(F.col("_m"), i.cast("long")), F.lit(0.0)) / F.greatest(F.col("_norm"), F.lit(1e-9))
@@ -85,7 +87,3 @@ def uncached(texts: DataFrame, cache: DataFrame, text: str, prefix: str = "", en
     """(key, text) of the distinct texts that the cache does not hold for this encoder."""
     keyed = texts.select(text).where(F.col(text).isNotNull()).distinct().withColumn("key", F.sha2(F.concat(F.lit(prefix), F.col(text)), 256))
     return keyed.join(cache.where(F.col("encoder") == encoder).select("key"), "key", "left_anti").select("key", text)
-
-
-def sum_columns(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

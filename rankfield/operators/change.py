@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfield.functions import text as tx
-from rankfield.operators.state import ABSENT, days_since
+from rankfield.operators.evaluate import exact_percentiles
+from rankfield.operators.state import ABSENT, days_since, of_country
 
 NEW_APP_YEARS = 1.5
 
@@ -29,28 +30,30 @@ def field_series(states: DataFrame) -> DataFrame:
     return states.orderBy("keyword", "observed_at")
 
 
-def depth_match(slots: DataFrame, depths: DataFrame) -> DataFrame:
-    """Today's page re-measured over its top n slots, n from ``depths`` (keyword, n)."""
-    rows = slots.join(depths, "keyword").where("slot <= n")
-    known = F.col("days") > 0
+def depth_match(slots: DataFrame, depths: DataFrame, top_n: int = 10) -> DataFrame:
+    """Today's page re-measured over its top n slots, n from ``depths`` (keyword, n);
+    ``matches_in_full`` counts exact titles over ``top_n`` slots whatever n."""
+    rows = slots.select("keyword", "slot", "installs", "age", "days", "floor_rate", "exact").join(depths, "keyword").where((F.col("slot") <= F.col("n")) | (F.col("slot") <= top_n))
+    yes = F.col("slot") <= F.col("n")
+    known = yes & (F.col("days") > 0)
     q = lambda c, where, x: F.percentile(F.when(where, c), F.lit(x))
-    yes = F.lit(True)
     return rows.groupBy("keyword").agg(
-        F.count("*").alias("n"), q(F.col("installs").cast("double"), yes, 0.5).alias("installs_p50"), q(F.col("installs").cast("double"), yes, 0.9).alias("installs_p90"),
+        F.count_if(yes).alias("n"), q(F.col("installs").cast("double"), yes, 0.5).alias("installs_p50"), q(F.col("installs").cast("double"), yes, 0.9).alias("installs_p90"),
         F.coalesce(q(F.col("age"), known, 0.5), F.lit(0.0)).alias("age_p50"), F.coalesce(q(F.col("floor_rate"), known, 0.5), F.lit(0.0)).alias("velocity_p50"),
-        (F.count_if(known) / F.count("*")).alias("age_known_frac"), F.count_if(known & (F.col("age") <= 1.0)).alias("newcomers"), F.count_if("exact").alias("exact_match_count"),
+        (F.count_if(known) / F.count_if(yes)).alias("age_known_frac"), F.count_if(known & (F.col("age") <= 1.0)).alias("newcomers"), F.count_if(yes & F.col("exact")).alias("exact_match_count"),
+        F.count_if((F.col("slot") <= top_n) & F.col("exact")).alias("matches_in_full"),
     )
 
 
-def field_deltas(states: DataFrame, slots: DataFrame, as_of: str, min_days: int = 60, top_n: int = 10) -> DataFrame:
+def field_deltas(states: DataFrame, slots: DataFrame, as_of: str, min_days: int = 60, top_n: int = 10, country: str | None = "us") -> DataFrame:
     """Oldest state with installs against today, today cut to the older page's depth."""
     first = Window.partitionBy("keyword").orderBy("observed_at")
-    old = states.where("installs_p50 is not null").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    today = depth_match(slots, old.select("keyword", F.when((F.col("n_apps") > 0) & (F.col("n_apps") < top_n), F.col("n_apps")).otherwise(top_n).alias("n")))
-    full = depth_match(slots, old.select("keyword", F.lit(top_n).alias("n"))).select("keyword", F.col("exact_match_count").alias("_matches"))
+    old = of_country(states, country).where("installs_p50 is not null").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    depth = F.when((F.col("n_apps") > 0) & (F.col("n_apps") < top_n), F.col("n_apps")).otherwise(top_n)
+    today = depth_match(slots, old.select("keyword", depth.alias("n")), top_n)
     o = old.select("keyword", *[F.col(c).alias(f"o_{c}") for c in old.columns if c not in ("keyword", "country")])
     days = F.datediff(F.lit(as_of).cast("date"), "o_observed_at")
-    j = today.join(full, "keyword").join(o, "keyword").withColumn("_days", days).withColumn("_years", F.col("_days") / 365.0)
+    j = today.join(o, "keyword").withColumn("_days", days).withColumn("_years", F.col("_days") / 365.0)
     lg = lambda c: F.log10(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + 1)
     one = lambda c: F.greatest(F.coalesce(F.nullif(c, F.lit(0).cast("long")), F.lit(1)), F.lit(1))
     dated = F.col("o_age_p50").isNotNull() & F.col("age_p50").isNotNull() & (F.col("o_age_known_frac") >= 0.5) & (F.col("age_known_frac") >= 0.5)
@@ -61,7 +64,7 @@ def field_deltas(states: DataFrame, slots: DataFrame, as_of: str, min_days: int
         "hist_age_days": F.least(F.col("_years"), F.lit(3.0)),
         "hist_installs_delta": installs,
         "hist_size_delta": (F.col("n") - F.col("o_n_apps")) / one(F.col("o_n_apps")),
-        "hist_match_delta": (F.col("_matches") - F.col("o_exact_match")) / one(F.col("o_exact_match")),
+        "hist_match_delta": (F.col("matches_in_full") - F.col("o_exact_match")) / one(F.col("o_exact_match")),
         "hist_hardening": installs / F.greatest("_years", F.lit(0.08)),
         "hist_dated": F.when(dated, 1.0).otherwise(0.0),
         "hist_renewal": F.when(dated, (F.col("_years") - (F.col("age_p50") - F.col("o_age_p50"))) / F.greatest("_years", F.lit(0.08))).otherwise(0.0),
@@ -84,11 +87,27 @@ def backfill_ages(states: DataFrame, observations: DataFrame, apps: DataFrame) -
     return joined.select(*[F.when(F.col("_a").isNotNull(), F.col(pairs[c])).otherwise(F.col(c)).alias(c) if c in pairs else F.col(c) for c in states.columns])
 
 
-def archive_age_stats(rows: DataFrame) -> DataFrame:
+def session_states(pages: DataFrame, day: str = "observed_at") -> DataFrame:
+    """Field history of archived session pages: one state of each (keyword, country, day).
+
+    ``pages`` has a row for each app of a page: doc, path, keyword, country, the day,
+    installs and released_at. Of several copies of a page the widest stays. Installs
+    that the page does not tell count as none; ages are those at the page's own day.
+    """
+    sized = pages.withColumn("n_apps", F.count("*").over(Window.partitionBy("doc", "path")))
+    copy = Window.partitionBy("keyword", "country", day).orderBy(F.desc("n_apps"), "doc", "path")
+    widest = sized.withColumn("_first", F.first(F.struct("doc", "path")).over(copy)).where(F.struct("doc", "path") == F.col("_first"))
+    counts = F.coalesce("installs", F.lit(0).cast("long")).cast("double")
+    states = widest.groupBy("keyword", "country", day).agg(F.count("*").alias("n_apps"), F.percentile(counts, 0.5).alias("installs_p50"), F.percentile(counts, 0.9).alias("installs_p90"))
+    ages = archive_age_stats(widest.withColumn("observed_at", F.col(day)), ["keyword", "country", "observed_at"]).withColumnRenamed("observed_at", day)
+    return states.join(ages, ["keyword", "country", day]).withColumns({"rating_p50": F.lit(None).cast("double"), "exact_match": F.lit(None).cast("long"), "source": F.lit("research")})
+
+
+def archive_age_stats(rows: DataFrame, key: tuple[str, ...] | list[str] = ("keyword", "observed_at")) -> DataFrame:
     """Ages of archived page rows at their own date; releases after it do not count."""
     days = F.when(F.col("released_at") <= F.col("observed_at"), F.datediff("observed_at", "released_at"))
     known = rows.withColumn("_age", F.when(days > 0, days / 365.0))
-    return known.groupBy("keyword", "observed_at").agg(F.percentile("_age", 0.5).alias("age_p50"), F.count_if(F.col("_age") <= 1.0).alias("newcomers"), (F.count("_age") / F.count("*")).alias("age_known_frac"))
+    return known.groupBy(*key).agg(F.percentile("_age", 0.5).alias("age_p50"), F.count_if(F.col("_age") <= 1.0).alias("newcomers"), (F.count("_age") / F.count("*")).alias("age_known_frac"))
 
 
 def consecutive_snapshots(observations: DataFrame, min_gap: int = 3) -> DataFrame:
@@ -103,8 +122,9 @@ def is_new_app(released: Column, seen: Column) -> Column:
     return F.coalesce((age >= 0) & (age <= NEW_APP_YEARS), F.lit(False))
 
 
-def transitions(observations: DataFrame, apps: DataFrame, min_gap: int = 3, sources: tuple[str, ...] = ("serp",)) -> DataFrame:
-    """Entries, exits and moves between consecutive snapshots of a keyword."""
+def transitions(observations: DataFrame, apps: DataFrame, min_gap: int = 3, sources: tuple[str, ...] = ("serp",), country: str | None = "us") -> DataFrame:
+    """Entries, exits and moves between consecutive snapshots of a keyword in a country."""
+    observations = of_country(observations, country)
     seen = observations.where(F.col("source").isin(*sources)) if sources else observations
     pairs = consecutive_snapshots(seen, min_gap)
     rows = seen.where("position is not null").join(apps.select("pkg", "title", "installs", "released_at"), "pkg")
@@ -123,8 +143,9 @@ def transition_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def outcomes(observations: DataFrame, apps: DataFrame, developers: tuple[str, ...]) -> DataFrame:
+def outcomes(observations: DataFrame, apps: DataFrame, developers: tuple[str, ...], country: str | None = "us") -> DataFrame:
     """Best position of own apps for each keyword; null if never on the page."""
+    observations = of_country(observations, country)
     mine = apps.where(F.lit(False))
     if developers:
         mine = apps.where(F.greatest(*[F.col("developer").like(d).cast("int") for d in (*developers, *developers)]) == 1)
@@ -149,5 +170,7 @@ def research_before(rows: DataFrame) -> DataFrame:
 
 def backtest(before: DataFrame, after: DataFrame, top_k: int = 10) -> DataFrame:
     """Recorded installs of the keywords that were later ranked, and that were missed."""
-    j = before.join(after, "keyword").withColumn("_hit", F.coalesce(F.col("position") <= top_k, F.lit(False)))
-    return j.agg(F.count("*").alias("pairs"), F.count_if("_hit").alias("ranked"), F.count_if(~F.col("_hit")).alias("missed"), F.percentile(F.when(F.col("_hit"), F.col("installs_median")), 0.5).alias("median_when_ranked"), F.percentile(F.when(~F.col("_hit"), F.col("installs_median")), 0.5).alias("median_when_missed"))
+    j = before.hint("merge").join(after, "keyword").withColumn("_hit", F.coalesce(F.col("position") <= top_k, F.lit(False)))
+    median = lambda hit, name: exact_percentiles(j.where(hit), F.col("installs_median"), [0.5]).select(F.get("values", 0).alias(name))
+    counts = j.agg(F.count("*").alias("pairs"), F.count_if("_hit").alias("ranked"), F.count_if(~F.col("_hit")).alias("missed"))
+    return counts.crossJoin(median(F.col("_hit"), "median_when_ranked")).crossJoin(median(~F.col("_hit"), "median_when_missed"))

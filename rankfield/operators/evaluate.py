@@ -1,6 +1,6 @@
 """Evaluation on (label, prediction) rows, and the run registry."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,35 @@ def calibration_error(rows: DataFrame, label: str = "y", score: str = "p", bins:
     return stats.agg((F.sum(F.col("n") * F.abs(F.col("y") - F.col("p"))) / F.sum("n")).alias("ece"))
 
 
+def exact_percentiles(rows: DataFrame, column: Column, at: list[float]) -> DataFrame:
+    """One row: ``values``, the interpolated percentiles of the non-null values (null if none).
+
+    No task sees all of them: equal values are counted first, 256 approximate
+    percentiles cut the line, counts run inside the pieces and are moved on by the
+    pieces below, and only the values at the wanted ranks are kept.
+    """
+    x = rows.select(column.cast("double").alias("_x")).where("_x is not null")
+    cuts = x.agg(F.percentile_approx("_x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("_cuts"), F.count("*").alias("_all"))
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    # (percentile, its share of the value at the lower or the upper of its two ranks)
+    ends = [F.struct(F.lit(i).alias("i"), r.cast("long").alias("r"), w.alias("w")) for i, q in enumerate(at) for r, w in ((F.floor(place(q)), F.ceil(place(q)) - place(q)), (F.ceil(place(q)), place(q) - F.floor(place(q))))]
+    cuts = cuts.select("_cuts", F.array(*ends).alias("_ends"))
+    by = x.groupBy("_x").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(cuts)).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    below = by.groupBy("_g").agg(F.sum("_n").alias("_m")).select("_g", F.expr("sum(_m) OVER (ORDER BY _g ROWS UNBOUNDED PRECEDING) - _m").alias("_before"))
+    ranked = by.withColumn("_in", F.expr("sum(_n) OVER (PARTITION BY _g ORDER BY _x ROWS UNBOUNDED PRECEDING) - _n")).join(below.hint("merge"), "_g").withColumn("_low", F.col("_before") + F.col("_in"))
+    hit = ranked.select("_x", F.explode(F.filter("_ends", lambda e: (e["r"] >= F.col("_low")) & (e["r"] < F.col("_low") + F.col("_n")))).alias("_e"))
+    mean = F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.sum(F.col("_x") * F.col("_e.w")))
+    found = hit.groupBy("_e.i").agg(mean.alias("v"))
+    return found.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_v")).select(F.when(F.size("_v") > 0, F.transform("_v", lambda e: e["v"])).alias("values"))
+
+
 def error_factor(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     """How many times off: median, p90, and mean absolute log error of log counts."""
     floor = lambda c: F.greatest(F.expm1(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(30.0))), F.lit(1.0))
     ratio = floor(predicted) / floor(actual)
     factor = F.greatest(ratio, 1 / ratio)
-    return rows.agg(F.count("*").alias("n"), F.avg(F.abs(F.col(actual) - F.col(predicted))).alias("mae_log"), F.percentile(factor, 0.5).alias("factor_p50"), F.percentile(factor, 0.9).alias("factor_p90"))
+    means = rows.agg(F.count("*").alias("n"), F.avg(F.abs(F.col(actual) - F.col(predicted))).alias("mae_log"))
+    return means.crossJoin(exact_percentiles(rows, factor, [0.5, 0.9])).select("n", "mae_log", F.get("values", 0).alias("factor_p50"), F.get("values", 1).alias("factor_p90"))
 
 
 def promotion_gate(run: DataFrame, registry: DataFrame, least_keywords: int = 25, least_auc: float = 0.55) -> DataFrame:
@@ -58,8 +81,8 @@ def register_run(registry: DataFrame, run: DataFrame) -> DataFrame:
 def head_to_head(rows: DataFrame, least: int = 30) -> DataFrame:
     """Which of the estimates ``a`` and ``b`` of ``actual`` has the lower median factor."""
     both = rows.where("a is not null and b is not null and actual is not null")
-    factor = lambda c: F.percentile(F.exp(F.abs(F.col(c) - F.col("actual"))), 0.5)
-    stats = both.agg(F.count("*").alias("n"), factor("a").alias("factor_a"), factor("b").alias("factor_b"))
+    factor = lambda c: exact_percentiles(both, F.exp(F.abs(F.col(c) - F.col("actual"))), [0.5]).select(F.get("values", 0).alias(f"factor_{c}"))
+    stats = both.agg(F.count("*").alias("n")).crossJoin(factor("a")).crossJoin(factor("b"))
     return stats.withColumn("better", F.when(F.col("n") < least, F.lit(None).cast("string")).when(F.col("factor_a") <= F.col("factor_b"), "a").otherwise("b"))
 
 

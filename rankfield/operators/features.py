@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rankfield.functions import text as tx
 
-# Feature names by direction, in registry order: fixed values.
+# Feature names by direction, each in the registry's order: fixed values.
 INCREASING = """kw_in_title kw_title_pos kw_density_title kw_in_short kw_desc_tf kw_cosine log_installs rating log_reviews
 app_velocity field_weakest_rank intent_reach field_newcomers""".split()
 DECREASING = """field_installs_p50 field_installs_p90 field_rating_p50 field_exact_match field_relevance_p50 field_relevant_count
@@ -52,7 +52,7 @@ SAME = {
 def extract_features(slots: DataFrame, fields: DataFrame, groups: DataFrame, suggestions: DataFrame, history: DataFrame) -> DataFrame:
     """keyword, pkg, slot, age, source and the 96 features of every ranked app."""
     f = fields.withColumnRenamed("own_pkg", "pkg").drop("own_slot").join(groups.withColumnRenamed("own_pkg", "pkg"), ["keyword", "pkg"], "left")
-    own = slots.select("keyword", "pkg", "slot", "age", "days", "stale_days", "source", "rate", F.col("installs").alias("_i"), F.col("rating").alias("_rating"), F.col("reviews").alias("_r"), F.col("title").alias("_t"), F.col("short_desc").alias("_s"), F.col("description").alias("_d"))
+    own = slots.select("keyword", "pkg", "slot", "age", "days", "stale_days", "source", "rate", F.col("installs").alias("_i"), F.col("rating").alias("_rating"), *([F.col("cosine")] if "cosine" in slots.columns else []), F.col("reviews").alias("_r"), F.col("title").alias("_t"), F.col("short_desc").alias("_s"), F.col("description").alias("_d"))
     rows = own.join(f, ["keyword", "pkg"]).join(suggestions, "keyword", "left").join(history, "keyword", "left")
     known = set(rows.columns)
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in known else F.lit(0.0)
@@ -75,9 +75,10 @@ def sign_align(features: DataFrame) -> DataFrame:
 
 def fit_scaler(features: DataFrame, columns: list[str]) -> DataFrame:
     """(name, mean, std): population spread; a constant column keeps its own unit."""
-    cells = features.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("double") for c in columns]))).alias("name", "x"))
-    std = F.stddev_pop("x")
-    return cells.groupBy("name").agg(F.avg("x").alias("mean"), F.when(std < 1e-3, 1.0).otherwise(std).alias("std"))
+    x = lambda c: F.col(c).cast("double")
+    one = features.agg(*[f(x(c)).alias(f"{k}_{c}") for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    rows = [F.struct(F.lit(c).alias("name"), F.col(f"mean_{c}").alias("mean"), F.when(F.col(f"std_{c}") < 1e-3, 1.0).otherwise(F.col(f"std_{c}")).alias("std")) for c in columns]
+    return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
 
 
 def apply_scaler(features: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,8 +93,8 @@ def page_rows(pairs: DataFrame, most: int = 12, rank_known: bool = True) -> Data
     top = pairs.where(F.col("idx") <= most)
     lead = Window.partitionBy("keyword", "own_pkg").orderBy("idx")
     gap = F.when(F.lit(rank_known), (F.col("slot") - F.col("own_slot")) / 10.0).otherwise(0.0)
-    has_vector = "vector" in pairs.columns
-    to_top = tx.cosine(F.col("vector"), F.first("vector").over(lead)) if has_vector else F.lit(0.0)
+    # the first row of the page without the own app is its second where the own leads
+    to_top = F.when(F.col("own_slot") == 1, F.col("sim_second")).otherwise(F.col("sim_first")) if "sim_first" in pairs.columns else F.lit(0.0)
     return top.select(
         "keyword", "own_pkg", "idx", (F.col("slot") / 10.0).alias("rank"), gap.alias("rank_gap"), F.lit(1.0 if rank_known else 0.0).alias("gap_known"), F.log1p("installs").alias("log_installs"), F.log1p("rate").alias("log_rate"),
         F.log1p("days").alias("age"), (F.col("days") > 0).cast("double").alias("age_known"), F.log1p(F.coalesce("measured_per_day", F.lit(0.0)) * 365.0).alias("log_measured"),
@@ -138,7 +139,7 @@ def training_set(features: DataFrame, top_n: int = 10) -> DataFrame:
 
 def group_split(rows: DataFrame, fraction: float = 0.25, seed: int = 0) -> DataFrame:
     """``held_out`` by keyword, never by row: the first keywords in hashed order."""
-    words = rows.select("keyword").distinct().withColumn("_h", F.xxhash64("keyword", F.lit(seed)))
+    words = rows.select("keyword").distinct().withColumn("_h", F.md5(F.concat_ws("|", "keyword", F.lit(str(seed)))))
     n = words.count()
     take = max(1, int(n * fraction))
     chosen = words.orderBy("_h", "keyword").limit(take).select("keyword", F.lit(True).alias("_out"))
@@ -158,17 +159,25 @@ def preference_pairs(rows: DataFrame, per_keyword: int = 60, seed: int = 0) -> D
     a = rows.select("keyword", F.col("pkg").alias("better"), F.col("slot").alias("_a"))
     b = rows.select("keyword", F.col("pkg").alias("worse"), F.col("slot").alias("_b"))
     sizes = rows.groupBy("keyword").agg(F.least(F.lit(per_keyword), 3 * F.count("*")).alias("_most"))
-    order = Window.partitionBy("keyword").orderBy(F.xxhash64("better", "worse", F.lit(seed)), "better", "worse")
+    order = Window.partitionBy("keyword").orderBy(F.md5(F.concat_ws("|", "better", "worse", F.lit(str(seed)))), "better", "worse")
     pairs = a.join(b, "keyword").where("_a < _b").withColumn("_n", F.row_number().over(order)).join(sizes, "keyword")
     return pairs.where("_n <= _most").select("keyword", "better", "worse")
 
 
-def bootstrap_resamples(rows: DataFrame, k: int = 7) -> DataFrame:
-    """``k`` resamples with replacement, one below the other, numbered ``member``."""
-    out = rows.sample(withReplacement=True, fraction=1.0, seed=0).withColumn("member", F.lit(0))
-    for i in range(1, k):
-        out = out.unionByName(rows.sample(withReplacement=True, fraction=1.0, seed=i).withColumn("member", F.lit(i)))
-    return out
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def bootstrap_resamples(rows: DataFrame, k: int = 7, key: tuple[str, ...] = ("keyword", "pkg")) -> DataFrame:
+    """``k`` resamples with replacement, numbered ``member``, in one pass.
+
+    A row comes as often as a Poisson draw of mean 1 says, read from a hash of its key
+    and the member: the same rows on every layout of the table.
+    """
+    name = F.concat_ws("|", *key, F.col("member").cast("string"))
+    draw = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    each = rows.withColumn("member", F.explode(F.array(*[F.lit(i) for i in range(k)])))
+    times = sum(((draw >= p).cast("int") for p in POISSON), F.lit(0))
+    return each.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
 
 
 def drop_leaks(features: DataFrame) -> DataFrame:

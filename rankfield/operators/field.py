@@ -7,13 +7,40 @@ from rankfield.functions.text import RELEVANT
 
 KEY = ["keyword", "own_pkg", "own_slot"]
 SCALE = 3.0
+BAND, BELOW = 2, 5
 
 
-def leave_one_out(slots: DataFrame) -> DataFrame:
-    """(keyword, own app) x the other rows; ``idx`` is the slot without the own app."""
-    own = slots.select("keyword", F.col("pkg").alias("own_pkg"), F.col("slot").alias("own_slot"))
-    pairs = own.join(slots, "keyword").where("own_pkg <> pkg")
-    return pairs.withColumn("idx", F.col("slot") - (F.col("slot") > F.col("own_slot")).cast("int"))
+def _own(slots: DataFrame) -> DataFrame:
+    group = [F.col("group").alias("_own_group")] if "group" in slots.columns else []
+    return slots.select("keyword", F.col("pkg").alias("own_pkg"), F.col("slot").alias("own_slot"), *group)
+
+
+def _paired(pairs: DataFrame) -> DataFrame:
+    """``idx``, and competition by the own app's group where pages are split."""
+    pairs = pairs.where("own_pkg <> pkg").withColumn("idx", F.col("slot") - (F.col("slot") > F.col("own_slot")).cast("int"))
+    if "_own_group" not in pairs.columns:
+        return pairs
+    mine = F.when(F.col("_own_group").isNotNull(), F.coalesce(F.col("group") == F.col("_own_group"), F.lit(False)))
+    return pairs.withColumn("on_intent", F.coalesce(mine, F.col("on_intent"))).drop("_own_group", "group")
+
+
+def leave_one_out(slots: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(keyword, own app) x all other rows of the page; ``idx`` is the slot without the own.
+
+    ``others`` are the rows to meet, if not all. Quadratic in the page, 250 slots at most:
+    what looks at the top or around the own slot only takes ``near_rows``.
+    """
+    return _paired(_own(slots).join(slots if others is None else others, "keyword"))
+
+
+def near_rows(slots: DataFrame, top_n: int = 10) -> DataFrame:
+    """The pairs of ``leave_one_out`` in the first ``top_n`` or close to the own slot.
+
+    Each app names the slots that it looks at, so the pairs grow with the rows.
+    """
+    near = F.sequence(F.greatest(F.col("own_slot") - BAND, F.lit(1)), F.col("own_slot") + BELOW)
+    wanted = F.array_distinct(F.concat(F.sequence(F.lit(1), F.lit(top_n + 1)), near))
+    return _paired(_own(slots).withColumn("slot", F.explode(wanted)).join(slots.hint("merge"), ["keyword", "slot"]))
 
 
 def _p(column: str | Column, q: float) -> Column:
@@ -46,13 +73,13 @@ def _first(condition: Column, by: list[Column], value: str) -> Column:
 
 
 def summarise(pairs: DataFrame, top_n: int = 10) -> DataFrame:
-    """One aggregate for every field statistic of a (keyword, own app)."""
+    """One aggregate for every field statistic of a (keyword, own app), from ``near_rows``."""
     top = F.col("idx") <= top_n
     known, recent = top & (F.col("days") > 0), top & (F.col("days") > 0) & (F.col("age") <= 1.0)
     mine = top & F.col("on_intent")
     fresh_mine = mine & (F.col("days") > 0) & (F.col("age") <= 1.0)
     gap = F.abs(F.col("slot") - F.col("own_slot"))
-    near, below = (gap > 0) & (gap <= 2), (F.col("slot") > F.col("own_slot")) & (F.col("slot") <= F.col("own_slot") + 5)
+    near, below = (gap > 0) & (gap <= BAND), (F.col("slot") > F.col("own_slot")) & (F.col("slot") <= F.col("own_slot") + BELOW)
     slot = F.col("slot")
     rest = top & (F.col("idx") > 1)
     q = lambda c, where, x: _p(_if(where, F.col(c).cast("double")), x)
@@ -107,16 +134,35 @@ def with_peer_norms(slots: DataFrame) -> DataFrame:
     return joined.withColumn("age_norm", F.when(F.col("age_norm") > 0, F.col("age_norm")).otherwise(F.coalesce("_norm", F.lit(0.0)))).drop("_norm")
 
 
-def prepared(context: DataFrame) -> DataFrame:
-    """Slots with peer norms, advantage, rate gap and intent by relevance."""
+def prepared(context: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Slots with peer norms, advantage, rate gap and intent by relevance.
+
+    With ``groups`` (keyword, pkg, group), the competition of an app is its own group;
+    relevance decides only for apps that are in none.
+    """
     rows = with_peer_norms(context)
+    if groups is not None:
+        rows = rows.join(groups.select("keyword", "pkg", "group").hint("merge"), ["keyword", "pkg"], "left")
     args = F.col("rate"), F.col("days"), F.col("age_norm")
     return rows.withColumn("advantage", advantage(*args)).withColumn("rate_vs_age", rate_gap(*args)).withColumn("on_intent", F.col("relevance") >= RELEVANT)
 
 
+YOUNG, DATED = "days > 0 and age <= 1.5", "days > 0 and installs > 0"
+
+
+def young_rows(slots: DataFrame) -> DataFrame:
+    """What ``unaided_recent`` reads, from the whole page."""
+    return leave_one_out(slots.select("keyword", "pkg", "slot"), slots.where(YOUNG).select("keyword", "pkg", "slot", "rate", "days", "age", "advantage"))
+
+
+def dated_rows(slots: DataFrame) -> DataFrame:
+    """What ``page_curve`` reads, from the whole page."""
+    return leave_one_out(slots.select("keyword", "pkg", "slot"), slots.where(DATED).select("keyword", "pkg", "slot", "rate", "days", "installs"))
+
+
 def unaided_recent(pairs: DataFrame) -> DataFrame:
     """Weighted median rate of apps up to 1.5 years old, weight 1 - advantage."""
-    rows = pairs.where("days > 0 and age <= 1.5").withColumn("_w", 1.0 - F.col("advantage"))
+    rows = pairs.where(YOUNG).withColumn("_w", 1.0 - F.col("advantage"))
     order = Window.partitionBy(*KEY).orderBy("rate", "_w", "slot")
     rows = rows.withColumn("_seen", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*KEY)))
     found = rows.groupBy(*KEY).agg(F.coalesce(F.min(F.when(F.round("_seen", 9) >= F.round(F.col("_all") / 2, 9), F.col("rate"))), F.max("rate")).alias("unaided_recent_rate"), F.max("_all").alias("unaided_recent_evidence"))
@@ -127,7 +173,7 @@ def unaided_recent(pairs: DataFrame) -> DataFrame:
 def page_curve(pairs: DataFrame, least: int = 6) -> DataFrame:
     """Least squares of log rate on rank and log age, and its value at the own rank."""
     x1, x2, y = F.col("slot").cast("double"), F.log1p("days"), F.log1p("rate")
-    pts = pairs.where("days > 0 and installs > 0").select(*KEY, x1.alias("x"), x2.alias("z"), y.alias("y"))
+    pts = pairs.where(DATED).select(*KEY, x1.alias("x"), x2.alias("z"), y.alias("y"))
     s = pts.groupBy(*KEY).agg(
         F.count("*").alias("m"), F.min("z").alias("young"), F.var_pop("x").alias("vx"), F.var_pop("z").alias("vz"), F.var_pop("y").alias("vy"),
         F.covar_pop("x", "z").alias("cxz"), F.covar_pop("x", "y").alias("cxy"), F.covar_pop("z", "y").alias("czy"), F.avg("x").alias("ax"), F.avg("z").alias("az"), F.avg("y").alias("ay"),
@@ -147,8 +193,7 @@ def featured_summary(cards: DataFrame) -> DataFrame:
 
 def field_table(slots: DataFrame, cards: DataFrame) -> DataFrame:
     """Every statistic of every (keyword, own app); an empty field gets its defaults."""
-    pairs = leave_one_out(slots)
-    own = slots.select("keyword", F.col("pkg").alias("own_pkg"), F.col("slot").alias("own_slot"))
-    table = own.join(summarise(pairs), KEY, "left").join(unaided_recent(pairs), KEY, "left").join(page_curve(pairs), KEY, "left").join(featured_summary(cards), "keyword", "left")
+    own = _own(slots).select(*KEY)
+    table = own.join(summarise(near_rows(slots)), KEY, "left").join(unaided_recent(young_rows(slots)), KEY, "left").join(page_curve(dated_rows(slots)), KEY, "left").join(featured_summary(cards), "keyword", "left")
     numbers = {c: 0 for c, kind in table.dtypes if c not in KEY and kind not in ("string",)}
     return table.fillna(numbers | {"weakest_rank": 99})

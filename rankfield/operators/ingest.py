@@ -50,15 +50,16 @@ def supplement_thin_results(primary: DataFrame, fallback: DataFrame, thin: int =
 
 def _walk(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every (doc, path, variant node) of JSON documents, at any depth."""
-    docs.select("doc", F.try_parse_json("json").alias("v")).createOrReplaceTempView("_session_docs")
-    # the default stops at a million nodes, which a large archive passes
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql("""
+    # LIMIT ALL: the default stops at a million nodes, which a large archive passes
+    return spark.sql(
+        """
         WITH RECURSIVE nodes(doc, path, key, v) AS (
-            SELECT doc, '$', CAST(NULL AS STRING), v FROM _session_docs
+            SELECT doc, '$', CAST(NULL AS STRING), v FROM {parsed}
             UNION ALL
             SELECT n.doc, concat(n.path, '/', coalesce(e.key, CAST(e.pos AS STRING))), e.key, e.value FROM nodes n, LATERAL variant_explode(n.v) e
-        ) SELECT doc, path, key, v FROM nodes""")
+        ) SELECT doc, path, key, v FROM nodes LIMIT ALL""",
+        parsed=docs.select("doc", F.try_parse_json("json").alias("v")),
+    )
 
 
 def extract_session_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def replace_suggestions(old: DataFrame, fetched: DataFrame, as_of: str) -> DataF
     query = F.trim(F.regexp_replace(F.lower("query"), r"\s+", " "))
     new = fetched.select(query.alias("query"), F.posexplode("suggestions").alias("position", "suggestion"))
     new = new.select("query", F.lit("us").alias("country"), F.col("position").cast("long").alias("position"), F.lower(F.trim("suggestion")).alias("suggestion"), F.lit(as_of).cast("date").alias("fetched_at"))
-    return old.join(new.select("query").distinct(), "query", "left_anti").select(*new.columns).unionByName(new)
+    return old.join(new.select("query").distinct().hint("merge"), "query", "left_anti").select(*new.columns).unionByName(new)
 
 
 def copy_intersecting(source: DataFrame, target_columns: list[str]) -> tuple[DataFrame, list[str]]:

@@ -28,11 +28,11 @@ def average_linkage(vectors: np.ndarray, cutoff: float) -> np.ndarray:
     sums = (vectors @ vectors.T).astype(np.float64)
     size = np.ones(len(vectors))
     label = np.arange(len(vectors))
-    alive = np.ones(len(vectors), bool)
+    alive, below = np.ones(len(vectors), bool), np.tril_indices(len(vectors))
     while alive.sum() > 1:
         mean = sums / np.outer(size, size)
         mean[~alive] = mean[:, ~alive] = -np.inf
-        mean[np.tril_indices(len(vectors))] = -np.inf
+        mean[below] = -np.inf
         best = int(mean.argmax())
         a, b = divmod(best, len(vectors))
         if mean[a, b] < cutoff:
@@ -78,7 +78,7 @@ def label_groups(rows: DataFrame) -> DataFrame:
     counts = words.groupBy("keyword", "group", "w").agg(F.count("*").alias("n"))
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("keyword", "group").orderBy(F.desc("n"), "w"))).where("_r <= 3")
     need = F.when(F.col("size") <= 2, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("size") / 2)))
-    named = sizes.join(top, ["keyword", "group"], "left").groupBy("keyword", "group", "size").agg(F.array_sort(F.collect_list(F.when(F.col("n") >= need, F.struct("_r", "w")))).alias("_w"))
+    named = sizes.join(top.hint("merge"), ["keyword", "group"], "left").groupBy("keyword", "group", "size").agg(F.array_sort(F.collect_list(F.when(F.col("n") >= need, F.struct("_r", "w")))).alias("_w"))
     return named.select("keyword", "group", F.when(F.size("_w") > 0, F.array_join(F.transform("_w", lambda x: x["w"]), " / ")).otherwise("mixed").alias("label"))
 
 
@@ -86,18 +86,18 @@ def group_affinity(rows: DataFrame, keywords: DataFrame) -> DataFrame:
     """Inner product of the keyword's vector with each group's normalised mean vector."""
     cells = rows.select("keyword", "group", F.posexplode("vector").alias("i", "x")).groupBy("keyword", "group", "i").agg(F.avg("x").alias("m"))
     keyed = keywords.select("keyword", F.posexplode("keyword_vector").alias("i", "k"))
-    sums = cells.join(keyed, ["keyword", "i"]).groupBy("keyword", "group").agg(F.sum(F.col("m") * F.col("k")).alias("_d"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("_n"))
+    sums = cells.join(keyed.hint("merge"), ["keyword", "i"]).groupBy("keyword", "group").agg(F.sum(F.col("m") * F.col("k")).alias("_d"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("_n"))
     return sums.select("keyword", "group", (F.col("_d") / (F.col("_n") + 1e-9)).alias("affinity"))
 
 
 def group_for(apps: DataFrame, membership: DataFrame) -> DataFrame:
     """An app's own group if it is ranked, otherwise the group at the top of the page."""
-    return apps.join(membership, ["keyword", "pkg"], "left").withColumn("group", F.coalesce("group", F.lit(0)))
+    return apps.join(membership.hint("merge"), ["keyword", "pkg"], "left").withColumn("group", F.coalesce("group", F.lit(0)))
 
 
 def intent_stats(slots: DataFrame, membership: DataFrame, top_n: int = 10) -> DataFrame:
     """Rivals, installs, reach and share of each ranked app's own group."""
-    rows = slots.join(membership, ["keyword", "pkg"])
+    rows = slots.join(membership.hint("merge"), ["keyword", "pkg"])
     groups = describe_groups(rows).select("keyword", "group", "size", "best_rank", "median_installs", "weakest_installs")
     pages = slots.groupBy("keyword").agg(F.least(F.count("*") - 1, F.lit(top_n)).alias("_n"))
     joined = rows.select("keyword", "pkg", "group").join(groups, ["keyword", "group"]).join(pages, "keyword")

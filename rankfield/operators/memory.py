@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 MARGIN = 0.25
 TAU = 0.75
 SHRINK = 1.0
+BROADCAST_ROWS = 20_000
 
 
 def target_score_for_rank(scores: Column, rank: Column) -> Column:
@@ -22,12 +23,24 @@ def write_residual(target: Column, predicted: Column, weight: Column) -> Column:
 
 def read_residuals(queries: DataFrame, residuals: DataFrame, top_k: int = 16) -> DataFrame:
     """(keyword, pkg, residual): the last one filed for the row itself, else the kernel mean
-    of the nearest. Filed corrections are few; queries meet them in one nested loop."""
+    of the nearest. Weights that agree to nine digits are ties, which go by id.
+
+    Every query meets every correction: in a broadcast while these are counted to be at
+    most ``BROADCAST_ROWS``, else block by block, so that no task has all of them.
+    """
+    blocks = -(-residuals.count() // BROADCAST_ROWS)
     q = queries.select("keyword", "pkg", F.col("features").alias("_q"))
     r = residuals.select(F.col("keyword").alias("_kw"), F.col("pkg").alias("_pkg"), F.col("features").alias("_x"), F.col("residual").alias("_r"), F.col("weight").alias("_cw"), F.col("id").alias("_id"))
     gap = F.aggregate(F.zip_with("_q", "_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(r, F.size("_q") == F.size("_x")).withColumn("_w", F.exp(-gap / (TAU * TAU)) * F.col("_cw")).withColumn("_same", (F.col("keyword") == F.col("_kw")) & (F.col("pkg") == F.col("_pkg")))
-    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("keyword", "pkg").orderBy(F.desc("_w"), "_id")))
+    if blocks <= 1:
+        met = q.join(F.broadcast(r), F.size("_q") == F.size("_x"))
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        own = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int")
+        left, right = q.withColumn("_a", own("keyword", "pkg")).withColumn("_b", every), r.withColumn("_b", own("_id")).withColumn("_a", every)
+        met = left.join(right.hint("merge"), ["_a", "_b"]).where(F.size("_q") == F.size("_x")).drop("_a", "_b")
+    pairs = met.withColumn("_w", F.exp(-gap / (TAU * TAU)) * F.col("_cw")).withColumn("_same", (F.col("keyword") == F.col("_kw")) & (F.col("pkg") == F.col("_pkg")))
+    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("keyword", "pkg").orderBy(F.desc(F.round("_w", 9)), "_id")))
     exact = F.max_by(F.when(F.col("_same"), F.col("_r") * F.col("_cw") / (F.col("_cw") + SHRINK)), F.when(F.col("_same"), F.col("_id")))
     close = F.col("_n") <= top_k
     kernel = F.sum(F.when(close, F.col("_w") * F.col("_r"))) / (F.sum(F.when(close, F.col("_w"))) + SHRINK)

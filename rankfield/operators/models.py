@@ -1,7 +1,5 @@
 """Rank and download estimators on ``pyspark.ml``, fitted and applied on tables."""
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -19,7 +17,8 @@ WIDTHS = ((1.0, 0.2), (2.0, 0.5), (4.0, 1.0))
 
 def _bounds(columns: list[str]) -> DenseMatrix:
     """Aligned monotone columns cannot count against an app; free ones can."""
-    return DenseMatrix(1, len(columns), [0.0 if c in fx.MONOTONE else -math.inf for c in columns])
+    # finite: the solver scales bounds by the spread of a column, which may be 0
+    return DenseMatrix(1, len(columns), [0.0 if c in fx.MONOTONE else -1e9 for c in columns])
 
 
 def _logistic(columns: list[str], intercept: bool, weight: str | None) -> Pipeline:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rankfield.functions import parse
 from rankfield.functions import text as tx
+from rankfield.operators.evaluate import exact_percentiles
 
 TOP_K = 10
 
@@ -26,7 +27,8 @@ def confidence(spread: Column, n_keywords: Column) -> Column:
 
 def thompson_draw(members: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Each row scored by one member, picked by a hash of the row."""
-    return members.where(F.col("member") == F.pmod(F.xxhash64("keyword", "pkg", F.lit(seed)), F.lit(k)))
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", "keyword", "pkg", F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return members.where(F.col("member") == place % k)
 
 
 def download_figures(mean: Column, spread: Column, cap: float) -> dict[str, Column]:
@@ -70,7 +72,7 @@ def entry_ranks(scored: DataFrame, entrants: DataFrame, cards: DataFrame) -> Dat
 
 def score_quantiles(scored: DataFrame) -> DataFrame:
     """One row: the 0th to 100th percentile of the score."""
-    return scored.agg(F.percentile("score", F.array(*[F.lit(i / 100) for i in range(101)])).alias("quantiles"))
+    return exact_percentiles(scored, F.col("score"), [i / 100 for i in range(101)]).select(F.col("values").alias("quantiles"))
 
 
 def to_percentile(quantiles: Column, value: Column) -> Column:
@@ -143,10 +145,12 @@ def counterfactual(features: DataFrame, coefficients: DataFrame, names: list[str
     """(keyword, pkg, feature, yours, theirs, gain) against the holder of the gate slot:
     the first slot from ``gate_slot`` on, else the last. Linear in the coefficients."""
     last = features.groupBy("keyword").agg(F.coalesce(F.min(F.when(F.col("slot") >= gate_slot, F.col("slot"))), F.max("slot")).alias("_g"))
-    cells = lambda df, value: df.select("keyword", "pkg", "slot", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))).alias("feature", value))
-    gate = cells(features.join(last, "keyword").where("slot = _g"), "theirs").select("keyword", "feature", "theirs")
+    gate = features.join(last, "keyword").where("slot = _g").select("keyword", F.array(*[F.col(n).cast("double") for n in names]).alias("_theirs"))
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("yours"), F.get("_theirs", i).alias("theirs")) for i, n in enumerate(names)])
+    apart = features.join(gate, "keyword").select("keyword", "pkg", F.explode(F.filter(cells, lambda x: x["yours"] != x["theirs"])).alias("_x")).select("keyword", "pkg", "_x.*")
     gain = F.col("coefficient") * (F.col("theirs") - F.col("yours"))
-    return cells(features, "yours").join(gate, ["keyword", "feature"]).where("yours <> theirs").join(F.broadcast(coefficients), "feature").select("keyword", "pkg", "feature", "yours", "theirs", gain.alias("gain"))
+    # a coefficient for each feature: as few as the features
+    return apart.join(F.broadcast(coefficients), "feature").select("keyword", "pkg", "feature", "yours", "theirs", gain.alias("gain"))
 
 
 def why(gains: DataFrame, up: int = 6, down: int = 3) -> DataFrame:

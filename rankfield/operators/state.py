@@ -14,30 +14,50 @@ def days_since(date: Column, ref: Column) -> Column:
     return F.coalesce(F.greatest(F.datediff(ref, date), F.lit(0)), F.lit(0))
 
 
-def latest_observations(observations: DataFrame, apps: DataFrame) -> DataFrame:
-    """Newest ranked row of each (keyword, app), joined to the app."""
-    newest = Window.partitionBy("keyword", "country", "pkg").orderBy(F.desc("observed_at"), "source")
+def of_country(observations: DataFrame, country: str | None) -> DataFrame:
+    return observations if country is None else observations.where(F.col("country") == country)
+
+
+def newest_first(observations: DataFrame) -> list[Column]:
+    """Later rows first: of one time the last one written (``id``) where that is known,
+    else a reviewer's row, then a fetched page's, then a check of an own app."""
+    if "id" in observations.columns:
+        return [F.desc("observed_at"), F.desc("id")]
+    rank = F.when(F.col("source") == "review", 0).when(F.col("source") == "serp", 1).when(F.col("source") == "owned", 2).otherwise(3)
+    return [F.desc("observed_at"), rank, F.col("source")]
+
+
+def latest_observations(observations: DataFrame, apps: DataFrame, country: str | None = "us") -> DataFrame:
+    """Newest ranked row of each (keyword, country, app), joined to the app.
+
+    ``country`` None keeps all countries, each with pages of its own.
+    """
+    observations = of_country(observations, country)
+    newest = Window.partitionBy("keyword", "country", "pkg").orderBy(*newest_first(observations))
     seen = observations.where("position is not null").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
     return seen.join(apps, "pkg")
 
 
-def featured_apps(observations: DataFrame, apps: DataFrame) -> DataFrame:
-    """Newest promoted row of each (keyword, app)."""
-    newest = Window.partitionBy("keyword", "country", "pkg").orderBy(F.desc("observed_at"))
+def featured_apps(observations: DataFrame, apps: DataFrame, country: str | None = "us") -> DataFrame:
+    """Newest promoted row of each (keyword, country, app)."""
+    observations = of_country(observations, country)
+    newest = Window.partitionBy("keyword", "country", "pkg").orderBy(*newest_first(observations))
     cards = observations.where("featured = 1").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "position")
     return cards.join(apps, "pkg")
 
 
-def ranked_fields(observations: DataFrame, apps: DataFrame, mode: str = "default") -> DataFrame:
-    """Every keyword's page with dense slots 1..n in place of the stored position.
+def ranked_fields(observations: DataFrame, apps: DataFrame, mode: str = "default", country: str | None = "us") -> DataFrame:
+    """Every page of a country with dense slots 1..n in place of the stored position.
+
+    A page is a (keyword, country). What is built on slots reads one country's pages.
 
     ``default`` leaves out rows that were checked and found absent; ``reference`` gives
     them slots at the end.
     """
-    rows = latest_observations(observations, apps)
+    rows = latest_observations(observations, apps, country)
     if mode == "default":
         rows = rows.where(F.col("position") < ABSENT)
-    order = Window.partitionBy("keyword").orderBy("position", (F.col("source") != "review").cast("int"), F.desc("installs"), "pkg")
+    order = Window.partitionBy("keyword", "country").orderBy("position", (F.col("source") != "review").cast("int"), F.desc("installs"), "pkg")
     return rows.withColumn("slot", F.row_number().over(order))
 
 
@@ -66,19 +86,33 @@ def norm_for_age(rows: DataFrame, norms: DataFrame, age: str = "age", key: str =
 
 
 def keyword_breadth(observations: DataFrame) -> DataFrame:
-    """Distinct keywords an app is seen under."""
+    """Distinct keywords an app is seen under, in any country."""
     return observations.where("position is not null").groupBy("pkg").agg(F.count_distinct("keyword").alias("breadth"))
 
 
-def attach_context(fields: DataFrame, snapshots: DataFrame, observations: DataFrame, apps: DataFrame, as_of: str) -> DataFrame:
-    """Slots with growth, breadth, ages, rates and the age norm."""
+def attach_meaning(rows: DataFrame, keyword_vectors: DataFrame, app_vectors: DataFrame) -> DataFrame:
+    """Slots with ``cosine`` to the keyword, ``relevance`` blended with the meaning, and
+    the cosines to the first and second app of the page."""
+    known = rows.join(app_vectors.select("pkg", "vector"), "pkg", "left").join(keyword_vectors.select("keyword", "keyword_vector"), "keyword", "left")
+    lead = known.groupBy("keyword").agg(*[F.first(F.when(F.col("slot") == n, F.col("vector")), ignorenulls=True).alias(f"_lead{n}") for n in (1, 2)])
+    out = known.join(lead, "keyword")
+    to = lambda n: tx.cosine(F.col("vector"), F.col(f"_lead{n}"))
+    blended = tx.blended_relevance(F.col("lexical"), F.col("keyword_vector"), F.col("vector"))
+    return out.withColumns({"relevance": blended, "cosine": tx.cosine(F.col("keyword_vector"), F.col("vector")), "sim_first": to(1), "sim_second": to(2)}).drop("vector", "keyword_vector", "_lead1", "_lead2")
+
+
+def attach_context(
+    fields: DataFrame, snapshots: DataFrame, observations: DataFrame, apps: DataFrame, as_of: str, keyword_vectors: DataFrame | None = None, app_vectors: DataFrame | None = None
+) -> DataFrame:
+    """Slots with growth, breadth, ages, rates, relevance and the age norm."""
     ref = F.lit(as_of).cast("date")
     rows = fields.join(measured_growth(snapshots), "pkg", "left").join(keyword_breadth(observations), "pkg", "left")
     rows = rows.withColumn("breadth", F.coalesce("breadth", F.lit(0).cast("long"))).withColumn("days", days_since(F.col("released_at"), ref)).withColumn("stale_days", days_since(F.col("updated_at"), ref))
     rows = rows.withColumn("age", F.col("days") / 365.0)
     rows = rows.withColumn("rate", F.when(F.col("days") > 0, F.col("installs") / F.greatest("age", F.lit(1 / 365.0))).otherwise(0.0))
     rows = rows.withColumn("floor_rate", F.when(F.col("days") > 0, F.col("installs") / F.greatest("age", F.lit(0.25))))
-    rows = rows.withColumn("relevance", tx.lexical_relevance(F.col("title"), F.col("short_desc"), F.col("description"), F.col("keyword")))
+    rows = rows.withColumn("lexical", tx.lexical_relevance(F.col("title"), F.col("short_desc"), F.col("description"), F.col("keyword")))
+    rows = rows.withColumn("relevance", F.col("lexical")) if keyword_vectors is None or app_vectors is None else attach_meaning(rows, keyword_vectors, app_vectors)
     rows = rows.withColumn("exact", tx.exact_match(F.col("title"), F.col("keyword")))
     return norm_for_age(rows, age_rate_norms(apps, as_of))
 
@@ -132,7 +166,7 @@ def match_targets(keywords: DataFrame, own: DataFrame, least: float = 0.6) -> Da
     """Best own app for each keyword by the share of its tokens in the title."""
     wanted = keywords.select("keyword", F.size(F.array_distinct(tx.tokens(F.col("keyword")))).alias("_n"), F.explode(F.array_distinct(tx.tokens(F.col("keyword")))).alias("_t"))
     held = own.select("pkg", "title", F.explode(F.array_distinct(tx.tokens(F.col("title")))).alias("_t"))
-    shares = wanted.join(held, "_t").groupBy("keyword", "_n", "pkg", "title").agg(F.count("*").alias("_hits")).withColumn("share", F.col("_hits") / F.col("_n"))
+    shares = wanted.join(held.hint("merge"), "_t").groupBy("keyword", "_n", "pkg", "title").agg(F.count("*").alias("_hits")).withColumn("share", F.col("_hits") / F.col("_n"))
     order = Window.partitionBy("keyword").orderBy(F.desc("share"), "pkg")
     return shares.where(F.col("share") >= least).withColumn("_r", F.row_number().over(order)).where("_r = 1").select("keyword", "pkg", "title", "share")
 

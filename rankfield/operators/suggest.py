@@ -63,7 +63,7 @@ def expansion_seeds(keywords: DataFrame) -> DataFrame:
 def harvest_family(rows: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, phrase): every suggestion of every seed, without the keyword."""
     seeds = expansion_seeds(keywords)
-    return seeds.join(rows, seeds["seed"] == rows["query"]).select("keyword", F.col("suggestion").alias("phrase")).where("phrase <> keyword").distinct()
+    return seeds.join(rows.hint("merge"), seeds["seed"] == rows["query"]).select("keyword", F.col("suggestion").alias("phrase")).where("phrase <> keyword").distinct()
 
 
 def next_words(family: DataFrame, most: int = 12) -> DataFrame:

@@ -5,26 +5,11 @@ from pyspark.sql import functions as F
 from rankfield.functions import parse
 from rankfield.functions import text as tx
 from rankfield.operators import ingest
-from rankfield.plans.pages import apps, observations, rounded, slots
+from rankfield.plans.pages import app_vectors, apps, keyword_vectors, observations, rounded, slots
+from rankfield.plans.raw import COMPACT, COUNT, ISO_DATE, STORE_DATE, YEAR_ONLY, raw, sessions
 from rankfield.plans.registry import query
 from rankfield.sources.views import AS_OF, view
 
-DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
-COUNT = f"coalesce(TRY_CAST(nullif({DIGITS.format('{0}')}, '') AS BIGINT), 0)"
-UNIT = "regexp_extract(lower(trim({0})), '^([0-9]+(?:\\.[0-9]+)?)\\s*([kmb])\\+?$', {1})"
-COMPACT = (
-    "coalesce(CAST(round(TRY_CAST(nullif(" + UNIT.format("{0}", 1) + ", '') AS DOUBLE) * CASE " + UNIT.format("{0}", 2) + " WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 END) AS BIGINT), TRY_CAST(nullif("
-    + DIGITS.format("{0}") + ", '') AS BIGINT))"
-)
-STORE_DATE = "CAST(try_strptime(nullif(regexp_extract(trim({0}), '^([A-Z][a-z][a-z] [0-9]+, [0-9]+)$', 1), ''), '%b %d, %Y') AS DATE)"
-ISO_DATE = "TRY_CAST(nullif(regexp_extract(trim({0}), '^([0-9]+-[0-9]+-[0-9]+)', 1), '') AS DATE)"
-YEAR_ONLY = "nullif(regexp_extract(trim({0}), '^((?:19|20)[0-9][0-9])$', 1), '')"
-
-
-def raw(spark, sf_dir):
-    return view(spark, sf_dir, "fx_raw")
-
-
 @query(f"""SELECT pkg, title, coalesce(nullif(installs_real, 0), nullif(installs_min, 0), nullif(installs_shown, 0), 0) AS installs, coalesce(nullif(score, 0), rating, 0) AS rating,
 coalesce(nullif(ratings_count, 0), nullif(reviews_count, 0), 0) AS reviews, {STORE_DATE.format('released_text')} AS released_at FROM fx_raw""")
 def s1_normalize_listings(spark, sf_dir):
@@ -56,35 +41,25 @@ def s9_merge_details(spark, sf_dir):
     return ingest.merge_details(raw(spark, sf_dir).select("pkg", "title", "score"), details)
 
 
-@query("""WITH a AS (SELECT title AS page, pkg FROM fx_raw WHERE ordinal % 4 = 0), b AS (SELECT title AS page, pkg FROM fx_raw WHERE ordinal % 2 = 0),
+@query("""WITH a AS (SELECT title AS page, pkg FROM fx_raw WHERE featured AND score >= 4), b AS (SELECT title AS page, pkg FROM fx_raw),
 s AS (SELECT b.page FROM (SELECT page, count(*) AS n FROM b GROUP BY page) b LEFT JOIN (SELECT page, count(*) AS n FROM a GROUP BY page) a ON a.page = b.page WHERE coalesce(a.n, 0) < 5 AND b.n > coalesce(a.n, 0))
 SELECT page, pkg, 'primary' AS origin FROM a UNION ALL SELECT page, pkg, 'fallback' FROM b WHERE page IN (SELECT page FROM s) AND NOT EXISTS (SELECT 1 FROM a WHERE a.page = b.page AND a.pkg = b.pkg)""")
 def s10_supplement_thin_results(spark, sf_dir):
-    rows = raw(spark, sf_dir).select(F.col("title").alias("page"), "pkg", "ordinal")
-    return ingest.supplement_thin_results(rows.where("ordinal % 4 = 0").drop("ordinal"), rows.where("ordinal % 2 = 0").drop("ordinal"))
+    """The best featured listings of a title, filled up from all of it."""
+    rows = raw(spark, sf_dir)
+    listing = lambda df: df.select(F.col("title").alias("page"), "pkg")
+    return ingest.supplement_thin_results(listing(rows.where("featured and score >= 4")), listing(rows))
 
 
-def sessions(spark, sf_dir):
-    """Nested session documents: a page a brand, some of them grouped, some deep."""
-    row = F.struct(F.col("pkg").alias("package"), "title", F.col("installs_text").alias("installs"))
-    lists = raw(spark, sf_dir).where("ordinal % 3 = 0").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ordinal", row.alias("r")))).alias("x"))
-    listed = F.transform("x", lambda x: x["r"])
-    plain = F.to_json(F.struct(F.struct(F.col("page").alias("keyword"), listed.alias("apps")).alias("found")))
-    deep = F.to_json(F.struct(F.array(F.struct(F.col("page").alias("seed_keyword"), F.struct(listed.alias("semantic_matches")).alias("market_proof"))).alias("steps")))
-    grouped = F.to_json(F.struct(F.col("page").alias("keyword"), listed.alias("qualifying")))
-    kind = F.length("page") + F.ascii(F.substring("page", -1, 1))
-    return lists.select(F.col("page").alias("doc"), F.when(kind % 3 == 0, plain).when(kind % 3 == 1, deep).otherwise(grouped).alias("json"))
-
-
-@query(f"""SELECT page AS doc, lower(page) AS keyword, (length(page) + ascii(right(page, 1))) % 3 <> 2 AS ordered, CAST(row_number() OVER (PARTITION BY page ORDER BY ordinal) - 1 AS INT) AS ordinal, pkg, {COMPACT.format('installs_text')} AS installs FROM fx_raw WHERE ordinal % 3 = 0""")
+@query(f"""SELECT page AS doc, lower(page) AS keyword, (length(page) + ascii(right(page, 1))) % 3 <> 2 AS ordered, CAST(row_number() OVER (PARTITION BY page ORDER BY ordinal) - 1 AS INT) AS ordinal, pkg, {COMPACT.format('installs_text')} AS installs FROM fx_raw""")
 def s11_s12_session_pages(spark, sf_dir):
     return ingest.extract_session_pages(spark, sessions(spark, sf_dir)).select("doc", "keyword", "ordered", "ordinal", "pkg", "installs")
 
 
-@query("""SELECT keyword, CAST(slot - 1 AS INT) AS ordinal, title, installs FROM (SELECT keyword, slot, title || ' ' || pkg AS title, CAST(slot * 1000 AS BIGINT) AS installs FROM t_slots WHERE slot <= 6) WHERE slot % 3 <> 0""")
+@query("""SELECT keyword, CAST(slot - 1 AS INT) AS ordinal, title, installs FROM (SELECT keyword, slot, title || ' ' || pkg AS title, CAST(slot * 1000 AS BIGINT) AS installs FROM t_slots) WHERE slot % 3 <> 0""")
 def s13_parse_text_sample(spark, sf_dir):
     part = F.concat_ws(" ", "title", "pkg", F.when(F.col("slot") % 3 != 0, F.concat(F.col("slot").cast("string"), F.lit("k"))))
-    samples = slots(spark, sf_dir).where("slot <= 6").groupBy("keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", part.alias("p")))), lambda x: x["p"]), ", ").alias("sample"))
+    samples = slots(spark, sf_dir).groupBy("keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", part.alias("p")))), lambda x: x["p"]), ", ").alias("sample"))
     return ingest.parse_text_sample(samples, "sample")
 
 
@@ -214,26 +189,8 @@ def t2_t5_t10_title_features(spark, sf_dir):
     return rounded(slots(spark, sf_dir).select("keyword", "pkg", tx.exact_match(c[0], c[3]).alias("exact"), tx.title_contains_phrase(c[0], c[3]).alias("phrase"), *[v.alias(k) for k, v in features.items()]))
 
 
-NEAREST = "JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) e ON e.vec_id = a.p_partkey % (SELECT count(*) FROM embeddings)"
-KEYWORD_VECTORS = "(SELECT keyword, v FROM (SELECT keyword, row_number() OVER (ORDER BY keyword) - 1 AS i FROM (SELECT DISTINCT keyword FROM fx_observations)) k JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) e ON e.vec_id = k.i)"
-
-
-def app_vectors(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    n = vectors.count()
-    return apps(spark, sf_dir).withColumn("vec_id", F.col("p_partkey") % n).join(vectors.select("vec_id", "embedding"), "vec_id").select("pkg", F.col("embedding").alias("vector"))
-
-
-def keyword_vectors(spark, sf_dir):
-    """Keyword vectors by alphabetical index; a keyword list, not data, is numbered here."""
-    from pyspark.sql import Window
-
-    words = observations(spark, sf_dir).select("keyword").distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("keyword")) - 1)
-    return words.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id").select("keyword", F.col("embedding").alias("keyword_vector"))
-
-
-@query(f"""SELECT s.keyword, s.pkg, round(list_dot_product(k.v, e.v), 4) AS dot, round(list_cosine_similarity(k.v, e.v), 4) AS cosine, round(0.6 * relevance + 0.4 * greatest(0, list_dot_product(k.v, e.v)), 4) AS blended
-FROM t_context s JOIN fx_apps a ON a.pkg = s.pkg {NEAREST} JOIN {KEYWORD_VECTORS} k ON k.keyword = s.keyword""")
+@query("""SELECT s.keyword, s.pkg, round(list_dot_product(k.v, e.v), 4) AS dot, round(list_cosine_similarity(k.v, e.v), 4) AS cosine, round(relevance, 4) AS blended
+FROM t_context s JOIN t_app_vectors e ON e.pkg = s.pkg JOIN t_keyword_vectors k ON k.keyword = s.keyword""")
 def t3_t4_t6_blended_relevance(spark, sf_dir):
     c = [F.col(x) for x in ("title", "short_desc", "description", "keyword")]
     rows = slots(spark, sf_dir).join(app_vectors(spark, sf_dir), "pkg").join(keyword_vectors(spark, sf_dir), "keyword")
@@ -241,10 +198,15 @@ def t3_t4_t6_blended_relevance(spark, sf_dir):
     return rounded(rows.select("keyword", "pkg", dot.alias("dot"), tx.cosine(F.col("keyword_vector"), F.col("vector")).alias("cosine"), tx.blended_relevance(tx.lexical_relevance(*c), F.col("keyword_vector"), F.col("vector")).alias("blended")), 4)
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT text, trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g')) AS p FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT text, md5(unnest(CASE WHEN length(p) < 3 THEN [p] ELSE list_transform(range(1, length(p) - 1), lambda i: substr(p, i::INT, 3)) END)) AS h FROM t),
+c AS (SELECT text, CAST(('0x' || substr(h, 1, 15))::BIGINT % 384 AS INT) AS place, sum(CASE WHEN ('0x' || substr(h, 16, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE) AS x FROM g GROUP BY ALL)
+SELECT sha256(text) AS key, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY text)), 6) AS x FROM c WHERE x <> 0""")
 def t7_hashed_trigram_vectors(spark, sf_dir):
+    """The vectors' components other than zero."""
     docs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text")
-    return tx.hashed_trigram_vectors(docs, "text").select(F.sha2("text", 256).alias("key"), "vector")
+    vectors = tx.hashed_trigram_vectors(docs, "text").select(F.sha2("text", 256).alias("key"), F.posexplode("vector").alias("place", "x"))
+    return rounded(vectors.where("x <> 0"))
 
 
 @query("SELECT pkg, concat(title, '. ', concat_ws(' ', short_desc, substr(trim(regexp_replace(description, '\\s+', ' ', 'g')), 1, 240))) AS text FROM fx_apps")

@@ -2,32 +2,41 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankfield.operators import evaluate, field, intent, memory, models, scoring, suggest
 from rankfield.operators import change as ch
 from rankfield.operators import features as fx
-from rankfield.plans.ingest import KEYWORD_VECTORS, NEAREST, app_vectors, keyword_vectors
-from rankfield.plans.pages import apps, cards, context, observations, ready, rounded, slots, states
+from rankfield.plans.pages import app_vectors, apps, cards, context, keyword_vectors, observations, ready, rounded, slots, states
 from rankfield.plans.registry import query
-from rankfield.sources.storage import kept, scratch
+from rankfield.sources.storage import kept, once, scratch
 from rankfield.sources.views import AS_OF, view
 from rankfield.streaming import jobs
 
-COLUMNS = ["kw_in_title", "kw_density_title", "rating", "log_installs", "log_reviews", "field_installs_p50", "field_age_p50", "intent_cut_share", "leader_lead", "breadth_gap"]
-SCORE = "ln(1 + installs) + rating"
+# Group cutoff of the test vectors, which are spread wider than a sentence encoder's.
+CUTOFF = 0.15
 
 
 def members(spark, sf_dir):
-    """First 40 slots of a page with unit vectors: the depth of a page that is shown."""
-    rows = context(spark, sf_dir).where("slot <= 40").join(app_vectors(spark, sf_dir), "pkg")
+    """Whole pages with unit vectors."""
+    rows = context(spark, sf_dir).join(app_vectors(spark, sf_dir), "pkg")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     return rows.withColumn("vector", F.transform("vector", lambda x: x.cast("double") / norm))
 
 
+def groups(spark, sf_dir):
+    """(keyword, pkg, group) of whole pages, kept."""
+    return once(spark, sf_dir, "page-groups", lambda: intent.cluster_pages(members(spark, sf_dir), CUTOFF))
+
+
 def grouped(spark, sf_dir):
-    rows = members(spark, sf_dir)
-    return rows.join(intent.cluster_pages(rows, 0.15), ["keyword", "pkg"])
+    return context(spark, sf_dir).join(groups(spark, sf_dir).hint("merge"), ["keyword", "pkg"])
+
+
+def thirds(spark, sf_dir):
+    """Pages split by slot, in place of a split by meaning: groups that SQL knows too."""
+    return context(spark, sf_dir).withColumn("group", (F.col("slot") % 3).cast("int"))
 
 
 def scored(spark, sf_dir):
@@ -35,7 +44,7 @@ def scored(spark, sf_dir):
 
 
 UNIT = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
-PAIRS = f"(SELECT s.keyword, s.pkg, s.slot, {UNIT} AS u FROM t_slots s JOIN fx_apps a ON a.pkg = s.pkg {NEAREST} WHERE s.slot <= 40)"
+PAIRS = f"(SELECT s.keyword, s.pkg, s.slot, {UNIT} AS u FROM t_slots s JOIN t_app_vectors a ON a.pkg = s.pkg)"
 
 
 @query(f"SELECT x.keyword, x.pkg AS a, y.pkg AS b, round(list_dot_product(x.u, y.u), 4) AS similarity FROM {PAIRS} x JOIN {PAIRS} y ON y.keyword = x.keyword AND x.slot < y.slot")
@@ -60,64 +69,83 @@ def i4_label_groups(spark, sf_dir):
 
 @query()
 def i5_group_affinity(spark, sf_dir):
-    return rounded(intent.group_affinity(grouped(spark, sf_dir), keyword_vectors(spark, sf_dir)))
+    rows = members(spark, sf_dir).join(groups(spark, sf_dir).hint("merge"), ["keyword", "pkg"])
+    return rounded(intent.group_affinity(rows, keyword_vectors(spark, sf_dir)))
 
 
 @query()
 def i6_group_for(spark, sf_dir):
-    page = grouped(spark, sf_dir).select("keyword", "pkg", "group")
-    return intent.group_for(observations(spark, sf_dir).select("keyword", "pkg").distinct(), page)
+    return intent.group_for(observations(spark, sf_dir).select("keyword", "pkg").distinct(), groups(spark, sf_dir))
+
+
+@query("SELECT o.keyword, o.pkg, coalesce(slot % 3, 0) AS \"group\" FROM (SELECT DISTINCT keyword, pkg FROM fx_observations) o LEFT JOIN t_slots s ON s.keyword = o.keyword AND s.pkg = o.pkg")
+def i6_group_for_fixed_groups(spark, sf_dir):
+    return intent.group_for(observations(spark, sf_dir).select("keyword", "pkg").distinct(), thirds(spark, sf_dir).select("keyword", "pkg", "group"))
 
 
 @query()
 def i7_ambiguous_pages(spark, sf_dir):
-    return intent.ambiguous_pages(grouped(spark, sf_dir))
+    return intent.ambiguous_pages(groups(spark, sf_dir))
+
+
+@query("SELECT keyword, count(DISTINCT length(title) % 3) AS groups FROM t_slots GROUP BY keyword HAVING count(DISTINCT length(title) % 3) > 1")
+def i7_ambiguous_fixed_groups(spark, sf_dir):
+    return intent.ambiguous_pages(slots(spark, sf_dir).withColumn("group", F.length("title") % 3))
 
 
 @query()
 def f19_intent_stats(spark, sf_dir):
-    rows = grouped(spark, sf_dir)
-    return rounded(intent.intent_stats(rows.drop("group"), rows.select("keyword", "pkg", "group")))
+    return rounded(intent.intent_stats(context(spark, sf_dir), groups(spark, sf_dir)))
 
 
-GROUPED = "(SELECT s.*, slot % 3 AS grp FROM t_context s WHERE slot <= 40)"
+GROUPED = "(SELECT s.*, slot % 3 AS grp FROM t_context s)"
+
+
+@query(f"""WITH g AS (SELECT keyword, grp, count(*) AS size, min(slot) AS best, CAST(floor(quantile_cont(CAST(installs AS DOUBLE), 0.5)) AS BIGINT) AS med, min(installs) AS weak FROM {GROUPED} GROUP BY keyword, grp), n AS (SELECT keyword, greatest(least(count(*) - 1, 10), 1) AS n FROM t_slots GROUP BY keyword)
+SELECT s.keyword, s.pkg AS own_pkg, size - 1 AS intent_rivals, med AS intent_median, weak AS intent_weakest, round(1 - (best - 1) / CAST(n AS DOUBLE), 6) AS intent_reach, round(size / CAST(n AS DOUBLE), 6) AS intent_share FROM {GROUPED} s JOIN g ON g.keyword = s.keyword AND g.grp = s.grp JOIN n ON n.keyword = s.keyword""")
+def f19_stats_of_fixed_groups(spark, sf_dir):
+    rows = thirds(spark, sf_dir)
+    return rounded(intent.intent_stats(rows.drop("group"), rows.select("keyword", "pkg", "group")))
 
 
 @query(f"""SELECT keyword, grp AS "group", count(*) AS size, min(slot) AS best_rank, CAST(floor(quantile_cont(CAST(installs AS DOUBLE), 0.5)) AS BIGINT) AS median_installs, min(installs) AS weakest_installs, count(*) FILTER (days > 0 AND age <= 1) AS newcomers, list(pkg ORDER BY slot) AS packages FROM {GROUPED} GROUP BY keyword, grp""")
 def i3_describe_fixed_groups(spark, sf_dir):
     """The description of groups that are given, not found."""
-    rows = context(spark, sf_dir).where("slot <= 40").withColumn("group", F.col("slot") % 3)
-    return intent.describe_groups(rows).select("keyword", "group", "size", "best_rank", "median_installs", "weakest_installs", "newcomers", "packages")
+    return intent.describe_groups(thirds(spark, sf_dir)).select("keyword", "group", "size", "best_rank", "median_installs", "weakest_installs", "newcomers", "packages")
 
 
 @query(f"""WITH w AS (SELECT keyword, grp, unnest(list_distinct(tt)) AS w FROM {GROUPED}), c AS (SELECT keyword, grp, w, count(*) AS n FROM w WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'app', 'apps', 'free', 'pro', 'your', 'with', 'best', 'new', 'phone', 'mobile') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY keyword, grp ORDER BY n DESC, w) AS r FROM c), z AS (SELECT keyword, grp, count(*) AS size FROM {GROUPED} GROUP BY ALL)
 SELECT z.keyword, z.grp AS "group", coalesce(string_agg(r.w, ' / ' ORDER BY r.r) FILTER (r.n >= CASE WHEN size <= 2 THEN 1 ELSE greatest(2, floor(size / 2)) END), 'mixed') AS label FROM z LEFT JOIN r ON r.keyword = z.keyword AND r.grp = z.grp AND r.r <= 3 GROUP BY z.keyword, z.grp""")
 def i4_label_fixed_groups(spark, sf_dir):
-    return intent.label_groups(context(spark, sf_dir).where("slot <= 40").withColumn("group", F.col("slot") % 3))
+    return intent.label_groups(thirds(spark, sf_dir))
 
 
 @query(f"""SELECT s.keyword, s."group", round(list_dot_product(list(m ORDER BY i), list(k ORDER BY i)) / (sqrt(list_dot_product(list(m ORDER BY i), list(m ORDER BY i))) + 1e-9), 4) AS affinity
-FROM (SELECT keyword, "group", i, avg(x) AS m FROM (SELECT s.keyword, s.slot % 3 AS "group", unnest({UNIT}) AS x, generate_subscripts(v, 1) AS i FROM t_slots s JOIN fx_apps a ON a.pkg = s.pkg {NEAREST} WHERE s.slot <= 40) GROUP BY ALL) s
-JOIN (SELECT keyword, unnest(v) AS k, generate_subscripts(v, 1) AS i FROM {KEYWORD_VECTORS}) USING (keyword, i) GROUP BY s.keyword, s."group" """)
+FROM (SELECT keyword, "group", i, avg(x) AS m FROM (SELECT s.keyword, s.slot % 3 AS "group", unnest({UNIT}) AS x, generate_subscripts(v, 1) AS i FROM t_slots s JOIN t_app_vectors a ON a.pkg = s.pkg) GROUP BY ALL) s
+JOIN (SELECT keyword, unnest(v) AS k, generate_subscripts(v, 1) AS i FROM t_keyword_vectors) USING (keyword, i) GROUP BY s.keyword, s."group" """)
 def i5_affinity_of_fixed_groups(spark, sf_dir):
     return rounded(intent.group_affinity(members(spark, sf_dir).withColumn("group", F.col("slot") % 3), keyword_vectors(spark, sf_dir)), 4)
 
 
-def features(spark, sf_dir):
-    rows = kept(ready(spark, sf_dir), "slots")
+def features_of(spark, sf_dir, split):
+    """The 96 features of every ranked app, its page split by ``split`` (keyword, pkg, group)."""
+    rows = kept(field.prepared(context(spark, sf_dir), split), "split-rows")
     fields = kept(field.field_table(rows, cards(spark, sf_dir)), "fields")
-    page = rows.where("slot <= 40")
-    groups = intent.intent_stats(page, page.select("keyword", "pkg", F.when(F.col("on_intent"), 0).otherwise(1).alias("group")))
+    stats = intent.intent_stats(rows.drop("group"), split)
     signals = suggest.suggestion_signals(view(spark, sf_dir, "fx_suggestions"), rows.select("keyword"))
-    return fx.extract_features(rows, fields, groups, signals, ch.field_deltas(states(spark, sf_dir), rows, AS_OF))
+    return fx.extract_features(rows, fields, stats, signals, ch.field_deltas(states(spark, sf_dir), rows, AS_OF))
+
+
+def features(spark, sf_dir):
+    """Features of pages split by meaning, kept."""
+    return once(spark, sf_dir, "features", lambda: features_of(spark, sf_dir, groups(spark, sf_dir)))
 
 
 @query()
 def x1_feature_registry(spark, sf_dir):
     """The catalogue with each feature's spread over the tables."""
-    table = kept(features(spark, sf_dir), "features")
-    return fx.feature_registry(spark).join(fx.fit_scaler(table, fx.FEATURES), "name")
+    return fx.feature_registry(spark).join(fx.fit_scaler(features(spark, sf_dir), fx.FEATURES).hint("merge"), "name")
 
 
 @query()
@@ -125,6 +153,27 @@ def x2_extract_features(spark, sf_dir):
     return rounded(features(spark, sf_dir))
 
 
+X2_COLUMNS = ["kw_in_title", "kw_title_pos", "kw_density_title", "kw_in_short", "kw_desc_tf", "kw_cosine", "log_installs", "rating", "log_reviews", "app_velocity", "field_weakest_rank", "field_installs_p50", "field_spread", "field_relevance_p50", "field_relevant_count", "intent_rivals", "intent_median", "intent_reach", "intent_velocity", "intent_neighbour_rate", "band_rate", "leader_lead", "breadth_gap", "advantage_p50", "kw_tokens", "days_since_release", "days_since_update"]
+_TOP, _MINE = "FILTER (idx <= 10)", "FILTER (idx <= 10 AND own_slot % 3 = slot % 3)"
+
+
+@query(f"""WITH f AS (SELECT keyword, own_pkg AS pkg, arg_min(slot, installs * 1000 + slot) {_TOP} AS wr, quantile_cont(CAST(installs AS DOUBLE), 0.1) {_TOP} AS p10, quantile_cont(CAST(installs AS DOUBLE), 0.5) {_TOP} AS p50, quantile_cont(CAST(installs AS DOUBLE), 0.9) {_TOP} AS p90, quantile_cont(relevance, 0.5) {_TOP} AS rel, count(*) {_MINE} AS mine,
+  coalesce(quantile_cont(floor_rate, 0.5) {_MINE}, 0) AS iv, coalesce(arg_min(rate, gap * 1000 + slot) {_MINE}, 0) AS nr, coalesce(quantile_cont(floor_rate, 0.5) FILTER (gap > 0 AND gap <= 2), 0) AS band,
+  ln(1 + arg_min(installs, idx) {_TOP}) - ln(1 + coalesce(quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (idx <= 10 AND idx > 1), quantile_cont(CAST(installs AS DOUBLE), 0.5) {_TOP})) AS lead,
+  ln(1 + arg_min(breadth, idx) {_TOP}) - ln(1 + coalesce(quantile_cont(CAST(breadth AS DOUBLE), 0.5) FILTER (idx <= 10 AND idx > 1), quantile_cont(CAST(breadth AS DOUBLE), 0.5) {_TOP})) AS bg, quantile_cont(advantage, 0.5) {_TOP} AS adv FROM t_loo GROUP BY keyword, own_pkg),
+g AS (SELECT keyword, grp, count(*) AS size, min(slot) AS best, floor(quantile_cont(CAST(installs AS DOUBLE), 0.5)) AS med FROM {GROUPED} GROUP BY keyword, grp), n AS (SELECT keyword, greatest(least(count(*) - 1, 10), 1) AS n FROM t_slots GROUP BY keyword)
+SELECT s.keyword, s.pkg, s.slot, CASE WHEN list_has_all(tt, kt) THEN 1.0 ELSE 0.0 END::DOUBLE AS kw_in_title, round(coalesce(1 - (list_min(list_filter(list_transform(kt, lambda t: coalesce(list_position(tt, t), 0)), lambda x: x > 0)) - 1) / CAST(len(tt) AS DOUBLE), 0), 5) AS kw_title_pos,
+round(len(list_filter(tt, lambda t: list_contains(kt, t))) / CAST(len(tt) AS DOUBLE), 5) AS kw_density_title, CASE WHEN list_has_all(st, kt) THEN 1.0 ELSE 0.0 END::DOUBLE AS kw_in_short, round(len(list_filter(dt, lambda t: list_contains(kt, t))) / (len(list_filter(dt, lambda t: list_contains(kt, t))) + 1.5::DOUBLE), 5) AS kw_desc_tf,
+round(cosine, 5) AS kw_cosine, round(ln(1 + installs), 5) AS log_installs, round(rating, 5) AS rating, round(ln(1 + reviews), 5) AS log_reviews, round(ln(1 + installs / greatest(age, 0.25)), 5) AS app_velocity, round(1 - wr / 100.0::DOUBLE, 5) AS field_weakest_rank, round(ln(1 + p50), 5) AS field_installs_p50, round(ln(1 + p90) - ln(1 + p10), 5) AS field_spread,
+round(rel, 5) AS field_relevance_p50, CAST(mine AS DOUBLE) AS field_relevant_count, CAST(size - 1 AS DOUBLE) AS intent_rivals, round(ln(1 + med), 5) AS intent_median, round(1 - (best - 1) / CAST(n AS DOUBLE), 5) AS intent_reach, round(ln(1 + iv), 5) AS intent_velocity, round(ln(1 + nr), 5) AS intent_neighbour_rate, round(ln(1 + band), 5) AS band_rate,
+round(lead, 5) AS leader_lead, round(bg, 5) AS breadth_gap, round(adv, 5) AS advantage_p50, CAST(len(kt) AS DOUBLE) AS kw_tokens, round(age, 5) AS days_since_release, round(stale_days / 365.0::DOUBLE, 5) AS days_since_update
+FROM {GROUPED} s JOIN f ON f.keyword = s.keyword AND f.pkg = s.pkg JOIN g ON g.keyword = s.keyword AND g.grp = s.grp JOIN n ON n.keyword = s.keyword""")
+def x2_features_of_fixed_groups(spark, sf_dir):
+    """The feature table over groups that SQL knows too; a third of its columns are compared."""
+    table = features_of(spark, sf_dir, thirds(spark, sf_dir).select("keyword", "pkg", "group"))
+    return rounded(table.select("keyword", "pkg", "slot", *X2_COLUMNS), 5)
+
+
 @query("SELECT keyword, pkg, -round(ln(1 + installs), 6) AS field_installs_p50, round(rating, 6) AS rating FROM t_slots")
 def x3_sign_align(spark, sf_dir):
     return rounded(fx.sign_align(slots(spark, sf_dir).select("keyword", "pkg", F.log1p("installs").alias("field_installs_p50"), "rating")))
@@ -150,10 +199,15 @@ def x5_apply_scaler(spark, sf_dir):
 
 @query("""SELECT keyword, own_pkg, idx, slot / 10.0::DOUBLE AS rank, (slot - own_slot) / 10.0::DOUBLE AS rank_gap, 1.0::DOUBLE AS gap_known, round(ln(1 + installs), 5) AS log_installs, round(ln(1 + rate), 5) AS log_rate, round(ln(1 + days), 5) AS age,
 CASE WHEN days > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS age_known, round(ln(1 + coalesce(measured_per_day, 0) * 365.0::DOUBLE), 5) AS log_measured, CASE WHEN measured_per_day IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS measured_known, rating, round(ln(1 + reviews), 5) AS log_reviews,
-round(relevance, 5) AS relevance, CAST(on_intent AS DOUBLE) AS on_intent, 0.0::DOUBLE AS sim_to_top, round((slot - first_value(slot) OVER (PARTITION BY keyword, own_pkg ORDER BY idx)) / 10.0::DOUBLE, 5) AS top_rank_gap, round(advantage, 5) AS advantage, round(rate_vs_age, 5) AS rate_vs_age, round(ln(1 + breadth), 5) AS breadth,
+round(relevance, 5) AS relevance, CAST(on_intent AS DOUBLE) AS on_intent, round(CASE WHEN own_slot = 1 THEN sim_second ELSE sim_first END, 5) AS sim_to_top, round((slot - first_value(slot) OVER (PARTITION BY keyword, own_pkg ORDER BY idx)) / 10.0::DOUBLE, 5) AS top_rank_gap, round(advantage, 5) AS advantage, round(rate_vs_age, 5) AS rate_vs_age, round(ln(1 + breadth), 5) AS breadth,
 CAST(contains(lower(title), lower(trim(keyword))) AS DOUBLE) AS title_exact, round(least(stale_days / 365.0::DOUBLE, 10), 5) AS staleness, CAST(featured AS DOUBLE) AS featured FROM t_loo WHERE idx <= 12""")
 def x6_page_rows(spark, sf_dir):
-    return rounded(fx.page_rows(field.leave_one_out(ready(spark, sf_dir))), 5)
+    return rounded(fx.page_rows(field.near_rows(ready(spark, sf_dir), 12)), 5)
+
+
+def points(spark, sf_dir):
+    rows = ready(spark, sf_dir)
+    return fx.download_points(field.leave_one_out(rows, rows.where("released_at is not null").select("keyword", "pkg", "slot", "released_at", "rate")))
 
 
 POINTS = "SELECT * FROM (SELECT keyword, own_pkg, own_slot, row_number() OVER (PARTITION BY keyword, own_pkg ORDER BY gap, slot) AS place, released_at AS released, slot AS rank, rate FROM t_loo WHERE released_at IS NOT NULL) WHERE place <= 16"
@@ -161,14 +215,14 @@ POINTS = "SELECT * FROM (SELECT keyword, own_pkg, own_slot, row_number() OVER (P
 
 @query(f"SELECT keyword, own_pkg, place, released, rank, round(rate, 5) AS rate FROM ({POINTS})")
 def x7_download_points(spark, sf_dir):
-    return rounded(fx.download_points(field.leave_one_out(ready(spark, sf_dir))).drop("own_slot"), 5)
+    return rounded(points(spark, sf_dir).drop("own_slot"), 5)
 
 
 @query(f"""WITH d AS (SELECT *, date_diff('day', DATE '{AS_OF}', released) AS n, (rank - own_slot) / 10.0::DOUBLE AS br FROM ({POINTS}))
 SELECT keyword, own_pkg, place, round(sign(n) * ln(1 + abs(n)), 5) AS newer, round(br, 5) AS by_rank, round(ln(1 + rate), 5) AS log_rate, round(ln(1 + abs(n)), 5) AS apart, round(abs(br), 5) AS ranks_apart, CASE WHEN rank < own_slot THEN 1.0 ELSE 0.0 END::DOUBLE AS above, round(sign(-n) * ln(1 + abs(n)), 5) AS age FROM d""")
 def x8_describe_points(spark, sf_dir):
     day = F.lit(AS_OF).cast("date")
-    return rounded(fx.describe_points(fx.download_points(field.leave_one_out(ready(spark, sf_dir))), day, day), 5)
+    return rounded(fx.describe_points(points(spark, sf_dir), day, day), 5)
 
 
 @query("""SELECT keyword, pkg, CASE WHEN slot <= 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS label, round(CASE WHEN age > 0 AND age <= 1.5 THEN ln(1 + rate) END, 5) AS rate_label,
@@ -178,11 +232,9 @@ def x9_x12_training_labels(spark, sf_dir):
     return rounded(fx.training_set(rows).select("keyword", "pkg", "label", "rate_label", "weight", "rate_weight"), 5)
 
 
-@query("SELECT min(keywords) AS keywords, max(held) AS held FROM (SELECT count(DISTINCT keyword) AS keywords, greatest(1, CAST(floor(count(DISTINCT keyword) * 0.25) AS BIGINT)) AS held FROM t_slots)")
+@query("SELECT s.keyword, pkg, n <= greatest(1, floor(0.25 * m)) AS held_out FROM t_slots s JOIN (SELECT keyword, row_number() OVER (ORDER BY md5(keyword || '|0'), keyword) AS n, count(*) OVER () AS m FROM (SELECT DISTINCT keyword FROM t_slots)) k ON k.keyword = s.keyword")
 def x10_group_split(spark, sf_dir):
-    """How many keywords, and how many of them are held out, whole."""
-    rows = fx.group_split(slots(spark, sf_dir).select("keyword", "pkg"))
-    return rows.agg(F.count_distinct("keyword").alias("keywords"), F.count_distinct(F.when(F.col("held_out"), F.col("keyword"))).alias("held"))
+    return fx.group_split(slots(spark, sf_dir).select("keyword", "pkg"))
 
 
 @query("SELECT keyword, pkg, length(keyword) % 4 = 0 AS held_out FROM t_slots")
@@ -191,17 +243,15 @@ def x11_fixed_holdout(spark, sf_dir):
     return fx.fixed_holdout(rows, rows.where("length(keyword) % 4 = 0").select("keyword"))
 
 
-@query("SELECT keyword, least(60, 3 * n, n * (n - 1) / 2)::BIGINT AS pairs, true AS ordered FROM (SELECT keyword, count(*) AS n FROM t_slots GROUP BY keyword) WHERE n > 1")
+@query("SELECT keyword, better, worse FROM (SELECT a.keyword, a.pkg AS better, b.pkg AS worse, row_number() OVER (PARTITION BY a.keyword ORDER BY md5(a.pkg || '|' || b.pkg || '|0'), a.pkg, b.pkg) AS n FROM t_slots a JOIN t_slots b ON b.keyword = a.keyword AND a.slot < b.slot) p JOIN (SELECT keyword, least(60, 3 * count(*)) AS most FROM t_slots GROUP BY keyword) USING (keyword) WHERE n <= most")
 def x13_preference_pairs(spark, sf_dir):
-    rows = slots(spark, sf_dir).select("keyword", "pkg", "slot")
-    at = rows.select("keyword", "pkg", "slot")
-    pairs = fx.preference_pairs(rows).join(at.withColumnsRenamed({"pkg": "better", "slot": "a"}), ["keyword", "better"]).join(at.withColumnsRenamed({"pkg": "worse", "slot": "b"}), ["keyword", "worse"])
-    return pairs.groupBy("keyword").agg(F.count("*").alias("pairs"), F.bool_and(F.col("a") < F.col("b")).alias("ordered"))
+    return fx.preference_pairs(slots(spark, sf_dir).select("keyword", "pkg", "slot"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT keyword, pkg, member, ('0x' || substr(md5(keyword || '|' || pkg || '|' || member), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t_slots, range(7) m(member))
+SELECT keyword, pkg, CAST(member AS INT) AS member, CAST({' + '.join(f'CASE WHEN u >= {p} THEN 1 ELSE 0 END' for p in fx.POISSON)} AS BIGINT) AS n FROM d WHERE u >= {fx.POISSON[0]}""")
 def x14_bootstrap_resamples(spark, sf_dir):
-    return fx.bootstrap_resamples(slots(spark, sf_dir).select("keyword", "pkg"), 7).groupBy("member").agg(F.count("*").alias("n"))
+    return fx.bootstrap_resamples(slots(spark, sf_dir).select("keyword", "pkg"), 7).groupBy("keyword", "pkg", "member").agg(F.count("*").alias("n"))
 
 
 @query("SELECT keyword, pkg, rating FROM t_slots")
@@ -210,37 +260,75 @@ def x15_drop_leaks(spark, sf_dir):
 
 
 def aligned(spark, sf_dir):
-    table = fx.sign_align(fx.training_set(features(spark, sf_dir)))
-    return table.select("keyword", "pkg", "slot", "age", "source", "rate", "label", "rate_label", "weight", "rate_weight", *COLUMNS).transform(kept, "features")
+    """All features, aligned, in standard deviations, with the labels."""
+    table = features(spark, sf_dir)
+    scaled = fx.apply_scaler(table, fx.fit_scaler(table, fx.FEATURES), fx.FEATURES)
+    # labels and weights read the unscaled age and rate
+    own = table.select("keyword", "pkg", F.col("age").alias("_age"), F.col("rate").alias("_rate"))
+    rows = scaled.drop("age", "rate").join(own, ["keyword", "pkg"]).withColumnsRenamed({"_age": "age", "_rate": "rate"})
+    return once(spark, sf_dir, "aligned", lambda: fx.sign_align(fx.training_set(rows)))
 
 
 @query()
 def m1_monotone_ranker(spark, sf_dir):
     rows = aligned(spark, sf_dir)
-    return rounded(models.scores(models.fit_monotone_ranker(rows, COLUMNS), rows))
+    return rounded(models.scores(models.fit_monotone_ranker(rows, fx.FEATURES), rows))
+
+
+@query()
+def m1_held_out_auc(spark, sf_dir):
+    """Fitted on three quarters of the keywords, judged on the rest."""
+    rows = fx.group_split(aligned(spark, sf_dir)).transform(kept, "split")
+    found = models.scores(models.fit_monotone_ranker(rows.where("not held_out"), fx.FEATURES), rows.where("held_out"))
+    judged = found.select((1 / (1 + F.exp(-F.col("logit")))).alias("p"), (F.col("slot") <= 10).cast("int").alias("y"))
+    return rounded(evaluate.auc(judged).crossJoin(evaluate.calibration_error(judged)))
 
 
 @query()
 def m2_pairwise_ranker(spark, sf_dir):
     rows = aligned(spark, sf_dir)
-    return rounded(models.scores(models.fit_pairwise_ranker(rows, fx.preference_pairs(rows), COLUMNS), rows))
+    return rounded(models.scores(models.fit_pairwise_ranker(rows, fx.preference_pairs(rows), fx.FEATURES), rows))
+
+
+def member_logits(spark, sf_dir):
+    """The logits of an ensemble of seven, kept."""
+    rows = aligned(spark, sf_dir)
+    return once(spark, sf_dir, "member-logits", lambda: models.member_scores(models.fit_members(rows, fx.FEATURES), rows))
 
 
 @query()
 def m3_m5_ensemble(spark, sf_dir):
     """Mean logit, spread, agreement and confidence, and one member's draw, of each row."""
-    rows = aligned(spark, sf_dir)
-    each = models.member_scores(models.fit_members(rows, COLUMNS, 3), rows)
-    n = rows.agg(F.count_distinct("keyword").alias("_n"))
+    return rounded(described_ensemble(member_logits(spark, sf_dir), 7))
+
+
+def described_ensemble(each, k):
+    n = each.agg(F.count_distinct("keyword").alias("_n"))
     mean = scoring.ensemble_scores(each).crossJoin(F.broadcast(n)).withColumn("agreement", scoring.agreement(F.col("spread"))).withColumn("confidence", scoring.confidence(F.col("spread"), F.col("_n"))).drop("_n")
-    return rounded(mean.join(scoring.thompson_draw(each, 3).select("keyword", "pkg", F.col("logit").alias("draw")), ["keyword", "pkg"]))
+    return mean.join(scoring.thompson_draw(each, k).select("keyword", "pkg", F.col("logit").alias("draw")), ["keyword", "pkg"])
+
+
+@query("""WITH e AS (SELECT keyword, pkg, m, rating - 3 + (m - 3) * (slot % 5) / 10.0::DOUBLE AS logit FROM t_slots, range(7) t(m)), a AS (SELECT keyword, pkg, avg(logit) AS logit, avg(1 / (1 + exp(-logit))) AS chance, stddev_samp(1 / (1 + exp(-logit))) AS spread FROM e GROUP BY ALL),
+d AS (SELECT keyword, pkg, logit AS draw FROM e WHERE m = ('0x' || substr(md5(keyword || '|' || pkg || '|0'), 1, 8))::BIGINT % 7)
+SELECT keyword, pkg, round(logit, 6) AS logit, round(chance, 6) AS chance, round(spread, 6) AS spread, round(1 - least(spread / 0.5, 1), 6) AS agreement, round((1 - least(spread / 0.5, 1)) * least((SELECT count(DISTINCT keyword) FROM e) / 25.0::DOUBLE, 1), 6) AS confidence, round(draw, 6) AS draw FROM a JOIN d USING (keyword, pkg)""")
+def m3_m5_given_members(spark, sf_dir):
+    """The ensemble's figures from members that are given, not fitted."""
+    rows = slots(spark, sf_dir).withColumn("member", F.explode(F.array(*[F.lit(i) for i in range(7)])))
+    return rounded(described_ensemble(rows.select("keyword", "pkg", "member", (F.col("rating") - 3 + (F.col("member") - 3) * (F.col("slot") % 5) / 10.0).alias("logit")), 7))
+
+
+@query("""WITH y AS (SELECT pkg, ln(1 + installs) AS m, least(rating / 2, 2) AS s FROM fx_apps)
+SELECT pkg, round(exp(least(m, 17.7)) - 1, 3) AS per_year, round((exp(least(m, 17.7)) - 1) / 12, 3) AS per_month, round((exp(least(m, 17.7)) - 1) / 365, 3) AS per_day, round(exp(least(greatest(m - s, 0), 17.7)) - 1, 3) AS low_per_year, round(exp(least(m + s, 17.7)) - 1, 3) AS high_per_year FROM y""")
+def m7_download_figures(spark, sf_dir):
+    figures = scoring.download_figures(F.log1p("installs"), F.col("rating") / 2, 17.7)
+    return rounded(apps(spark, sf_dir).select("pkg", *[c.alias(k) for k, c in figures.items()]), 3)
 
 
 @query()
 def m6_m7_page_relative_rates(spark, sf_dir):
-    rows = kept(ready(spark, sf_dir), "slots")
+    rows = ready(spark, sf_dir)
     day = F.lit(AS_OF).cast("date")
-    kernel = models.kernel_features(fx.describe_points(fx.download_points(field.leave_one_out(rows)), day, day))
+    kernel = models.kernel_features(fx.describe_points(points(spark, sf_dir), day, day))
     train = kernel.join(rows.select("keyword", F.col("pkg").alias("own_pkg"), F.log1p("rate").alias("log_rate"), "days"), ["keyword", "own_pkg"]).where("days > 0").drop("days").transform(kept, "kernel")
     found = models.predict_rates(models.fit_page_relative_rates(train), train)
     return rounded(found.select("keyword", "own_pkg", *[c.alias(k) for k, c in scoring.download_figures(F.col("log_rate_hat"), F.lit(0.5), 17.7).items()]), 3)
@@ -249,7 +337,7 @@ def m6_m7_page_relative_rates(spark, sf_dir):
 @query()
 def m23_rate_head(spark, sf_dir):
     rows = aligned(spark, sf_dir)
-    model, _ = models.fit_rate_head(rows, COLUMNS)
+    model, _ = models.fit_rate_head(rows, fx.FEATURES)
     return rounded(model.transform(rows.withColumn("rank", (F.col("slot") - 1) / 10.0)).select("keyword", "pkg", "rate_hat"))
 
 
@@ -273,7 +361,7 @@ def m10_hypothetical_entrants(spark, sf_dir):
     return scoring.hypothetical_entrants(slots(spark, sf_dir).select("keyword").distinct(), AS_OF).select("keyword", "pkg", "title", "description")
 
 
-CARDS = "(SELECT keyword, count(DISTINCT pkg) AS c FROM fx_observations WHERE featured = 1 GROUP BY keyword)"
+CARDS = "(SELECT keyword, count(DISTINCT pkg) AS c FROM fx_observations WHERE featured = 1 AND country = 'us' GROUP BY keyword)"
 
 
 @query(f"SELECT s.keyword, count(*) FILTER (score > 10 + length(s.keyword) % 7) + 1 AS entry_rank, count(*) FILTER (score > 10 + length(s.keyword) % 7) + 1 + coalesce(max(c), 0) AS displayed_rank, count(*) + 1 + coalesce(max(c), 0) AS field_size FROM {S} s LEFT JOIN {CARDS} c ON c.keyword = s.keyword GROUP BY s.keyword")
@@ -330,7 +418,12 @@ def m18_human_number(spark, sf_dir):
     return apps(spark, sf_dir).select("pkg", human_number(F.col("installs") * 1000 + 17).alias("shown"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT keyword, 1 AS has, max(list_sum(per) / len(per) * (len(list_filter(per, lambda x: x > 0)) / len(per))) AS rel FROM (SELECT keyword, list_transform(kt, lambda t: CASE WHEN list_contains(tt, t) THEN 1.0::DOUBLE WHEN list_contains(st, t) THEN 0.6::DOUBLE WHEN list_contains(dt, t) THEN 0.35::DOUBLE ELSE 0::DOUBLE END) AS per
+  FROM (SELECT o.keyword, regexp_extract_all(lower(o.keyword), '[a-z0-9]+') AS kt, regexp_extract_all(lower(a.title), '[a-z0-9]+') AS tt, regexp_extract_all(lower(a.short_desc), '[a-z0-9]+') AS st, regexp_extract_all(lower(a.description), '[a-z0-9]+') AS dt FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.featured = 1 AND o.country = 'us')) GROUP BY keyword),
+p AS (SELECT keyword, count(*) AS n, count(*) FILTER (on_intent) AS rel_n, coalesce(quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (on_intent), 0) AS rel_p50, min(installs) AS weak, arg_min(slot, installs * 1000 + slot) AS weak_at, count(*) FILTER (days > 0 AND age <= 1) AS newc, count(*) FILTER (days > 0) AS dated FROM t_ready WHERE slot <= 10 GROUP BY keyword)
+SELECT p.keyword, concat_ws(' ', CASE WHEN f.rel >= 0.40 THEN 'A promoted card that answers the phrase sits above the results.' WHEN f.has = 1 THEN 'A promoted card sits above the results.' END,
+CASE WHEN rel_n = 0 THEN 'No app on the page is about the phrase.' WHEN rel_n <= greatest(floor(n / 3), 2) THEN rel_n || ' of ' || n || ' apps answer the phrase, around ' || {HUMAN.format('rel_p50')} || ' installs.' ELSE 'The phrase is well served: ' || rel_n || ' of ' || n || ' apps answer it.' END,
+CASE WHEN weak < 10000 THEN 'An app with ' || {HUMAN.format('CAST(weak AS DOUBLE)')} || ' installs holds rank ' || weak_at || '.' END, CASE WHEN newc > 0 THEN newc || ' of them launched within a year.' WHEN dated > 0 THEN 'None of them launched within a year.' END) AS narrative FROM p LEFT JOIN f ON f.keyword = p.keyword""")
 def m17_narrative(spark, sf_dir):
     return scoring.narrative(page_fields(spark, sf_dir)).select("keyword", "narrative")
 
@@ -359,7 +452,7 @@ def m20_counterfactual_why(spark, sf_dir):
 @query()
 def m21_feature_pull(spark, sf_dir):
     rows = aligned(spark, sf_dir)
-    found = [(c, v) for m in models.fit_members(rows, COLUMNS, 2) for c, v in models.coefficients(m, COLUMNS).items()]
+    found = [(c, v) for m in models.fit_members(rows, fx.FEATURES) for c, v in models.coefficients(m, fx.FEATURES).items()]
     return rounded(scoring.feature_pull(spark.createDataFrame(found, "feature string, coefficient double")))
 
 
@@ -369,7 +462,7 @@ def m22_evidence_summary(spark, sf_dir):
     return scoring.evidence_summary(observations(spark, sf_dir), runs)
 
 
-REVIEWS = f"SELECT s.keyword, s.pkg, s.score, 1 + length(s.keyword) % 9 AS rank FROM {S} s WHERE s.slot = 5"
+REVIEWS = f"SELECT s.keyword, s.pkg, s.score, 1 + length(s.keyword) % 9 AS rank FROM {S} s WHERE s.slot = 5"  # a review of a page's fifth app
 
 
 @query(f"""WITH r AS ({REVIEWS}), l AS (SELECT r.keyword, r.pkg, r.score, r.rank, list(o.score ORDER BY o.score DESC) AS s FROM r JOIN {S} o ON o.keyword = r.keyword AND o.pkg <> r.pkg GROUP BY ALL),
@@ -381,19 +474,20 @@ def c1_c2_c7_rank_corrections(spark, sf_dir):
 
 
 def filed(spark, sf_dir):
-    """A correction for the third app of each page."""
+    """A reviewer corrected the third app of each page."""
     rows = basic(spark, sf_dir).where("slot = 3")
     return rows.select(F.crc32("keyword").alias("id"), "keyword", "pkg", F.array(F.col("rating") / 5, F.col("slot") / 100.0).alias("features"), (F.col("rating") - 3).alias("residual"), F.lit(5.0).alias("weight"), F.col("rating").alias("target"), F.lit(None).cast("date").alias("retired_at"))
 
 
-@query("""WITH f AS (SELECT keyword, pkg, rating / 5 AS a, slot / 100.0::DOUBLE AS b, rating - 3 AS r FROM t_slots WHERE slot = 3), q AS (SELECT keyword, pkg, rating / 5 AS a, slot / 100.0::DOUBLE AS b FROM t_slots WHERE slot <= 8),
-p AS (SELECT q.keyword, q.pkg, f.r, 5 * exp(-((q.a - f.a) * (q.a - f.a) + (q.b - f.b) * (q.b - f.b)) / 0.5625) AS w, q.keyword = f.keyword AND q.pkg = f.pkg AS same, f.keyword AS fk FROM q, f), n AS (SELECT *, row_number() OVER (PARTITION BY keyword, pkg ORDER BY round(w, 9) DESC, abs(r), r) AS n FROM p)
-SELECT keyword, pkg, round(max(r * 5 / 6) FILTER (same), 5) AS residual FROM n GROUP BY keyword, pkg HAVING bool_or(same)""")
+@query("""WITH f AS (SELECT keyword, pkg, rating / 5 AS a, slot / 100.0::DOUBLE AS b, rating - 3 AS r FROM t_slots WHERE slot = 3), q AS (SELECT keyword, pkg, rating / 5 AS a, slot / 100.0::DOUBLE AS b FROM t_slots),
+p AS (SELECT q.keyword, q.pkg, f.r, 5 * exp(-((q.a - f.a) * (q.a - f.a) + (q.b - f.b) * (q.b - f.b)) / 0.5625) AS w, q.keyword = f.keyword AND q.pkg = f.pkg AS same, f.keyword AS fk FROM q, f), n AS (SELECT *, row_number() OVER (PARTITION BY keyword, pkg ORDER BY round(w, 9) DESC, fk) AS n FROM p)
+SELECT keyword, pkg, round(coalesce(max(r * 5 / 6) FILTER (same), sum(w * r) FILTER (n <= 16) / (sum(w) FILTER (n <= 16) + 1)), 5) AS residual FROM n GROUP BY keyword, pkg""")
 def c3_read_residuals(spark, sf_dir):
-    """Rows with a correction of their own; the kernel mean of others is tested by hand."""
-    rows = basic(spark, sf_dir).where("slot <= 8").select("keyword", "pkg", F.array(F.col("rating") / 5, F.col("slot") / 100.0).alias("features"))
-    held = filed(spark, sf_dir)
-    return rounded(memory.read_residuals(rows, held).join(held.select("keyword", "pkg"), ["keyword", "pkg"], "left_semi"), 5)
+    """Every ranked row: its own correction, or the kernel mean of the nearest."""
+    rows = basic(spark, sf_dir).select("keyword", "pkg", F.array(F.col("rating") / 5, F.col("slot") / 100.0).alias("features"))
+    # ties go by id: numbered by the alphabet
+    held = filed(spark, sf_dir).withColumn("id", F.row_number().over(Window.orderBy("keyword")).cast("long"))
+    return rounded(memory.read_residuals(rows, held), 5)
 
 
 @query("SELECT keyword, pkg, rating >= 3 AS retired FROM t_slots WHERE slot = 3")
@@ -507,25 +601,43 @@ def st2_stream_latest_apps(spark, sf_dir):
     path = scratch(spark, f"stream-{uuid.uuid4().hex}")
     query_ = jobs.stream_latest_apps(_events(spark, sf_dir).select("pkg", "observed_at", "installs"), f"{path}/out", f"{path}/log", ["pkg"], "observed_at").trigger(availableNow=True).start()
     query_.awaitTermination()
-    last = query_.lastProgress["batchId"]
-    return spark.read.parquet(f"{path}/out/{last}").select("pkg", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
+    return jobs.latest_table(spark, f"{path}/out").select("pkg", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 
-@query()
+# windows up to the watermark: a day before the last event
+WINDOWS = """SELECT CAST(w AS TIMESTAMP) AS start, CAST(w + INTERVAL 7 DAY AS TIMESTAMP) AS "end", event_type AS keyword, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS installs_p50, max(value) AS installs_max FROM ({0}) WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY w, event_type"""
+
+
+def zoneless(df):
+    """Times without a zone, as other engines have them."""
+    return rounded(df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes]))
+
+
+@query(WINDOWS.format("SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS w FROM events"))
 def st3_stream_field_state(spark, sf_dir):
-    return _drained(spark, jobs.stream_field_state(_events(spark, sf_dir)))
+    return zoneless(_drained(spark, jobs.stream_field_state(_events(spark, sf_dir))))
 
 
-@query()
+@query(WINDOWS.format("SELECT *, CAST(unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS TIMESTAMP) AS w FROM events"))
 def st3_stream_field_state_sliding(spark, sf_dir):
-    return _drained(spark, jobs.stream_field_state(_events(spark, sf_dir), slide="1 day"))
+    return zoneless(_drained(spark, jobs.stream_field_state(_events(spark, sf_dir), slide="1 day")))
 
 
-@query()
+@query("""WITH d AS (SELECT event_type AS keyword, CAST(user_id AS VARCHAR) AS pkg, date_trunc('week', ts) AS w FROM events GROUP BY ALL), p AS (SELECT *, CAST(('0x' || substr(md5(pkg || '|' || strftime(w, '%Y-%m-%d')), 1, 8))::BIGINT % 30 + 1 AS INT) AS position FROM d),
+t AS (SELECT keyword, w AS older, lead(w) OVER (PARTITION BY keyword ORDER BY w) AS newer FROM (SELECT DISTINCT keyword, w FROM d)), b AS (SELECT keyword, older, newer, pkg, max(was) AS was, max(now) AS now FROM (SELECT t.*, p.pkg, p.position AS was, NULL::INT AS now FROM t JOIN p ON p.keyword = t.keyword AND p.w = t.older WHERE newer IS NOT NULL UNION ALL SELECT t.*, p.pkg, NULL, p.position FROM t JOIN p ON p.keyword = t.keyword AND p.w = t.newer) GROUP BY ALL)
+SELECT keyword, pkg, CASE WHEN was IS NULL THEN 'entered' WHEN now IS NULL THEN 'left' ELSE 'moved' END AS event, was AS from_position, now AS to_position, CAST(date_diff('day', older, newer) AS INT) AS gap_days FROM b
+WHERE newer < (SELECT max(w) FROM d d2 WHERE d2.keyword = b.keyword) AND (was IS NULL OR now IS NULL OR was <> now)""")
 def st4_stream_transitions(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = _events(spark, sf_dir).withColumn("observed_at", F.date_trunc("week", "observed_at")).select("keyword", "pkg", "observed_at", (F.pmod(F.xxhash64("pkg", "observed_at"), F.lit(30)) + 1).cast("int").alias("position"))
-    return _drained(spark, jobs.stream_transitions(rows))
+    """Pages of a week; the last week is still being read, so it is not compared."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", "pkg", F.date_format("observed_at", "yyyy-MM-dd"))), 1, 8), 16, 10).cast("long") % 30 + 1
+    rows = _events(spark, sf_dir).withColumn("observed_at", F.date_trunc("week", "observed_at")).select("keyword", "pkg", "observed_at", place.cast("int").alias("position"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS)  # this stream's state needs it; put back when it is drained
+    try:
+        return _drained(spark, jobs.stream_transitions(rows))
+    finally:
+        spark.conf.set(provider, before)
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS pkg, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) AS n FROM events GROUP BY user_id")
@@ -533,6 +645,7 @@ def st5_stream_measured_growth(spark, sf_dir):
     return rounded(_drained(spark, jobs.stream_measured_growth(_events(spark, sf_dir)), "complete").select("pkg", "least", "most", "n"))
 
 
-@query()
+@query("""WITH g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events))
+SELECT CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 10 MINUTE AS TIMESTAMP) AS "end", event_type AS keyword, count(*) AS n FROM g GROUP BY event_type, s HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def st6_stream_page_sessions(spark, sf_dir):
-    return _drained(spark, jobs.stream_page_sessions(_events(spark, sf_dir)))
+    return zoneless(_drained(spark, jobs.stream_page_sessions(_events(spark, sf_dir))))

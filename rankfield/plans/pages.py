@@ -1,10 +1,12 @@
 """Queries over page state, fields, suggestions and change."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankfield.operators import change, field, state, suggest
+from rankfield.operators import change, field, ingest, state, suggest
+from rankfield.plans.raw import COMPACT, sessions
 from rankfield.plans.registry import query
+from rankfield.sources.storage import once
 from rankfield.sources.views import AS_OF, view
 
 
@@ -16,16 +18,32 @@ def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_apps")
 
 
+def app_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An app has the vector of its part's number."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = vectors.count()
+    return apps(spark, sf_dir).withColumn("vec_id", F.col("p_partkey") % n).join(vectors.select("vec_id", "embedding"), "vec_id").select("pkg", F.col("embedding").alias("vector"))
+
+
+def keyword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword has the vector of its place in the alphabet; a keyword list is numbered here."""
+    words = observations(spark, sf_dir).select("keyword").distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("keyword")) - 1)
+    return words.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id").select("keyword", F.col("embedding").alias("keyword_vector"))
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.ranked_fields(observations(spark, sf_dir), apps(spark, sf_dir))
 
 
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.attach_context(slots(spark, sf_dir), view(spark, sf_dir, "fx_app_snapshots"), observations(spark, sf_dir), apps(spark, sf_dir), AS_OF)
+    def build() -> DataFrame:
+        return state.attach_context(slots(spark, sf_dir), view(spark, sf_dir, "fx_app_snapshots"), observations(spark, sf_dir), apps(spark, sf_dir), AS_OF, keyword_vectors(spark, sf_dir), app_vectors(spark, sf_dir))
+
+    return once(spark, sf_dir, "page-context", build)
 
 
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field.prepared(context(spark, sf_dir))
+    return once(spark, sf_dir, "page-rows", lambda: field.prepared(context(spark, sf_dir)))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +59,7 @@ def r1_latest_observations(spark, sf_dir):
     return state.latest_observations(observations(spark, sf_dir), apps(spark, sf_dir)).select("keyword", "pkg", "position", "source", "observed_at", "title", "installs")
 
 
-@query("""SELECT keyword, pkg, observed_at, title, installs FROM (SELECT *, row_number() OVER (PARTITION BY keyword, country, pkg ORDER BY observed_at DESC) AS n FROM fx_observations WHERE featured = 1)
+@query("""SELECT keyword, pkg, observed_at, title, installs FROM (SELECT *, row_number() OVER (PARTITION BY keyword, country, pkg ORDER BY observed_at DESC) AS n FROM fx_observations WHERE featured = 1 AND country = 'us')
 JOIN fx_apps USING (pkg) WHERE n = 1""")
 def r2_featured_apps(spark, sf_dir):
     return state.featured_apps(observations(spark, sf_dir), apps(spark, sf_dir)).select("keyword", "pkg", "observed_at", "title", "installs")
@@ -128,7 +146,7 @@ def r17_page_at(spark, sf_dir):
     return state.page_at(observations(spark, sf_dir), apps(spark, sf_dir), "1996-12-31").select("keyword", "pkg", "position", "title", "installs")
 
 
-@query("""WITH p AS (SELECT keyword, pkg, title, installs, CAST(NULL AS INT) AS organic_position, 1 AS promoted FROM (SELECT *, row_number() OVER (PARTITION BY keyword, country, pkg ORDER BY observed_at DESC) AS n FROM fx_observations WHERE featured = 1) JOIN fx_apps USING (pkg) WHERE n = 1
+@query("""WITH p AS (SELECT keyword, pkg, title, installs, CAST(NULL AS INT) AS organic_position, 1 AS promoted FROM (SELECT *, row_number() OVER (PARTITION BY keyword, country, pkg ORDER BY observed_at DESC) AS n FROM fx_observations WHERE featured = 1 AND country = 'us') JOIN fx_apps USING (pkg) WHERE n = 1
 UNION ALL SELECT keyword, pkg, title, installs, slot, 0 FROM t_slots)
 SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY promoted DESC, organic_position, pkg) AS position, list_has_all(regexp_extract_all(lower(title), '[a-z0-9]+'), regexp_extract_all(lower(keyword), '[a-z0-9]+')) AS exact FROM p""")
 def r18_publish_page(spark, sf_dir):
@@ -157,12 +175,14 @@ def r20_record_absence(spark, sf_dir):
     return state.record_absence(own_targets(spark, sf_dir), slots(spark, sf_dir), AS_OF)
 
 
-RESOLVED = """SELECT w.page, w.title, k.pkg FROM fx_raw w LEFT JOIN (SELECT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS t, min(pkg) AS pkg FROM fx_apps WHERE p_partkey % 10 <> 0 GROUP BY 1) k
-ON k.t = regexp_replace(lower(w.title), '[^a-z0-9]', '', 'g') WHERE w.ordinal % 17 = 0"""
+RESOLVED = """SELECT w.page, w.title, k.pkg FROM (SELECT page, CASE WHEN ordinal % 997 = 5 THEN 'lost ' || title ELSE title END AS title FROM fx_raw) w LEFT JOIN (SELECT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS t, min(pkg) AS pkg FROM fx_apps GROUP BY 1) k
+ON k.t = regexp_replace(lower(w.title), '[^a-z0-9]', '', 'g')"""
 
 
 def titled_pages(spark, sf_dir):
-    return view(spark, sf_dir, "fx_raw").where("ordinal % 17 = 0").select("page", "title"), apps(spark, sf_dir).where("p_partkey % 10 <> 0")
+    """All archived rows; a few have a title that no app bears."""
+    title = F.when(F.col("ordinal") % 997 == 5, F.concat(F.lit("lost "), "title")).otherwise(F.col("title"))
+    return view(spark, sf_dir, "fx_raw").select("page", title.alias("title")), apps(spark, sf_dir)
 
 
 @query(f"SELECT page, count(*) AS n_rows, bool_and(pkg IS NOT NULL) AS ready, count(*) FILTER (pkg IS NULL) AS missing FROM ({RESOLVED}) GROUP BY page")
@@ -182,9 +202,11 @@ def r23_coverage_report(spark, sf_dir):
     return state.coverage_report(view(spark, sf_dir, "fx_suggestions").select(F.col("query").alias("keyword")), slots(spark, sf_dir))
 
 
-@query("SELECT DISTINCT keyword FROM fx_observations WHERE featured = 1 AND keyword NOT IN (SELECT keyword FROM t_slots WHERE slot > 25)")
+@query("SELECT DISTINCT keyword FROM fx_observations WHERE featured = 1 AND keyword NOT IN (SELECT keyword FROM fx_observations WHERE source = 'review' AND position < 251)")
 def r24_promoted_only_pages(spark, sf_dir):
-    return state.promoted_only_pages(observations(spark, sf_dir), slots(spark, sf_dir).where("slot > 25"))
+    """Promoted keywords without a page that a reviewer has seen."""
+    seen = observations(spark, sf_dir)
+    return state.promoted_only_pages(seen, seen.where("source = 'review' and position < 251"))
 
 
 TOP = "idx <= 10"
@@ -230,7 +252,7 @@ for _name, _set in SETS.items():
 
 def _field_query(name: str, columns: dict[str, str]) -> None:
     def run(spark, sf_dir):
-        return rounded(field.summarise(field.leave_one_out(ready(spark, sf_dir))).select("keyword", "own_pkg", *columns))
+        return rounded(field.summarise(field.near_rows(ready(spark, sf_dir))).select("keyword", "own_pkg", *columns))
 
     run.__name__ = name
     whole = {"weakest_title", *[c for c in columns if c in ("n", "newcomers", "exact_match_count", "relevant_count", "intent_cut", "first_match_rank", "newest_rank", "leader_breadth", "weakest_rank", "weakest_installs", "newcomer_installs", "no_intent", "recent_best_rank", "recent_neighbour_gap", "match_starts_below", "band_evidence") or c.endswith("_n")]}
@@ -241,16 +263,29 @@ for _name, _columns in SUMMARY.items():
     _field_query(_name, _columns)
 
 
-@query("SELECT keyword, own_pkg, pkg, idx, round(advantage, 6) AS advantage, round(rate_vs_age, 6) AS rate_vs_age FROM t_loo WHERE idx <= 3")
+@query("SELECT keyword, pkg, slot, round(advantage, 6) AS advantage, round(rate_vs_age, 6) AS rate_vs_age FROM t_ready")
 def f23_f24_advantage(spark, sf_dir):
-    return rounded(field.leave_one_out(ready(spark, sf_dir)).where("idx <= 3").select("keyword", "own_pkg", "pkg", "idx", "advantage", "rate_vs_age"))
+    return rounded(ready(spark, sf_dir).select("keyword", "pkg", "slot", "advantage", "rate_vs_age"))
+
+
+GROUP_COLUMNS = {**SUMMARY["f9_f16_intent"], **{k: v for k, v in SUMMARY["f10_f18_rates"].items() if k.startswith("intent_")}}
+_WHOLE = ("relevant_count", "no_intent", "intent_cut", "recent_best_rank", "recent_neighbour_gap", "intent_recent_n", "intent_measured_n")
+_IN_GROUPS = ", ".join((f"{e} AS {c}" if c in _WHOLE else f"round({e}, 6) AS {c}").replace("on_intent", "(own_slot % 3 = slot % 3)") for c, e in GROUP_COLUMNS.items())
+
+
+@query(f"SELECT keyword, own_pkg, {_IN_GROUPS} FROM t_loo GROUP BY keyword, own_pkg")
+def f9_f11_given_groups(spark, sf_dir):
+    """Competition by given groups: what a page is split into decides, not relevance."""
+    rows = context(spark, sf_dir)
+    split = field.prepared(rows, rows.select("keyword", "pkg", (F.col("slot") % 3).alias("group")))
+    return rounded(field.summarise(field.near_rows(split)).select("keyword", "own_pkg", *GROUP_COLUMNS))
 
 
 @query("""WITH w AS (SELECT keyword, own_pkg, rate, 1 - advantage AS w, sum(1 - advantage) OVER (PARTITION BY keyword, own_pkg ORDER BY rate, 1 - advantage, slot ROWS UNBOUNDED PRECEDING) AS seen, sum(1 - advantage) OVER (PARTITION BY keyword, own_pkg) AS total
 FROM t_loo WHERE days > 0 AND age <= 1.5)
 SELECT keyword, own_pkg, round(CASE WHEN max(total) > 1e-6 THEN coalesce(min(rate) FILTER (round(seen, 9) >= round(total / 2, 9)), max(rate)) ELSE 0 END, 6) AS unaided_recent_rate, round(CASE WHEN max(total) > 1e-6 THEN max(total) ELSE 0 END, 6) AS unaided_recent_evidence FROM w GROUP BY keyword, own_pkg""")
 def f26_unaided_recent(spark, sf_dir):
-    return rounded(field.unaided_recent(field.leave_one_out(ready(spark, sf_dir))).drop("own_slot"))
+    return rounded(field.unaided_recent(field.young_rows(ready(spark, sf_dir))).drop("own_slot"))
 
 
 @query("""WITH p AS (SELECT keyword, own_pkg, own_slot, CAST(slot AS DOUBLE) AS x, ln(1 + days) AS z, ln(1 + rate) AS y FROM t_loo WHERE days > 0 AND installs > 0),
@@ -260,11 +295,11 @@ c AS (SELECT *, m >= 6 AND det > 1e-9 AS ok FROM b)
 SELECT keyword, own_pkg, round(CASE WHEN ok THEN b1 ELSE 0 END, 5) AS curve_rank_slope, round(CASE WHEN ok THEN b2 ELSE 0 END, 5) AS curve_age_slope, round(CASE WHEN ok AND vy * m > 1e-9 THEN least(greatest((b1 * cxy + b2 * czy) / vy, -1), 1) ELSE 0 END, 5) AS curve_fit,
 CASE WHEN ok THEN m ELSE 0 END AS curve_points FROM c""")
 def f27_page_curve(spark, sf_dir):
-    return rounded(field.page_curve(field.leave_one_out(ready(spark, sf_dir))).drop("own_slot", "curve_here"), 5)
+    return rounded(field.page_curve(field.dated_rows(ready(spark, sf_dir))).drop("own_slot", "curve_here"), 5)
 
 
 @query("""WITH c AS (SELECT o.keyword, a.installs, regexp_extract_all(lower(o.keyword), '[a-z0-9]+') AS kt, regexp_extract_all(lower(a.title), '[a-z0-9]+') AS tt, regexp_extract_all(lower(a.short_desc), '[a-z0-9]+') AS st, regexp_extract_all(lower(a.description), '[a-z0-9]+') AS dt
-FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.featured = 1),
+FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.featured = 1 AND o.country = 'us'),
 p AS (SELECT *, list_transform(kt, lambda t: CASE WHEN list_contains(tt, t) THEN 1.0::DOUBLE WHEN list_contains(st, t) THEN 0.6::DOUBLE WHEN list_contains(dt, t) THEN 0.35::DOUBLE ELSE 0::DOUBLE END) AS per FROM c)
 SELECT keyword, 1 AS has_featured, round(max(list_sum(per) / len(per) * (len(list_filter(per, lambda x: x > 0)) / len(per))), 6) AS featured_relevance, max(installs) AS featured_installs FROM p GROUP BY keyword""")
 def f20_featured_summary(spark, sf_dir):
@@ -350,12 +385,12 @@ def h1_field_states(spark, sf_dir):
     return rounded(states(spark, sf_dir))
 
 
-@query("SELECT keyword, observed_at, n_apps FROM t_states")
+@query("SELECT keyword, country, observed_at, n_apps FROM t_states")
 def h2_field_series(spark, sf_dir):
-    return change.field_series(states(spark, sf_dir)).select("keyword", "observed_at", "n_apps")
+    return change.field_series(states(spark, sf_dir)).select("keyword", "country", "observed_at", "n_apps")
 
 
-@query(f"""WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY observed_at) AS r FROM t_states WHERE installs_p50 IS NOT NULL) WHERE r = 1),
+@query(f"""WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY observed_at) AS r FROM t_states WHERE installs_p50 IS NOT NULL AND country = 'us') WHERE r = 1),
 d AS (SELECT o.keyword, count(*) FILTER (slot <= n) AS n, quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (slot <= n) AS p50, coalesce(quantile_cont(age, 0.5) FILTER (slot <= n AND days > 0), 0) AS age_p50, coalesce(quantile_cont(floor_rate, 0.5) FILTER (slot <= n AND days > 0), 0) AS v,
   count(*) FILTER (slot <= n AND days > 0) / CAST(count(*) FILTER (slot <= n) AS DOUBLE) AS k, count(*) FILTER (slot <= 10 AND exact) AS m
   FROM (SELECT keyword, CASE WHEN n_apps > 0 AND n_apps < 10 THEN n_apps ELSE 10 END AS n FROM o) o JOIN t_context c ON c.keyword = o.keyword GROUP BY o.keyword),
@@ -369,18 +404,32 @@ def h3_h5_field_deltas(spark, sf_dir):
     return rounded(change.field_deltas(states(spark, sf_dir), context(spark, sf_dir), AS_OF))
 
 
-@query("SELECT keyword, observed_at, round(age_p50, 6) AS age_p50, newcomers, round(age_known_frac, 6) AS age_known_frac FROM (SELECT o.keyword, o.observed_at, quantile_cont(d / 365.0::DOUBLE, 0.5) AS age_p50, count(*) FILTER (d / 365.0 <= 1) AS newcomers, count(d) / CAST(count(*) AS DOUBLE) AS age_known_frac FROM (SELECT o.keyword, o.observed_at, CASE WHEN a.released_at < o.observed_at THEN date_diff('day', a.released_at, o.observed_at) END AS d FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg) o GROUP BY ALL) WHERE age_p50 IS NOT NULL")
+@query("SELECT keyword, country, observed_at, round(age_p50, 6) AS age_p50, newcomers, round(age_known_frac, 6) AS age_known_frac FROM (SELECT o.keyword, o.country, o.observed_at, quantile_cont(d / 365.0::DOUBLE, 0.5) AS age_p50, count(*) FILTER (d / 365.0 <= 1) AS newcomers, count(d) / CAST(count(*) AS DOUBLE) AS age_known_frac FROM (SELECT o.keyword, o.country, o.observed_at, CASE WHEN a.released_at < o.observed_at THEN date_diff('day', a.released_at, o.observed_at) END AS d FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg) o GROUP BY ALL) WHERE age_p50 IS NOT NULL")
 def h6_backfill_ages(spark, sf_dir):
     """States of which the ages were lost, filled again from the observations."""
     blank = observations(spark, sf_dir).groupBy("keyword", "country", "observed_at").agg(F.lit(None).cast("double").alias("age_p50"), F.lit(None).cast("double").alias("velocity_p50"), F.lit(None).cast("long").alias("newcomers"), F.lit(None).cast("double").alias("age_known_frac"))
     filled = change.backfill_ages(blank, observations(spark, sf_dir), apps(spark, sf_dir)).where("age_p50 is not null")
-    return rounded(filled.select("keyword", "observed_at", "age_p50", "newcomers", "age_known_frac"))
+    return rounded(filled.select("keyword", "country", "observed_at", "age_p50", "newcomers", "age_known_frac"))
 
 
-@query("SELECT keyword, observed_at, round(quantile_cont(d / 365.0::DOUBLE, 0.5), 6) AS age_p50, count(*) FILTER (d / 365.0 <= 1) AS newcomers, round(count(d) / CAST(count(*) AS DOUBLE), 6) AS age_known_frac FROM (SELECT o.keyword, o.observed_at, CASE WHEN a.released_at < o.observed_at THEN date_diff('day', a.released_at, o.observed_at) END AS d FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.position <= 8) GROUP BY ALL")
+@query("SELECT keyword, country, observed_at, round(quantile_cont(d / 365.0::DOUBLE, 0.5), 6) AS age_p50, count(*) FILTER (d / 365.0 <= 1) AS newcomers, round(count(d) / CAST(count(*) AS DOUBLE), 6) AS age_known_frac FROM (SELECT o.keyword, o.country, o.observed_at, CASE WHEN a.released_at < o.observed_at THEN date_diff('day', a.released_at, o.observed_at) END AS d FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.position < 251) GROUP BY ALL")
 def h7_archive_age_stats(spark, sf_dir):
-    rows = observations(spark, sf_dir).where("position <= 8").join(apps(spark, sf_dir).select("pkg", "released_at"), "pkg")
-    return rounded(change.archive_age_stats(rows))
+    rows = observations(spark, sf_dir).where("position < 251").join(apps(spark, sf_dir).select("pkg", "released_at"), "pkg")
+    return rounded(change.archive_age_stats(rows, ["keyword", "country", "observed_at"]))
+
+
+@query(f"""WITH s AS (SELECT lower(page) AS keyword, pkg, coalesce({COMPACT.format('installs_text')}, 0) AS n FROM fx_raw), j AS (SELECT s.keyword, s.n, CASE WHEN a.released_at < DATE '{AS_OF}' THEN date_diff('day', a.released_at, DATE '{AS_OF}') END AS d FROM s LEFT JOIN fx_apps a ON a.pkg = s.pkg),
+c AS (SELECT keyword, count(*) AS n_apps, quantile_cont(CAST(n AS DOUBLE), 0.5) AS installs_p50, quantile_cont(CAST(n AS DOUBLE), 0.9) AS installs_p90, quantile_cont(d / 365.0::DOUBLE, 0.5) AS age_p50, count(*) FILTER (d / 365.0 <= 1) AS newcomers, count(d) / CAST(count(*) AS DOUBLE) AS age_known_frac FROM j GROUP BY keyword)
+SELECT keyword, 'us' AS country, DATE '{AS_OF}' AS observed_at, 'research' AS source, n_apps, round(installs_p50, 6) AS installs_p50, round(installs_p90, 6) AS installs_p90, round(age_p50, 6) AS age_p50, newcomers, round(age_known_frac, 6) AS age_known_frac FROM c
+UNION ALL SELECT keyword, country, observed_at, 'scrape', n_apps, round(installs_p50, 6), round(installs_p90, 6), round(age_p50, 6), newcomers, round(age_known_frac, 6) FROM t_states""")
+def h8_load_sessions(spark, sf_dir):
+    """Session documents to field history, beside the states that it holds."""
+    pages = ingest.extract_session_pages(spark, sessions(spark, sf_dir)).withColumns({"country": F.lit("us"), "observed_at": F.lit(AS_OF).cast("date")})
+    dated = pages.hint("merge").join(apps(spark, sf_dir).select("pkg", "released_at"), "pkg", "left")
+    columns = ["keyword", "country", "observed_at", "source", "n_apps", "installs_p50", "installs_p90", "age_p50", "newcomers", "age_known_frac"]
+    old = states(spark, sf_dir).withColumn("source", F.lit("scrape")).select(*columns).withColumn("version", F.lit(0))
+    new = change.session_states(dated).select(*columns).withColumn("version", F.lit(1))
+    return rounded(ingest.upsert(old, new, ["keyword", "country", "observed_at"], "version").drop("version"))
 
 
 @query("SELECT * FROM t_events")
@@ -393,7 +442,7 @@ def h11_transition_summary(spark, sf_dir):
     return change.transition_summary(change.transitions(observations(spark, sf_dir), apps(spark, sf_dir)))
 
 
-OUTCOMES = "SELECT keyword, CASE WHEN min(position) < 251 THEN min(position) END AS position FROM fx_observations WHERE source IN ('owned', 'review') OR pkg IN (SELECT pkg FROM fx_apps WHERE developer LIKE 'Brand#1%' OR developer LIKE 'Brand#22%') GROUP BY keyword"
+OUTCOMES = "SELECT keyword, CASE WHEN min(position) < 251 THEN min(position) END AS position FROM fx_observations WHERE country = 'us' AND (source IN ('owned', 'review') OR pkg IN (SELECT pkg FROM fx_apps WHERE developer LIKE 'Brand#1%' OR developer LIKE 'Brand#22%')) GROUP BY keyword"
 
 
 @query(OUTCOMES)
@@ -407,16 +456,16 @@ def h13_snapshot_pairs(spark, sf_dir):
 
 
 def research(spark, sf_dir):
-    rows = slots(spark, sf_dir).where("slot <= 8").groupBy("keyword").agg(F.to_json(F.collect_list(F.struct(F.format_number("installs", 0).alias("installs")))).alias("sample"), F.concat(F.count_if(F.col("slot") % 3 == 0).cast("string"), F.lit("/"), F.count("*").cast("string")).alias("hits"))
+    rows = slots(spark, sf_dir).groupBy("keyword").agg(F.to_json(F.collect_list(F.struct(F.format_number("installs", 0).alias("installs")))).alias("sample"), F.concat(F.count_if(F.col("slot") % 3 == 0).cast("string"), F.lit("/"), F.count("*").cast("string")).alias("hits"))
     return change.research_before(rows)
 
 
-@query("SELECT keyword, count(*) AS n_apps, round(count(*) FILTER (slot % 3 = 0) / CAST(count(*) AS DOUBLE), 6) AS title_hit_rate, quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (installs > 0) AS installs_median FROM t_slots WHERE slot <= 8 GROUP BY keyword")
+@query("SELECT keyword, count(*) AS n_apps, round(count(*) FILTER (slot % 3 = 0) / CAST(count(*) AS DOUBLE), 6) AS title_hit_rate, quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (installs > 0) AS installs_median FROM t_slots GROUP BY keyword")
 def h14_research_before(spark, sf_dir):
     return rounded(research(spark, sf_dir))
 
 
-@query(f"""WITH b AS (SELECT keyword, quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (installs > 0) AS m FROM t_slots WHERE slot <= 8 GROUP BY keyword), o AS ({OUTCOMES}), j AS (SELECT b.*, coalesce(o.position <= 10, false) AS hit FROM b JOIN o ON o.keyword = b.keyword)
+@query(f"""WITH b AS (SELECT keyword, quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (installs > 0) AS m FROM t_slots GROUP BY keyword), o AS ({OUTCOMES}), j AS (SELECT b.*, coalesce(o.position <= 10, false) AS hit FROM b JOIN o ON o.keyword = b.keyword)
 SELECT count(*) AS pairs, count(*) FILTER (hit) AS ranked, count(*) FILTER (NOT hit) AS missed, round(quantile_cont(m, 0.5) FILTER (hit), 6) AS median_when_ranked, round(quantile_cont(m, 0.5) FILTER (NOT hit), 6) AS median_when_missed FROM j""")
 def h15_backtest(spark, sf_dir):
     after = change.outcomes(observations(spark, sf_dir), apps(spark, sf_dir), ("Brand#1%", "Brand#22%"))

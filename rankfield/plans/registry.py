@@ -12,10 +12,10 @@ ORACLES: dict[str, str] = {}
 
 # Common table expressions that several oracle statements share.
 PARTS = {
-    "t_latest": f"""SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY keyword, country, pkg ORDER BY observed_at DESC, source) AS rn
-FROM fx_observations o WHERE position IS NOT NULL) WHERE rn = 1""",
+    "t_latest": f"""SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY keyword, country, pkg ORDER BY observed_at DESC, CASE source WHEN 'review' THEN 0 WHEN 'serp' THEN 1 ELSE 2 END) AS rn
+FROM fx_observations o WHERE position IS NOT NULL AND country = 'us') WHERE rn = 1""",
     "t_slots": """SELECT l.keyword, l.country, l.pkg, l.position, l.source, l.observed_at, a.title, a.short_desc, a.description, a.installs, a.rating, a.reviews, a.released_at, a.updated_at, l.featured,
-row_number() OVER (PARTITION BY l.keyword ORDER BY l.position, CASE WHEN l.source = 'review' THEN 0 ELSE 1 END, a.installs DESC, l.pkg) AS slot
+row_number() OVER (PARTITION BY l.keyword, l.country ORDER BY l.position, CASE WHEN l.source = 'review' THEN 0 ELSE 1 END, a.installs DESC, l.pkg) AS slot
 FROM t_latest l JOIN fx_apps a ON a.pkg = l.pkg WHERE l.position < 251""",
     "t_growth": """SELECT pkg, (max(installs) - min(installs)) / CAST(date_diff('day', min(observed_at), max(observed_at)) AS DOUBLE) AS measured_per_day
 FROM fx_app_snapshots GROUP BY pkg HAVING count(*) > 1 AND date_diff('day', min(observed_at), max(observed_at)) >= 7""",
@@ -30,9 +30,17 @@ FROM t_slots s LEFT JOIN t_growth g ON g.pkg = s.pkg LEFT JOIN t_breadth b ON b.
 CASE WHEN days > 0 THEN installs / greatest(days / 365.0::DOUBLE, 0.25) END AS floor_rate,
 list_transform(kt, lambda t: CASE WHEN list_contains(tt, t) THEN 1.0::DOUBLE WHEN list_contains(st, t) THEN 0.6::DOUBLE WHEN list_contains(dt, t) THEN 0.35::DOUBLE ELSE 0::DOUBLE END) AS per, list_has_all(tt, kt) AS exact
 FROM t_context0 c""",
-    "t_context": """SELECT c.*, list_sum(per) / len(per) * (len(list_filter(per, lambda x: x > 0)) / len(per)) AS relevance,
-CASE WHEN age > 0 THEN coalesce((SELECT min_by(n.rate, abs(n.bucket - least(greatest(CAST(floor(c.age) AS INT) + 1, 1), 20)) * 100 + n.bucket) FROM t_norms n), 0) ELSE 0 END AS norm
-FROM t_context1 c""",
+    # vectors by number: an app has its part's, a keyword its place in the alphabet
+    "t_vectors": "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
+    "t_app_vectors": "SELECT a.pkg, e.v FROM fx_apps a JOIN t_vectors e ON e.vec_id = a.p_partkey % (SELECT count(*) FROM embeddings)",
+    "t_keyword_vectors": "SELECT keyword, v FROM (SELECT keyword, row_number() OVER (ORDER BY keyword) - 1 AS i FROM (SELECT DISTINCT keyword FROM fx_observations)) k JOIN t_vectors e ON e.vec_id = k.i",
+    "t_leads": "SELECT s.keyword, max(v.v) FILTER (slot = 1) AS v1, max(v.v) FILTER (slot = 2) AS v2 FROM t_slots s JOIN t_app_vectors v ON v.pkg = s.pkg WHERE slot <= 2 GROUP BY s.keyword",
+    "t_context2": """SELECT c.* EXCLUDE (lexical), lexical, CASE WHEN a.v IS NULL OR k.v IS NULL THEN lexical ELSE 0.6 * lexical + 0.4 * greatest(0, list_dot_product(k.v, a.v)) END AS relevance,
+coalesce(list_cosine_similarity(k.v, a.v), 0) AS cosine, coalesce(list_cosine_similarity(a.v, l.v1), 0) AS sim_first, coalesce(list_cosine_similarity(a.v, l.v2), 0) AS sim_second
+FROM (SELECT c.*, list_sum(per) / len(per) * (len(list_filter(per, lambda x: x > 0)) / len(per)) AS lexical FROM t_context1 c) c
+LEFT JOIN t_app_vectors a ON a.pkg = c.pkg LEFT JOIN t_keyword_vectors k ON k.keyword = c.keyword LEFT JOIN t_leads l ON l.keyword = c.keyword""",
+    "t_context": """SELECT c.*, CASE WHEN age > 0 THEN coalesce((SELECT min_by(n.rate, abs(n.bucket - least(greatest(CAST(floor(c.age) AS INT) + 1, 1), 20)) * 100 + n.bucket) FROM t_norms n), 0) ELSE 0 END AS norm
+FROM t_context2 c""",
     "t_peers": """SELECT a.keyword, a.pkg, median(p.rate) AS peer FROM t_context a JOIN t_context p ON p.keyword = a.keyword AND p.pkg <> a.pkg AND p.days > 0 AND p.age BETWEEN 0.5 * a.age AND 2.0 * a.age
 WHERE a.norm <= 0 AND a.days > 0 GROUP BY a.keyword, a.pkg""",
     "t_gap": """SELECT c.*, CASE WHEN c.norm > 0 THEN c.norm ELSE coalesce(p.peer, 0) END AS age_norm FROM t_context c LEFT JOIN t_peers p ON p.keyword = c.keyword AND p.pkg = c.pkg""",
@@ -50,11 +58,11 @@ FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.position < 251))
     "t_events": """SELECT keyword, pkg, CASE WHEN was IS NULL THEN 'entered' WHEN now IS NULL THEN 'left' WHEN was <> now THEN 'moved' END AS event, was AS from_position, now AS to_position, gap_days, newer AS observed_at, title,
 was IS NULL AND coalesce(date_diff('day', released_at, newer) / 365.0 BETWEEN 0 AND 1.5, false) AS is_new
 FROM (SELECT keyword, older, newer, gap_days, pkg, max(was) AS was, max(now) AS now FROM (
-  SELECT p.keyword, p.older, p.newer, p.gap_days, o.pkg, o.position AS was, NULL AS now FROM t_pairs p JOIN fx_observations o ON o.keyword = p.keyword AND o.observed_at = p.older WHERE o.source = 'serp' AND o.position IS NOT NULL
-  UNION ALL SELECT p.keyword, p.older, p.newer, p.gap_days, o.pkg, NULL, o.position FROM t_pairs p JOIN fx_observations o ON o.keyword = p.keyword AND o.observed_at = p.newer WHERE o.source = 'serp' AND o.position IS NOT NULL)
+  SELECT p.keyword, p.older, p.newer, p.gap_days, o.pkg, o.position AS was, NULL AS now FROM t_pairs p JOIN fx_observations o ON o.keyword = p.keyword AND o.observed_at = p.older WHERE o.source = 'serp' AND o.country = 'us' AND o.position IS NOT NULL
+  UNION ALL SELECT p.keyword, p.older, p.newer, p.gap_days, o.pkg, NULL, o.position FROM t_pairs p JOIN fx_observations o ON o.keyword = p.keyword AND o.observed_at = p.newer WHERE o.source = 'serp' AND o.country = 'us' AND o.position IS NOT NULL)
   GROUP BY ALL) JOIN fx_apps USING (pkg) WHERE was IS NULL OR now IS NULL OR was <> now""",
     "t_pairs": """SELECT keyword, older, newer, abs(date_diff('day', older, newer)) AS gap_days FROM (SELECT keyword, observed_at AS older, lead(observed_at) OVER (PARTITION BY keyword ORDER BY observed_at) AS newer
-FROM (SELECT DISTINCT keyword, observed_at FROM fx_observations WHERE source = 'serp')) WHERE newer IS NOT NULL AND date_diff('day', older, newer) >= 3""",
+FROM (SELECT DISTINCT keyword, observed_at FROM fx_observations WHERE source = 'serp' AND country = 'us')) WHERE newer IS NOT NULL AND date_diff('day', older, newer) >= 3""",
 }
 
 

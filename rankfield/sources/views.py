@@ -7,6 +7,8 @@ comparison read the same rows. ``AS_OF`` is the clock: nothing calls the current
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankfield.sources.storage import once
+
 AS_OF = "2001-12-31"
 
 VIEWS = {
@@ -37,8 +39,13 @@ yr AS (SELECT l_partkey, year(l_shipdate) AS y, SUM(l_quantity) AS q
 r AS (SELECT keyword, y, p_partkey,
              row_number() OVER (PARTITION BY keyword, y ORDER BY q DESC, p_partkey) AS rn,
              CASE WHEN length(keyword) % 5 = 0 THEN 1 ELSE 0 END AS promo
-      FROM cand JOIN yr ON l_partkey = p_partkey)
-SELECT keyword, 'us' AS country, concat('p', CAST(p_partkey AS VARCHAR(20))) AS pkg,
+      FROM cand JOIN yr ON l_partkey = p_partkey),
+-- the second country ranks a third of these apps, in an order of its own
+c AS (SELECT keyword, 'us' AS country, y, p_partkey, rn, promo FROM r WHERE rn <= 30
+      UNION ALL
+      SELECT keyword, 'de', y, p_partkey, row_number() OVER (PARTITION BY keyword, y ORDER BY p_partkey), promo
+      FROM r WHERE rn <= 30 AND p_partkey % 3 = 0)
+SELECT keyword, country, concat('p', CAST(p_partkey AS VARCHAR(20))) AS pkg,
        CASE WHEN promo = 1 AND rn = 1 THEN NULL
             WHEN p_partkey % 89 = 0 THEN CAST(251 AS BIGINT)
             ELSE CAST(rn - promo AS BIGINT) END AS position,
@@ -46,7 +53,7 @@ SELECT keyword, 'us' AS country, concat('p', CAST(p_partkey AS VARCHAR(20))) AS
             WHEN p_partkey % 89 = 0 THEN 'owned' ELSE 'serp' END AS source,
        CASE WHEN promo = 1 AND rn = 1 THEN 1 ELSE 0 END AS featured,
        make_date(CAST(y AS INT), 12, 31) AS observed_at
-FROM r WHERE rn <= 30""",
+FROM c""",
     "fx_app_snapshots": """
 WITH m AS (SELECT l_partkey, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS observed_at,
                   SUM(l_quantity) AS q, COUNT(*) AS n
@@ -96,7 +103,11 @@ TABLES = ("lineitem", "part", "orders", "customer", "events", "documents", "embe
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of ``VIEWS`` over the tables in ``sf_dir``."""
+    """One of ``VIEWS`` over the tables in ``sf_dir``, derived once a session."""
+    return once(spark, sf_dir, name, lambda: _derived(spark, sf_dir, name))
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in text}
     for t in used:

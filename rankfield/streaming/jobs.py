@@ -3,7 +3,8 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -21,19 +22,33 @@ def stream_observations(rows: DataFrame, key: list[str], time: str = "observed_a
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def stream_latest_apps(rows: DataFrame, path: str, checkpoint: str, key: list[str], version: str):
-    """Last write wins, batch by batch: each batch writes the next copy of the table.
+def latest_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest copy of each part of a table that ``stream_latest_apps`` writes."""
+    copies = spark.read.parquet(path)
+    copies = copies if before is None else copies.where(F.col("batch") < before)
+    newest = copies.groupBy("part").agg(F.max("batch").alias("batch"))  # a row a part
+    return copies.join(F.broadcast(newest), ["part", "batch"])
 
-    The copy is named by the batch, so a batch that runs again after a failure reads the
-    same copy before it and writes the same result.
+
+def stream_latest_apps(rows: DataFrame, path: str, checkpoint: str, key: list[str], version: str, parts: int = 64):
+    """Last write wins, batch by batch, on a table dealt into ``parts`` by its key.
+
+    A batch writes a new copy of the parts it touches and reads no others. Copies are
+    named by the batch, so a batch that runs again after a failure reads the same copies
+    before it and writes the same result.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), version).alias("_x"))
-        new = last.select(*key, "_x.*").select(*batch.columns)
-        old = spark.createDataFrame([], batch.schema) if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}")
-        upsert(old, new, key, version).write.mode("overwrite").parquet(f"{path}/{number}")
+        part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+        new = last.select(*key, "_x.*").select(*batch.columns).withColumn("part", part)
+        try:
+            touched = [r.part for r in new.select("part").distinct().collect()]  # at most ``parts``
+            old = latest_table(spark, path, number).where(F.col("part").isin(touched)).select(*new.columns)
+        except AnalysisException:  # nothing is written yet
+            old = new.limit(0)
+        upsert(old, new, key, version).withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
