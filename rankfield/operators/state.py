@@ -15,7 +15,8 @@ def days_since(date: Column, ref: Column) -> Column:
 
 
 def of_country(observations: DataFrame, country: str | None) -> DataFrame:
-    return observations if country is None else observations.where(F.col("country") == country)
+    """The rows of ``country``; a table without that column is one country's."""
+    return observations if country is None or "country" not in observations.columns else observations.where(F.col("country") == country)
 
 
 def newest_first(observations: DataFrame) -> list[Column]:

@@ -32,7 +32,7 @@ def keyword_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.ranked_fields(observations(spark, sf_dir), apps(spark, sf_dir))
+    return once(spark, sf_dir, "page-slots", lambda: state.ranked_fields(observations(spark, sf_dir), apps(spark, sf_dir)))
 
 
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,66 @@ def test_vectors_and_text(spark):
     assert set(got) == {"abc abd", "ab", ""} and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values())
     pair = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>").select(tx.cosine(F.col("a"), F.col("b")).alias("c"), tx.cosine(F.col("a"), F.col("z")).alias("n")).first()
     assert (pair.c, pair.n) == (pytest.approx(math.sqrt(0.5)), 0.0)
+
+
+SEEN = "keyword string, country string, pkg string, position long, source string, featured int, observed_at date"
+
+
+def test_pages_of_two_countries_stay_apart(spark):
+    apps = spark.createDataFrame([(p, p, "", "", 10, 4.0, 1, AS_OF, AS_OF) for p in "abc"], APPS)
+    seen = spark.createDataFrame([("k", c, p, n, "serp", 0, AS_OF) for c, p, n in (("us", "a", 2), ("us", "c", 7), ("de", "b", 1), ("de", "a", 3))], SEEN)
+    at = lambda **kw: {(r.country, r.pkg): r.slot for r in state.ranked_fields(seen, apps, **kw).collect()}
+    assert at() == {("us", "a"): 1, ("us", "c"): 2} and at(country="de") == {("de", "b"): 1, ("de", "a"): 2}
+    assert at(country=None) == at() | at(country="de")
+    assert {r.pkg: r.breadth for r in state.keyword_breadth(seen).collect()} == {"a": 1, "b": 1, "c": 1}
+
+
+def test_a_review_outlasts_an_absence_of_the_same_day(spark):
+    apps = spark.createDataFrame([("a", "a", "", "", 10, 4.0, 1, AS_OF, AS_OF)], APPS)
+    seen = spark.createDataFrame([("k", "us", "a", 251, "owned", 0, AS_OF), ("k", "us", "a", 3, "review", 0, AS_OF), ("k", "us", "a", 9, "serp", 0, AS_OF)], SEEN)
+    assert [r.position for r in state.latest_observations(seen, apps).collect()] == [3]
+    numbered = seen.withColumn("id", F.when(F.col("source") == "owned", 7).otherwise(1))
+    assert [r.position for r in state.latest_observations(numbered, apps).collect()] == [251], "the row written last"
+
+
+def test_given_groups_are_the_competition(spark):
+    slots = page(spark, [("Spider Tracker", 100, 400), ("Cast Screen", 10**7, 400), ("Cast Now", 10**7, 400), ("Spider Tracker Pro", 300, 400)])
+    groups = slots.select("keyword", "pkg", F.when(F.col("pkg").isin("o00", "o03"), 0).otherwise(1).alias("group"))
+    split = field.prepared(slots.drop("on_intent", "advantage", "rate_vs_age"), groups)
+    got = {r.own_pkg: (r.relevant_count, r.installs_p50_relevant) for r in field.summarise(field.near_rows(split)).collect()}
+    assert got["o00"] == (1, 300.0) and got["o01"] == (1, 10.0**7)
+
+
+def test_near_rows_hold_what_the_summary_reads(spark):
+    slots = page(spark, [(f"Spider {i}", 1000 * (i * 7 % 31), 100 + 37 * i) for i in range(30)])
+    both = [sorted(map(str, field.summarise(pairs).collect())) for pairs in (field.leave_one_out(slots), field.near_rows(slots))]
+    assert both[0] == both[1]
+
+
+def test_exact_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in np.round(rng.normal(0, 10, 3000), 1)] + [None] * 5
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    at = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    got = evaluate.exact_percentiles(rows, F.col("v"), at).first()["values"]
+    assert got == pytest.approx(np.percentile([v for v in values if v is not None], [100 * q for q in at]).tolist())
+    assert evaluate.exact_percentiles(rows.limit(0), F.col("v"), at).first()["values"] is None
+
+
+def test_residuals_in_blocks_equal_the_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    kinds = "id long, keyword string, pkg string, features array<double>, residual double, weight double"
+    filed = spark.createDataFrame([(i, f"k{i}", "p", rng.normal(size=2).tolist(), float(rng.normal()), 5.0) for i in range(60)], kinds)
+    asks = spark.createDataFrame([(f"k{i}", "q" if i % 2 else "p", rng.normal(size=2).tolist()) for i in range(40)], "keyword string, pkg string, features array<double>")
+    read = lambda: {(r.keyword, r.pkg): round(r.residual, 9) for r in memory.read_residuals(asks, filed).collect()}
+    whole = read()
+    monkeypatch.setattr(memory, "BROADCAST_ROWS", 13)
+    assert read() == whole and len(whole) == 40
+
+
+def test_sessions_become_field_history(spark):
+    day = AS_OF
+    rows = [("d1", "$/a", "k", "us", day, 100, day - dt.timedelta(days=100)), ("d1", "$/a", "k", "us", day, None, None), ("d1", "$/a", "k", "us", day, 300, day - dt.timedelta(days=800)), ("d2", "$", "k", "us", day, 9, None)]
+    pages = spark.createDataFrame(rows, "doc string, path string, keyword string, country string, observed_at date, installs long, released_at date")
+    (row,) = change.session_states(pages).collect()
+    assert (row.n_apps, row.installs_p50, row.newcomers, row.source) == (3, 100.0, 1, "research") and row.age_known_frac == pytest.approx(2 / 3)

@@ -9,7 +9,9 @@ from rankfield.plans import ingest, models, pages, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("r4_ranked_fields", "r18_publish_page", "f1_f8_field_quantiles", "g8_next_words", "h9_h10_transitions", "s11_s12_session_pages", "s17_infer_order_is_rank", "s29_s30_publisher_targets", "x7_download_points", "m13_crowding", "c1_c2_c7_rank_corrections", "e1_auc")
+# What every other part builds on, and each third of the rest; the driver compares all of them.
+CORE = ("r1_latest_observations", "r4_ranked_fields", "r7_r9_page_context", "f1_f8_field_quantiles", "f9_f11_given_groups", "h3_h5_field_deltas", "h8_load_sessions", "x2_features_of_fixed_groups", "m13_crowding", "c3_read_residuals", "st4_stream_transitions")
+SOME = tuple(dict.fromkeys((*CORE, *sorted(registry.ORACLES)[::3])))
 
 
 def plain(v):

@@ -44,7 +44,8 @@ def test_latest_apps_last_write_wins(spark, tmp_path):
     rows = stream(spark, tmp_path, [[("k", "a", at(0), 1, 1.0)], [("k", "a", at(2), 1, 3.0), ("k", "b", at(0), 1, 5.0)], [("k", "a", at(1), 1, 2.0)]])
     running = jobs.stream_latest_apps(rows.select("pkg", "observed_at", "installs"), str(tmp_path / "out"), str(tmp_path / "log"), ["pkg"], "observed_at").trigger(availableNow=True).start()
     running.awaitTermination()
-    assert sorted((r.pkg, r.installs) for r in spark.read.parquet(f"{tmp_path}/out/{running.lastProgress['batchId']}").collect()) == [("a", 3.0), ("b", 5.0)]
+    assert sorted((r.pkg, r.installs) for r in jobs.latest_table(spark, f"{tmp_path}/out").collect()) == [("a", 3.0), ("b", 5.0)]
+    assert jobs.latest_table(spark, f"{tmp_path}/out", 1).count() == 1, "the table as it was before the second batch"
 
 
 def test_windows_growth_and_sessions(spark, tmp_path):
