@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -84,7 +84,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result no longer depends on any executor."""
     storage_dir(df.sparkSession)
     with _shuffles_released(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a plan made in here is released
+
+
+def first_row(df: DataFrame) -> Row | None:
+    """The first row of a small result."""
+    with _shuffles_released(df.sparkSession):
+        return df.select("*").first()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

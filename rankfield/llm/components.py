@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut
+from rankfield.llm.common import cut, first_row
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").distinct())
     state = None
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = first_row(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))))
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = seen
