@@ -42,6 +42,16 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
 
+def md5_place(*parts: Column) -> Column:
+    """A 60-bit hash that other SQL engines can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def row_name(key: Column, text_key: Column) -> Column:
+    """What a row is dealt by: its id, or its text's key where the id is null."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("#"), text_key.cast("string")))
+
+
 def group_key(column: Column) -> Column:
     """A non-null equi-join key for a nullable string column."""
     return F.coalesce(F.concat(F.lit("="), column), F.lit(""))

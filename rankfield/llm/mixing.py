@@ -27,17 +27,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut, group_key, text_key, word_count
+from rankfield.llm.common import cut, group_key, md5_place, row_name, text_key, word_count
 
 BROADCAST_SOURCES = 100_000
 PASSES, LEVELS = 8, 5
 
 
-def _place(*parts: Column) -> Column:
-    """A 60-bit hash that other SQL engines can repeat."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
-
-
 def _bisect(shares: DataFrame, value, wanted: float, falls: bool) -> float:
     """Exponent in [0, 1] where ``value(exponent)``, monotone, meets ``wanted``.
 
@@ -109,10 +104,10 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     flat = docs.select(F.struct("*").alias("_row"), docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), group_key(docs[source]).alias("_source"), count.alias("_tokens"))
     plan, sources = source_plan(flat.select("_source", "_tokens"), **limits)
     dealt = flat.join(plan.hint("broadcast" if sources <= BROADCAST_SOURCES else "merge"), "_source")
-    name = F.coalesce(F.col("_doc").cast("string"), F.concat(F.lit("#"), F.col("_text_key").cast("string")))
-    dealt = dealt.withColumn("_block", F.pmod(_place(name, F.lit("block")), F.col("_blocks")))
+    name = row_name(F.col("_doc"), F.col("_text_key"))
+    dealt = dealt.withColumn("_block", F.pmod(md5_place(name, F.lit("block")), F.col("_blocks")))
     inside = "PARTITION BY _source, _block ORDER BY _place, _doc, _tokens, _text_key"
-    dealt = dealt.withColumn("_place", _place(name, F.lit("place")))
+    dealt = dealt.withColumn("_place", md5_place(name, F.lit("place")))
     dealt = dealt.withColumn("_before", F.expr(f"sum(_tokens) OVER ({inside} ROWS UNBOUNDED PRECEDING) - _tokens"))
     dealt = dealt.withColumn("_all", F.expr("sum(_tokens) OVER (PARTITION BY _source, _block)"))
     dealt = dealt.withColumn("position", F.expr(f"row_number() OVER ({inside})").cast("long"))
@@ -121,7 +116,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     used = dealt.withColumn("_uses", uses.cast("long")).where("_uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_uses") - 1)))
     return used.select(
         "_row", "_doc", F.col("_row")[source].alias("_name"), F.col("_tokens").alias("n_tokens"), "weight", "epoch", F.col("_block").alias("block"),
-        _place(F.col("_source"), F.col("_block"), F.col("epoch")).alias("block_order"), "position", ((F.col("epoch") + _place(F.col("_source"), F.col("_block")) / F.lit(float(1 << 60))) / F.col("_uses")).alias("_turn"),
+        md5_place(F.col("_source"), F.col("_block"), F.col("epoch")).alias("block_order"), "position", ((F.col("epoch") + md5_place(F.col("_source"), F.col("_block")) / F.lit(float(1 << 60))) / F.col("_uses")).alias("_turn"),
     )
 
 

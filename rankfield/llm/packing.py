@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut, stored, text_key, word_count
+from rankfield.llm.common import cut, md5_place, row_name, stored, text_key, word_count
 
 BROADCAST_ROWS = 200_000
 
@@ -88,9 +88,9 @@ def pack(
         number, padded = F.when(inside, F.lit(i)).otherwise(number), F.when(inside, F.lit(bounds[i])).otherwise(padded)
     shards = max(1, -(-sum(r[1] for r in histogram) // shard_rows))
     # each repeat of a row is placed by its number, so that the uses of a document lie apart
-    place = F.when(F.col("_use") == 0, F.xxhash64("_doc", "_text_key", "_piece")).otherwise(F.xxhash64("_doc", "_text_key", "_piece", "_use"))
+    place = md5_place(row_name(F.col("_doc"), F.col("_text_key")), F.col("_piece"), F.col("_use"))
     shard = F.col("_file") * F.lit(1 << 32) + F.floor(F.col("_index") / shard_rows) if follow else F.pmod(place, F.lit(shards).cast("long"))
-    order = "_index, _piece" if follow else "_place, _doc, _piece"
+    order = "_index, _piece" if follow else "_place, _doc, _piece, _text_key"
     pieces = pieces.select("*", number.alias("_bucket"), padded.cast("long").alias("_padded"), place.alias("_place"), shard.cast("long").alias("_shard"))
 
     sizes = cut(pieces.groupBy("_bucket", "_shard").agg(F.count("*").alias("_rows")))

@@ -85,6 +85,14 @@ LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp
 NORMAL = f"trim(regexp_replace(translate({{0}}, '{UPPER}123456789', '{UPPER.lower()}000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 EXACT = "trim(regexp_replace({0}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 
+# op4's least padded size of lengths 0 to j in at most k + 1 buckets, and where the last but one ends
+BOUNDS = ",\n".join(
+    f"""b{k} AS MATERIALIZED (SELECT p.j, CASE WHEN s.c < p.c THEN s.c ELSE p.c END AS c, CASE WHEN s.c < p.c THEN s.i END AS pick
+  FROM b{k - 1} p LEFT JOIN (SELECT x.j, min(y.c + x.n * (x.upto - z.upto)) AS c, arg_min(y.j, (y.c + x.n * (x.upto - z.upto), y.j)) AS i FROM h x JOIN b{k - 1} y ON y.j < x.j JOIN h z ON z.j = y.j GROUP BY x.j) s ON s.j = p.j)"""
+    for k in range(1, 8)
+)
+BACK = ",\n".join(f"e{k} AS (SELECT coalesce(b.pick, e.j) AS j FROM e{k + 1} e JOIN b{k + 1} b ON b.j = e.j)" for k in range(6, -1, -1))
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings),
@@ -105,6 +113,19 @@ c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
   CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.5 * n_words AS kept FROM c""",
+    "op4_packing": f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(len({WORDS}), 0) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id, text) - 1 AS use FROM documents),
+g AS (SELECT doc_id, use, n AS whole, unnest(range(greatest(1, CAST(ceil(n / 4096.0) AS BIGINT)))) AS piece FROM d),
+p AS (SELECT doc_id, piece, least(4096, whole - piece * 4096) AS n, ('0x' || substr(md5(doc_id || '|' || piece || '|' || use), 1, 15))::BIGINT AS place FROM g),
+h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n) - 1 AS j, n, CAST(sum(count(*)) OVER (ORDER BY n) AS BIGINT) AS upto FROM p GROUP BY n),
+b0 AS MATERIALIZED (SELECT j, n * upto AS c FROM h),
+{BOUNDS},
+e7 AS (SELECT max(j) AS j FROM h),
+{BACK},
+t AS (SELECT row_number() OVER (ORDER BY n) - 1 AS bucket, n AS padded FROM h WHERE j IN ({" UNION ".join(f"SELECT j FROM e{k}" for k in range(8))})),
+m AS (SELECT p.*, (SELECT min(bucket) FROM t WHERE t.padded >= p.n) AS bucket, place % greatest(1, CAST(ceil((SELECT count(*) FROM p) / 20000.0) AS BIGINT)) AS shard FROM p),
+o AS (SELECT m.*, t.padded, row_number() OVER (PARTITION BY m.bucket ORDER BY shard, place, doc_id, piece) - 1 AS k, CAST(greatest(1, floor(65536.0 / greatest(1, t.padded))) AS BIGINT) AS fit FROM m JOIN t ON t.bucket = m.bucket)
+SELECT doc_id, piece, piece * 4096 AS start_token, n AS n_tokens, CAST(bucket AS INT) AS bucket, padded AS padded_tokens, k // fit AS batch, k % fit AS slot FROM o""",
     "op5_line_dedup": f"""
 WITH d AS (SELECT doc_id, text, {LINES} AS l FROM documents),
 k AS (SELECT doc_id, unnest(list_transform(l, lambda t: {EXACT.format("t")})) AS m, generate_subscripts(l, 1) AS i FROM d),
