@@ -3,24 +3,29 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut, first_row
+from rankfield.llm.common import cut, first_row, join_split
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with the smallest of u and all its v; hubs are pre-aggregated."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(low.hint("merge"), "u")
+def _nearest(pairs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each pair (u, v) with the smallest of u and all its v, as m; and (u, m) once.
+
+    The minima of hubs are pre-aggregated, and the pairs of a hub are dealt over several
+    tasks. There are at most ``rows`` pairs.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    return join_split(pairs, low, ["u"], "_n", ["v"], rows), low.select("u", "m")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
-    return _nearest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    near, _ = _nearest(both, 2 * rows)
+    return near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    near = _nearest(down)
-    return near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(near.select("u", "m").distinct()).where("a <> b")
+    near, low = _nearest(down, rows)
+    return near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low).where("a <> b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,4 +40,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = seen
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        # a large star has one row for each edge at most
+        now = cut(_small_star(_large_star(now, seen[0]).distinct(), seen[0]).distinct())
