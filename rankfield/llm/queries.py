@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.llm import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_records, topk, url_filter
+from rankfield.llm import clustering, filter_audit, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_records, topk, url_filter
 from rankfield.llm.common import storage_dir, table, temporary
 
 RULES = [
@@ -69,11 +69,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, starts = F.filter("notices", lambda x: x["base"]), F.transform("base", lambda x: x["word"])
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumn("base", base)
+    own = F.concat(F.transform("notices", lambda x: x["label"]), F.flatten(F.transform("expressions", lambda x: x["labels"])))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        license_scan.joined_labels(F.transform("base", lambda x: x["label"])).alias("base_labels"), license_scan.joined_labels(own).alias("labels"), "score",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_quality_rules, op3_quality_classifier, op4_packing, op5_line_dedup,
         op6_simhash_dedup, op7_url_filter, op8_source_mixing, op9_token_records, op10_suffix_dedup,
+        op11_centroid_clustering, op12_filter_audit, op13_license_scan,
     )
 }
 
@@ -93,6 +113,11 @@ BOUNDS = ",\n".join(
 )
 BACK = ",\n".join(f"e{k} AS (SELECT coalesce(b.pick, e.j) AS j FROM e{k + 1} e JOIN b{k + 1} b ON b.j = e.j)" for k in range(6, -1, -1))
 
+# op11: c{r} are the centroids after r rounds, a{r} what they are assigned
+ROUND = """a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := list_dot_product(v, v) - 2 * list_dot_product(v, m) + list_dot_product(m, m), c := c)) AS best FROM k, c{r} GROUP BY vec_id)"""
+MOVED = """c{s} AS MATERIALIZED (SELECT c.c, coalesce(n.m, c.m) AS m FROM c{r} c LEFT JOIN (SELECT c, list(m ORDER BY i) AS m FROM (SELECT best.c AS c, i, floor(sum(x) / count(*)) AS m FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY best.c, i) GROUP BY c) n ON n.c = c.c)"""
+ROUNDS = ",\n".join(x for r in range(6) for x in ([MOVED.format(r=r - 1, s=r)] if r else []) + [ROUND.format(r=r)])
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings),
@@ -156,4 +181,26 @@ x AS (SELECT d.doc_id, d.source, d.s, d.n, q.weight, q.epochs, ('0x' || substr(m
 y AS (SELECT *, sum(n) OVER (PARTITION BY s, block ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY s, block) AS total, row_number() OVER (PARTITION BY s, block ORDER BY place, doc_id) AS position FROM x),
 z AS (SELECT *, unnest(range(CAST(floor(epochs) AS BIGINT) + CASE WHEN before + n / 2.0 < (epochs - floor(epochs)) * total THEN 1 ELSE 0 END)) AS epoch FROM y)
 SELECT doc_id, source, n AS n_tokens, weight, epoch, block, ('0x' || substr(md5(s || '|' || block || '|' || epoch), 1, 15))::BIGINT AS block_order, position FROM z""",
+    "op11_centroid_clustering": f"""
+WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256('2:' || vec_id) AS h FROM k ORDER BY h LIMIT 40)),
+{ROUNDS},
+s AS (SELECT best.c AS c, sum(best.d) AS d FROM a5 GROUP BY best.c)
+SELECT vec_id, CAST(best.c AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(s.d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM s) AS BIGINT) AS inertia,
+sha256(array_to_string(list_transform(c5.m, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM a5 JOIN s ON s.c = best.c JOIN c5 ON c5.c = best.c""",
+    "op12_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, coalesce({WORDS}, []) AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+e AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > e.least THEN 16 ELSE 0 END AS mask
+  FROM d JOIN e ON e.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS MATERIALIZED (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before + bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed, coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }

@@ -19,7 +19,7 @@ def test_corpus_query_equals_its_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
