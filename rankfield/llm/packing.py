@@ -5,8 +5,9 @@ length histogram has at most ``max_tokens`` + 1 entries however large the corpus
 only it reaches the driver. Dynamic programming over it finds the bucket boundaries
 with the least padding exactly. Inside a bucket the pieces are numbered in a hashed
 order, or in the order of the rows in their Parquet files (``follow``; rows that are not
-in files are written first), and every batch
-takes as many as fit the token budget at the padded length.
+in files are written first; files go by the number in their names, those without one
+first, by a hash of their paths), and every batch takes as many as fit the token budget at
+the padded length.
 
 Numbering needs no global sort: pieces are dealt into shards, numbered there, and
 moved on by the counts of the shards before. A shard is a range of hashes, or of rows
@@ -18,7 +19,7 @@ packed each; an empty table gives an empty result.
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.llm.common import cut, md5_place, row_name, stored, text_key, word_count
@@ -62,6 +63,15 @@ def _in_files(docs: DataFrame) -> bool:
         return False
 
 
+def _stored_at(docs: DataFrame, follow: bool) -> dict[str, Column]:
+    """Where rows lie: the number in the file's name (-1: it has none), a hash of its path, and the row's number in the file."""
+    if not follow:
+        return {c: F.lit(0).cast("long") for c in ("_file", "_path", "_index")}
+    at = docs.metadataColumn("_metadata")
+    number = F.nullif(F.regexp_extract(at["file_name"], r"part-(\d{1,18})", 1), F.lit(""))
+    return {"_file": F.coalesce(number.cast("long"), F.lit(-1).cast("long")), "_path": F.xxhash64(at["file_path"]), "_index": at["row_index"]}
+
+
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: str | None = None, buckets: int = 8, max_tokens: int = 4096, batch_tokens: int = 65_536, shard_rows: int = 20_000, follow: bool = False
 ) -> DataFrame:
@@ -73,9 +83,8 @@ def pack(
     if follow and not _in_files(docs):
         docs = stored(docs, "rows-in-order")
     count = word_count(docs[text]) if tokens is None else F.coalesce(docs[tokens], F.lit(0)).cast("long")
-    stored_at = [F.regexp_extract(docs.metadataColumn("_metadata")["file_name"], r"part-(\d+)", 1).cast("long"), docs.metadataColumn("_metadata")["row_index"]] if follow else [F.lit(0).cast("long")] * 2
-    rows = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all"), stored_at[0].alias("_file"), stored_at[1].alias("_index"))
-    use = F.expr("row_number() OVER (PARTITION BY _doc, _text_key ORDER BY _all, _file, _index)").cast("long") - 1
+    rows = docs.select(docs[key].alias("_doc"), text_key(docs[text]).alias("_text_key"), count.alias("_all"), *(c.alias(n) for n, c in _stored_at(docs, follow).items()))
+    use = F.expr("row_number() OVER (PARTITION BY _doc, _text_key ORDER BY _all, _file, _path, _index)").cast("long") - 1
     whole = cut(rows.withColumn("_use", use))
     pieces = whole.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_all") / max_tokens).cast("long") - 1, F.lit(0).cast("long")))))
     pieces = pieces.withColumn("_n", F.least(F.lit(max_tokens).cast("long"), F.col("_all") - F.col("_piece") * max_tokens))
@@ -89,9 +98,9 @@ def pack(
     shards = max(1, -(-sum(r[1] for r in histogram) // shard_rows))
     # each repeat of a row is placed by its number, so that the uses of a document lie apart
     place = md5_place(row_name(F.col("_doc"), F.col("_text_key")), F.col("_piece"), F.col("_use"))
-    shard = F.col("_file") * F.lit(1 << 32) + F.floor(F.col("_index") / shard_rows) if follow else F.pmod(place, F.lit(shards).cast("long"))
+    shard = F.struct("_file", "_path", (F.floor(F.col("_index") / shard_rows) if follow else F.pmod(place, F.lit(shards).cast("long"))).cast("long").alias("part"))
     order = "_index, _piece" if follow else "_place, _doc, _piece, _text_key"
-    pieces = pieces.select("*", number.alias("_bucket"), padded.cast("long").alias("_padded"), place.alias("_place"), shard.cast("long").alias("_shard"))
+    pieces = pieces.select("*", number.alias("_bucket"), padded.cast("long").alias("_padded"), place.alias("_place"), shard.alias("_shard"))
 
     sizes = cut(pieces.groupBy("_bucket", "_shard").agg(F.count("*").alias("_rows")))
     before = sizes.select("_bucket", "_shard", F.expr("sum(_rows) OVER (PARTITION BY _bucket ORDER BY _shard ROWS UNBOUNDED PRECEDING) - _rows").alias("_before"))

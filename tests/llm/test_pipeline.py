@@ -22,7 +22,7 @@ def corpus():
 
 
 def test_stages_are_the_five_in_order():
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_dedup", "source_mixing", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "source_mixing", "packing"]
     assert "pipeline" in __spark_entry__.queries() and set(queries.QUERIES) <= set(__spark_entry__.queries())
 
 
@@ -46,7 +46,7 @@ def test_near_duplicate_stage_matches_brute_force(spark, tmp_path):
     rows = docs.collect()
     label = roots([r.text for r in rows])
     want = Counter(min((r.doc_id for r, c in zip(rows, label, strict=True) if c == g and r.doc_id is not None), default=None) for g in set(label))
-    assert Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, path).collect()) == want
+    assert Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, path).collect()) == want
 
 
 def test_whole_run_equals_the_stages_one_by_one(spark, tmp_path):
