@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankfield.sources.storage import kept
+
 
 def auc(rows: DataFrame, label: str = "y", score: str = "p") -> DataFrame:
     """Area under the curve from mid-ranks; 0.5 if a class is missing.
@@ -39,12 +41,13 @@ def exact_percentiles(rows: DataFrame, column: Column, at: list[float]) -> DataF
     pieces below, and only the values at the wanted ranks are kept.
     """
     x = rows.select(column.cast("double").alias("_x")).where("_x is not null")
-    cuts = x.agg(F.percentile_approx("_x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("_cuts"), F.count("*").alias("_all"))
+    counted = kept(x.groupBy("_x").agg(F.count("*").alias("_n")), "counted-values")
+    cuts = counted.agg(F.percentile_approx("_x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 10_000).alias("_cuts"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
     place = lambda q: F.lit(q) * (F.col("_all") - 1)
     # (percentile, its share of the value at the lower or the upper of its two ranks)
     ends = [F.struct(F.lit(i).alias("i"), r.cast("long").alias("r"), w.alias("w")) for i, q in enumerate(at) for r, w in ((F.floor(place(q)), F.ceil(place(q)) - place(q)), (F.ceil(place(q)), place(q) - F.floor(place(q))))]
     cuts = cuts.select("_cuts", F.array(*ends).alias("_ends"))
-    by = x.groupBy("_x").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(cuts)).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    by = counted.crossJoin(F.broadcast(cuts)).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
     below = by.groupBy("_g").agg(F.sum("_n").alias("_m")).select("_g", F.expr("sum(_m) OVER (ORDER BY _g ROWS UNBOUNDED PRECEDING) - _m").alias("_before"))
     ranked = by.withColumn("_in", F.expr("sum(_n) OVER (PARTITION BY _g ORDER BY _x ROWS UNBOUNDED PRECEDING) - _n")).join(below.hint("merge"), "_g").withColumn("_low", F.col("_before") + F.col("_in"))
     hit = ranked.select("_x", F.explode(F.filter("_ends", lambda e: (e["r"] >= F.col("_low")) & (e["r"] < F.col("_low") + F.col("_n")))).alias("_e"))
@@ -53,6 +56,31 @@ def exact_percentiles(rows: DataFrame, column: Column, at: list[float]) -> DataF
     return found.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_v")).select(F.when(F.size("_v") > 0, F.transform("_v", lambda e: e["v"])).alias("values"))
 
 
+def grouped_percentiles(rows: DataFrame, key: str, column: Column, at: list[float], broadcast_groups: int = 4_096) -> DataFrame:
+    """(key, n, values): count and interpolated percentiles of the non-null values of each group.
+
+    For few groups of any size: no task sees a whole group. Equal values are counted
+    first; each group's own approximate percentiles cut its line into 256 pieces, counts
+    run inside a piece and are moved on by the pieces below. Null keys have no group.
+    """
+    x = rows.select(F.col(key).alias("_k"), column.cast("double").alias("_x")).where("_x is not null and _k is not null")
+    by = kept(x.groupBy("_k", "_x").agg(F.count("*").alias("_n")), "counted-values")
+    cuts = by.groupBy("_k").agg(F.percentile_approx("_x", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 2_000).alias("_cuts"), F.sum("_n").alias("_all"))
+    cuts = kept(cuts, "value-cuts")
+    # 2 KB a group: broadcast while the groups are counted to be few, else met by key
+    strategy = "broadcast" if cuts.count() <= broadcast_groups else "merge"
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    ends = [F.struct(F.lit(i).alias("i"), r.cast("long").alias("r"), w.alias("w")) for i, q in enumerate(at) for r, w in ((F.floor(place(q)), F.ceil(place(q)) - place(q)), (F.ceil(place(q)), place(q) - F.floor(place(q))))]
+    cut = by.join(cuts.hint(strategy), "_k").withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    below = cut.groupBy("_k", "_g").agg(F.sum("_n").alias("_m")).select("_k", "_g", F.expr("sum(_m) OVER (PARTITION BY _k ORDER BY _g ROWS UNBOUNDED PRECEDING) - _m").alias("_before"))
+    inside = cut.withColumn("_in", F.expr("sum(_n) OVER (PARTITION BY _k, _g ORDER BY _x ROWS UNBOUNDED PRECEDING) - _n"))
+    ranked = inside.join(below.hint("merge"), ["_k", "_g"]).withColumn("_low", F.col("_before") + F.col("_in")).withColumn("_ends", F.array(*ends))
+    hit = ranked.select("_k", "_all", "_x", F.explode(F.filter("_ends", lambda e: (e["r"] >= F.col("_low")) & (e["r"] < F.col("_low") + F.col("_n")))).alias("_e"))
+    mean = F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.sum(F.col("_x") * F.col("_e.w")))
+    found = hit.groupBy("_k", "_all", "_e.i").agg(mean.alias("v")).groupBy("_k", "_all").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_v"))
+    return found.select(F.col("_k").alias(key), F.col("_all").alias("n"), F.transform("_v", lambda e: e["v"]).alias("values"))
+
+
 def error_factor(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     """How many times off: median, p90, and mean absolute log error of log counts."""
     floor = lambda c: F.greatest(F.expm1(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(30.0))), F.lit(1.0))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfield.functions import text as tx
+from rankfield.operators.evaluate import grouped_percentiles
 
 ABSENT = 251
 YEAR_S = 31_557_600
@@ -69,10 +70,15 @@ def measured_growth(snapshots: DataFrame, min_days: int = 7) -> DataFrame:
 
 
 def age_rate_norms(apps: DataFrame, as_of: str, min_apps: int = 20) -> DataFrame:
-    """Median installs a year for each year of age, over the whole corpus."""
+    """Median installs a year for each year of age, over the whole corpus.
+
+    There are at most 22 ages, however many apps: their medians are exact and no task
+    sees the apps of a whole age.
+    """
     years = F.datediff(F.lit(as_of).cast("date"), "released_at") * F.lit(86400.0) / F.lit(float(YEAR_S))
     aged = apps.where("installs > 0 and released_at is not null").withColumn("_age", years).where("_age > 0")
-    return aged.groupBy(F.expr("width_bucket(_age, 0, 20, 20)").alias("bucket")).agg(F.percentile(F.col("installs") / F.greatest("_age", F.lit(0.25)), 0.5).alias("rate"), F.count("*").alias("n")).where(F.col("n") >= min_apps)
+    rates = aged.select(F.expr("width_bucket(_age, 0, 20, 20)").alias("bucket"), (F.col("installs") / F.greatest("_age", F.lit(0.25))).alias("_rate"))
+    return grouped_percentiles(rates, "bucket", F.col("_rate"), [0.5]).where(F.col("n") >= min_apps).select("bucket", F.get("values", 0).alias("rate"), "n")
 
 
 def norm_for_age(rows: DataFrame, norms: DataFrame, age: str = "age", key: str = "pkg") -> DataFrame:
@@ -91,6 +97,19 @@ def keyword_breadth(observations: DataFrame) -> DataFrame:
     return observations.where("position is not null").groupBy("pkg").agg(F.count_distinct("keyword").alias("breadth"))
 
 
+def breadth_sketches(observations: DataFrame, log_registers: int = 12) -> DataFrame:
+    """(pkg, observed_at, sketch): a HyperLogLog sketch of each app's keywords, day by day.
+
+    A day's sketches are written once; any span of days is a union of theirs.
+    """
+    return observations.where("position is not null").groupBy("pkg", "observed_at").agg(F.hll_sketch_agg("keyword", log_registers).alias("sketch"))
+
+
+def sketched_breadth(sketches: DataFrame) -> DataFrame:
+    """Breadth of each app from sketches of any days, merged; relative error about 1.04 / sqrt(2^log_registers)."""
+    return sketches.groupBy("pkg").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("breadth"))
+
+
 def attach_meaning(rows: DataFrame, keyword_vectors: DataFrame, app_vectors: DataFrame) -> DataFrame:
     """Slots with ``cosine`` to the keyword, ``relevance`` blended with the meaning, and
     the cosines to the first and second app of the page."""
@@ -126,9 +145,15 @@ def keyword_catalogue(observations: DataFrame) -> DataFrame:
     return observations.groupBy("keyword").agg(F.max("observed_at").alias("last_seen"), F.count_distinct("pkg").alias("n_apps")).orderBy("last_seen", "keyword")
 
 
-def status_counts(apps: DataFrame, observations: DataFrame) -> DataFrame:
+def status_counts(apps: DataFrame, observations: DataFrame, corrections: DataFrame | None = None, residuals: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """One row of counts; corrections, live residuals and overrides of the tables that are given."""
     seen = observations.agg(F.count_distinct("keyword").alias("keywords"), F.count_if(F.col("position") < ABSENT).alias("ranked_rows"), F.count_if(F.col("featured") == 1).alias("promoted_rows"))
-    return apps.agg(F.count("*").alias("apps")).crossJoin(seen)
+    out = apps.agg(F.count("*").alias("apps")).crossJoin(seen)
+    if corrections is not None:
+        out = out.crossJoin(corrections.agg(F.count("*").alias("corrections"), F.count_if(F.col("status") == "queued").alias("queued_corrections")))
+    if residuals is not None:
+        out = out.crossJoin(residuals.agg(F.count_if(F.col("retired_at").isNull()).alias("live_residuals")))
+    return out if overrides is None else out.crossJoin(overrides.agg(F.count("*").alias("overrides")))
 
 
 def due_keywords(observations: DataFrame, as_of: str, every_days: int = 7) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries over raw listings, archived pages, texts and vectors."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankfield.functions import parse
@@ -8,8 +10,11 @@ from rankfield.operators import ingest
 from rankfield.plans.pages import app_vectors, apps, keyword_vectors, observations, rounded, slots
 from rankfield.plans.raw import COMPACT, COUNT, ISO_DATE, STORE_DATE, YEAR_ONLY, raw, sessions
 from rankfield.plans.registry import query
+from rankfield.sources import tables
+from rankfield.sources.storage import scratch
 from rankfield.sources.views import AS_OF, view
 
+
 @query(f"""SELECT pkg, title, coalesce(nullif(installs_real, 0), nullif(installs_min, 0), nullif(installs_shown, 0), 0) AS installs, coalesce(nullif(score, 0), rating, 0) AS rating,
 coalesce(nullif(ratings_count, 0), nullif(reviews_count, 0), 0) AS reviews, {STORE_DATE.format('released_text')} AS released_at FROM fx_raw""")
 def s1_normalize_listings(spark, sf_dir):
@@ -150,6 +155,26 @@ def s26_copy_intersecting_columns(spark, sf_dir):
     return ingest.copy_intersecting(apps(spark, sf_dir), ["pkg", "title", "installs", "icon"])[0]
 
 
+COPIED = {"customer": ["c_custkey", "c_name", "c_icon"], "orders": ["o_orderkey", "o_totalprice", "o_orderdate"], "part": ["p_partkey", "p_name", "released_at", "icon"]}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS copied_rows, array_to_string(list_sort(list(c) FILTER (has AND wanted)), ',') AS copied_columns, array_to_string(list_sort(list(c) FILTER (has <> wanted)), ',') AS skipped_columns, (SELECT CAST(sum({k}) AS BIGINT) FROM {t}) AS key_sum "
+        f"FROM (SELECT c, bool_or(has) AS has, bool_or(wanted) AS wanted FROM (SELECT column_name AS c, true AS has, false AS wanted FROM (DESCRIBE {t}) UNION ALL SELECT unnest({COPIED[t]}), false, true) GROUP BY c)"
+        for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))
+    )
+)
+def s26_copy_tables(spark, sf_dir):
+    """Three tables replaced by what they share with their targets, the report, and a sum read back from each copy."""
+    path = scratch(spark, f"copies-{uuid.uuid4().hex}")
+    report = tables.copy_tables({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in COPIED}, COPIED, path)
+    sums = [spark.read.parquet(f"{path}/{t}").agg(F.lit(t).alias("table_name"), F.sum(k).cast("long").alias("key_sum")) for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))]
+    read_back = sums[0].unionAll(sums[1]).unionAll(sums[2])
+    told = report.join(read_back.hint("merge"), "table_name")
+    return told.withColumns({c: F.array_join(c, ",") for c in ("copied_columns", "skipped_columns")})
+
+
 @query(f"SELECT pkg, count(*) AS points FROM (SELECT pkg, observed_at FROM fx_app_snapshots WHERE year(observed_at) = 1996 UNION SELECT DISTINCT a.pkg, DATE '{AS_OF}' FROM fx_apps a JOIN fx_app_snapshots s ON s.pkg = a.pkg WHERE year(s.observed_at) = 1996) GROUP BY pkg HAVING count(*) > 1")
 def s27_import_dated_cache(spark, sf_dir):
     cache = view(spark, sf_dir, "fx_app_snapshots").where("year(observed_at) = 1996")
@@ -189,8 +214,14 @@ def t2_t5_t10_title_features(spark, sf_dir):
     return rounded(slots(spark, sf_dir).select("keyword", "pkg", tx.exact_match(c[0], c[3]).alias("exact"), tx.title_contains_phrase(c[0], c[3]).alias("phrase"), *[v.alias(k) for k, v in features.items()]))
 
 
-@query("""SELECT s.keyword, s.pkg, round(list_dot_product(k.v, e.v), 4) AS dot, round(list_cosine_similarity(k.v, e.v), 4) AS cosine, round(relevance, 4) AS blended
-FROM t_context s JOIN t_app_vectors e ON e.pkg = s.pkg JOIN t_keyword_vectors k ON k.keyword = s.keyword""")
+TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+
+
+@query(f"""WITH w AS (SELECT keyword, pkg, {", ".join(TOKENS.format(c) + f" AS {c[:2]}" for c in ("keyword", "title", "short_desc", "description"))} FROM t_slots),
+p AS (SELECT keyword, pkg, list_transform(ke, lambda t: CASE WHEN list_contains(ti, t) THEN 1.0::DOUBLE WHEN list_contains(sh, t) THEN 0.6::DOUBLE WHEN list_contains(de, t) THEN 0.35::DOUBLE ELSE 0::DOUBLE END) AS per FROM w),
+l AS MATERIALIZED (SELECT keyword, pkg, list_sum(per) / len(per) * (len(list_filter(per, lambda x: x > 0)) / len(per)) AS lexical FROM p)
+SELECT l.keyword, l.pkg, round(list_dot_product(k.v, e.v), 4) AS dot, round(list_cosine_similarity(k.v, e.v), 4) AS cosine, round(0.6 * lexical + 0.4 * greatest(0, list_dot_product(k.v, e.v)), 4) AS blended
+FROM l JOIN t_app_vectors e ON e.pkg = l.pkg JOIN t_keyword_vectors k ON k.keyword = l.keyword""")
 def t3_t4_t6_blended_relevance(spark, sf_dir):
     c = [F.col(x) for x in ("title", "short_desc", "description", "keyword")]
     rows = slots(spark, sf_dir).join(app_vectors(spark, sf_dir), "pkg").join(keyword_vectors(spark, sf_dir), "keyword")
@@ -219,3 +250,16 @@ def t9_uncached_texts(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text", "turn")
     cache = rows.where("turn = 0").select(F.sha2(F.concat(F.lit("t:"), "text"), 256).alias("key"), F.lit("trigram").alias("encoder"))
     return tx.uncached(rows, cache, "text", "t:").select("key")
+
+
+@query("""WITH t AS (SELECT DISTINCT text, trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g')) AS p FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT text, md5(unnest(CASE WHEN length(p) < 3 THEN [p] ELSE list_transform(range(1, length(p) - 1), lambda i: substr(p, i::INT, 3)) END)) AS h FROM t),
+c AS (SELECT text, CAST(('0x' || substr(h, 1, 15))::BIGINT % 384 AS INT) AS place, sum(CASE WHEN ('0x' || substr(h, 16, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE) AS x FROM g GROUP BY ALL)
+SELECT sha256('t:' || text) AS key, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY text)), 6) AS x FROM c WHERE x <> 0""")
+def t9_stored_vectors(spark, sf_dir):
+    """First turns are encoded into the store; then all texts, of which only the others are."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text", "turn")
+    path = scratch(spark, f"vectors-{uuid.uuid4().hex}")
+    tables.encode_cached(rows.where("turn = 0"), "text", path, tx.hashed_trigram_vectors, "trigram", "t:")
+    found, _ = tables.encode_cached(rows, "text", path, tx.hashed_trigram_vectors, "trigram", "t:")
+    return rounded(found.select("key", F.posexplode("vector").alias("place", "x")).where("x <> 0"))

@@ -10,6 +10,7 @@ from rankfield.operators import change as ch
 from rankfield.operators import features as fx
 from rankfield.plans.pages import app_vectors, apps, cards, context, keyword_vectors, observations, ready, rounded, slots, states
 from rankfield.plans.registry import query
+from rankfield.sources import tables
 from rankfield.sources.storage import kept, once, scratch
 from rankfield.sources.views import AS_OF, view
 from rankfield.streaming import jobs
@@ -44,10 +45,10 @@ def scored(spark, sf_dir):
 
 
 UNIT = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
-PAIRS = f"(SELECT s.keyword, s.pkg, s.slot, {UNIT} AS u FROM t_slots s JOIN t_app_vectors a ON a.pkg = s.pkg)"
 
 
-@query(f"SELECT x.keyword, x.pkg AS a, y.pkg AS b, round(list_dot_product(x.u, y.u), 4) AS similarity FROM {PAIRS} x JOIN {PAIRS} y ON y.keyword = x.keyword AND x.slot < y.slot")
+@query("""WITH n AS MATERIALIZED (SELECT pkg, v, sqrt(list_dot_product(v, v)) AS n FROM t_app_vectors), u AS MATERIALIZED (SELECT s.keyword, s.pkg, s.slot, list_transform(v, lambda x: x / n) AS u FROM t_slots s JOIN n ON n.pkg = s.pkg)
+SELECT x.keyword, x.pkg AS a, y.pkg AS b, round(list_dot_product(x.u, y.u), 4) AS similarity FROM u x JOIN u y ON y.keyword = x.keyword AND x.slot < y.slot""")
 def i1_page_similarity(spark, sf_dir):
     return rounded(intent.page_similarity(members(spark, sf_dir)), 4)
 
@@ -243,6 +244,16 @@ def x11_fixed_holdout(spark, sf_dir):
     return fx.fixed_holdout(rows, rows.where("length(keyword) % 4 = 0").select("keyword"))
 
 
+@query("""WITH k AS (SELECT keyword, row_number() OVER (ORDER BY md5(keyword || '|0'), keyword) AS n, count(*) OVER () AS all_n FROM (SELECT DISTINCT keyword FROM t_slots WHERE keyword < 'n'))
+SELECT s.keyword, s.pkg, coalesce(k.n <= greatest(1, floor(all_n * 0.25)), false) AS held_out FROM t_slots s LEFT JOIN k ON k.keyword = s.keyword""")
+def x11_stored_holdout(spark, sf_dir):
+    """Chosen among the keywords of a first run; those that a second run adds train."""
+    rows = slots(spark, sf_dir).select("keyword", "pkg")
+    path = scratch(spark, f"holdout-{uuid.uuid4().hex}")
+    tables.stored_holdout(rows.where("keyword < 'n'"), path)
+    return tables.stored_holdout(rows, path)
+
+
 @query("SELECT keyword, better, worse FROM (SELECT a.keyword, a.pkg AS better, b.pkg AS worse, row_number() OVER (PARTITION BY a.keyword ORDER BY md5(a.pkg || '|' || b.pkg || '|0'), a.pkg, b.pkg) AS n FROM t_slots a JOIN t_slots b ON b.keyword = a.keyword AND a.slot < b.slot) p JOIN (SELECT keyword, least(60, 3 * count(*)) AS most FROM t_slots GROUP BY keyword) USING (keyword) WHERE n <= most")
 def x13_preference_pairs(spark, sf_dir):
     return fx.preference_pairs(slots(spark, sf_dir).select("keyword", "pkg", "slot"))

@@ -1,12 +1,15 @@
 """Queries over page state, fields, suggestions and change."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfield.operators import change, field, ingest, state, suggest
 from rankfield.plans.raw import COMPACT, sessions
 from rankfield.plans.registry import query
-from rankfield.sources.storage import once
+from rankfield.sources import tables
+from rankfield.sources.storage import kept, once, scratch
 from rankfield.sources.views import AS_OF, view
 
 
@@ -103,6 +106,12 @@ def r8_keyword_breadth(spark, sf_dir):
     return state.keyword_breadth(observations(spark, sf_dir))
 
 
+@query("SELECT pkg, count(DISTINCT keyword) AS breadth FROM fx_observations WHERE position IS NOT NULL GROUP BY pkg")
+def r8_breadth_sketches(spark, sf_dir):
+    """From a sketch of each day, kept and merged; sets as small as these are told exactly."""
+    return state.sketched_breadth(kept(state.breadth_sketches(observations(spark, sf_dir)), "breadth-sketches"))
+
+
 @query(f"SELECT keyword, date_diff('day', max(observed_at), DATE '{AS_OF}') AS age_days FROM fx_observations GROUP BY keyword")
 def r10_page_age(spark, sf_dir):
     return state.page_age(observations(spark, sf_dir), AS_OF)
@@ -118,9 +127,26 @@ def r12_status_counts(spark, sf_dir):
     return state.status_counts(apps(spark, sf_dir), observations(spark, sf_dir))
 
 
-@query("SELECT keyword, date_diff('day', max(observed_at), DATE '2002-01-05') AS age_days FROM fx_observations GROUP BY keyword HAVING date_diff('day', max(observed_at), DATE '2002-01-05') >= 7")
+@query("""SELECT (SELECT count(*) FROM fx_apps) AS apps, count(DISTINCT keyword) AS keywords, count(*) FILTER (position < 251) AS ranked_rows, count(*) FILTER (featured = 1) AS promoted_rows,
+(SELECT count(*) FROM t_slots WHERE slot = 5) AS corrections, (SELECT count(*) FROM t_slots WHERE slot = 5 AND length(keyword) % 2 = 0) AS queued_corrections, (SELECT count(*) FROM t_slots WHERE slot = 3 AND rating < 3) AS live_residuals, (SELECT count(DISTINCT keyword) FROM t_slots WHERE length(keyword) % 3 = 0) AS overrides FROM fx_observations""")
+def r12_whole_status(spark, sf_dir):
+    """With reviews of each page's fifth app, residuals of its third, and set values for some pages."""
+    rows = slots(spark, sf_dir)
+    corrections = rows.where("slot = 5").select("keyword", F.when(F.length("keyword") % 2 == 0, "queued").otherwise("absorbed").alias("status"))
+    residuals = rows.where("slot = 3").select(F.when(F.col("rating") >= 3, F.lit(AS_OF).cast("date")).alias("retired_at"))
+    overrides = rows.where("length(keyword) % 3 = 0").select("keyword").distinct()
+    return state.status_counts(apps(spark, sf_dir), observations(spark, sf_dir), corrections, residuals, overrides)
+
+
+# a keyword was last fetched as many days after its newest page as its name is long
+FETCHED = "(SELECT keyword, CAST(observed_at + CAST(length(keyword) AS INT) AS DATE) AS observed_at FROM fx_observations)"
+DUE = "DATE '2002-01-20'"
+
+
+@query(f"SELECT keyword, date_diff('day', max(observed_at), {DUE}) AS age_days FROM {FETCHED} GROUP BY keyword HAVING date_diff('day', max(observed_at), {DUE}) >= 7")
 def r13_due_keywords(spark, sf_dir):
-    return state.due_keywords(observations(spark, sf_dir), "2002-01-05")
+    fetched = observations(spark, sf_dir).withColumn("observed_at", F.date_add("observed_at", F.length("keyword")))
+    return state.due_keywords(fetched, "2002-01-20")
 
 
 @query(f"""SELECT t.keyword, a.age_days FROM (SELECT DISTINCT lower(p_type) AS keyword FROM part UNION SELECT p_name FROM part) t
@@ -136,6 +162,14 @@ def r15_publisher_catalogue(spark, sf_dir):
     return state.publisher_catalogue(apps(spark, sf_dir), "Brand#11")
 
 
+@query("SELECT pkg, title, installs FROM fx_apps WHERE developer = 'Brand#23' AND trim(developer) <> ''")
+def r15_publisher_table(spark, sf_dir):
+    """The same from a table in buckets by publisher, of which a lookup reads one."""
+    name = f"publishers_{uuid.uuid4().hex}"
+    store = tables.publisher_table(apps(spark, sf_dir), name, scratch(spark, name))
+    return state.publisher_catalogue(store, "Brand#23")
+
+
 @query("SELECT DISTINCT keyword, observed_at FROM fx_observations")
 def r16_snapshot_times(spark, sf_dir):
     return state.snapshot_times(observations(spark, sf_dir))
