@@ -150,40 +150,59 @@ def prepared(context: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 YOUNG, DATED = "days > 0 and age <= 1.5", "days > 0 and installs > 0"
 
 
-def young_rows(slots: DataFrame) -> DataFrame:
-    """What ``unaided_recent`` reads, from the whole page."""
-    return leave_one_out(slots.select("keyword", "pkg", "slot"), slots.where(YOUNG).select("keyword", "pkg", "slot", "rate", "days", "age", "advantage"))
-
-
-def dated_rows(slots: DataFrame) -> DataFrame:
-    """What ``page_curve`` reads, from the whole page."""
-    return leave_one_out(slots.select("keyword", "pkg", "slot"), slots.where(DATED).select("keyword", "pkg", "slot", "rate", "days", "installs"))
-
-
-def unaided_recent(pairs: DataFrame) -> DataFrame:
-    """Weighted median rate of apps up to 1.5 years old, weight 1 - advantage."""
-    rows = pairs.where(YOUNG).withColumn("_w", 1.0 - F.col("advantage"))
-    order = Window.partitionBy(*KEY).orderBy("rate", "_w", "slot")
-    rows = rows.withColumn("_seen", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*KEY)))
-    found = rows.groupBy(*KEY).agg(F.coalesce(F.min(F.when(F.round("_seen", 9) >= F.round(F.col("_all") / 2, 9), F.col("rate"))), F.max("rate")).alias("unaided_recent_rate"), F.max("_all").alias("unaided_recent_evidence"))
-    some = F.col("unaided_recent_evidence") > 1e-6
-    return found.select(*KEY, F.when(some, F.col("unaided_recent_rate")).otherwise(0.0).alias("unaided_recent_rate"), F.when(some, F.col("unaided_recent_evidence")).otherwise(0.0).alias("unaided_recent_evidence"))
-
-
-def page_curve(pairs: DataFrame, least: int = 6) -> DataFrame:
-    """Least squares of log rate on rank and log age, and its value at the own rank."""
-    x1, x2, y = F.col("slot").cast("double"), F.log1p("days"), F.log1p("rate")
-    pts = pairs.where(DATED).select(*KEY, x1.alias("x"), x2.alias("z"), y.alias("y"))
-    s = pts.groupBy(*KEY).agg(
-        F.count("*").alias("m"), F.min("z").alias("young"), F.var_pop("x").alias("vx"), F.var_pop("z").alias("vz"), F.var_pop("y").alias("vy"),
-        F.covar_pop("x", "z").alias("cxz"), F.covar_pop("x", "y").alias("cxy"), F.covar_pop("z", "y").alias("czy"), F.avg("x").alias("ax"), F.avg("z").alias("az"), F.avg("y").alias("ay"),
-    ).withColumn("det", F.col("vx") * F.col("vz") - F.col("cxz") * F.col("cxz"))
-    ok = (F.col("m") >= least) & (F.col("det") > 1e-9)
+def unaided_recent(slots: DataFrame) -> DataFrame:
+    """Weighted median rate of the page's other apps up to 1.5 years old, weight 1 - advantage.
+
+    No app meets the others: the young apps of a page are put in order of their rate once,
+    with running sums of their weights. Without an app of weight w at place k the median
+    is the first app whose sum reaches half of what is left: by sum S_i >= (W - w) / 2
+    before k, by S_i >= (W + w) / 2 after it. Both are searched by sorting the thresholds
+    in among the sums.
+    """
+    page = Window.partitionBy("keyword")
+    young = F.expr(YOUNG)
+    rows = slots.select("keyword", F.col("pkg").alias("own_pkg"), F.col("slot").alias("own_slot"), F.when(young, F.col("rate")).alias("_rate"), F.when(young, 1.0 - F.col("advantage")).alias("_w"))
+    order = page.orderBy(F.col("_w").isNull(), "_rate", "_w", "own_slot").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_seen", F.when(F.col("_w").isNotNull(), F.sum("_w").over(order))).withColumn("_k", F.when(F.col("_w").isNotNull(), F.count("_w").over(order))).withColumn("_all", F.sum("_w").over(page))
+    w = F.coalesce("_w", F.lit(0.0))
+    others = F.count("_w").over(page) - F.col("_w").isNotNull().cast("int")
+    # a place in the order (kind 1), or one of the two thresholds of an app (kind 0: before places of that sum)
+    entry = lambda kind, at, part: F.struct(F.round(at, 9).alias("at"), F.lit(kind).alias("kind"), F.lit(part).alias("part"))
+    entries = F.filter(F.array(entry(1, F.col("_seen"), 0), entry(0, (F.col("_all") - w) / 2, 1), entry(0, (F.col("_all") + w) / 2, 2)), lambda e: e["at"].isNotNull())
+    line = rows.withColumn("_others", others).withColumn("_left", F.col("_all") - w).withColumn("_e", F.explode(entries))
+    down = page.orderBy(F.desc("_e.at"), F.desc("_e.kind"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("_hit", F.last(F.when(F.col("_e.kind") == 1, F.struct("_rate", "_k")), ignorenulls=True).over(down)).where("_others > 0")
+    hit = lambda part: F.max(F.when(F.col("_e.part") == part, F.col("_hit")))
+    own = found.groupBy(*KEY).agg(hit(1).alias("_low"), hit(2).alias("_high"), F.max("_k").alias("_k"), F.max("_left").alias("_left"))
+    rate = F.when(F.col("_k").isNull() | (F.col("_low._k") < F.col("_k")), F.col("_low._rate")).otherwise(F.col("_high._rate"))
+    some = F.col("_left") > 1e-6
+    return own.select(*KEY, F.when(some, rate).otherwise(0.0).alias("unaided_recent_rate"), F.when(some, F.col("_left")).otherwise(0.0).alias("unaided_recent_evidence"))
+
+
+def page_curve(slots: DataFrame, least: int = 6) -> DataFrame:
+    """Least squares of log rate on rank and log age over the page's other dated apps, and its value at the own rank.
+
+    No app meets the others: the page's sums, taken about its means, lose the own terms.
+    """
+    page = Window.partitionBy("keyword")
+    dated = F.expr(DATED)
+    of = lambda c: F.when(dated, c)
+    rows = slots.select("keyword", F.col("pkg").alias("own_pkg"), F.col("slot").alias("own_slot"), of(F.col("slot").cast("double")).alias("_x"), of(F.log1p("days")).alias("_z"), of(F.log1p("rate")).alias("_y"))
+    centred = rows.withColumns({f"_c{c}": F.avg(f"_{c}").over(page) for c in "xzy"}).withColumns({c: F.col(f"_{c}") - F.col(f"_c{c}") for c in "xzy"})
+    terms = {"m": F.when(F.col("x").isNotNull(), 1.0), "x": F.col("x"), "z": F.col("z"), "y": F.col("y"), "xx": F.expr("x * x"), "zz": F.expr("z * z"), "yy": F.expr("y * y"), "xz": F.expr("x * z"), "xy": F.expr("x * y"), "zy": F.expr("z * y")}
+    s = centred.select("*", *[(F.coalesce(F.sum(t).over(page), F.lit(0.0)) - F.coalesce(t, F.lit(0.0))).alias(f"s{n}") for n, t in terms.items()])
+    # the youngest of the others: the second youngest for the youngest itself
+    ages = page.orderBy(F.col("_z").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("_z1", F.first("_z", ignorenulls=True).over(ages)).withColumn("_z2", F.nth_value("_z", 2, ignoreNulls=True).over(ages))
+    s = s.withColumn("young", F.when(F.col("_z") == F.col("_z1"), F.col("_z2")).otherwise(F.col("_z1")))
+    s = s.where("sm > 0").withColumns({"vx": F.expr("sxx / sm - sx * sx / (sm * sm)"), "vz": F.expr("szz / sm - sz * sz / (sm * sm)"), "vy": F.expr("syy / sm - sy * sy / (sm * sm)"), "cxz": F.expr("sxz / sm - sx * sz / (sm * sm)"), "cxy": F.expr("sxy / sm - sx * sy / (sm * sm)"), "czy": F.expr("szy / sm - sz * sy / (sm * sm)"), "ax": F.expr("_cx + sx / sm"), "az": F.expr("_cz + sz / sm"), "ay": F.expr("_cy + sy / sm")})
+    s = s.withColumn("det", F.col("vx") * F.col("vz") - F.col("cxz") * F.col("cxz"))
+    ok = (F.col("sm") >= least) & (F.col("det") > 1e-9)
     s = s.withColumn("b1", (F.col("cxy") * F.col("vz") - F.col("czy") * F.col("cxz")) / F.nullif("det", F.lit(0.0))).withColumn("b2", (F.col("czy") * F.col("vx") - F.col("cxy") * F.col("cxz")) / F.nullif("det", F.lit(0.0)))
-    s = s.withColumn("b0", F.expr("ay - b1 * ax - b2 * az")).withColumn("_fit", F.when(F.col("vy") * F.col("m") > 1e-9, F.expr("(b1 * cxy + b2 * czy) / vy")).otherwise(0.0))
+    s = s.withColumn("b0", F.expr("ay - b1 * ax - b2 * az")).withColumn("_fit", F.when(F.col("vy") * F.col("sm") > 1e-9, F.expr("(b1 * cxy + b2 * czy) / vy")).otherwise(0.0))
     here = F.greatest(F.expm1(F.least(F.expr("b0 + b1 * own_slot + b2 * young"), F.lit(30.0))), F.lit(0.0))
     keep = lambda c: F.when(ok, c).otherwise(0.0)
-    return s.select(*KEY, keep(F.col("b1")).alias("curve_rank_slope"), keep(F.col("b2")).alias("curve_age_slope"), keep(F.least(F.greatest("_fit", F.lit(-1.0)), F.lit(1.0))).alias("curve_fit"), keep(here).alias("curve_here"), F.when(ok, F.col("m")).otherwise(0).alias("curve_points"))
+    return s.select(*KEY, keep(F.col("b1")).alias("curve_rank_slope"), keep(F.col("b2")).alias("curve_age_slope"), keep(F.least(F.greatest("_fit", F.lit(-1.0)), F.lit(1.0))).alias("curve_fit"), keep(here).alias("curve_here"), F.when(ok, F.col("sm").cast("long")).otherwise(0).alias("curve_points"))
 
 
 def featured_summary(cards: DataFrame) -> DataFrame:
@@ -194,6 +213,6 @@ def featured_summary(cards: DataFrame) -> DataFrame:
 def field_table(slots: DataFrame, cards: DataFrame) -> DataFrame:
     """Every statistic of every (keyword, own app); an empty field gets its defaults."""
     own = _own(slots).select(*KEY)
-    table = own.join(summarise(near_rows(slots)), KEY, "left").join(unaided_recent(young_rows(slots)), KEY, "left").join(page_curve(dated_rows(slots)), KEY, "left").join(featured_summary(cards), "keyword", "left")
+    table = own.join(summarise(near_rows(slots)), KEY, "left").join(unaided_recent(slots), KEY, "left").join(page_curve(slots), KEY, "left").join(featured_summary(cards), "keyword", "left")
     numbers = {c: 0 for c, kind in table.dtypes if c not in KEY and kind not in ("string",)}
     return table.fillna(numbers | {"weakest_rank": 99})

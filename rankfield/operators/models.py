@@ -57,6 +57,15 @@ def fit_members(aligned: DataFrame, columns: list[str], k: int = 7) -> list[Pipe
     return [fit_monotone_ranker(resamples.where(F.col("member") == i), columns) for i in range(k)]
 
 
+def mean_logit(models: list[PipelineModel], rows: DataFrame) -> DataFrame:
+    """``rows`` with ``score``, the members' mean logit."""
+    columns, raw = rows.columns, vector_to_array("rawPrediction")
+    out = rows.withColumn("score", F.lit(0.0))
+    for m in models:
+        out = m.transform(out).withColumn("score", F.col("score") + F.get(raw, 1)).select(*columns, "score")
+    return out.withColumn("score", F.col("score") / len(models))
+
+
 def member_scores(models: list[PipelineModel], aligned: DataFrame) -> DataFrame:
     out = None
     for i, m in enumerate(models):

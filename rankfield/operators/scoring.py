@@ -1,11 +1,14 @@
 """Scores to ranks, bands, verdicts and sentences."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfield.functions import parse
 from rankfield.functions import text as tx
 from rankfield.operators.evaluate import exact_percentiles
+from rankfield.sources.storage import kept
 
 TOP_K = 10
 
@@ -153,10 +156,41 @@ def counterfactual(features: DataFrame, coefficients: DataFrame, names: list[str
     return apart.join(F.broadcast(coefficients), "feature").select("keyword", "pkg", "feature", "yours", "theirs", gain.alias("gain"))
 
 
+def what_if(features: DataFrame, names: list[str], score: Callable[[DataFrame], DataFrame], gate_slot: int = TOP_K) -> DataFrame:
+    """(keyword, pkg, feature, yours, theirs, gain, closable) for any model, by scoring it again.
+
+    Every row is scored as it is and once for each feature in which it differs from the
+    holder of the gate slot, with that feature swapped; then once with all swaps that
+    gained. ``score`` adds a ``score`` to rows that have the columns ``names``: all probes
+    are rows of one table, so a model scores them in one pass.
+    """
+    last = features.groupBy("keyword").agg(F.coalesce(F.min(F.when(F.col("slot") >= gate_slot, F.col("slot"))), F.max("slot")).alias("_g"))
+    gate = features.join(last, "keyword").where("slot = _g").select("keyword", F.array(*[F.col(n).cast("double") for n in names]).alias("_theirs"))
+    own = features.join(gate, "keyword").select("keyword", "pkg", F.array(*[F.col(n).cast("double") for n in names]).alias("_yours"), "_theirs")
+
+    def scored(rows: DataFrame, *more: str) -> DataFrame:
+        return score(rows.select("keyword", "pkg", *more, *[F.get("_x", i).alias(n) for i, n in enumerate(names)])).select("keyword", "pkg", *more, "score")
+
+    differs = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.get("_yours", i) != F.get("_theirs", i))
+    probes = own.select("*", F.explode(F.concat(F.array(F.lit(-1)), differs)).alias("_i"))
+    swapped = F.transform("_yours", lambda x, i: F.when(i == F.col("_i"), F.get("_theirs", i)).otherwise(x))
+    once = kept(scored(probes.select("keyword", "pkg", "_i", swapped.alias("_x")), "_i"), "what-if")
+    base = once.where("_i < 0").select("keyword", "pkg", F.col("score").alias("_base"))
+    gains = once.where("_i >= 0").join(base.hint("merge"), ["keyword", "pkg"]).select("keyword", "pkg", "_i", (F.col("score") - F.col("_base")).alias("gain"))
+    up = gains.groupBy("keyword", "pkg").agg(F.collect_set(F.when(F.col("gain") > 0, F.col("_i"))).alias("_up"))
+    best = F.transform("_yours", lambda x, i: F.when(F.array_contains("_up", i), F.get("_theirs", i)).otherwise(x))
+    whole = scored(own.join(up.hint("merge"), ["keyword", "pkg"]).select("keyword", "pkg", best.alias("_x")))
+    told = gains.join(own.hint("merge"), ["keyword", "pkg"]).join(base.hint("merge"), ["keyword", "pkg"]).join(whole.hint("merge"), ["keyword", "pkg"])
+    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("_i"))
+    return told.select("keyword", "pkg", feature.alias("feature"), F.get("_yours", F.col("_i")).alias("yours"), F.get("_theirs", F.col("_i")).alias("theirs"), "gain", (F.col("score") - F.col("_base")).alias("closable"))
+
+
 def why(gains: DataFrame, up: int = 6, down: int = 3) -> DataFrame:
     """The largest gains and losses of each row, and all gains at once."""
     part = Window.partitionBy("keyword", "pkg")
-    ranked = gains.withColumn("_up", F.row_number().over(part.orderBy(F.desc("gain"), "feature"))).withColumn("_down", F.row_number().over(part.orderBy("gain", "feature"))).withColumn("closable", F.sum(F.greatest("gain", F.lit(0.0))).over(part))
+    ranked = gains.withColumn("_up", F.row_number().over(part.orderBy(F.desc("gain"), "feature"))).withColumn("_down", F.row_number().over(part.orderBy("gain", "feature")))
+    if "closable" not in gains.columns:  # of a linear model the sum of the gains; ``what_if`` scores them together
+        ranked = ranked.withColumn("closable", F.sum(F.greatest("gain", F.lit(0.0))).over(part))
     return ranked.where(((F.col("gain") > 0) & (F.col("_up") <= up)) | ((F.col("gain") < 0) & (F.col("_down") <= down))).drop("_up", "_down")
 
 

@@ -460,6 +460,30 @@ def m20_counterfactual_why(spark, sf_dir):
     return rounded(scoring.why(scoring.counterfactual(basic(spark, sf_dir), weights, BASIC)).select("keyword", "pkg", "feature", "gain", "closable"), 5)
 
 
+# a ranker that is not linear: installs help up to a point, and only with a rating over 3
+ODD = "least(log_installs, 9) * greatest(rating - 3, 0) - 0.1 * reviews"
+
+
+@query(f"""WITH s AS (SELECT keyword, pkg, slot, ln(1 + installs) AS log_installs, rating, CAST(reviews AS DOUBLE) AS reviews FROM t_slots), g AS (SELECT keyword, coalesce(min(slot) FILTER (slot >= 10), max(slot)) AS g FROM t_slots GROUP BY keyword),
+p AS (SELECT s.*, t.log_installs AS li, t.rating AS ra, t.reviews AS re FROM s JOIN g ON g.keyword = s.keyword JOIN s t ON t.keyword = s.keyword AND t.slot = g.g),
+d AS (SELECT keyword, pkg, {ODD} AS base, least(li, 9) * greatest(rating - 3, 0) - 0.1 * reviews - ({ODD}) AS g1, least(log_installs, 9) * greatest(ra - 3, 0) - 0.1 * reviews - ({ODD}) AS g2, least(log_installs, 9) * greatest(rating - 3, 0) - 0.1 * re - ({ODD}) AS g3, log_installs, rating, reviews, li, ra, re FROM p),
+c AS (SELECT *, least(CASE WHEN g1 > 0 THEN li ELSE log_installs END, 9) * greatest(CASE WHEN g2 > 0 THEN ra ELSE rating END - 3, 0) - 0.1 * CASE WHEN g3 > 0 THEN re ELSE reviews END - base AS closable FROM d),
+u AS (SELECT keyword, pkg, unnest(['log_installs', 'rating', 'reviews']) AS feature, unnest([log_installs <> li, rating <> ra, reviews <> re]) AS apart, unnest([g1, g2, g3]) AS gain, closable FROM c)
+SELECT keyword, pkg, feature, round(gain, 5) AS gain, round(closable, 5) AS closable FROM u WHERE apart AND gain <> 0""")
+def m20_what_if_of_any_model(spark, sf_dir):
+    """Gains by scoring again, of a ranker that is not linear."""
+    found = scoring.what_if(basic(spark, sf_dir), BASIC, lambda rows: rows.withColumn("score", F.expr(ODD)))
+    return rounded(scoring.why(found).select("keyword", "pkg", "feature", "gain", "closable"), 5)
+
+
+@query()
+def m20_what_if_of_the_ensemble(spark, sf_dir):
+    """Gains of every ranked row by the mean logit of the seven fitted rankers, all 96 features."""
+    rows = aligned(spark, sf_dir)
+    fitted = models.fit_members(rows, fx.FEATURES)
+    return rounded(scoring.why(scoring.what_if(rows.select("keyword", "pkg", "slot", *fx.FEATURES), fx.FEATURES, lambda x: models.mean_logit(fitted, x))))
+
+
 @query()
 def m21_feature_pull(spark, sf_dir):
     rows = aligned(spark, sf_dir)
@@ -501,6 +525,14 @@ def c3_read_residuals(spark, sf_dir):
     return rounded(memory.read_residuals(rows, held), 5)
 
 
+@query()
+def c3_read_near_residuals(spark, sf_dir):
+    """The same over all 96 features, in which most corrections are too far to matter."""
+    rows = aligned(spark, sf_dir).select("keyword", "pkg", "slot", F.array(*fx.FEATURES).alias("features"))
+    filed_ = rows.where("slot <= 3").select(F.crc32(F.concat_ws("|", "keyword", "pkg")).alias("id"), "keyword", "pkg", "features", (F.col("slot") - 2.0).alias("residual"), F.lit(5.0).alias("weight"))
+    return rounded(memory.read_residuals(rows.where("slot > 3"), filed_), 5)
+
+
 @query("SELECT keyword, pkg, rating >= 3 AS retired FROM t_slots WHERE slot = 3")
 def c4_c5_retire(spark, sf_dir):
     rows = filed(spark, sf_dir)

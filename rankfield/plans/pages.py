@@ -140,13 +140,13 @@ def r12_whole_status(spark, sf_dir):
 
 # a keyword was last fetched as many days after its newest page as its name is long
 FETCHED = "(SELECT keyword, CAST(observed_at + CAST(length(keyword) AS INT) AS DATE) AS observed_at FROM fx_observations)"
-DUE = "DATE '2002-01-20'"
+DUE = "DATE '2002-01-16'"
 
 
 @query(f"SELECT keyword, date_diff('day', max(observed_at), {DUE}) AS age_days FROM {FETCHED} GROUP BY keyword HAVING date_diff('day', max(observed_at), {DUE}) >= 7")
 def r13_due_keywords(spark, sf_dir):
     fetched = observations(spark, sf_dir).withColumn("observed_at", F.date_add("observed_at", F.length("keyword")))
-    return state.due_keywords(fetched, "2002-01-20")
+    return state.due_keywords(fetched, "2002-01-16")
 
 
 @query(f"""SELECT t.keyword, a.age_days FROM (SELECT DISTINCT lower(p_type) AS keyword FROM part UNION SELECT p_name FROM part) t
@@ -319,7 +319,7 @@ def f9_f11_given_groups(spark, sf_dir):
 FROM t_loo WHERE days > 0 AND age <= 1.5)
 SELECT keyword, own_pkg, round(CASE WHEN max(total) > 1e-6 THEN coalesce(min(rate) FILTER (round(seen, 9) >= round(total / 2, 9)), max(rate)) ELSE 0 END, 6) AS unaided_recent_rate, round(CASE WHEN max(total) > 1e-6 THEN max(total) ELSE 0 END, 6) AS unaided_recent_evidence FROM w GROUP BY keyword, own_pkg""")
 def f26_unaided_recent(spark, sf_dir):
-    return rounded(field.unaided_recent(field.young_rows(ready(spark, sf_dir))).drop("own_slot"))
+    return rounded(field.unaided_recent(ready(spark, sf_dir)).drop("own_slot"))
 
 
 @query("""WITH p AS (SELECT keyword, own_pkg, own_slot, CAST(slot AS DOUBLE) AS x, ln(1 + days) AS z, ln(1 + rate) AS y FROM t_loo WHERE days > 0 AND installs > 0),
@@ -329,7 +329,7 @@ c AS (SELECT *, m >= 6 AND det > 1e-9 AS ok FROM b)
 SELECT keyword, own_pkg, round(CASE WHEN ok THEN b1 ELSE 0 END, 5) AS curve_rank_slope, round(CASE WHEN ok THEN b2 ELSE 0 END, 5) AS curve_age_slope, round(CASE WHEN ok AND vy * m > 1e-9 THEN least(greatest((b1 * cxy + b2 * czy) / vy, -1), 1) ELSE 0 END, 5) AS curve_fit,
 CASE WHEN ok THEN m ELSE 0 END AS curve_points FROM c""")
 def f27_page_curve(spark, sf_dir):
-    return rounded(field.page_curve(field.dated_rows(ready(spark, sf_dir))).drop("own_slot", "curve_here"), 5)
+    return rounded(field.page_curve(ready(spark, sf_dir)).drop("own_slot", "curve_here"), 5)
 
 
 @query("""WITH c AS (SELECT o.keyword, a.installs, regexp_extract_all(lower(o.keyword), '[a-z0-9]+') AS kt, regexp_extract_all(lower(a.title), '[a-z0-9]+') AS tt, regexp_extract_all(lower(a.short_desc), '[a-z0-9]+') AS st, regexp_extract_all(lower(a.description), '[a-z0-9]+') AS dt

@@ -286,15 +286,117 @@ def test_exact_percentiles_equal_numpy(spark):
     assert evaluate.exact_percentiles(rows.limit(0), F.col("v"), at).first()["values"] is None
 
 
-def test_residuals_in_blocks_equal_the_broadcast(spark, monkeypatch):
+def test_near_residuals_equal_all_pairs_and_meet_few(spark):
     rng = np.random.default_rng(3)
     kinds = "id long, keyword string, pkg string, features array<double>, residual double, weight double"
-    filed = spark.createDataFrame([(i, f"k{i}", "p", rng.normal(size=2).tolist(), float(rng.normal()), 5.0) for i in range(60)], kinds)
-    asks = spark.createDataFrame([(f"k{i}", "q" if i % 2 else "p", rng.normal(size=2).tolist()) for i in range(40)], "keyword string, pkg string, features array<double>")
-    read = lambda: {(r.keyword, r.pkg): round(r.residual, 9) for r in memory.read_residuals(asks, filed).collect()}
-    whole = read()
-    monkeypatch.setattr(memory, "BROADCAST_ROWS", 13)
-    assert read() == whole and len(whole) == 40
+    # four far clouds, a hot one, and vectors of another length
+    spots = [rng.normal(size=6) * 30 for _ in range(4)]
+    near = lambda i: (spots[i % 4 if i % 3 else 0] + rng.normal(size=6)).tolist()
+    held = [(i, f"k{i}", "p", near(i) if i % 10 else [0.5] * 5, float(rng.normal()), float(1 + i % 5)) for i in range(120)] + [(500, "k3", "p", near(3), 9.0, 2.0), (501, "k3", "p", None, 1.0, 1.0)]
+    rows = [(f"k{i}", "q" if i % 2 else "p", near(i) if i % 11 else [0.4] * 5) for i in range(80)]
+    filed = spark.createDataFrame(held, kinds)
+    asks = spark.createDataFrame(rows, "keyword string, pkg string, features array<double>")
+
+    def plain(keyword, pkg, x):
+        own = [h for h in held if h[1] == keyword and h[2] == pkg and h[3] is not None and len(h[3]) == len(x)]
+        if own:
+            return own[-1][4] * own[-1][5] / (own[-1][5] + 1)
+        weights = sorted(((h[5] * math.exp(-sum((a - b) ** 2 for a, b in zip(x, h[3], strict=True)) / 0.5625), h[4], h[0]) for h in held if h[3] is not None and len(h[3]) == len(x)), key=lambda w: (-round(w[0], 9), w[2]))[:16]
+        return sum(w * r for w, r, _ in weights) / (sum(w for w, _, _ in weights) + 1)
+
+    got = {(r.keyword, r.pkg): r.residual for r in memory.read_residuals(asks, filed).collect()}
+    assert len(got) == len(rows)
+    for keyword, pkg, x in rows:
+        assert got[keyword, pkg] == pytest.approx(plain(keyword, pkg, x), abs=1e-9)
+    assert memory.near_corrections(asks, filed).count() < len(rows) * len(held) / 2
+
+
+def page(spark, n=60, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(3):
+        for slot in range(1, n + 1):
+            days = int(rng.choice([0, 30, 200, 400, 545, 2000]))
+            rows.append((f"k{k}", f"p{slot}", slot, days, days / 365, float(rng.integers(0, 9)) * 100 if days else 0.0, int(rng.integers(0, 5)), float(rng.choice([0.0, 0.25, 0.5]))))
+    rows += [("alone", "p1", 1, 100, 0.3, 5.0, 7, 0.1), ("old", "p1", 1, 0, 0.0, 0.0, 7, 0.0), ("old", "p2", 2, 100, 0.3, 8.0, 7, 0.0)]
+    return rows, spark.createDataFrame(rows, "keyword string, pkg string, slot int, days int, age double, rate double, installs int, advantage double")
+
+
+def test_unaided_rates_without_the_own_app_equal_a_loop(spark):
+    rows, df = page(spark)
+    found = field.unaided_recent(df)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.keyword, r.own_pkg): (r.unaided_recent_rate, r.unaided_recent_evidence) for r in found.collect()}
+    want = {}
+    for key, own, *_ in rows:
+        others = sorted((r[5], 1 - r[7], r[2]) for r in rows if r[0] == key and r[1] != own and r[3] > 0 and r[4] <= 1.5)
+        if others:
+            total, seen = sum(w for _, w, _ in others), 0.0
+            for rate, w, _ in others:
+                seen += w
+                if round(seen, 9) >= round(total / 2, 9):
+                    want[key, own] = (rate, pytest.approx(total))
+                    break
+    assert got == want
+
+
+def test_page_curves_without_the_own_app_equal_least_squares(spark):
+    rows, df = page(spark, 40, 9)
+    found = field.page_curve(df)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.keyword, r.own_pkg): r for r in found.collect()}
+    for key, own, slot, *_ in rows:
+        points = [(r[2], math.log1p(r[3]), math.log1p(r[5])) for r in rows if r[0] == key and r[1] != own and r[3] > 0 and r[6] > 0]
+        assert ((key, own) in got) == bool(points)
+        if len(points) >= 6:
+            x = np.array([(1, a, b) for a, b, _ in points])
+            y = np.array([c for *_, c in points])
+            b0, b1, b2 = np.linalg.lstsq(x, y, rcond=None)[0]
+            r = got[key, own]
+            fit = 1 - ((y - x @ [b0, b1, b2]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+            here = max(math.expm1(min(b0 + b1 * slot + b2 * min(p[1] for p in points), 30)), 0)
+            assert [r.curve_rank_slope, r.curve_age_slope, r.curve_fit, r.curve_here, r.curve_points] == pytest.approx([b1, b2, fit, here, len(points)], rel=1e-6, abs=1e-8)
+
+
+def test_what_if_equals_the_linear_form_and_a_loop(spark):
+    rng = np.random.default_rng(6)
+    names = ["a", "b", "c"]
+    rows = [(f"k{k}", f"p{s}", s, *map(float, rng.integers(0, 4, 3))) for k in range(3) for s in range(1, 13)]
+    df = spark.createDataFrame(rows, "keyword string, pkg string, slot int, a double, b double, c double")
+    weights = {"a": 0.5, "b": -1.0, "c": 2.0}
+    linear = scoring.what_if(df, names, lambda x: x.withColumn("score", sum(F.col(n) * w for n, w in weights.items())))
+    told = lambda d: sorted((r.keyword, r.pkg, r.feature, round(r.gain, 9), round(r.closable, 9)) for r in scoring.why(d).collect())
+    assert told(linear) == told(scoring.counterfactual(df, spark.createDataFrame(list(weights.items()), "feature string, coefficient double"), names))
+    # an ensemble of seven, none linear
+    member = lambda i, a, b, c: max(a, i % 3) * b - i * 0.1 * c * c
+    score = lambda a, b, c: sum(member(i, a, b, c) for i in range(7)) / 7
+    column = sum(F.greatest(F.col("a"), F.lit(float(i % 3))) * F.col("b") - i * 0.1 * F.col("c") * F.col("c") for i in range(7)) / 7
+    got = {(r.keyword, r.pkg, r.feature): (r.yours, r.theirs, r.gain, r.closable) for r in scoring.what_if(df, names, lambda x: x.withColumn("score", column)).collect()}
+    want = {}
+    for key, pkg, _, *x in rows:
+        gate = next(r for r in rows if r[0] == key and r[2] == 10)[3:]
+        gains = {i: score(*[gate[j] if j == i else x[j] for j in range(3)]) - score(*x) for i in range(3) if x[i] != gate[i]}
+        whole = score(*[gate[j] if gains.get(j, 0) > 0 else x[j] for j in range(3)]) - score(*x)
+        want |= {(key, pkg, names[i]): (x[i], gate[i], pytest.approx(g), pytest.approx(whole)) for i, g in gains.items()}
+    assert got == want
+
+
+def test_a_corrected_rank_is_recorded_first_and_lands(spark):
+    day = dt.date(2001, 1, 1)
+    seen = spark.createDataFrame([("k", "us", f"p{i}", i, "serp", 0, day) for i in range(1, 8)], "keyword string, country string, pkg string, position long, source string, featured int, observed_at date")
+    listing = spark.createDataFrame([(f"p{i}", f"t{i}", 100 * i) for i in range(1, 8)], "pkg string, title string, installs long")
+    settle = lambda o: state.ranked_fields(o, listing)
+    score = lambda s: s.select("keyword", "pkg", (10.0 - F.col("slot")).alias("score"))
+    reviews = spark.createDataFrame([("k", "p6", 2)], "keyword string, pkg string, rank int")
+    recorded, filed = memory.apply_rank_corrections(reviews, seen, settle, score, "2001-02-01")
+    slot = {r.pkg: r.slot for r in settle(recorded).collect()}
+    (row,) = filed.collect()
+    assert slot["p6"] == 2 and recorded.count() == 8 and row.status == "queued"
+    # p6 has settled at slot 2 (score 8); the aim lies between its neighbours of 9 and 7
+    assert (row.score, row.target, row.residual) == (8.0, 8.0, 0.0)
+    far, filed = memory.apply_rank_corrections(reviews, seen, settle, lambda s: s.select("keyword", "pkg", F.when(F.col("pkg") == "p6", 1.0).otherwise(10.0 - F.col("slot")).alias("score")), "2001-02-01")
+    (row,) = filed.collect()
+    assert row.target == 8.0 and row.residual == pytest.approx((8.0 - 1.0) * 6 / 5)
 
 
 def test_sessions_become_field_history(spark):
