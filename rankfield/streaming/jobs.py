@@ -3,13 +3,13 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from rankfield.operators.ingest import upsert
+from rankfield.sources.versioned import VersionedTable
 
 
 def as_stream_time(rows: DataFrame, column: str) -> DataFrame:
@@ -23,32 +23,31 @@ def stream_observations(rows: DataFrame, key: list[str], time: str = "observed_a
 
 
 def latest_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest copy of each part of a table that ``stream_latest_apps`` writes."""
-    copies = spark.read.parquet(path)
-    copies = copies if before is None else copies.where(F.col("batch") < before)
-    newest = copies.groupBy("part").agg(F.max("batch").alias("batch"))  # a row a part
-    return copies.join(F.broadcast(newest), ["part", "batch"])
+    """The table that ``stream_latest_apps`` writes, as it was ``before`` a batch if one of the kept versions is."""
+    rows = VersionedTable(spark, path).read(before)
+    if rows is None:
+        raise ValueError(f"no batch has been written to {path}")
+    return rows.drop("version", "part")
 
 
-def stream_latest_apps(rows: DataFrame, path: str, checkpoint: str, key: list[str], version: str, parts: int = 64):
+def stream_latest_apps(rows: DataFrame, path: str, checkpoint: str, key: list[str], version: str, parts: int = 64, keep: int = 8):
     """Last write wins, batch by batch, on a table dealt into ``parts`` by its key.
 
-    A batch writes a new copy of the parts it touches and reads no others. Copies are
-    named by the batch, so a batch that runs again after a failure reads the same copies
-    before it and writes the same result.
+    A batch reads the parts that it touches and writes new copies of them; copies that the
+    newest ``keep`` versions do not name go. A batch that runs again after a failure reads the
+    version before it and writes the same result.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        table = VersionedTable(batch.sparkSession, path, keep)
         last = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), version).alias("_x"))
         part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
-        new = last.select(*key, "_x.*").select(*batch.columns).withColumn("part", part)
-        try:
-            touched = [r.part for r in new.select("part").distinct().collect()]  # at most ``parts``
-            old = latest_table(spark, path, number).where(F.col("part").isin(touched)).select(*new.columns)
-        except AnalysisException:  # nothing is written yet
-            old = new.limit(0)
-        upsert(old, new, key, version).withColumn("part", part).write.partitionBy("part").mode("overwrite").parquet(f"{path}/batch={number}")
+        new = last.select(*key, "_x.*").select(*batch.columns)
+        touched = [r.part for r in new.select(part.alias("part")).distinct().collect()]  # at most ``parts``
+        if touched:
+            old = table.read(number, touched)
+            both = new if old is None else upsert(old.select(*new.columns), new, key, version)
+            table.replace(both.withColumn("part", part), number)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from rankfield.sources.versioned import VersionedTable
 from rankfield.streaming import jobs
 
 SCHEMA = "keyword string, pkg string, observed_at timestamp, position int, installs double"
@@ -60,3 +61,36 @@ def test_windows_growth_and_sessions(spark, tmp_path):
     grown = {r.pkg: (r.least, r.most, r.n) for r in drain(jobs.stream_measured_growth(rows), tmp_path / "g", "complete")}
     assert grown == {"a": (1.0, 9.0, 3), "b": (3.0, 3.0, 1)}
     assert jobs.as_stream_time(spark.range(1).select(F.lit("2024-01-01").alias("t")), "t").dtypes == [("t", "timestamp")]
+
+
+def test_fifty_batches_leave_one_copy_of_each_part(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    assert table.read() is None and table.versions() == []
+    part = F.pmod(F.xxhash64("k"), F.lit(4)).cast("int")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    want = {}
+    for i in range(50):
+        rows = [(f"k{(i + j) % 12}", i) for j in range(2)]
+        want |= dict(rows)
+        new = frame(rows)
+        touched = [r.p for r in new.select(part.alias("p")).distinct().collect()]
+        old = table.read(i, touched)
+        both = new if old is None else old.select("k", "v").join(new, "k", "left_anti").unionByName(new)
+        table.replace(both.withColumn("part", part), i)
+    assert {r.k: r.v for r in table.read().collect()} == want
+    files = [f for f in (tmp_path / "t/data").rglob("*.parquet")]
+    assert len(table.read().inputFiles()) <= 4 and len(files) <= 8 and table.versions() == [48, 49]
+
+
+def test_a_killed_batch_runs_again_to_the_same_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = VersionedTable(spark, path)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int, part int")
+    table.replace(frame([("a", 1, 0), ("b", 1, 1)]), 0)
+    # batch 1 wrote a copy and died before its manifest
+    frame([("a", 99, 0), ("half", 2, 0)]).write.partitionBy("part").parquet(f"{path}/data/version=1")
+    assert {(r.k, r.v) for r in table.read().collect()} == {("a", 1), ("b", 1)}
+    for _ in range(2):  # again, and once more after its manifest
+        assert {(r.k, r.v) for r in table.read(1, [0]).collect()} == {("a", 1)}
+        table.replace(frame([("a", 2, 0)]), 1)
+        assert {(r.k, r.v) for r in table.read().collect()} == {("a", 2), ("b", 1)}
