@@ -98,16 +98,21 @@ def session_states(pages: DataFrame, day: str = "observed_at") -> DataFrame:
     copy = Window.partitionBy("keyword", "country", day).orderBy(F.desc("n_apps"), "doc", "path")
     widest = sized.withColumn("_first", F.first(F.struct("doc", "path")).over(copy)).where(F.struct("doc", "path") == F.col("_first"))
     counts = F.coalesce("installs", F.lit(0).cast("long")).cast("double")
-    states = widest.groupBy("keyword", "country", day).agg(F.count("*").alias("n_apps"), F.percentile(counts, 0.5).alias("installs_p50"), F.percentile(counts, 0.9).alias("installs_p90"))
-    ages = archive_age_stats(widest.withColumn("observed_at", F.col(day)), ["keyword", "country", "observed_at"]).withColumnRenamed("observed_at", day)
-    return states.join(ages, ["keyword", "country", day]).withColumns({"rating_p50": F.lit(None).cast("double"), "exact_match": F.lit(None).cast("long"), "source": F.lit("research")})
+    rows = widest.withColumn("observed_at", F.col(day))
+    states = rows.groupBy("keyword", "country", "observed_at").agg(F.count("*").alias("n_apps"), F.percentile(counts, 0.5).alias("installs_p50"), F.percentile(counts, 0.9).alias("installs_p90"), *age_stats())
+    return states.withColumnRenamed("observed_at", day).withColumns({"rating_p50": F.lit(None).cast("double"), "exact_match": F.lit(None).cast("long"), "source": F.lit("research")})
+
+
+def age_stats() -> list[Column]:
+    """Of rows with released_at and observed_at: median age, newcomers, share of known ages; releases after the day do not count."""
+    days = F.when(F.col("released_at") <= F.col("observed_at"), F.datediff("observed_at", "released_at"))
+    age = F.when(days > 0, days / 365.0)
+    return [F.percentile(age, 0.5).alias("age_p50"), F.count_if(age <= 1.0).alias("newcomers"), (F.count(age) / F.count("*")).alias("age_known_frac")]
 
 
 def archive_age_stats(rows: DataFrame, key: tuple[str, ...] | list[str] = ("keyword", "observed_at")) -> DataFrame:
     """Ages of archived page rows at their own date; releases after it do not count."""
-    days = F.when(F.col("released_at") <= F.col("observed_at"), F.datediff("observed_at", "released_at"))
-    known = rows.withColumn("_age", F.when(days > 0, days / 365.0))
-    return known.groupBy(*key).agg(F.percentile("_age", 0.5).alias("age_p50"), F.count_if(F.col("_age") <= 1.0).alias("newcomers"), (F.count("_age") / F.count("*")).alias("age_known_frac"))
+    return rows.groupBy(*key).agg(*age_stats())
 
 
 def consecutive_snapshots(observations: DataFrame, min_gap: int = 3) -> DataFrame:
@@ -136,11 +141,15 @@ def transitions(observations: DataFrame, apps: DataFrame, min_gap: int = 3, sour
     return out.select("keyword", "pkg", "event", F.col("was").alias("from_position"), F.col("now").alias("to_position"), "gap_days", F.col("newer").alias("observed_at"), "title", ((F.col("event") == "entered") & is_new_app(F.col("released_at"), F.col("newer"))).alias("is_new"))
 
 
-def transition_summary(events: DataFrame) -> DataFrame:
+def transition_summary(events: DataFrame, most: int = 6) -> DataFrame:
+    """Counts, and the first ``most`` entries of new apps by keyword, day and app."""
+    shown = F.concat_ws(" ", "keyword", F.col("observed_at").cast("string"), "pkg", F.col("to_position").cast("string"))
+    first = events.where("is_new").orderBy("keyword", "observed_at", "pkg").limit(most)
+    examples = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("keyword", "observed_at", "pkg", shown.alias("shown")))), lambda x: x["shown"]).alias("examples"))
     return events.agg(
         F.count("*").alias("transitions"), F.count_if(F.col("event") == "entered").alias("entered"), F.count_if(F.col("event") == "left").alias("left_page"),
         F.count_if(F.col("event") == "moved").alias("moved"), F.count_if("is_new").alias("new_app_entries"), F.count_if(F.col("is_new") & (F.col("to_position") <= 10)).alias("new_app_reached_top10"),
-    )
+    ).crossJoin(examples)
 
 
 def outcomes(observations: DataFrame, apps: DataFrame, developers: tuple[str, ...], country: str | None = "us") -> DataFrame:
@@ -169,8 +178,10 @@ def research_before(rows: DataFrame) -> DataFrame:
 
 
 def backtest(before: DataFrame, after: DataFrame, top_k: int = 10) -> DataFrame:
-    """Recorded installs of the keywords that were later ranked, and that were missed."""
+    """Recorded installs of the keywords that were later ranked, and that were missed; six of each by name."""
     j = before.hint("merge").join(after, "keyword").withColumn("_hit", F.coalesce(F.col("position") <= top_k, F.lit(False)))
     median = lambda hit, name: exact_percentiles(j.where(hit), F.col("installs_median"), [0.5]).select(F.get("values", 0).alias(name))
     counts = j.agg(F.count("*").alias("pairs"), F.count_if("_hit").alias("ranked"), F.count_if(~F.col("_hit")).alias("missed"))
-    return counts.crossJoin(median(F.col("_hit"), "median_when_ranked")).crossJoin(median(~F.col("_hit"), "median_when_missed"))
+    first = lambda hit, name: j.where(hit).select("keyword").orderBy("keyword").limit(6).agg(F.array_sort(F.collect_list("keyword")).alias(name))
+    medians = counts.crossJoin(median(F.col("_hit"), "median_when_ranked")).crossJoin(median(~F.col("_hit"), "median_when_missed"))
+    return medians.crossJoin(first(F.col("_hit"), "examples_ranked")).crossJoin(first(~F.col("_hit"), "examples_missed"))

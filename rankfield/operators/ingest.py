@@ -151,6 +151,14 @@ def lookup_override(rows: DataFrame, overrides: DataFrame, field: str, value: st
     return rows.join(o, "keyword", "left").withColumn(value, F.coalesce("_v", value)).drop("_v")
 
 
+OVERRIDE_KEY = ["keyword", "country", "field"]
+
+
+def upsert_overrides(overrides: DataFrame, new: DataFrame, at: str = "set_at") -> DataFrame:
+    """Hand-set values, the last one set for each (keyword, country, field)."""
+    return upsert(overrides, new.withColumn("keyword", clean_keyword(F.col("keyword"))), OVERRIDE_KEY, at)
+
+
 def replace_suggestions(old: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
     """A query's ordered list replaces its rows; ``fetched`` has (query, suggestions)."""
     query = F.trim(F.regexp_replace(F.lower("query"), r"\s+", " "))
@@ -171,6 +179,12 @@ def import_dated_cache(cache: DataFrame, current: DataFrame, as_of: str) -> Data
     return cache.select("pkg", "observed_at", "installs", F.lit("research").alias("source")).unionByName(now).dropDuplicates(["pkg", "observed_at"])
 
 
+def import_report(merged: DataFrame) -> DataFrame:
+    """One row: dated points after an import, apps, and apps with two points or more, whose growth can be measured."""
+    per_app = merged.groupBy("pkg").agg(F.count_distinct("observed_at").alias("_n"), F.count("*").alias("_rows"))
+    return per_app.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("points"), F.count("*").alias("apps"), F.count_if(F.col("_n") > 1).alias("apps_with_two_points"))
+
+
 def fill_missing(apps: DataFrame, found: DataFrame, column: str) -> DataFrame:
     """Set ``column`` only where it is null, from the lowest value found for the app."""
     first = found.where(F.col(column).isNotNull()).groupBy("pkg").agg(F.min(column).alias("_f"))

@@ -128,7 +128,9 @@ def field_report(fields: DataFrame) -> DataFrame:
     return fields.select(
         "keyword", "n", "installs_p10", "installs_p50", "installs_p90", "rating_p50", "exact_match_count", F.round("age_p50", 1).alias("age_p50_years"), "newcomers", "newcomer_installs", F.round("newest_entrant_age", 2).alias("newest_entrant_age"),
         F.round("age_known_frac", 2).alias("age_known_frac"), "weakest_installs", "weakest_rank", "weakest_title", F.round(F.log10(F.col("installs_p90") + 1) - F.log10(F.col("installs_p10") + 1), 2).alias("spread"),
-        (F.col("exact_match_count") >= F.greatest(F.floor(F.col("n") / 2), F.lit(1))).alias("keyword_in_title"),
+        F.round("page_all", 1).alias("velocity_p50"), "relevant_count", F.round("relevance_p50", 2).alias("relevance_p50"), "installs_p50_relevant", F.round("age_spread", 1).alias("age_spread"),
+        # the bar: what half of the page has
+        F.col("installs_p50").alias("bar_installs"), F.col("rating_p50").alias("bar_rating"), (F.col("exact_match_count") >= F.greatest(F.floor(F.col("n") / 2), F.lit(1))).alias("keyword_in_title"),
     )
 
 
@@ -144,6 +146,43 @@ def narrative(pages: DataFrame) -> DataFrame:
     return pages.select("keyword", F.concat_ws(" ", card, meaning, opening, door).alias("narrative"))
 
 
+def page_story(pages: DataFrame) -> DataFrame:
+    """(keyword, story): what is known of a page and of the group of apps that answer the
+    same question as the newcomer would, in order of weight.
+
+    ``pages`` has the field statistics of a page (scraped: its apps; n: those at the top)
+    and, where the page is split, the group's ``group_size``, ``group_best_rank``,
+    ``group_median_installs``, ``group_weakest_installs``, ``group_newcomers`` and
+    ``group_newcomer_installs``; then ``demand`` (0 to 100, or null) and ``entry_rank``
+    (null without a ranker).
+    """
+    said = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    short = parse.human_number
+    n, scraped, size, rank = F.col("n"), F.col("scraped"), F.col("group_size"), F.col("entry_rank")
+    blind = F.when(rank.isNull(), "There is no fitted ranker, so this is what was seen and no forecast.")
+    card = F.when(F.col("featured_relevance") >= tx.RELEVANT, "A promoted card that answers the phrase holds the best place, so rank 1 is worth less.").when(F.col("has_featured") == 1, "A promoted card above the results takes a share of the visits.")
+    meaning = (
+        F.when(size.isNull(), "The page does not split by meaning.")
+        .when(size == 1, said("One app only answers this question: ", short(F.col("group_weakest_installs")), " installs at rank ", F.col("group_best_rank"), "; the other ", scraped - 1, " answer another."))
+        .when(size <= F.greatest(F.floor(scraped / 3), F.lit(2)), said(size, " of ", scraped, " apps answer this question, at about ", short(F.col("group_median_installs")), " installs; the rest are something else."))
+        .otherwise(said("The question is well answered: ", size, " of ", scraped, " apps, at about ", short(F.col("group_median_installs")), " installs."))
+    )
+    weak = F.col("weakest_installs")
+    opening = F.when((F.col("weakest_rank") <= n) & (weak < 10_000) & (size.isNull() | (F.col("group_weakest_installs") != weak)), said("Rank ", F.col("weakest_rank"), " is held with ", short(weak), " installs, so the top is not defended."))
+    fresh, best = F.col("group_newcomers"), F.col("group_newcomer_installs")
+    newest = F.round("newest_entrant_age", 1)
+    door = F.when(F.col("age_known_frac") >= 0.5, (
+        F.when((fresh > 0) & (size == 1), "It is under a year old, so there is a way in.")
+        .when((fresh > 0) & (best >= 10_000), said(fresh, " of them are under a year old, the largest at ", short(best), " installs, so there is a way in."))
+        .when(fresh > 0, said(fresh, " of them are under a year old, so there is a way in."))
+        .when((fresh == 0) & (newest >= 4), said("Nothing new has come in for ", F.floor(newest).cast("int"), " years."))
+        .when(F.col("newcomers") >= 2, said(F.col("newcomers"), " apps of the page are under a year old, though they answer another question."))
+    ))
+    demand = F.when(F.coalesce("demand", F.lit(50.0)) >= 70, "Many people search for it.").when(F.col("demand") < 40, "Few people search for it, which limits what any rank brings.")
+    call = F.when(rank <= TOP_K, said("A well-made newcomer would enter at about rank ", rank, ", where the installs are.")).when(rank > TOP_K, said("A well-made newcomer would enter at about rank ", rank, ", below where the installs are."))
+    return pages.select("keyword", F.concat_ws(" ", blind, card, meaning, opening, door, demand, call).alias("story"))
+
+
 def counterfactual(features: DataFrame, coefficients: DataFrame, names: list[str], gate_slot: int = TOP_K) -> DataFrame:
     """(keyword, pkg, feature, yours, theirs, gain) against the holder of the gate slot:
     the first slot from ``gate_slot`` on, else the last. Linear in the coefficients."""

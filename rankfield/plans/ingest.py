@@ -143,6 +143,18 @@ def s24_lookup_override(spark, sf_dir):
     return ingest.lookup_override(pages, overrides, "crowding", "crowding")
 
 
+@query("""WITH k AS (SELECT keyword, count(*) AS n FROM t_slots GROUP BY keyword)
+SELECT keyword, CASE WHEN length(keyword) % 2 = 0 THEN 5.0 ELSE CAST(n AS DOUBLE) END::DOUBLE AS value, CASE WHEN length(keyword) % 2 = 0 THEN DATE '2001-02-01' ELSE DATE '2001-01-01' END AS set_at, CASE WHEN length(keyword) % 2 = 0 THEN 5.0 ELSE CAST(n AS DOUBLE) END::DOUBLE AS crowding FROM k""")
+def s24_upsert_overrides(spark, sf_dir):
+    """Values set for every page, half of them set again, and what a lookup then finds."""
+    pages = slots(spark, sf_dir).groupBy("keyword").agg(F.count("*").cast("double").alias("n"))
+    values = lambda rows, value, day: rows.select("keyword", F.lit("us").alias("country"), F.lit("crowding").alias("field"), value.alias("value"), F.lit(day).cast("date").alias("set_at"))
+    again = pages.where("length(keyword) % 2 = 0").withColumn("keyword", F.concat(F.lit(" "), F.upper("keyword")))
+    held = ingest.upsert_overrides(values(pages, F.col("n"), "2001-01-01"), values(again, F.lit(5.0), "2001-02-01"))
+    found = ingest.lookup_override(pages.select("keyword", F.lit(-1.0).alias("crowding")), held, "crowding", "crowding")
+    return held.select("keyword", "value", "set_at").join(found.hint("merge"), "keyword")
+
+
 @query(f"SELECT query, CAST(position AS BIGINT) AS position, suggestion, DATE '{AS_OF}' AS fetched_at FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY position DESC) - 1 AS position, suggestion FROM fx_suggestions WHERE length(query) % 2 = 0) UNION ALL SELECT query, position, suggestion, fetched_at FROM fx_suggestions WHERE length(query) % 2 <> 0")
 def s25_replace_suggestions(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_suggestions")
@@ -182,6 +194,13 @@ def s27_import_dated_cache(spark, sf_dir):
     return merged.groupBy("pkg").agg(F.count("*").alias("points")).where("points > 1")
 
 
+@query(f"""WITH m AS (SELECT pkg, observed_at FROM fx_app_snapshots WHERE year(observed_at) = 1996 UNION SELECT DISTINCT a.pkg, DATE '{AS_OF}' FROM fx_apps a JOIN fx_app_snapshots s ON s.pkg = a.pkg WHERE year(s.observed_at) = 1996), n AS (SELECT pkg, count(*) AS n FROM m GROUP BY pkg)
+SELECT CAST(sum(n) AS BIGINT) AS points, count(*) AS apps, count(*) FILTER (n > 1) AS apps_with_two_points FROM n""")
+def s27_import_report(spark, sf_dir):
+    cache = view(spark, sf_dir, "fx_app_snapshots").where("year(observed_at) = 1996")
+    return ingest.import_report(ingest.import_dated_cache(cache, apps(spark, sf_dir), AS_OF))
+
+
 @query("SELECT a.pkg, coalesce(CASE WHEN a.p_partkey % 4 = 0 THEN 'own' END, f.icon) AS icon FROM fx_apps a LEFT JOIN (SELECT pkg, min('i' || keyword) AS icon FROM fx_observations GROUP BY pkg) f ON f.pkg = a.pkg")
 def s28_fill_missing_icons(spark, sf_dir):
     held = apps(spark, sf_dir).select("pkg", F.when(F.col("p_partkey") % 4 == 0, "own").alias("icon"))

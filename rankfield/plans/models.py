@@ -439,6 +439,31 @@ def m17_narrative(spark, sf_dir):
     return scoring.narrative(page_fields(spark, sf_dir)).select("keyword", "narrative")
 
 
+@query(f"""WITH f AS (SELECT DISTINCT keyword, 1 AS has FROM fx_observations o JOIN fx_apps a ON a.pkg = o.pkg WHERE o.featured = 1 AND o.country = 'us'),
+p AS (SELECT keyword, least(count(*), 10) AS n, count(*) AS scraped, min(installs) FILTER (slot <= 10) AS weak, arg_min(slot, installs * 1000 + slot) FILTER (slot <= 10) AS weak_at, count(*) FILTER (slot <= 10 AND days > 0) / CAST(least(count(*), 10) AS DOUBLE) AS known, coalesce(min(age) FILTER (slot <= 10 AND days > 0), 0) AS newest, count(*) FILTER (slot <= 10 AND days > 0 AND age <= 1) AS fresh FROM t_context GROUP BY keyword),
+g AS (SELECT keyword, count(*) AS size, min(slot) AS best, floor(quantile_cont(CAST(installs AS DOUBLE), 0.5)) AS med, min(installs) AS gweak, count(*) FILTER (days > 0 AND age <= 1) AS gfresh, coalesce(max(installs) FILTER (days > 0 AND age <= 1), 0) AS gtop FROM t_context WHERE slot % 3 = 1 GROUP BY keyword),
+x AS (SELECT p.*, f.has, g.* EXCLUDE (keyword), length(p.keyword) * 7 AS demand, 1 + length(p.keyword) % 14 AS rank FROM p LEFT JOIN f ON f.keyword = p.keyword LEFT JOIN g ON g.keyword = p.keyword)
+SELECT keyword, concat_ws(' ', CASE WHEN has = 1 THEN 'A promoted card above the results takes a share of the visits.' END,
+CASE WHEN size IS NULL THEN 'The page does not split by meaning.' WHEN size = 1 THEN 'One app only answers this question: ' || {HUMAN.format('CAST(gweak AS DOUBLE)')} || ' installs at rank ' || best || '; the other ' || (scraped - 1) || ' answer another.'
+WHEN size <= greatest(floor(scraped / 3), 2) THEN size || ' of ' || scraped || ' apps answer this question, at about ' || {HUMAN.format('med')} || ' installs; the rest are something else.' ELSE 'The question is well answered: ' || size || ' of ' || scraped || ' apps, at about ' || {HUMAN.format('med')} || ' installs.' END,
+CASE WHEN weak_at <= n AND weak < 10000 AND (size IS NULL OR gweak <> weak) THEN 'Rank ' || weak_at || ' is held with ' || {HUMAN.format('CAST(weak AS DOUBLE)')} || ' installs, so the top is not defended.' END,
+CASE WHEN known >= 0.5 THEN CASE WHEN gfresh > 0 AND size = 1 THEN 'It is under a year old, so there is a way in.' WHEN gfresh > 0 AND gtop >= 10000 THEN gfresh || ' of them are under a year old, the largest at ' || {HUMAN.format('CAST(gtop AS DOUBLE)')} || ' installs, so there is a way in.'
+WHEN gfresh > 0 THEN gfresh || ' of them are under a year old, so there is a way in.' WHEN gfresh = 0 AND round(newest, 1) >= 4 THEN 'Nothing new has come in for ' || CAST(floor(round(newest, 1)) AS INT) || ' years.' WHEN fresh >= 2 THEN fresh || ' apps of the page are under a year old, though they answer another question.' END END,
+CASE WHEN demand >= 70 THEN 'Many people search for it.' WHEN demand < 40 THEN 'Few people search for it, which limits what any rank brings.' END,
+CASE WHEN rank <= 10 THEN 'A well-made newcomer would enter at about rank ' || rank || ', where the installs are.' ELSE 'A well-made newcomer would enter at about rank ' || rank || ', below where the installs are.' END) AS story FROM x""")
+def m17_page_story(spark, sf_dir):
+    """The whole story of a page, its group given: every third app from the first."""
+    rows = thirds(spark, sf_dir)
+    own = rows.where(F.col("group") == 1).groupBy("keyword").agg(
+        F.count("*").alias("group_size"), F.min("slot").alias("group_best_rank"), F.floor(F.percentile("installs", 0.5)).cast("double").alias("group_median_installs"), F.min("installs").alias("group_weakest_installs"),
+        F.count_if((F.col("days") > 0) & (F.col("age") <= 1)).alias("group_newcomers"), F.coalesce(F.max(F.when((F.col("days") > 0) & (F.col("age") <= 1), F.col("installs"))), F.lit(0)).alias("group_newcomer_installs"),
+    )
+    pages = page_fields(spark, sf_dir).drop("featured_relevance").withColumn("featured_relevance", F.lit(0.0))
+    sizes = rows.groupBy("keyword").agg(F.count("*").alias("scraped"))
+    told = pages.join(sizes.hint("merge"), "keyword").join(own.hint("merge"), "keyword", "left")
+    return scoring.page_story(told.withColumns({"demand": (F.length("keyword") * 7).cast("double"), "entry_rank": 1 + F.length("keyword") % 14}))
+
+
 def page_fields(spark, sf_dir):
     """Fields of whole pages, as an entrant sees them: nobody is left out."""
     rows = ready(spark, sf_dir)
@@ -447,9 +472,10 @@ def page_fields(spark, sf_dir):
 
 
 @query("""SELECT keyword, count(*) FILTER (slot <= 10) AS n, round(quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (slot <= 10), 4) AS installs_p50, count(*) FILTER (slot <= 10 AND exact) AS exact_match_count, count(*) FILTER (slot <= 10 AND days > 0 AND age <= 1) AS newcomers, min(installs) FILTER (slot <= 10) AS weakest_installs,
-count(*) FILTER (slot <= 10 AND exact) >= greatest(floor(count(*) FILTER (slot <= 10) / 2), 1) AS keyword_in_title FROM t_context GROUP BY keyword""")
+count(*) FILTER (slot <= 10 AND exact) >= greatest(floor(count(*) FILTER (slot <= 10) / 2), 1) AS keyword_in_title, round(quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (slot <= 10), 4) AS bar_installs, round(quantile_cont(rating, 0.5) FILTER (slot <= 10), 4) AS bar_rating,
+count(*) FILTER (slot <= 10 AND relevance >= 0.40) AS relevant_count, round(log10(quantile_cont(CAST(installs AS DOUBLE), 0.9) FILTER (slot <= 10) + 1) - log10(quantile_cont(CAST(installs AS DOUBLE), 0.1) FILTER (slot <= 10) + 1), 2) AS spread FROM t_context GROUP BY keyword""")
 def m19_field_report(spark, sf_dir):
-    return rounded(scoring.field_report(page_fields(spark, sf_dir)).select("keyword", "n", "installs_p50", "exact_match_count", "newcomers", "weakest_installs", "keyword_in_title"), 4)
+    return rounded(scoring.field_report(page_fields(spark, sf_dir)).select("keyword", "n", "installs_p50", "exact_match_count", "newcomers", "weakest_installs", "keyword_in_title", "bar_installs", "bar_rating", "relevant_count", "spread"), 4)
 
 
 @query("""WITH c AS (SELECT keyword, pkg, slot, unnest(['log_installs', 'rating', 'reviews']) AS feature, unnest([ln(1 + installs), rating, CAST(reviews AS DOUBLE)]) AS x FROM t_slots), g AS (SELECT keyword, coalesce(min(slot) FILTER (slot >= 10), max(slot)) AS g FROM t_slots GROUP BY keyword),
@@ -601,6 +627,14 @@ def e5_register_run(spark, sf_dir):
     return rounded(evaluate.register_run(registry, evaluate.promotion_gate(next_run(spark, sf_dir), registry)).select("version", "auc", "active"))
 
 
+@query()
+def e5_register_fitted_run(spark, sf_dir):
+    """The gate and the registry fed with the ranker's own held-out figure."""
+    measured = m1_held_out_auc(spark, sf_dir).select("auc").crossJoin(slots(spark, sf_dir).agg(F.count_distinct("keyword").alias("n_keywords")))
+    registry = runs(spark, sf_dir)
+    return rounded(evaluate.register_run(registry, evaluate.promotion_gate(measured, registry)))
+
+
 @query("""WITH r AS (SELECT ln(1 + installs) AS t, ln(1 + reviews * 1000) AS a, ln(1 + reviews * 20000) AS b FROM fx_apps WHERE p_partkey % 7 <> 0), s AS (SELECT count(*) AS n, quantile_cont(exp(abs(a - t)), 0.5) AS fa, quantile_cont(exp(abs(b - t)), 0.5) AS fb FROM r)
 SELECT n, round(fa, 4) AS factor_a, round(fb, 4) AS factor_b, CASE WHEN n < 30 THEN NULL WHEN fa <= fb THEN 'a' ELSE 'b' END AS better FROM s""")
 def e6_head_to_head(spark, sf_dir):

@@ -471,9 +471,10 @@ def h9_h10_transitions(spark, sf_dir):
     return change.transitions(observations(spark, sf_dir), apps(spark, sf_dir))
 
 
-@query("SELECT count(*) AS transitions, count(*) FILTER (event = 'entered') AS entered, count(*) FILTER (event = 'left') AS left_page, count(*) FILTER (event = 'moved') AS moved, count(*) FILTER (is_new) AS new_app_entries, count(*) FILTER (is_new AND to_position <= 10) AS new_app_reached_top10 FROM t_events")
+@query("SELECT count(*) AS transitions, count(*) FILTER (event = 'entered') AS entered, count(*) FILTER (event = 'left') AS left_page, count(*) FILTER (event = 'moved') AS moved, count(*) FILTER (is_new) AS new_app_entries, count(*) FILTER (is_new AND to_position <= 10) AS new_app_reached_top10, (SELECT coalesce(string_agg(keyword || ' ' || strftime(observed_at, '%Y-%m-%d') || ' ' || pkg || ' ' || to_position, ', ' ORDER BY keyword, observed_at, pkg), '') FROM (SELECT * FROM t_events WHERE is_new ORDER BY keyword, observed_at, pkg LIMIT 6)) AS examples FROM t_events")
 def h11_transition_summary(spark, sf_dir):
-    return change.transition_summary(change.transitions(observations(spark, sf_dir), apps(spark, sf_dir)))
+    found = change.transition_summary(change.transitions(observations(spark, sf_dir), apps(spark, sf_dir)))
+    return found.withColumn("examples", F.array_join("examples", ", "))
 
 
 OUTCOMES = "SELECT keyword, CASE WHEN min(position) < 251 THEN min(position) END AS position FROM fx_observations WHERE country = 'us' AND (source IN ('owned', 'review') OR pkg IN (SELECT pkg FROM fx_apps WHERE developer LIKE 'Brand#1%' OR developer LIKE 'Brand#22%')) GROUP BY keyword"
@@ -500,10 +501,11 @@ def h14_research_before(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT keyword, quantile_cont(CAST(installs AS DOUBLE), 0.5) FILTER (installs > 0) AS m FROM t_slots GROUP BY keyword), o AS ({OUTCOMES}), j AS (SELECT b.*, coalesce(o.position <= 10, false) AS hit FROM b JOIN o ON o.keyword = b.keyword)
-SELECT count(*) AS pairs, count(*) FILTER (hit) AS ranked, count(*) FILTER (NOT hit) AS missed, round(quantile_cont(m, 0.5) FILTER (hit), 6) AS median_when_ranked, round(quantile_cont(m, 0.5) FILTER (NOT hit), 6) AS median_when_missed FROM j""")
+SELECT count(*) AS pairs, count(*) FILTER (hit) AS ranked, count(*) FILTER (NOT hit) AS missed, round(quantile_cont(m, 0.5) FILTER (hit), 6) AS median_when_ranked, round(quantile_cont(m, 0.5) FILTER (NOT hit), 6) AS median_when_missed, coalesce(array_to_string(list_sort(list(keyword) FILTER (hit))[1:6], ','), '') AS examples_ranked, coalesce(array_to_string(list_sort(list(keyword) FILTER (NOT hit))[1:6], ','), '') AS examples_missed FROM j""")
 def h15_backtest(spark, sf_dir):
     after = change.outcomes(observations(spark, sf_dir), apps(spark, sf_dir), ("Brand#1%", "Brand#22%"))
-    return rounded(change.backtest(research(spark, sf_dir), after))
+    found = rounded(change.backtest(research(spark, sf_dir), after))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("examples_ranked", "examples_missed")})
 
 
 def field_report(spark: SparkSession, sf_dir: str) -> DataFrame:
