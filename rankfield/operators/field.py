@@ -213,6 +213,6 @@ def featured_summary(cards: DataFrame) -> DataFrame:
 def field_table(slots: DataFrame, cards: DataFrame) -> DataFrame:
     """Every statistic of every (keyword, own app); an empty field gets its defaults."""
     own = _own(slots).select(*KEY)
-    table = own.join(summarise(near_rows(slots)), KEY, "left").join(unaided_recent(slots), KEY, "left").join(page_curve(slots), KEY, "left").join(featured_summary(cards), "keyword", "left")
+    table = own.join(summarise(near_rows(slots)).hint("merge"), KEY, "left").join(unaided_recent(slots).hint("merge"), KEY, "left").join(page_curve(slots).hint("merge"), KEY, "left").join(featured_summary(cards), "keyword", "left")
     numbers = {c: 0 for c, kind in table.dtypes if c not in KEY and kind not in ("string",)}
     return table.fillna(numbers | {"weakest_rank": 99})

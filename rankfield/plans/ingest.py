@@ -85,11 +85,13 @@ def s16_widest_copy_wins(spark, sf_dir):
     return ingest.widest_copy_wins(pages)
 
 
-@query("""WITH p AS (SELECT keyword AS page, slot AS ordinal, CASE WHEN slot % 5 = 0 THEN NULL ELSE installs END AS installs, length(keyword) % 4 <> 0 AS ordered FROM t_slots WHERE slot <= 2 + length(keyword) % 6)
+@query("""WITH p AS (SELECT keyword AS page, slot AS ordinal, CASE WHEN slot % 5 <> 0 AND slot <= 2 + length(keyword) % 6 THEN installs END AS installs, length(keyword) % 4 <> 0 AS ordered FROM t_slots)
 SELECT page, CASE WHEN NOT bool_and(ordered) THEN false WHEN count(installs) < 3 OR bool_and(fall) THEN NULL ELSE true END AS order_is_rank FROM (SELECT p.page, p.ordinal, p.ordered, p.installs, CASE WHEN p.installs IS NULL THEN NULL ELSE coalesce(p.installs <= q.prev, true) END AS fall
 FROM p LEFT JOIN (SELECT page, ordinal, lag(installs) OVER (PARTITION BY page ORDER BY ordinal) AS prev FROM p WHERE installs IS NOT NULL) q ON q.page = p.page AND q.ordinal = p.ordinal) GROUP BY page""")
 def s17_infer_order_is_rank(spark, sf_dir):
-    rows = slots(spark, sf_dir).where("slot <= 2 + length(keyword) % 6").select(F.col("keyword").alias("page"), F.col("slot").alias("ordinal"), F.when(F.col("slot") % 5 != 0, F.col("installs")).alias("installs"), (F.length("keyword") % 4 != 0).alias("ordered"))
+    """Counts of a page are known to different depths; all of its rows are read."""
+    known = (F.col("slot") % 5 != 0) & (F.col("slot") <= 2 + F.length("keyword") % 6)
+    rows = slots(spark, sf_dir).select(F.col("keyword").alias("page"), F.col("slot").alias("ordinal"), F.when(known, F.col("installs")).alias("installs"), (F.length("keyword") % 4 != 0).alias("ordered"))
     return ingest.infer_order_is_rank(rows)
 
 

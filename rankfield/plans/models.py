@@ -316,7 +316,7 @@ def m3_m5_ensemble(spark, sf_dir):
 def described_ensemble(each, k):
     n = each.agg(F.count_distinct("keyword").alias("_n"))
     mean = scoring.ensemble_scores(each).crossJoin(F.broadcast(n)).withColumn("agreement", scoring.agreement(F.col("spread"))).withColumn("confidence", scoring.confidence(F.col("spread"), F.col("_n"))).drop("_n")
-    return mean.join(scoring.thompson_draw(each, k).select("keyword", "pkg", F.col("logit").alias("draw")), ["keyword", "pkg"])
+    return mean.join(scoring.thompson_draw(each, k).select("keyword", "pkg", F.col("logit").alias("draw")).hint("merge"), ["keyword", "pkg"])
 
 
 @query("""WITH e AS (SELECT keyword, pkg, m, rating - 3 + (m - 3) * (slot % 5) / 10.0::DOUBLE AS logit FROM t_slots, range(7) t(m)), a AS (SELECT keyword, pkg, avg(logit) AS logit, avg(1 / (1 + exp(-logit))) AS chance, stddev_samp(1 / (1 + exp(-logit))) AS spread FROM e GROUP BY ALL),

@@ -363,10 +363,10 @@ def g2_suggestion_age(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT query, position, suggestion FROM fx_suggestions WHERE length(query) % 2 = 0)
-SELECT query, position, suggestion, 'fetched' AS origin FROM n UNION ALL SELECT query, position, suggestion, 'stored' FROM fx_suggestions WHERE position < 5 AND query NOT IN (SELECT query FROM n)""")
+SELECT query, position, suggestion, 'fetched' AS origin FROM n UNION ALL SELECT query, position, suggestion, 'stored' FROM fx_suggestions WHERE query NOT IN (SELECT query FROM n)""")
 def g3_fresh_or_stale(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_suggestions").select("query", "position", "suggestion", "fetched_at")
-    return suggest.fresh_or_stale(rows.where("position < 5"), rows.where("length(query) % 2 = 0"), AS_OF).drop("fetched_at")
+    return suggest.fresh_or_stale(rows, rows.where("length(query) % 2 = 0"), AS_OF).drop("fetched_at")
 
 
 @query("""SELECT query AS keyword, count(*) / 10.0::DOUBLE AS sugg_returned, CASE WHEN min(position) FILTER (suggestion = query) IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS sugg_self_listed,
