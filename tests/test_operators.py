@@ -311,7 +311,7 @@ def test_near_residuals_equal_all_pairs_and_meet_few(spark):
     assert memory.near_corrections(asks, filed).count() < len(rows) * len(held) / 2
 
 
-def page(spark, n=60, seed=5):
+def dated_page(spark, n=60, seed=5):
     rng = np.random.default_rng(seed)
     rows = []
     for k in range(3):
@@ -323,7 +323,7 @@ def page(spark, n=60, seed=5):
 
 
 def test_unaided_rates_without_the_own_app_equal_a_loop(spark):
-    rows, df = page(spark)
+    rows, df = dated_page(spark)
     found = field.unaided_recent(df)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.keyword, r.own_pkg): (r.unaided_recent_rate, r.unaided_recent_evidence) for r in found.collect()}
@@ -341,7 +341,7 @@ def test_unaided_rates_without_the_own_app_equal_a_loop(spark):
 
 
 def test_page_curves_without_the_own_app_equal_least_squares(spark):
-    rows, df = page(spark, 40, 9)
+    rows, df = dated_page(spark, 40, 9)
     found = field.page_curve(df)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.keyword, r.own_pkg): r for r in found.collect()}
