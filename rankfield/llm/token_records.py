@@ -24,6 +24,7 @@ rows that share an id are ordered by the key of their text. Rows are kept as oft
 they occur. An empty table gives an empty result.
 """
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -70,6 +71,22 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at += HEAD + n + TAIL
 
 
+# The steps before merging under which a text's ids are those of its words.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordEncoder:
     """Token ids of texts through a cache of words; bounded, and exact."""
 
@@ -81,8 +98,10 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.most_words = most_words
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_word = steps["model"]["dropout"] is None and all(steps[k] == v for k, v in WORD_STEPS.items())
         # how the byte-level splitter spells each Latin-1 letter
-        letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+        letters = [chr(c) for c in range(0x100) if chr(c).isalpha()] if self.by_word else []
         self.spelling = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
         self._clear()
 
@@ -129,7 +148,14 @@ class WordEncoder:
         self.new.clear()
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
-        """Token ids of each text; new words of the whole batch are learned at once."""
+        """Token ids of each text; new words of the whole batch are learned at once.
+
+        Words stand for themselves only in a tokenizer whose steps are ``WORD_STEPS``;
+        any other encodes each text whole.
+        """
+        if not self.by_word:
+            end = [] if end_id is None else [end_id]
+            return [np.array([*self._whole(t or ""), *end], self.kind) for t in texts]
         if len(self.words) > self.most_words:
             self._clear()
         tail = np.array([] if end_id is None else [end_id], self.kind)
