@@ -17,7 +17,10 @@ def _own(slots: DataFrame) -> DataFrame:
 
 def _paired(pairs: DataFrame) -> DataFrame:
     """``idx``, and competition by the own app's group where pages are split."""
-    pairs = pairs.where("own_pkg <> pkg").withColumn("idx", F.col("slot") - (F.col("slot") > F.col("own_slot")).cast("int"))
+    return _by_group(pairs.where("own_pkg <> pkg").withColumn("idx", F.col("slot") - (F.col("slot") > F.col("own_slot")).cast("int")))
+
+
+def _by_group(pairs: DataFrame) -> DataFrame:
     if "_own_group" not in pairs.columns:
         return pairs
     mine = F.when(F.col("_own_group").isNotNull(), F.coalesce(F.col("group") == F.col("_own_group"), F.lit(False)))
@@ -43,6 +46,18 @@ def near_rows(slots: DataFrame, top_n: int = 10) -> DataFrame:
     return _paired(_own(slots).withColumn("slot", F.explode(wanted)).join(slots.hint("merge"), ["keyword", "slot"]))
 
 
+def outside_rows(slots: DataFrame, entrants: DataFrame, top_n: int = 10) -> DataFrame:
+    """The pairs of ``near_rows`` for apps that are not on the page: nobody is left out.
+
+    ``entrants`` has (keyword, pkg, slot), the slot that an app would take or null, and
+    ``group`` where pages are split.
+    """
+    near = F.sequence(F.greatest(F.col("own_slot") - BAND, F.lit(1)), F.col("own_slot") + BELOW)
+    wanted = F.array_distinct(F.concat(F.sequence(F.lit(1), F.lit(top_n)), F.coalesce(near, F.array().cast("array<int>"))))
+    own = _own(entrants.withColumn("slot", F.col("slot").cast("int"))).withColumn("slot", F.explode(wanted))
+    return _by_group(own.join(slots.hint("merge"), ["keyword", "slot"]).withColumn("idx", F.col("slot")))
+
+
 def _p(column: str | Column, q: float) -> Column:
     return F.percentile(column, F.lit(q))
 
@@ -79,6 +94,7 @@ def summarise(pairs: DataFrame, top_n: int = 10) -> DataFrame:
     mine = top & F.col("on_intent")
     fresh_mine = mine & (F.col("days") > 0) & (F.col("age") <= 1.0)
     gap = F.abs(F.col("slot") - F.col("own_slot"))
+    placed = F.col("own_slot").isNotNull()  # an app without a place has no neighbours
     near, below = (gap > 0) & (gap <= BAND), (F.col("slot") > F.col("own_slot")) & (F.col("slot") <= F.col("own_slot") + BELOW)
     slot = F.col("slot")
     rest = top & (F.col("idx") > 1)
@@ -98,8 +114,8 @@ def summarise(pairs: DataFrame, top_n: int = 10) -> DataFrame:
         *rates("page", top), *rates("intent", mine), *rates("band", near), *rates("below", below),
         F.array_sort(F.collect_list(_if(mine, "slot"))).alias("_run"),
         F.coalesce(F.min(_if(fresh_mine, "slot")), F.lit(0)).alias("recent_best_rank"), _zero(_first(fresh_mine, [slot], "rate")).alias("recent_rate_at_best"),
-        _zero(_first(mine, [gap, slot], "rate")).alias("neighbour_rate"), _zero(_first(mine, [gap, slot], "age")).alias("neighbour_age"),
-        _zero(_first(fresh_mine, [gap, slot], "rate")).alias("recent_neighbour_rate"), F.coalesce(F.min(_if(fresh_mine, gap)), F.lit(0)).alias("recent_neighbour_gap"),
+        _zero(_first(mine & placed, [gap, slot], "rate")).alias("neighbour_rate"), _zero(_first(mine & placed, [gap, slot], "age")).alias("neighbour_age"),
+        _zero(_first(fresh_mine & placed, [gap, slot], "rate")).alias("recent_neighbour_rate"), F.coalesce(F.min(_if(fresh_mine, gap)), F.lit(0)).alias("recent_neighbour_gap"),
         F.count_if(near).alias("band_evidence"),
         _first(top, [F.col("idx")], "exact").cast("double").alias("leader_match"), _first(top, [F.col("idx")], "relevance").alias("leader_relevance"),
         (F.log1p(_first(top, [F.col("idx")], "installs")) - F.log1p(F.coalesce(q("installs", rest, 0.5), q("installs", top, 0.5)))).alias("leader_lead"),
@@ -200,7 +216,7 @@ def page_curve(slots: DataFrame, least: int = 6) -> DataFrame:
     ok = (F.col("sm") >= least) & (F.col("det") > 1e-9)
     s = s.withColumn("b1", (F.col("cxy") * F.col("vz") - F.col("czy") * F.col("cxz")) / F.nullif("det", F.lit(0.0))).withColumn("b2", (F.col("czy") * F.col("vx") - F.col("cxy") * F.col("cxz")) / F.nullif("det", F.lit(0.0)))
     s = s.withColumn("b0", F.expr("ay - b1 * ax - b2 * az")).withColumn("_fit", F.when(F.col("vy") * F.col("sm") > 1e-9, F.expr("(b1 * cxy + b2 * czy) / vy")).otherwise(0.0))
-    here = F.greatest(F.expm1(F.least(F.expr("b0 + b1 * own_slot + b2 * young"), F.lit(30.0))), F.lit(0.0))
+    here = F.when(F.col("own_slot").isNotNull(), F.greatest(F.expm1(F.least(F.expr("b0 + b1 * own_slot + b2 * young"), F.lit(30.0))), F.lit(0.0))).otherwise(0.0)
     keep = lambda c: F.when(ok, c).otherwise(0.0)
     return s.select(*KEY, keep(F.col("b1")).alias("curve_rank_slope"), keep(F.col("b2")).alias("curve_age_slope"), keep(F.least(F.greatest("_fit", F.lit(-1.0)), F.lit(1.0))).alias("curve_fit"), keep(here).alias("curve_here"), F.when(ok, F.col("sm").cast("long")).otherwise(0).alias("curve_points"))
 
@@ -210,9 +226,31 @@ def featured_summary(cards: DataFrame) -> DataFrame:
     return cards.groupBy("keyword").agg(F.lit(1).alias("has_featured"), F.max("relevance").alias("featured_relevance"), F.max("installs").alias("featured_installs"))
 
 
+def _with_defaults(table: DataFrame) -> DataFrame:
+    numbers = {c: 0 for c, kind in table.dtypes if c not in KEY and kind not in ("string",)}
+    return table.fillna(numbers | {"weakest_rank": 99})
+
+
 def field_table(slots: DataFrame, cards: DataFrame) -> DataFrame:
     """Every statistic of every (keyword, own app); an empty field gets its defaults."""
     own = _own(slots).select(*KEY)
-    table = own.join(summarise(near_rows(slots)).hint("merge"), KEY, "left").join(unaided_recent(slots).hint("merge"), KEY, "left").join(page_curve(slots).hint("merge"), KEY, "left").join(featured_summary(cards), "keyword", "left")
-    numbers = {c: 0 for c, kind in table.dtypes if c not in KEY and kind not in ("string",)}
-    return table.fillna(numbers | {"weakest_rank": 99})
+    return _with_defaults(own.join(summarise(near_rows(slots)).hint("merge"), KEY, "left").join(unaided_recent(slots).hint("merge"), KEY, "left").join(page_curve(slots).hint("merge"), KEY, "left").join(featured_summary(cards), "keyword", "left"))
+
+
+def outside_table(slots: DataFrame, entrants: DataFrame, cards: DataFrame) -> DataFrame:
+    """The same for apps that are not on the page, ``entrants`` as in ``outside_rows``.
+
+    An app without age and installs adds nothing to a page's sums, so as one more row of
+    the page it reads the sums of all others.
+    """
+    key = ["keyword", "own_pkg"]
+    sums = ["keyword", "pkg", "slot", "days", "age", "installs", "rate", "advantage"]
+    nothing = {"days": 0, "age": 0.0, "installs": 0, "rate": 0.0, "advantage": 0.0}
+    kinds = dict(slots.dtypes)
+    guests = entrants.select("keyword", "pkg", F.col("slot").cast(kinds["slot"]).alias("slot"), *[F.lit(v).cast(kinds[c]).alias(c) for c, v in nothing.items()])
+    shown = slots.select(*sums).unionByName(guests)
+    tables = (summarise(outside_rows(slots, entrants)), unaided_recent(shown), page_curve(shown))
+    out = _own(guests).select(*KEY)
+    for t in tables:
+        out = out.join(t.drop("own_slot").hint("merge"), key, "left")
+    return _with_defaults(out.join(featured_summary(cards), "keyword", "left"))

@@ -105,5 +105,16 @@ def intent_stats(slots: DataFrame, membership: DataFrame, top_n: int = 10) -> Da
     return joined.select("keyword", F.col("pkg").alias("own_pkg"), (F.col("size") - 1).alias("intent_rivals"), F.col("median_installs").alias("intent_median"), F.col("weakest_installs").alias("intent_weakest"), (1.0 - (F.col("best_rank") - 1) / n).alias("intent_reach"), (F.col("size") / n).alias("intent_share"))
 
 
+def outside_stats(slots: DataFrame, membership: DataFrame, entrants: DataFrame, top_n: int = 10) -> DataFrame:
+    """``intent_stats`` of apps that are not on the page: all of their group are rivals.
+
+    ``entrants`` has (keyword, pkg, group), from ``group_for``.
+    """
+    found = describe_groups(slots.join(membership.hint("merge"), ["keyword", "pkg"])).select("keyword", "group", "size", "best_rank", "median_installs", "weakest_installs")
+    pages = slots.groupBy("keyword").agg(F.greatest(F.least(F.count("*"), F.lit(top_n)), F.lit(1)).alias("_n"))
+    joined = entrants.select("keyword", "pkg", "group").join(found.hint("merge"), ["keyword", "group"]).join(pages.hint("merge"), "keyword")
+    return joined.select("keyword", F.col("pkg").alias("own_pkg"), F.col("size").alias("intent_rivals"), F.col("median_installs").alias("intent_median"), F.col("weakest_installs").alias("intent_weakest"), (1.0 - (F.col("best_rank") - 1) / F.col("_n")).alias("intent_reach"), (F.col("size") / F.col("_n")).alias("intent_share"))
+
+
 def ambiguous_pages(membership: DataFrame) -> DataFrame:
     return membership.groupBy("keyword").agg(F.count_distinct("group").alias("groups")).where("groups > 1")

@@ -11,7 +11,7 @@ from rankfield.operators import features as fx
 from rankfield.plans.pages import app_vectors, apps, cards, context, keyword_vectors, observations, ready, rounded, slots, states
 from rankfield.plans.registry import query
 from rankfield.sources import tables
-from rankfield.sources.storage import kept, once, scratch
+from rankfield.sources.storage import held, kept, once, scratch
 from rankfield.sources.views import AS_OF, view
 from rankfield.streaming import jobs
 
@@ -301,10 +301,15 @@ def m2_pairwise_ranker(spark, sf_dir):
     return rounded(models.scores(models.fit_pairwise_ranker(rows, fx.preference_pairs(rows), fx.FEATURES), rows))
 
 
+def rankers(spark, sf_dir):
+    """The ensemble of seven on all features, fitted once a session."""
+    return held(spark, sf_dir, "rankers", lambda: models.fit_members(aligned(spark, sf_dir), fx.FEATURES))
+
+
 def member_logits(spark, sf_dir):
-    """The logits of an ensemble of seven, kept."""
+    """The logits of the ensemble, kept."""
     rows = aligned(spark, sf_dir)
-    return once(spark, sf_dir, "member-logits", lambda: models.member_scores(models.fit_members(rows, fx.FEATURES), rows))
+    return once(spark, sf_dir, "member-logits", lambda: models.member_scores(rankers(spark, sf_dir), rows))
 
 
 @query()
@@ -506,14 +511,13 @@ def m20_what_if_of_any_model(spark, sf_dir):
 def m20_what_if_of_the_ensemble(spark, sf_dir):
     """Gains of every ranked row by the mean logit of the seven fitted rankers, all 96 features."""
     rows = aligned(spark, sf_dir)
-    fitted = models.fit_members(rows, fx.FEATURES)
+    fitted = rankers(spark, sf_dir)
     return rounded(scoring.why(scoring.what_if(rows.select("keyword", "pkg", "slot", *fx.FEATURES), fx.FEATURES, lambda x: models.mean_logit(fitted, x))))
 
 
 @query()
 def m21_feature_pull(spark, sf_dir):
-    rows = aligned(spark, sf_dir)
-    found = [(c, v) for m in models.fit_members(rows, fx.FEATURES) for c, v in models.coefficients(m, fx.FEATURES).items()]
+    found = [(c, v) for m in rankers(spark, sf_dir) for c, v in models.coefficients(m, fx.FEATURES).items()]
     return rounded(scoring.feature_pull(spark.createDataFrame(found, "feature string, coefficient double")))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _ONCE: dict[tuple[str, str, str], DataFrame] = {}
+_HELD: dict[tuple[str, str, str], object] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -39,3 +40,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     if key not in _ONCE:
         _ONCE[key] = kept(build(), name)
     return _ONCE[key]
+
+
+def held[T](spark: SparkSession, sf_dir: str, name: str, build: Callable[[], T]) -> T:
+    """The fitted model, or other small value of the driver, that ``build`` makes once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HELD:
+        _HELD[key] = build()
+    return _HELD[key]

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from rankfield.plans import ingest, models, pages, registry  # noqa: F401
+from rankfield.plans import entrants, ingest, models, pages, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
