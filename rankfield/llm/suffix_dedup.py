@@ -15,7 +15,10 @@ document with a smaller id, or earlier in the same). Matches stay inside documen
 3. Suffix buckets. A suffix belongs to the bucket of the smallest hash among the
    16-byte grams of its string, a property that neighbours share. So a run of suffixes
    travels as one piece of text, and equal runs as one. Buckets have a few megabytes
-   each, whatever the corpus. A bucket is sorted in byte order: by the first 16 bytes,
+   each, whatever the corpus: the runs of a gram with more text than a bucket are cut
+   again by a smallest hash of another kind, and after ``LEVELS`` cuts into single
+   strings, which Spark's aggregation tells apart without any group. A bucket is sorted
+   in byte order: by the first 16 bytes,
    then long ties are resolved by the ranks of the bucket's own cover sample, and where
    these differ the next bytes are read. Equality is decided by bytes.
 4. The first of equal strings in document order stays, the others are later. The bytes
@@ -33,10 +36,11 @@ An empty table gives an empty result.
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +53,7 @@ CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 GRAM = 16
 LONGEST_RUN = 4_096
-NULL_ID = -(1 << 63)
+LEVELS = 3
 
 
 @lru_cache(maxsize=1)
@@ -132,7 +136,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
     def block(rows: list) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[1]))
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         columns = [pa.array([number], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.int64()))]
         texts = [pa.array([[len(r[2]) for r in rows]], pa.list_(pa.int64())), pa.array([b"".join(r[2] for r in rows)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns + texts, names=["block", "ids", "keys", "sizes", "data"])
@@ -141,7 +145,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, key, text in zip(*batch.columns, strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             if data:
-                rows.append((doc.as_py() if doc.is_valid else NULL_ID, key.as_py(), data))
+                rows.append((doc.as_py(), key.as_py(), data))
                 size += len(data)
             if size >= BLOCK_BYTES or len(rows) == 1 << 16:
                 yield block(rows)
@@ -247,12 +251,13 @@ def _keep_shared(places, buckets: int, size: int, widen):
     return run
 
 
-def _least_gram(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Smallest 32-bit hash of the grams of the string at each place."""
+def _least_gram(data: np.ndarray, at: np.ndarray, length: int, level: int = 0) -> np.ndarray:
+    """Smallest 32-bit hash of the grams of the string at each place; each ``level`` hashes in its own way."""
     if not len(at):
         return np.empty(0, np.uint32)
     words = np.ndarray(len(data) - 7, "<u8", data.tobytes(), strides=(1,))
     mixed = words[: len(data) - 15] * np.uint64(BASE) ^ (words[8:] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= np.uint64(level * 0xA0761D6478BD642F % (1 << 64))
     mixed ^= mixed >> np.uint64(29)
     least, width, window = (mixed * np.uint64(BASE) >> np.uint64(32)).astype(np.uint32), 1, length - GRAM + 1
     while 2 * width <= window:
@@ -275,6 +280,10 @@ def _runs(row: dict, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray,
     return at, begin, size, least[begin], texts
 
 
+RUN_COLUMNS = ["gram", "id", "key", "offset", "block", "run", "skip", "text"]
+RUN_SCHEMA = "gram long, id long, key long, offset long, block long, run long, skip long, text binary"
+
+
 def _run_entries(length: int):
     """Each distinct run of a block at its first place, with its number among the runs."""
 
@@ -286,9 +295,30 @@ def _run_entries(length: int):
                 first.setdefault(t, k)
             mine = np.fromiter(first.values(), np.int64, len(first))
             doc = np.searchsorted(starts, at[begin[mine]], side="right") - 1
-            ids, keys = (np.array(row[c].as_py(), np.int64)[doc] for c in ("ids", "keys"))
-            columns = [least[mine].astype(np.int64), ids, keys, at[begin[mine]] - starts[doc], np.full(len(mine), row["block"].as_py(), np.int64), mine]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(first), pa.binary())], names=["gram", "id", "key", "offset", "block", "run", "text"])
+            ids, keys = (row[c].values.take(pa.array(doc)) for c in ("ids", "keys"))
+            columns = [pa.array(least[mine].astype(np.int64)), ids, keys, *map(pa.array, (at[begin[mine]] - starts[doc], np.full(len(mine), row["block"].as_py(), np.int64), mine, np.zeros(len(mine), np.int64)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(first), pa.binary())], names=RUN_COLUMNS)
+
+    return run
+
+
+def _cut_runs(length: int, level: int):
+    """Each run cut where the smallest hash of ``level`` changes; past ``LEVELS``, at every place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+                raw = row["text"].as_py()
+                at = np.arange(len(raw) - length + 1)
+                least = _least_gram(np.frombuffer(raw, np.uint8), at, length, level) if level <= LEVELS else at
+                begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                size = np.diff(np.append(begin, len(at)))
+                texts = [raw[a : a + n + length - 1] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+                same = {c: pa.array([row[c].as_py()] * len(begin), pa.int64()) for c in ("id", "key", "block", "run")}
+                moved = {c: pa.array(begin + row[c].as_py()) for c in ("offset", "skip")}
+                columns = {**same, **moved, "gram": pa.array(least[begin].astype(np.int64)), "text": pa.array(texts, pa.binary())}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in RUN_COLUMNS], names=RUN_COLUMNS)
 
     return run
 
@@ -348,7 +378,8 @@ def _sort_bucket(length: int):
     """For each run of a bucket, a bit for each of its places: the string starts earlier."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("id", "ascending"), ("key", "ascending"), ("offset", "ascending")])
+        in_order = pc.sort_indices(group, [(c, "ascending") for c in ("id", "key", "offset")], null_placement="at_start")
+        group = group.take(in_order)
         texts = [x.as_buffer() for x in group["text"].combine_chunks()]
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts, sizes = _layout([len(t) for t in texts])
@@ -360,7 +391,7 @@ def _sort_bucket(length: int):
         later = np.empty(len(at), bool)
         later[order] = order > np.repeat(least, np.diff(np.append(new, len(at))))
         bits = [_bits(later[e - n : e]) for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
-        return pa.table({"block": group["block"], "run": group["run"], "bits": pa.array(bits, pa.binary())})
+        return pa.table({"block": group["block"], "run": group["run"], "skip": group["skip"], "bits": pa.array(bits, pa.binary()), "places": pa.array(count)})
 
     return run
 
@@ -370,12 +401,12 @@ def _remove(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts, lengths, data in _each_block(batches):
-            at, begin, size, _, texts = _runs(row, starts, lengths, data, length)
-            # a run that an earlier place has as well is not answered: all of it is later
+            at, begin, *_ = _runs(row, starts, lengths, data, length)
+            # a run, or a piece of it, that an earlier place has as well is not answered: all of it is later
             later = np.ones(len(at), bool)
             for a in row["answers"].as_py() or ():
-                k = a["run"]
-                later[begin[k] : begin[k] + size[k]] = _flags(a["bits"], int(size[k]))
+                k = begin[a["run"]] + a["skip"]
+                later[k : k + a["places"]] = _flags(a["bits"], a["places"])
             gone_at = at[later]
             edge = np.zeros(len(data) + 1, np.int32)
             np.add.at(edge, gone_at, 1)
@@ -389,7 +420,7 @@ def _remove(length: int):
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                 spans = turns.reshape(-1, 2).tolist()
                 kept = b"".join(raw[a + x : a + y] for x, y in zip([0, *[s[1] for s in spans]], [*[s[0] for s in spans], n], strict=True))
-                out.append((None if ids[k] == NULL_ID else ids[k], keys[k], int(hit.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+                out.append((ids[k], keys[k], int(hit.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["_doc", "_text_key", "_removed", "_spans", "_sha", "spans"])
@@ -397,9 +428,9 @@ def _remove(length: int):
     return run
 
 
-def _answered(blocks: DataFrame, answers: DataFrame, answer: str) -> DataFrame:
+def _answered(blocks: DataFrame, answers: DataFrame, *answer: str) -> DataFrame:
     """Blocks with the list of their answers."""
-    listed = answers.groupBy("block").agg(F.collect_list(F.struct(answer, "bits")).alias("answers"))
+    listed = answers.groupBy("block").agg(F.collect_list(F.struct(*answer, "bits")).alias("answers"))
     return blocks.join(listed.hint("merge"), "block", "left")
 
 
@@ -411,6 +442,35 @@ def _shared_places(blocks: DataFrame, places, n_places: int, size: int, widen, b
     return stored(_answered(blocks, answers, "bucket").mapInArrow(_keep_shared(places, buckets, size, widen), BLOCK_SCHEMA + ", chosen binary, n_chosen long"), name)
 
 
+def _later(runs: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
+    """Which places of the runs, or of pieces of them, hold a string that starts earlier.
+
+    Only the first of equal runs or pieces is answered. Every group has the text of one
+    hash range, and no gram in it has more than ``bucket_bytes``.
+    """
+    place, bytes_ = F.struct("id", "key", "offset", "block", "run", "skip"), F.octet_length("text").cast("long")
+    rest, parts = runs, []
+    for level in range(1, LEVELS + 2):
+        distinct = stored(rest.groupBy("gram", "text").agg(F.min(place).alias("_at")).select("gram", "text", "_at.*"), "suffix-texts")
+        grams = stored(distinct.groupBy("gram").agg(F.count("*").alias("_n"), F.sum(bytes_).alias("_bytes")), "suffix-grams")
+        sums = grams.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.max("_bytes"), F.lit(0))).first()
+        fitting, hot = distinct, sums[2] > bucket_bytes
+        if hot:
+            marked = join_split(distinct, grams.where(F.col("_bytes") > bucket_bytes).select("gram", "_n", F.lit(True).alias("_hot")), ["gram"], "_n", ["text"], sums[0], "left")
+            marked = stored(marked.select(*RUN_COLUMNS, F.coalesce("_hot", F.lit(False)).alias("_hot")), "suffix-marked")
+            fitting, over = marked.where("not _hot"), marked.where("_hot").select(*RUN_COLUMNS)
+        dealt = fitting.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(max(1, -(-sums[1] // bucket_bytes))).cast("long")))
+        parts.append(dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), "block long, run long, skip long, bits binary, places long"))
+        if not hot:
+            break
+        rest = stored(over.mapInArrow(_cut_runs(length, level), RUN_SCHEMA), "suffix-cut")
+    else:
+        # single strings: the first of each is not later, all others are not answered
+        firsts = rest.groupBy("text").agg(F.min(place).alias("_at"))
+        parts.append(firsts.select("_at.block", "_at.run", "_at.skip", F.lit(b"\0").alias("bits"), F.lit(1).cast("long").alias("places")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, bucket_entries: int = 500_000, bucket_bytes: int = 4_000_000, copy_broadcast: int = 2_000_000) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans (byte runs removed) of every document."""
     piece = length - COVER_MODULUS + 1
@@ -441,13 +501,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     held = marked.agg(F.coalesce(F.sum("n_chosen"), F.lit(0))).first()[0]
     shared = _shared_places(marked, _chosen, held, length, lambda starts, lengths, at: at, bucket_entries, "suffix-shared")
 
-    runs = stored(shared.mapInArrow(_run_entries(length), "gram long, id long, key long, offset long, block long, run long, text binary"), "suffix-runs")
-    place = F.struct("id", "key", "offset", "block", "run")
-    distinct = stored(runs.groupBy("gram", "text").agg(F.min(place).alias("_at")).select("gram", "text", "_at.*"), "suffix-texts")
-    buckets = max(1, -(-(distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
-    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets).cast("long")))
-    later = stored(dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), "block long, run long, bits binary"), "suffix-later")
-    losses = stored(_answered(shared, later, "run").mapInArrow(_remove(length), "_doc long, _text_key long, _removed long, _spans long, _sha string, spans array<array<long>>"), "suffix-losses")
+    runs = stored(shared.mapInArrow(_run_entries(length), RUN_SCHEMA), "suffix-runs")
+    later = stored(_later(runs, length, bucket_bytes), "suffix-later")
+    losses = stored(_answered(shared, later, "run", "skip", "places").mapInArrow(_remove(length), "_doc long, _text_key long, _removed long, _spans long, _sha string, spans array<array<long>>"), "suffix-losses")
 
     gone = copies.withColumn("_copy", F.lit(True))
     every = names.join(gone.hint("merge"), same(names, gone), "left").select(names["*"], "_copy")
