@@ -8,7 +8,8 @@ alone, so that a large host has no higher limit than that. Such lines are remove
 a document that loses more than ``max_removed`` of its words is rejected as depleted.
 
 The lines over the limit are broadcast while they are counted to be few
-(``BROADCAST_LINES``); beyond that they are joined by host and line.
+(``broadcast_lines``); beyond that they are joined by host and line, a line of many
+rows being dealt over several tasks.
 
 Defined results: a null text has no words, a null host is a host of its own. Rows
 that agree in id, host and text are one document and get the same result. A text that
@@ -19,7 +20,7 @@ An empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import SPACE_RUN, SPACES, cut, group_key, let, stored, text_key, words_of
+from rankfield.llm.common import SPACE_RUN, SPACES, cut, group_key, join_split, let, stored, text_key, words_of
 
 SYMBOLS = "#*$%&|<>"
 FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
@@ -74,22 +75,25 @@ def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
 
 
 def frequent_lines(lines: DataFrame, documents: DataFrame, min_documents: int = 20, max_share: float = 0.01, max_documents: int = 1_000) -> DataFrame:
-    """(_host, _line) of every line that is over its host's limit; ``documents`` has the row keys."""
-    seen = lines.select(*ROW_KEY, "_line").distinct()
-    counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") > min_documents)
+    """(_host, _line, _rows) of every line that is over its host's limit; ``documents`` has the row keys."""
+    seen = lines.groupBy(*ROW_KEY, "_line").agg(F.count("*").alias("_rows"))
+    counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("_n"), F.sum("_rows").alias("_rows")).where(F.col("_n") > min_documents)
     hosts = documents.distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     over = (F.col("_n") > F.lit(max_share) * F.col("_docs")) | (F.col("_n") > max_documents)
-    return counts.join(hosts.hint("merge"), "_host").where(over).select("_host", "_line")
+    return counts.join(hosts.hint("merge"), "_host").where(over).select("_host", "_line", "_rows")
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
     """Per document that loses lines: its key, the words removed, the line numbers.
 
     Line numbers count the lines with a word, from 0.
     """
     lines = hashed_lines(docs, key, text, host)
     over = cut(frequent_lines(lines, docs.select(*_keyed(docs, key, text, host)), **limits))
-    found = lines.join(over.hint("broadcast" if over.count() <= BROADCAST_LINES else "merge"), ["_host", "_line"])
+    if over.count() <= broadcast_lines:
+        found = lines.join(F.broadcast(over), ["_host", "_line"])
+    else:
+        found = join_split(lines, over, ["_host", "_line"], "_rows", ["_doc", "_text_key", "_at"], lines.count())
     # repeated rows would count twice: each place of a text counts once
     return found.groupBy(*ROW_KEY, "_at").agg(F.max("_words").alias("_words")).groupBy(*ROW_KEY).agg(F.sum("_words").alias("_removed"), F.collect_set("_at").alias("_gone"))
 
