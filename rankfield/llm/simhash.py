@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfield.llm.common import cut, text_key
+from rankfield.llm.common import cut, join_split, text_key
 from rankfield.llm.components import connected_components
 
 BITS = 64
@@ -233,14 +233,16 @@ def near_links(distinct: DataFrame, radius: int = 4, parts: int = 4, leaf_rows:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4, **options) -> DataFrame:
     """(_doc, _text_key, fp, _root, component_id) of every row of ``docs``."""
     prints = cut(fingerprints(docs, key, text, shingle, seed))
-    distinct = cut(prints.groupBy("fp").agg(F.min("_doc").alias("_least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("_doc").alias("_least"), F.count("*").alias("_n")))
     pairs = near_links(distinct.select("fp"), radius, **options)
     labels = connected_components(pairs)
     joined = distinct.join(labels.hint("merge"), distinct["fp"] == labels["node"], "left")
-    rooted = joined.select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    classes = rooted.select("fp", "_root").join(least.hint("merge"), "_root")
-    return prints.join(classes.hint("merge"), "fp").select("_doc", "_text_key", "fp", "_root", "component_id")
+    rooted = cut(joined.select("fp", "_least", "_n", F.coalesce("component", "fp").alias("_root")))
+    least = cut(rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_prints"), F.sum("_n").alias("_all")))
+    total = least.agg(F.coalesce(F.sum("_prints"), F.lit(0)), F.coalesce(F.sum("_all"), F.lit(0))).first()
+    # a component of very many fingerprints, a fingerprint of very many documents
+    classes = cut(join_split(rooted.select("fp", "_n", "_root"), least.drop("_all"), ["_root"], "_prints", ["fp"], total[0]))
+    return join_split(prints, classes, ["fp"], "_n", ["_doc", "_text_key"], total[1]).select("_doc", "_text_key", "fp", "_root", "component_id")
 
 
 def fingerprint_text(fp: str = "fp"):
