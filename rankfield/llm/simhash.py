@@ -20,7 +20,7 @@ like any other. Null ids take part; the component of a group with only null ids
 null. Rows are kept as often as they occur. An empty table gives an empty result.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +158,7 @@ def _leaf_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def links(home: np.ndarray, visitors: np.ndarray, mask: int, reach: int, radius: int, leaf: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def links(home: np.ndarray, visitors: np.ndarray, mask: int, reach: int, radius: int, leaf: int = 1 << 15, leaf_links: Callable = _leaf_links) -> tuple[np.ndarray, np.ndarray]:
     """Links of one shard's home fingerprints with each other and with its visitors."""
     rng = np.random.default_rng(11)
     a, b = [], []
@@ -169,7 +169,7 @@ def links(home: np.ndarray, visitors: np.ndarray, mask: int, reach: int, radius:
             continue
         cut_at = None if len(h) * (len(h) + len(v)) <= leaf else _split(h, mask, rng)
         if cut_at is None:
-            x, y = _leaf_links(h, v, radius)
+            x, y = leaf_links(h, v, radius)
             a.append(x)
             b.append(y)
             continue

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from cases import frame, odd_documents, words
 
 import corpus_pipeline
@@ -58,3 +59,40 @@ def test_a_large_component_in_blocks_is_one(spark):
     rows = [(i, " ".join(w), "en", "a", 1, "", "", "") for i, w in enumerate(texts)] + [(2_000, "on its own", "en", "a", 1, "", "", "")]
     found = near_copies.near_copies(frame(spark, rows), block_rows=200).collect()
     assert {r._doc: r.component_id for r in found} == {**{i: 0 for i in range(1_301)}, 2_000: 2_000}
+
+
+def planted(pairs=400):
+    """Pairs of sets of which 0.80 to 0.95 are shared, of 40 to 300 shingles, and as many sets on their own."""
+    rng = np.random.default_rng(9)
+    sets, want = [], []
+    for k in range(pairs):
+        n, s = int(rng.integers(40, 300)), 0.80 + 0.15 * rng.random()
+        x = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        other = int(n * (1 - s) / (1 + s))
+        want.append((len(sets), len(sets) + 1))
+        sets += [x[:n], x[other : n + other], rng.integers(0, 1 << 63, n).astype(np.uint64)]
+    return sets, want
+
+
+def test_trees_name_the_planted_pairs_and_hardly_any_other(spark):
+    sets, want = planted()
+    rows = [(i, bytearray(near_copies.fingerprint(x).tobytes())) for i, x in enumerate(sets)]
+    distinct = spark.createDataFrame(rows, "_set long, _print binary")
+    for options in ({}, {"shard_rows": 60}):
+        found = {(min(r), max(r)) for r in near_copies.candidate_links(distinct, **options).collect()}
+        assert found == set(want)
+
+
+def test_a_fingerprint_has_the_bits_of_over_half_of_the_mixed_hashes():
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 700).astype(np.uint64)
+    one = [near_copies.fingerprint(hashes[i : i + 1]) for i in range(700)]
+    bits = np.unpackbits(np.stack(one).view(np.uint8), axis=1).astype(int)
+    assert (np.unpackbits(near_copies.fingerprint(hashes).view(np.uint8)) == (2 * bits.sum(axis=0) > 700)).all()
+
+
+def test_many_links_of_a_leaf_are_a_forest():
+    checks = np.zeros((500, near_copies.CHECK_WORDS), np.uint64)
+    checks[300:] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    y = np.arange(500, dtype=np.uint64) << np.uint64(16)
+    a, b = near_copies.near_checks(checks, y[:400], y[400:], near_copies.CHECK_RADIUS)
+    assert len(a) == 498 and ((a >> 16 < 300) == (b >> 16 < 300)).all()
