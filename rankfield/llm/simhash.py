@@ -10,9 +10,9 @@ The top of the trees is fitted on a bounded sample and splits the work into shar
 every fingerprint is routed through it. Inside a shard the tree goes on until its
 leaves are small, and leaves compare all 64 bits, so the links are exact.
 
-Copies are collapsed to one fingerprint before. A leaf with many links yields a
-spanning forest of them, not all pairs: components stay the same and no group grows
-quadratically. A shard with more than ``shard_rows`` fingerprints is compared in
+Copies are collapsed to one fingerprint before. A shard yields a spanning forest of
+its links, not all pairs: components stay the same, and a shard returns fewer links than
+it has fingerprints. A shard with more than ``shard_rows`` fingerprints is compared in
 blocks, so none has to fit one task.
 
 Defined results: a text without words, or null, has fingerprint zero and is linked
@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfield.llm.common import cut, join_split, text_key
-from rankfield.llm.components import connected_components
+from rankfield.llm.components import connected_components, contracted
 
 BITS = 64
 BLOCK = 1 << 16
+HELD_LINKS = 1 << 20
 
 
 def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
@@ -159,9 +160,13 @@ def _leaf_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np
 
 
 def links(home: np.ndarray, visitors: np.ndarray, mask: int, reach: int, radius: int, leaf: int = 1 << 15, leaf_links: Callable = _leaf_links) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one shard's home fingerprints with each other and with its visitors."""
+    """A spanning forest of one shard's links: home fingerprints with each other and with its visitors.
+
+    Fingerprints are distinct. Links are contracted whenever many are held.
+    """
     rng = np.random.default_rng(11)
-    a, b = [], []
+    none = np.empty(0, np.uint64)
+    a, b, held = [none], [none], 0
     todo = [(home, visitors)]
     while todo:
         h, v = todo.pop()
@@ -172,13 +177,16 @@ def links(home: np.ndarray, visitors: np.ndarray, mask: int, reach: int, radius:
             x, y = leaf_links(h, v, radius)
             a.append(x)
             b.append(y)
+            held += len(x)
+            if held > HELD_LINKS:
+                x, y = contracted(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], 0
             continue
         vantage, r = cut_at
         dh, dv = _distance(h, vantage, mask), _distance(v, vantage, mask)
         todo.append((h[dh <= r], np.concatenate([h[(dh > r) & (dh <= r + reach)], v[dv <= r + reach]])))
         todo.append((h[dh > r], v[dv > r - reach]))
-    none = np.empty(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return contracted(np.concatenate(a), np.concatenate(b))
 
 
 def near_links(distinct: DataFrame, radius: int = 4, parts: int = 4, leaf_rows: int = 16_384, shard_rows: int = 200_000, sample_rows: int = 8_192) -> DataFrame:

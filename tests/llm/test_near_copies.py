@@ -1,10 +1,12 @@
 import random
+from functools import partial
 
 import numpy as np
+import pytest
 from cases import frame, odd_documents, words
 
 import corpus_pipeline
-from rankfield.llm import near_copies
+from rankfield.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -96,3 +98,22 @@ def test_many_links_of_a_leaf_are_a_forest():
     y = np.arange(500, dtype=np.uint64) << np.uint64(16)
     a, b = near_copies.near_checks(checks, y[:400], y[400:], near_copies.CHECK_RADIUS)
     assert len(a) == 498 and ((a >> 16 < 300) == (b >> 16 < 300)).all()
+
+
+@pytest.mark.parametrize("held", [1 << 20, 100])
+def test_a_shard_returns_fewer_links_than_it_has_rows(monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD_LINKS", held, raising=False)
+    # 200 groups of 10: 45 pairs in each, too few in a leaf for its own forest
+    rng = np.random.default_rng(3)
+    checks = np.repeat(rng.integers(0, 1 << 63, (200, near_copies.CHECK_WORDS)).astype(np.uint64), 10, axis=0)
+    part = np.repeat(rng.integers(0, 1 << 16, 200).astype(np.uint64), 10)
+    y = part | (np.arange(2_000, dtype=np.uint64) << np.uint64(16))
+    a, b = simhash.links(y[:1_500], y[1_500:], near_copies.MASK, near_copies.REACH, near_copies.CHECK_RADIUS, 1 << 17, partial(near_copies.near_checks, checks))
+    a, b = (a >> np.uint64(16)).astype(int), (b >> np.uint64(16)).astype(int)
+    assert (a // 10 == b // 10).all() and len(a) == 150 * 9 and len(np.unique(b)) == len(b)
+
+
+def test_a_shard_of_fingerprints_returns_a_forest():
+    ball = np.array([1 << i for i in range(16)] + [0, (1 << 32) - 1], np.uint64)
+    a, b = simhash.links(ball, np.empty(0, np.uint64), 0xFFFF, 1, 4)
+    assert len(a) == 16 and set(b.tolist()) | set(a.tolist()) == set(ball[:17].tolist())
