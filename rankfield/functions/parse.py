@@ -67,9 +67,21 @@ def first_truthy(*columns: Column) -> Column:
 
 
 def human_number(n: Column) -> Column:
-    """1234 as 1.2K, 3000000 as 3M, 4e9 as 4B."""
+    """1234 as 1.2K, 3000000 as 3M, 4e9 as 4B.
+
+    The quotient is rounded by its exact binary value, ties to even, as printf does in C,
+    Python and SQL engines; Java's rounds the decimal digits half up (309650 to 309.7K).
+    """
 
     def unit(size: float, mark: str) -> Column:
-        return F.concat(F.regexp_replace(F.format_string("%.1f", n.cast("double") / size), r"\.0$", ""), F.lit(mark))
+        x = n.cast("double") / size
+        # from 1 on a fraction is a whole number of 2^-52, so tenths and rest are exact
+        whole, part = F.floor(x), ((x - F.floor(x)) * 2.0**52).cast("long") * 10
+        tenth, rest = F.shiftright(part, 52), part.bitwiseAND(2**52 - 1)
+        up = (rest > 2**51) | ((rest == 2**51) & (tenth % 2 == 1))
+        digits = F.regexp_replace((whole * 10 + tenth + up.cast("long")).cast("string"), r"(.)$", r".$1")
+        # from 2^52 on there is no fraction
+        shown = F.when(x < 2.0**52, digits).otherwise(F.format_string("%.1f", x))
+        return F.concat(F.regexp_replace(shown, r"\.0$", ""), F.lit(mark))
 
     return F.when(n >= 1e9, unit(1e9, "B")).when(n >= 1e6, unit(1e6, "M")).when(n >= 1e3, unit(1e3, "K")).otherwise(n.cast("long").cast("string"))

@@ -405,3 +405,26 @@ def test_sessions_become_field_history(spark):
     pages = spark.createDataFrame(rows, "doc string, path string, keyword string, country string, observed_at date, installs long, released_at date")
     (row,) = change.session_states(pages).collect()
     assert (row.n_apps, row.installs_p50, row.newcomers, row.source) == (3, 100.0, 1, "research") and row.age_known_frac == pytest.approx(2 / 3)
+
+
+def test_short_numbers_round_as_printf_does(spark):
+    """By the exact binary value, ties to even: 1.25 to 1.2, 1.15 (a little less) to 1.1, 309.65 (a little less) to 309.6."""
+
+    def want(n):
+        cut, mark = next((c, m) for c, m in ((1e9, "B"), (1e6, "M"), (1e3, "K")) if n >= c)
+        return f"{n / cut:.1f}".removesuffix(".0") + mark
+
+    numbers = [*range(1_000, 1_000_001, 50), *range(10**6, 10**8, 50_000), *range(10**9, 10**11, 50_000_000), 309_649.5, 309_650.5, 999_949.5, 9.2e18]
+    rows = spark.createDataFrame([(float(n),) for n in numbers], "n double")
+    for kind in ("double", "long"):
+        got = rows.select(F.col("n").cast(kind).alias("n"), parse.human_number(F.col("n").cast(kind)).alias("v")).collect()
+        assert len(got) == len(numbers) and not [r for r in got if r.v != want(r.n)]
+    spelt = spark.createDataFrame([(1_250,), (1_150,), (309_650,), (8_750,), (999_950,)], "n long").select(parse.human_number(F.col("n")).alias("v"))
+    assert [r.v for r in spelt.collect()] == ["1.2K", "1.1K", "309.6K", "8.8K", "1000K"]
+
+
+def test_a_narrative_tells_tied_numbers_as_its_sql(spark):
+    rows = page(spark, [("spider tracker", 309_650, 30), ("habit", 1_250, None)])
+    fields = field.summarise(rows.withColumns({"own_pkg": F.lit("new"), "own_slot": F.lit(0), "idx": F.col("slot")}))
+    told = scoring.narrative(fields.withColumns({"has_featured": F.lit(0), "featured_relevance": F.lit(0.0)}))
+    assert told.first().narrative == "1 of 2 apps answer the phrase, around 309.6K installs. An app with 1.2K installs holds rank 2. 1 of them launched within a year."
