@@ -428,3 +428,18 @@ def test_a_narrative_tells_tied_numbers_as_its_sql(spark):
     fields = field.summarise(rows.withColumns({"own_pkg": F.lit("new"), "own_slot": F.lit(0), "idx": F.col("slot")}))
     told = scoring.narrative(fields.withColumns({"has_featured": F.lit(0), "featured_relevance": F.lit(0.0)}))
     assert told.first().narrative == "1 of 2 apps answer the phrase, around 309.6K installs. An app with 1.2K installs holds rank 2. 1 of them launched within a year."
+
+
+def test_a_page_story_tells_tied_numbers_as_its_sql(spark):
+    columns = "keyword string, n long, scraped long, group_size long, group_best_rank int, group_median_installs double, group_weakest_installs long, group_newcomers long, group_newcomer_installs long, weakest_installs long, weakest_rank int, age_known_frac double, newest_entrant_age double, newcomers long, has_featured int, featured_relevance double, demand double, entry_rank int"
+    rows = [
+        ("many", 10, 202, 68, 1, 502_450.0, 40_000, 12, 1_250_000, 8_250, 4, 1.0, 0.2, 3, 0, 0.0, 50.0, 11),
+        ("few", 10, 30, 3, 1, 1_150_000.0, 1_150, 0, 0, 1_150, 7, 1.0, 0.2, 0, 0, 0.0, 50.0, 11),
+        ("one", 10, 30, 1, 2, 2_250.0, 2_250, 0, 0, 2_250, 2, 0.0, 0.0, 0, 0, 0.0, 50.0, 11),
+    ]
+    enter = " A well-made newcomer would enter at about rank 11, below where the installs are."
+    assert {r.keyword: r.story.removesuffix(enter) for r in scoring.page_story(spark.createDataFrame(rows, columns)).collect()} == {
+        "many": "The question is well answered: 68 of 202 apps, at about 502.4K installs. Rank 4 is held with 8.2K installs, so the top is not defended. 12 of them are under a year old, the largest at 1.2M installs, so there is a way in.",
+        "few": "3 of 30 apps answer this question, at about 1.1M installs; the rest are something else.",
+        "one": "One app only answers this question: 2.2K installs at rank 2; the other 29 answer another.",
+    }
